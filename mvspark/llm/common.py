@@ -4,6 +4,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def lower_words(text: str | None) -> list[bytes]:
 def pieces(batch: pa.RecordBatch, text: str = "text", chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of a batch with about so many bytes of text (one text at least), so that Python objects stay few whatever the batch holds."""
     column = batch.column(batch.schema.get_field_index(text))
-    lengths = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
     for i, n in enumerate(lengths):
         if i > start and size + n > chars:
