@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("kneser_ney", "segment_bpe", "rule_ledger", "bitslice_simhash", "extendible_sharding")
+MODULES = ("context_tree", "kneser_ney", "segment_bpe", "rule_ledger", "bitslice_simhash", "extendible_sharding")
 
 
 def queries() -> dict:
