@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import byte_grams
 from .common import checkpointed, id_crc, lower_words, out_batch, pieces, table
 
-DEPTH = 4
+DEPTH = 5
 #: Words that make up over 1 / HEAD of the training tokens are broadcast; there are fewer than HEAD of them.
 HEAD = 100_000
 #: Different words that a task counts before it hands on their counts.
