@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("context_tree", "kneser_ney", "segment_bpe", "rule_ledger", "bitslice_simhash", "extendible_sharding")
+MODULES = ("language_mixture", "kneser_ney", "segment_bpe", "rule_ledger", "bitslice_simhash", "extendible_sharding", "context_tree", "decontamination")
 
 
 def queries() -> dict:
