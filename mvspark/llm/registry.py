@@ -2,11 +2,24 @@
 
 from importlib import import_module
 
-MODULES = ("language_mixture", "kneser_ney", "segment_bpe", "rule_ledger", "bitslice_simhash", "extendible_sharding", "context_tree", "decontamination")
+MODULES = (
+    "ordinal_toxicity",
+    "warc_derivatives",
+    "language_mixture",
+    "kneser_ney",
+    "segment_bpe",
+    "rule_ledger",
+    "bitslice_simhash",
+    "extendible_sharding",
+    "context_tree",
+    "decontamination",
+)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"{__package__}.{m}").QUERIES.items()}
+    import corpus_pipeline
+
+    return {k: f for m in MODULES for k, f in import_module(f"{__package__}.{m}").QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
