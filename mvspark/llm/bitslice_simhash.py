@@ -174,16 +174,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their class: those with its least id. Of rows with one id one stays; rows with a null id
     stay only if they have no copy with an id, one for each fingerprint."""
-    found = near_duplicates(docs, id_col, text_col)
-    once = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
-    kept = once.filter((F.col("doc_id") == F.col("component_id")) & (F.col("n") == 1)).select(F.col("doc_id").alias("__id"))
-    repeated = once.filter((F.col("doc_id") == F.col("component_id")) & (F.col("n") > 1)).select(F.col("doc_id").alias("__id"))
-    alone = docs.join(kept, docs[id_col] == kept["__id"], "left_semi")
-    again = docs.join(repeated, docs[id_col] == repeated["__id"], "left_semi").dropDuplicates([id_col])
+    found = checkpointed(near_duplicates(docs, id_col, text_col))
+    once = checkpointed(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id")))
+    least = once.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id"), "n")
+    out = docs.join(least.filter("n = 1"), docs[id_col] == least["__id"], "left_semi")
+    repeated = least.filter("n > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(docs.join(repeated, docs[id_col] == repeated["__id"], "left_semi").dropDuplicates([id_col]))
     nameless = found.filter("doc_id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
-    null_ids = with_text_columns(docs.filter(F.col(id_col).isNull()), text_col, {"__own": ("bigint", pa.int64())}, lambda: lambda texts: {"__own": [fingerprint(t) for t in texts]})
-    null_ids = null_ids.join(nameless, null_ids["__own"] == nameless["__fp"], "left_semi").dropDuplicates(["__own"]).drop("__own")
-    return alone.unionByName(again).unionByName(null_ids)
+    if not nameless.isEmpty():
+        null_ids = with_text_columns(docs.filter(F.col(id_col).isNull()), text_col, {"__own": ("bigint", pa.int64())}, lambda: lambda texts: {"__own": [fingerprint(t) for t in texts]})
+        out = out.unionByName(null_ids.join(nameless, null_ids["__own"] == nameless["__fp"], "left_semi").dropDuplicates(["__own"]).drop("__own"))
+    return out
 
 
 def op7_bitslice_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
