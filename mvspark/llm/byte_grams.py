@@ -86,8 +86,11 @@ def with_sums(docs: DataFrame, values: DataFrame, text_col: str, order: int, pre
     each text. The values are broadcast if there are at most max_broadcast, else joined by code."""
     added = {"n_bytes": ("bigint", pa.int64()), name: ("double", pa.float64())}
     if values.count() <= max_broadcast:
-        rows = values.select("code", "value").toPandas().sort_values("code")
-        shared = docs.sparkSession.sparkContext.broadcast((rows["code"].to_numpy(), rows["value"].to_numpy()))
+        rows = values.select("code", "value").toArrow()
+        code = rows.column("code").to_numpy()
+        order_ = np.argsort(code)
+        shared = docs.sparkSession.sparkContext.broadcast((code[order_], rows.column("value").to_numpy()[order_]))
+        del rows, code, order_
 
         def make() -> Callable:
             code, value = shared.value

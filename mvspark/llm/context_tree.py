@@ -125,8 +125,8 @@ def byte_log10(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
         yield out_batch(tops, {"last": (t.top >> 8) & 255, "v": t.top & 255, "n0": t.n0, "n1": t.n1, "log_w": t.log_w})
 
     nodes = parts.mapInArrow(up, "last bigint, v bigint, n0 double, n1 double, log_w double").groupBy("last", "v")
-    rows = nodes.agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "log_w")]).orderBy("last", "v").toPandas()
-    root = parts.sparkSession.sparkContext.broadcast(Root(*[rows[c].to_numpy() for c in ("last", "v", "n0", "n1", "log_w")]))
+    rows = nodes.agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "log_w")]).orderBy("last", "v").toArrow()
+    root = parts.sparkSession.sparkContext.broadcast(Root(*[rows.column(c).to_numpy() for c in ("last", "v", "n0", "n1", "log_w")]))
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, n = _whole(batches)
