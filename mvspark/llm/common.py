@@ -52,7 +52,7 @@ def out_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
 
 
-def with_text_columns(docs: DataFrame, text_col: str, added: dict[str, tuple[str, pa.DataType]], make) -> DataFrame:
+def with_text_columns(docs: DataFrame, text_col: str, added: dict[str, tuple[str, pa.DataType]], make, chars: int = 2_000_000) -> DataFrame:
     """``docs`` with columns that ``make()`` gives for each list of whole texts: make() is called once a task and returns a function from
     texts to a dict of lists. Rows stay where they are, with all their columns; a column of an added name is replaced."""
     kept = docs.drop(*added)
@@ -62,7 +62,7 @@ def with_text_columns(docs: DataFrame, text_col: str, added: dict[str, tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part, texts in pieces(batch, "__text"):
+            for part, texts in pieces(batch, "__text", chars):
                 old = [x for x in part.schema if x.name != "__text"]
                 schema = pa.schema([*old, *[pa.field(k, t[1]) for k, t in added.items()]])
                 yield out_batch(schema, {x.name: part.column(x.name) for x in old} | f(texts))

@@ -27,6 +27,8 @@ ALPHA = 0.1
 #: Languages at most: a bound on what is broadcast, which holds at 4 x BUCKETS bytes each. More are an error.
 MAX_LANGUAGES = 256
 STEPS = 12
+#: Bytes of text whose arrays are held at once.
+CHARS = 500_000
 PENALTY = 2.0
 UNKNOWN = "und"
 
@@ -69,7 +71,7 @@ def counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for part, texts in pieces(batch):
+            for part, texts in pieces(batch, chars=CHARS):
                 bucket, _, of = grams(texts)
                 names, which = np.unique(np.array(part.column("lang").to_pylist(), object).astype(str), return_inverse=True)
                 for k, lang in enumerate(names):
@@ -171,7 +173,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         return f
 
-    return with_text_columns(docs, text_col, added, make)
+    return with_text_columns(docs, text_col, added, make, CHARS)
 
 
 def held_out() -> Column:
