@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("operators.align", "sources.logs")
+MODULES = ("operators.align", "sources.logs", "operators.triangulate", "operators.quality")
 
 
 def queries() -> dict:
