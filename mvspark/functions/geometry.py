@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
@@ -38,7 +39,7 @@ def gram_terms(u, v, weight=None) -> list[Column]:
     return [w * (a[i] * a[j] + b[i] * b[j]) for i in range(4) for j in range(i, 4)]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def smallest_eigvec4(g: pd.Series) -> pd.Series:
     """Homogeneous solution of summed Gram entries, as (x, y, z); null where w vanishes. Works on aggregated rows only."""
     entries = np.array(g.tolist(), np.float64).reshape(-1, 10)

@@ -80,20 +80,20 @@ def leave_one_out_swap(seen: DataFrame, margin_px: float = 5.0) -> DataFrame:
 
 
 def velocity(wrists: DataFrame, frames: DataFrame, max_px: float = 200.0) -> DataFrame:
-    """Pixel step of each wrist from the frame before (x, y fractions); undefined after a frame without one."""
-    order = frames.select("frame").distinct().withColumn("ord_f", F.dense_rank().over(Window.orderBy("frame")))
-    w = Window.partitionBy("cam_id", "part").orderBy("ord_f")
-    rows = wrists.join(order, "frame")
+    """Pixel step of each wrist from its session's frame before (x, y fractions); undefined after a frame without one."""
+    order = frames.select("session", "frame").distinct().withColumn("ord_f", F.dense_rank().over(Window.partitionBy("session").orderBy("frame")))
+    w = Window.partitionBy("session", "cam_id", "part").orderBy("ord_f")
+    rows = wrists.join(order, ["session", "frame"])
     px = F.hypot((F.col("x") - F.lag("x").over(w)) * WIDTH, (F.col("y") - F.lag("y").over(w)) * HEIGHT)
     rows = rows.withColumn("step_px", F.when(F.col("ord_f") - F.lag("ord_f").over(w) == 1, px))
     return rows.select("cam_id", "part", "frame", "step_px", F.coalesce(F.col("step_px") > max_px, F.lit(False)).alias("fast"))
 
 
 def wrist_jitter(points3d: DataFrame) -> DataFrame:
-    """Mean 3D step between successive present wrists of each side; gaps are skipped."""
-    w = Window.partitionBy("part").orderBy("frame")
+    """Mean 3D step between successive present wrists of each session and side; gaps are skipped."""
+    w = Window.partitionBy("session", "part").orderBy("frame")
     step = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in "yz"), (F.col("x") - F.lag("x").over(w)) ** 2))
-    return points3d.filter("lm_id = 0").withColumn("step", step).groupBy("part").agg(F.round(F.avg("step"), 6).alias("mean_step"), F.count("step").alias("n"))
+    return points3d.filter("lm_id = 0").withColumn("step", step).groupBy("session", "part").agg(F.round(F.avg("step"), 6).alias("mean_step"), F.count("step").alias("n"))
 
 
 def mad_outliers(series: DataFrame, keys: list[str], value: str, factor: float = 4.0) -> DataFrame:
@@ -158,9 +158,9 @@ _BW = _SW + f""", p as (select h.cam_id, h.frame, max(case when h.part = 'left'
  b as (select cam_id, frame, max(case when part = 'left' then x end) as blx, max(case when part = 'left' then y end) as bly, max(case when part = 'right' then x end) as brx, max(case when part = 'right' then y end) as bry from keypoint where lm_id = 0 group by cam_id, frame),
  t as (select cam_id, frame, sqrt(pow((hlx - blx) * {WIDTH}, 2) + pow((hly - bly) * {HEIGHT}, 2)) + sqrt(pow((hrx - brx) * {WIDTH}, 2) + pow((hry - bry) * {HEIGHT}, 2)) as labelled_px,
   sqrt(pow((hlx - brx) * {WIDTH}, 2) + pow((hly - bry) * {HEIGHT}, 2)) + sqrt(pow((hrx - blx) * {WIDTH}, 2) + pow((hry - bly) * {HEIGHT}, 2)) as swapped_px from p join b using (cam_id, frame))"""
-_STEP = _K + f""", f as (select frame, dense_rank() over (order by frame) as o from (select distinct frame from keypoint)),
+_STEP = _K + f""", f as (select frame, dense_rank() over (partition by session order by frame) as o from (select distinct session, frame from keypoint)),
  s as (select cam_id, part, frame, case when o - lag(o) over w = 1 then sqrt(pow((x - lag(x) over w) * {WIDTH}, 2) + pow((y - lag(y) over w) * {HEIGHT}, 2)) end as step_px
-  from keypoint join f using (frame) where lm_id = 0 window w as (partition by cam_id, part order by o))"""
+  from keypoint join f using (frame) where lm_id = 0 window w as (partition by session, cam_id, part order by o))"""
 
 
 def _wrists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,7 @@ ORACLE_SQL = {
     "velocity": _STEP + " select cam_id, part, frame, round(step_px, 3) as step_px, coalesce(step_px > 200, false) as fast from s",
     "jitter_flags": _STEP + """, m as (select *, median(step_px) over (partition by cam_id, part) as mid from s where step_px is not null), d as (select *, median(abs(step_px - mid)) over (partition by cam_id, part) as mad from m)
  select cam_id, part, frame, step_px > mid + 2 * (mad + 1e-9) as flag from d""",
-    "wrist_jitter": f"with {POINTS_SQL}, s as (select part, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2) + pow(z - lag(z) over w, 2)) as step from points where lm_id = 0 window w as (partition by part order by frame)) select part, round(avg(step), 6) as mean_step, count(step) as n from s group by part",
+    "wrist_jitter": f"with {POINTS_SQL}, s as (select session, part, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2) + pow(z - lag(z) over w, 2)) as step from points where lm_id = 0 window w as (partition by session, part order by frame)) select session, part, round(avg(step), 6) as mean_step, count(step) as n from s group by session, part",
 
     "conf_penalty": _STEP + " select k.cam_id, k.frame, k.part, round(case when coalesce(step_px > 200, false) then conf * 0.01 else conf end, 6) as conf, coalesce(step_px > 200, false) as penalised from keypoint k join s on s.cam_id = k.cam_id and s.part = k.part and s.frame = k.frame where lm_id = 0",
     "threshold_sweep": _BW + " select margin_px, count(*) as n, count(case when swapped_px < labelled_px - margin_px then 1 end) as swaps from t, (values (cast(5.0 as double)), (20.0), (400.0), (1000.0)) as m(margin_px) group by margin_px",

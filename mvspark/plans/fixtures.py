@@ -64,6 +64,11 @@ CALIBRATION_SQL = (
 )
 
 
+def session():
+    """Frames are recorded in sessions of 4000 order keys."""
+    return F.floor(F.col("frame") / 4000).cast("long").alias("session")
+
+
 def true_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left-hand points by frame and landmark from lineitem; the right hand stands 0.4 to the side."""
     li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
@@ -76,13 +81,13 @@ def true_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_tax").cast("double") - 0.04).alias("z"),
     )
     sides = F.explode(F.array(F.struct(F.lit("left").alias("part"), F.lit(0.0).alias("dx")), F.struct(F.lit("right").alias("part"), F.lit(0.4).alias("dx"))))
-    return left.withColumn("s", sides).select("frame", "lm_id", F.col("s.part").alias("part"), (F.col("x") + F.col("s.dx")).alias("x"), "y", "z")
+    return left.withColumn("s", sides).select(session(), "frame", "lm_id", F.col("s.part").alias("part"), (F.col("x") + F.col("s.dx")).alias("x"), "y", "z")
 
 
 POINTS_SQL = """
 li as (select l_orderkey as frame, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as integer) as lm_id,
   (cast(l_quantity as double) - 25) / 100 as x, (cast(l_discount as double) - 0.05) * 2 as y, cast(l_tax as double) - 0.04 as z from lineitem where l_orderkey % 4 = 0),
-points as (select cast(frame as bigint) as frame, lm_id, part, x + dx as x, y, z from li, (values ('left', cast(0.0 as double)), ('right', cast(0.4 as double))) as s(part, dx))
+points as (select cast(floor(frame / 4000) as bigint) as session, cast(frame as bigint) as frame, lm_id, part, x + dx as x, y, z from li, (values ('left', cast(0.0 as double)), ('right', cast(0.4 as double))) as s(part, dx))
 """
 
 
@@ -93,8 +98,9 @@ def keypoints(spark: SparkSession, sf_dir: str, noise: float = 0.0) -> DataFrame
     seen = true_points(spark, sf_dir).join(F.broadcast(calibration(spark)), F.lit(True))  # seven cameras
     u, v = project("x", "y", "z")
     n = F.lit(noise) * ((F.col("frame") * 31 + F.col("ord") * 17) % 7 - 3) / 10
-    seen = seen.select("frame", "part", "lm_id", "cam_id", "ord", u.alias("u"), v.alias("v"), n.alias("n"))
+    seen = seen.select("session", "frame", "part", "lm_id", "cam_id", "ord", u.alias("u"), v.alias("v"), n.alias("n"))
     return seen.select(
+        "session",
         "frame",
         "part",
         "lm_id",
@@ -108,7 +114,7 @@ def keypoints(spark: SparkSession, sf_dir: str, noise: float = 0.0) -> DataFrame
 
 def keypoints_sql(noise: float = 0.0) -> str:
     return f"""{POINTS_SQL}, {CALIBRATION_SQL},
-keypoint as (select frame, part, lm_id, cam_id, ord,
+keypoint as (select session, frame, part, lm_id, cam_id, ord,
   (fx * (rc * x + rs * z) / (2 + rc * z - rs * x) + cx + {noise!r} * ((frame * 31 + ord * 17) % 7 - 3) / 10) / width as x,
   (fy * y / (2 + rc * z - rs * x) + cy + {noise!r} * ((frame * 31 + ord * 17) % 7 - 3) / 10) / height as y,
   ((frame * 31 + ord * 17) % 70) / 100.0 + 0.3 as conf from points, calibration)
