@@ -126,7 +126,7 @@ def threshold_sweep(tests: DataFrame, margins: list[float]) -> DataFrame:
 
 def _swapped(points: DataFrame) -> DataFrame:
     """Sides exchanged in every fifth frame in one camera."""
-    hit = (F.col("frame") % 20 == 0) & (F.col("ord") == F.col("frame") % 7)
+    hit = (F.col("frame") % 5 == 0) & (F.col("ord") == F.col("frame") % 7)
     other = F.when(F.col("part") == "left", "right").otherwise("left")
     return points.withColumn("part", F.when(hit, other).otherwise(F.col("part")))
 
@@ -148,11 +148,11 @@ def _bad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _K = "with " + keypoints_sql(0.0)
-_SW = _K + """, sw as (select frame, lm_id, cam_id, ord, x, y, conf, case when frame % 20 = 0 and ord = frame % 7 then case when part = 'left' then 'right' else 'left' end else part end as part from keypoint)"""
+_SW = _K + """, sw as (select frame, lm_id, cam_id, ord, x, y, conf, case when frame % 5 = 0 and ord = frame % 7 then case when part = 'left' then 'right' else 'left' end else part end as part from keypoint)"""
 _TWO = (
     "with " + keypoints_sql(0.0).replace("keypoint as", "k0 as") + ", " + keypoints_sql(2.0)[keypoints_sql(2.0).index("keypoint as") :].replace("keypoint as", "k2 as")
     + """, two as (select frame, part, lm_id, cam_id, ord, x, y, conf, 0 as source_ord from k0 union all
- select frame, case when frame % 20 = 0 and ord = frame % 7 then case when part = 'left' then 'right' else 'left' end else part end, lm_id, cam_id, ord, x, y, round(1.2 - conf, 2), 1 from k2)"""
+ select frame, case when frame % 5 = 0 and ord = frame % 7 then case when part = 'left' then 'right' else 'left' end else part end, lm_id, cam_id, ord, x, y, round(1.2 - conf, 2), 1 from k2)"""
 )
 _BW = _SW + f""", p as (select h.cam_id, h.frame, max(case when h.part = 'left' then h.x end) as hlx, max(case when h.part = 'left' then h.y end) as hly, max(case when h.part = 'right' then h.x end) as hrx, max(case when h.part = 'right' then h.y end) as hry from sw h where lm_id = 0 group by h.cam_id, h.frame),
  b as (select cam_id, frame, max(case when part = 'left' then x end) as blx, max(case when part = 'left' then y end) as bly, max(case when part = 'right' then x end) as brx, max(case when part = 'right' then y end) as bry from keypoint where lm_id = 0 group by cam_id, frame),

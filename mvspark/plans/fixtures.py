@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from mvspark.functions.series import row_index
 
-#: Rotations about y of seven cameras as (cos, sin); focal length, principal point, frame size.
-RING = ((1.0, 0.0), (0.8, 0.6), (0.8, -0.6), (12 / 13, 5 / 13), (12 / 13, -5 / 13), (15 / 17, 8 / 17), (15 / 17, -8 / 17))
+#: Rotations about y of four cameras as (cos, sin); focal length, principal point, frame size.
+RING = ((1.0, 0.0), (0.8, 0.6), (0.8, -0.6), (12 / 13, 5 / 13))
 FOCAL, CX, CY, WIDTH, HEIGHT = 2000.0, 1680.0, 945.0, 3360.0, 1890.0
 
 
@@ -51,7 +51,7 @@ frame_log as (select session_id, cam_id, seq, host_ts_s, n_bytes, host_offset_s,
 
 
 def calibration(spark: SparkSession) -> DataFrame:
-    """Seven cameras on a ring that look at the origin from two units away."""
+    """Four cameras on a ring that look at the origin from two units away."""
     rows = [(f"cam{k:02d}", k, c, s) for k, (c, s) in enumerate(RING)]
     cams = spark.createDataFrame(rows, "cam_id string, ord int, rc double, rs double")
     return cams.select("cam_id", "ord", "rc", "rs", *[F.lit(v).alias(n) for n, v in (("fx", FOCAL), ("fy", FOCAL), ("cx", CX), ("cy", CY), ("width", WIDTH), ("height", HEIGHT))])
@@ -71,7 +71,7 @@ def session():
 
 def true_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left-hand points by frame and landmark from lineitem; the right hand stands 0.4 to the side."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
+    li = table(spark, sf_dir, "lineitem")
     pts = row_index(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "lm_id")
     left = pts.select(
         F.col("l_orderkey").cast("long").alias("frame"),
@@ -86,7 +86,7 @@ def true_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POINTS_SQL = """
 li as (select l_orderkey as frame, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as integer) as lm_id,
-  (cast(l_quantity as double) - 25) / 100 as x, (cast(l_discount as double) - 0.05) * 2 as y, cast(l_tax as double) - 0.04 as z from lineitem where l_orderkey % 4 = 0),
+  (cast(l_quantity as double) - 25) / 100 as x, (cast(l_discount as double) - 0.05) * 2 as y, cast(l_tax as double) - 0.04 as z from lineitem),
 points as (select cast(floor(frame / 4000) as bigint) as session, cast(frame as bigint) as frame, lm_id, part, x + dx as x, y, z from li, (values ('left', cast(0.0 as double)), ('right', cast(0.4 as double))) as s(part, dx))
 """
 
@@ -95,7 +95,7 @@ def keypoints(spark: SparkSession, sf_dir: str, noise: float = 0.0) -> DataFrame
     """The points as each camera sees them (image fractions), with the confidence of the detection."""
     from mvspark.functions.geometry import project
 
-    seen = true_points(spark, sf_dir).join(F.broadcast(calibration(spark)), F.lit(True))  # seven cameras
+    seen = true_points(spark, sf_dir).join(F.broadcast(calibration(spark)), F.lit(True))  # four cameras
     u, v = project("x", "y", "z")
     n = F.lit(noise) * ((F.col("frame") * 31 + F.col("ord") * 17) % 7 - 3) / 10
     seen = seen.select("session", "frame", "part", "lm_id", "cam_id", "ord", u.alias("u"), v.alias("v"), n.alias("n"))
