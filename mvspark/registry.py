@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("operators.align", "sources.logs", "operators.triangulate", "operators.quality", "operators.calibration", "operators.smooth", "operators.tracks", "operators.hands")
+MODULES = ("operators.align", "sources.logs", "operators.triangulate", "operators.quality", "operators.calibration", "operators.smooth", "operators.tracks", "operators.hands", "operators.sequences")
 
 
 def queries() -> dict:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from mvspark.functions.geometry import angle_degrees, box_iou, quaternion, undistort
 from mvspark.functions.series import spaced
-from mvspark.operators import calibration, quality, smooth
+from mvspark.operators import calibration, quality, sequences, smooth
 from mvspark.operators.triangulate import views
 from mvspark.plans.fixtures import calibration as cameras
 from mvspark.plans.fixtures import keypoints
@@ -87,3 +87,27 @@ def test_streams_equal_batches(spark, tmp_path):
     assert len(drain(live.simultaneous, "pairs")) == want
     assert {r.cam_id for r in drain(live.latest, "latest")} == {"cam0"}
     assert {(r.cam_id, round(r.silent_from_s, 2)) for r in drain(live.alarms, "alarms")} >= {("cam0", 1002.85)}
+
+
+def test_anchors_refuse_jumps_until_the_circle_is_wide():
+    at = np.array([[0, 0], [50, 0], [500, 0], [500, 0], [60, 0], [np.nan, 0], [np.nan, 0], [350, 0]], float)
+    assert sequences.anchor_scan(at, 100) == [True, True, False, False, True, False, False, True]
+    assert sequences.anchor_scan(np.full((2, 2), np.nan), 100) == [False, False]
+
+
+def test_half_steps_give_cubics_back():
+    for n in range(1, 12):
+        t = np.arange(n, dtype=float)[:, None]
+        power = min(n - 1, 3)
+        want = (np.arange(2 * n - 1) / 2)[:, None] ** power
+        assert np.allclose(sequences.half_steps(t**power), want)
+
+
+def test_steady_set_is_the_best_or_held(spark, sf_dir):
+    k = keypoints(spark, sf_dir, 2.0)
+    seen = views(k, cameras(spark), 0.5)
+    best = {(r.part, r.frame): sorted(r.cameras) for r in sequences.robust_cameras(seen, 2.0).collect()}
+    rows = sequences.steady_cameras(seen, sequences.robust_cameras(seen, 2.0), k, 2.0).collect()
+    assert {(r.part, r.frame) for r in rows} == set(best)
+    assert all(r.cameras == best[r.part, r.frame] or r.held for r in rows)
+    assert all(r.n_inliers >= len(best[r.part, r.frame]) for r in rows)
