@@ -124,6 +124,15 @@ def threshold_sweep(tests: DataFrame, margins: list[float]) -> DataFrame:
     return each.groupBy("margin_px").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("swapped_px") < F.col("labelled_px") - F.col("margin_px"), 1)).alias("swaps"))
 
 
+def correct(points: DataFrame, body: DataFrame, cameras: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keypoints after both swap corrections, and the wrists' detections with fast ones penalised. The cheap test against body wrists comes first, the test against the other
+    cameras sees its output, and velocities are those of the twice corrected keypoints."""
+    once = swap_correct(points, body_wrist_swap(points, body))
+    twice = swap_correct(once, leave_one_out_swap(views(once, cameras)))
+    wrists = twice.filter("lm_id = 0")
+    return twice, penalise(wrists.select(*HAND, "part", "conf"), velocity(wrists, points).filter("fast"))
+
+
 def _swapped(points: DataFrame) -> DataFrame:
     """Sides exchanged in every fifth frame in one camera."""
     hit = (F.col("frame") % 5 == 0) & (F.col("ord") == F.col("frame") % 7)
@@ -186,6 +195,7 @@ QUERIES = {
     "wrist_jitter": lambda spark, sf: wrist_jitter(true_points(spark, sf)),
     "swap_correct": lambda spark, sf: swap_correct(_swapped(k := keypoints(spark, sf)), body_wrist_swap(_swapped(k), k)).select("cam_id", "frame", "part", "lm_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")),
     "conf_penalty": lambda spark, sf: penalise(keypoints(spark, sf).filter("lm_id = 0").select("cam_id", "frame", "part", "conf"), _wrists(spark, sf).filter("fast")).withColumn("conf", F.round("conf", 6)),
+    "corrections": lambda spark, sf: correct(_swapped(k := keypoints(spark, sf)), k, calibration(spark))[1].withColumn("conf", F.round("conf", 6)),
     "threshold_sweep": lambda spark, sf: threshold_sweep(body_wrist_swap(_swapped(k := keypoints(spark, sf)), k), [5.0, 20.0, 400.0, 1000.0]),
 }
 ORACLE_SQL = {
@@ -205,3 +215,4 @@ ORACLE_SQL = {
 }
 #: The wrists tell every exchange, so the points must come back as they were.
 ORACLE_SQL["swap_correct"] = _K + "select cam_id, frame, part, lm_id, round(x, 6) as x, round(y, 6) as y from keypoint"
+ORACLE_SQL["corrections"] = ORACLE_SQL["conf_penalty"]

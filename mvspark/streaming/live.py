@@ -16,6 +16,18 @@ def fps(frames: DataFrame, late: str = "10 seconds", width: str = "1 second") ->
     return frames.withWatermark("ts", late).groupBy(F.window("ts", width), "cam_id").agg(F.count(F.lit(1)).alias("frames")).select("cam_id", F.col("window.start").alias("from_ts"), "frames")
 
 
+def drops(logged: DataFrame, written: DataFrame, late: str = "10 seconds", width: str = "1 second") -> DataFrame:
+    """Logged frames less written ones of each camera in each window of event time (cam_id, ts): one count over both streams, no join."""
+    marked = [df.select("cam_id", "ts").withColumn("sign", F.lit(sign)).withWatermark("ts", late) for df, sign in ((logged, 1), (written, -1))]
+    counted = marked[0].unionByName(marked[1]).groupBy(F.window("ts", width), "cam_id").agg(F.sum("sign").alias("dropped"))
+    return counted.select("cam_id", F.col("window.start").alias("from_ts"), "dropped")
+
+
+def running_edges(observations: DataFrame) -> DataFrame:
+    """Count and mean error of each pair of cameras so far (rig_id, cam_a, cam_b, err), for update mode: the state is one row for each pair."""
+    return observations.groupBy("rig_id", "cam_a", "cam_b").agg(F.count(F.lit(1)).alias("n"), F.avg("err").alias("err"))
+
+
 def simultaneous(frames: DataFrame, tolerance: str = "80 milliseconds", late: str = "10 seconds") -> DataFrame:
     """Pairs of different cameras' rows (rig_id, cam_id, ts, seq) within the tolerance in event time: a stream-stream join whose state the watermarks bound."""
     a = frames.withWatermark("ts", late).select(*[F.col(c).alias(f"{c}_a") for c in ("rig_id", "cam_id", "ts", "seq")])

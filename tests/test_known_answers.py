@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from mvspark.functions.geometry import angle_degrees, box_iou, quaternion, undistort
 from mvspark.functions.series import spaced
-from mvspark.operators import calibration, quality, sequences, smooth
+from mvspark.operators import calibration, occlusion, quality, sequences, smooth
 from mvspark.operators.triangulate import views
 from mvspark.plans.fixtures import calibration as cameras
 from mvspark.plans.fixtures import keypoints
+from mvspark.sources import records
 from mvspark.sources.logs import parse_header, parse_log
 from mvspark.streaming import live
 
@@ -54,6 +55,19 @@ def test_logs(spark):
     assert parse_header(df, ["path"]).first()[1:] == (3840, 2160, 30.0, 0.25)
 
 
+def test_older_keypoints(spark):
+    text = '{"000001": {"cam0": [{"id": 4, "x": 1, "y": 2, "confidence": 0.5}, {"x": 3.5}], "cam1": {"left_hand": [{"id": 0, "x": 7}], "body": []}}, "000002": {}}'
+    df = spark.createDataFrame([("a", text), ("b", "not JSON"), ("c", None)], "path string, value string")
+    rows = {(r.path, r.cam_id, r.part, r.pos, r.lm_id, r.x) for r in records.older_keypoints(df, ["path"]).collect()}
+    assert rows == {("a", "cam0", "body", 0, 4, 1.0), ("a", "cam0", "body", 1, None, 3.5), ("a", "cam1", "left", 0, 0, 7.0)}
+
+
+def test_nearest_box_in_time_is_the_earlier_of_two(spark):
+    rows = [("c", 0, 2, 0.0), ("c", 1, 1, 0.0), ("c", 2, 2, 500.0), ("c", 2, 1, 0.0), ("d", 5, 1, 0.0)]
+    df = spark.createDataFrame(rows, "cam_id string, frame int, place int, x0 double").selectExpr("*", "0d as y0", "x0 + 100 as x1", "100d as y1", "false as disagree")
+    assert {(r.cam_id, r.frame, r.place, r.iou, r.occluded) for r in occlusion.occlusions(df, ["cam_id"]).collect()} == {("c", 0, 2, 1.0, True), ("c", 1, 1, 1.0, True), ("d", 5, 1, 0.0, False)}
+
+
 def test_geometry(spark):
     one = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, 1.0, 0.0], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], 0.0, 0.0, 2.0, 2.0, 1.0, 0.0, 3.0, 2.0)], "r array<double>, s array<double>, x0 double, y0 double, x1 double, y1 double, u0 double, v0 double, u1 double, v1 double")
     q, a, i = one.select(quaternion("r"), angle_degrees("r", "s"), box_iou(["x0", "y0", "x1", "y1"], ["u0", "v0", "u1", "v1"])).first()
@@ -85,6 +99,10 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sum(r.frames for r in drain(live.fps, "fps", "complete")) == 61
     want = calibration.simultaneous_pairs(df.withColumns({"r": F.array(F.lit(0.0)), "t": F.array(F.lit(0.0)), "err": F.lit(0.0)}), 0.08).count()
     assert len(drain(live.simultaneous, "pairs")) == want
+    lost = drain(lambda s: live.drops(s, s.filter("seq % 10 <> 0")), "drops", "complete")
+    assert sum(r.dropped for r in lost) == 6 and all(r.dropped >= 0 for r in lost)
+    edges = drain(lambda s: live.running_edges(s.select("rig_id", F.lit("cam0").alias("cam_a"), F.col("cam_id").alias("cam_b"), F.col("seq").alias("err"))), "edges", "complete")
+    assert {(r.cam_b, r.n) for r in edges} == {("cam0", 21), ("cam1", 20), ("cam2", 20)}
     assert {r.cam_id for r in drain(live.latest, "latest")} == {"cam0"}
     assert {(r.cam_id, round(r.silent_from_s, 2)) for r in drain(live.alarms, "alarms")} >= {("cam0", 1002.85)}
 
