@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class of near-duplicates; of rows with one id, one."""
+    """Keeps one document of each class of near-duplicates, of least id."""
     return bitslice_simhash.representatives(docs).select(docs.columns)
 
 

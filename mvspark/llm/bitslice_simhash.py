@@ -11,7 +11,7 @@ gets the least id of its component (null if all are). Repeated rows stay rows. A
 id and the text are not looked at.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -172,19 +172,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their class: those with its least id. Of rows with one id one stays; rows with a null id
-    stay only if they have no copy with an id, one for each fingerprint."""
-    found = checkpointed(near_duplicates(docs, id_col, text_col))
-    once = checkpointed(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id")))
-    least = once.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id"), "n")
-    out = docs.join(least.filter("n = 1"), docs[id_col] == least["__id"], "left_semi")
-    repeated = least.filter("n > 1")
+    """One row of ``docs`` for each class of near-duplicates: of those with its least id, one with the least fingerprint. A null id counts as
+    greater than all others. An id that stands on texts of several classes may stay once for each."""
+    rows = checkpointed(fingerprints(docs, id_col, text_col).withColumnRenamed("fp", "node"))
+    return _chosen(docs, id_col, text_col, rows, links(rows.select(F.col("node").alias("fp")).distinct()), fingerprint)
+
+
+def _chosen(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, linked: DataFrame, node: Callable[[str | None], int]) -> DataFrame:
+    """One row of ``docs`` for each component: rows holds (doc_id, node) of each row, linked the links between nodes, and node() gives a text's."""
+    once = rows.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    roots = components(linked).select(F.col("node").alias("__in"), "root")
+    own = once.join(roots, once["node"] == roots["__in"], "left").withColumn("root", F.coalesce("root", "node"))
+    least = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node", "n")).alias("best"))
+    least = checkpointed(least.select(F.col("best.doc_id").alias("__id"), F.col("best.node").alias("__best"), F.col("best.n").alias("__n")))
+
+    def kept(docs: DataFrame, least: DataFrame) -> DataFrame:
+        marked = with_text_columns(docs, text_col, {"__own": ("bigint", pa.int64())}, lambda: lambda texts: {"__own": [node(t) for t in texts]})
+        return marked.join(least, marked[id_col].eqNullSafe(least["__id"]) & (marked["__own"] == least["__best"]), "left_semi")
+
+    out = kept(docs, least.filter("__n = 1")).drop("__own")
+    repeated = least.filter("__n > 1")
     if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated, docs[id_col] == repeated["__id"], "left_semi").dropDuplicates([id_col]))
-    nameless = found.filter("doc_id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
-    if not nameless.isEmpty():
-        null_ids = with_text_columns(docs.filter(F.col(id_col).isNull()), text_col, {"__own": ("bigint", pa.int64())}, lambda: lambda texts: {"__own": [fingerprint(t) for t in texts]})
-        out = out.unionByName(null_ids.join(nameless, null_ids["__own"] == nameless["__fp"], "left_semi").dropDuplicates(["__own"]).drop("__own"))
+        some = docs.join(repeated, docs[id_col].eqNullSafe(repeated["__id"]), "left_semi")
+        out = out.unionByName(kept(some, repeated).dropDuplicates([id_col, "__own"]).drop("__own"))
     return out
 
 

@@ -75,6 +75,13 @@ def test_simhash_rows(spark, sf_dir, docs, odd):
     assert set(kept.columns) == set(odd.columns) and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 8]
 
 
+def test_representatives_of_repeated_ids(spark):
+    x, y, z = ("red green blue and seven more words of one text", "quite another text about cats and dogs at home", "the third one holds numbers like four and five")
+    rows = [(5, x), (3, x), (5, y), (9, y), (7, z), (7, z), (7, y + " x" * 40), (None, x), (None, "only here, with no id at all"), (None, "only here, with no id at all")]
+    kept = bitslice_simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(3, x), (5, y), (7, z), (7, y + " x" * 40), (None, "only here, with no id at all")], key=str)
+
+
 def test_bpe(spark, docs, odd):
     from tokenizers import Tokenizer
 
