@@ -11,6 +11,8 @@ from mvspark.llm.common import table
 
 #: A text whose main language has a smaller share is rejected.
 MIN_SHARE = 0.5
+#: Texts are near-duplicates if their sets of so many words have this Jaccard similarity or more.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates, of least id."""
-    return bitslice_simhash.representatives(docs).select(docs.columns)
+    return bitslice_simhash.representatives(docs, shingle=NEAR_SHINGLE, similarity=NEAR_SIMILARITY).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,6 +82,37 @@ def test_representatives_of_repeated_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(3, x), (5, y), (7, z), (7, y + " x" * 40), (None, "only here, with no id at all")], key=str)
 
 
+def test_similar_texts(spark, odd):
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = []
+    for _ in range(60):
+        base = word(100)
+        texts.append(base)
+        for changed in (1, 2, 2, 3, 5):  # similarities from about 0.9 to 0.6
+            copy = base.copy()
+            for place in rng.choice(100, changed, replace=False):
+                copy[place] = "new" + word(1)[0]
+            texts.append(copy)
+    texts += [base[:3], base[:3], base[:2], [*base[:50], *word(50)]]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    alike = [[k for k, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y)] for x in sets]
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[k] for k in near) for near in alike]
+    assert len(set(root)) < len(texts) - 100
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    kept = bitslice_simhash.representatives(df, shingle=5, similarity=0.8).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root))
+    # Keys over the limit are dealt to chunks without loss.
+    marked = bitslice_simhash.marks(df, "doc_id", "text", 5, bitslice_simhash.band_size(0.8)).persist()
+    node = {r.doc_id: r.node for r in marked.select("doc_id", "node").collect()}
+    found = {r.node: r.root for r in bitslice_simhash.components(bitslice_simhash.similar_links(df, "text", 5, 0.8, marked, chunk=2)).collect()}
+    classes = lambda of: {frozenset(k for k in node if of(k) == r) for r in map(of, node)}
+    assert classes(lambda k: found.get(node[k], node[k])) == classes(root.__getitem__)
+    assert sorted(r.doc_id for r in bitslice_simhash.representatives(odd, shingle=5, similarity=0.8).collect()) == [1, 4, 5, 8]
+
+
 def test_bpe(spark, docs, odd):
     from tokenizers import Tokenizer
 
