@@ -108,9 +108,9 @@ _DIGEST = {"content_length": ("bigint", pa.int64()), "block_digest": ("string",
 
 
 def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = NO_DATE, blocks: bool = True) -> DataFrame:
-    """Two rows for each response: with the records themselves (``blocks``), or only their lengths and digests."""
+    """Two rows for each response: their lengths and digests and, with ``blocks``, the records themselves."""
     df = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("text"))
-    fields = _FIELDS | (_RECORD if blocks else _DIGEST)
+    fields = _FIELDS | (_RECORD if blocks else {}) | _DIGEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,8 +125,7 @@ def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                         row = {"page_id": page, "refers_to": rid, "target_uri": url, "source_digest": source} | one
                         if blocks:
                             row["headers"] = [{"name": k, "value": v} for k, v in one["headers"]]
-                        else:
-                            row |= {"content_length": len(one["block"]), "block_digest": digest(one["block"]), "record_sha256": hashlib.sha256(serialise(one)).hexdigest()}
+                        row |= {"content_length": len(one["block"]), "block_digest": digest(one["block"]), "record_sha256": hashlib.sha256(serialise(one)).hexdigest()}
                         for name, column in out.items():
                             column.append(row[name])
                 yield out_batch(schema, out)
@@ -135,7 +134,7 @@ def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derivatives(table(spark, sf_dir, "pages"), blocks=False)
+    return derivatives(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {"op2_warc_derivatives": op2_warc_derivatives}

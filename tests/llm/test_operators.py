@@ -281,6 +281,16 @@ def test_warc(spark, sf_dir):
     assert warc_derivatives.derivatives(nulls).count() == 4
 
 
+def test_warc_query_gives_the_records(spark, sf_dir):
+    rows = warc_derivatives.op2_warc_derivatives(spark, sf_dir).collect()
+    assert len(rows) == 2 * spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+    for r in rows:
+        block = bytes(r.block)
+        raw = warc_derivatives.serialise({"headers": [tuple(h) for h in r.headers], "block": block})
+        assert hashlib.sha256(raw).hexdigest() == r.record_sha256 and warc_derivatives.digest(block) == r.block_digest and len(block) == r.content_length
+        assert r.record_type == "conversion" or b"conversion-record-id: " in block
+
+
 def test_empty_tables(spark, odd, sf_dir):
     none = odd.filter("false")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
