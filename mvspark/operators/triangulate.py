@@ -70,12 +70,20 @@ def plausible(errors: DataFrame, max_px: float = 30.0, spread: float = 3.0) -> D
     return far.join(F.broadcast(limit), F.lit(True)).filter("dist <= limit").select(*keys, "dist", "worst")
 
 
-def rank_pairs(seen: DataFrame, min_points: int = 8) -> DataFrame:
-    """Camera pairs by the landmarks that both see: frames and points in common; under min_points the score is 0."""
+def rank_pairs(seen: DataFrame, min_points: int = 8, max_px: float = 3.0) -> DataFrame:
+    """Camera pairs, best first: frames and landmarks in common, and as score the landmarks whose point from the two views reprojects under max_px in
+    both. Under min_points frames or landmarks the score is 0."""
+    pair = ["cam_a", "cam_b"]
     a = seen.select(*POINT, F.col("cam_id").alias("cam_a"), F.col("ord").alias("ord_a"))
     b = seen.select(*POINT, F.col("cam_id").alias("cam_b"), F.col("ord").alias("ord_b"))
-    both = a.join(b, POINT).filter("ord_a < ord_b").groupBy("cam_a", "cam_b").agg(F.countDistinct("frame").alias("frames"), F.count(F.lit(1)).alias("points"))
-    return both.withColumn("score", F.when(F.col("points") >= min_points, F.col("points")).otherwise(0))
+    both = a.join(b, POINT).filter("ord_a < ord_b").drop("ord_a", "ord_b")
+    members = both.withColumn("cam_id", F.explode(F.array(*pair))).join(seen, [*POINT, "cam_id"])
+    keys = [*pair, *POINT]
+    inliers = reprojection(triangulate(members, keys), members, keys).groupBy(*keys).agg(F.max("err_px").alias("worst")).filter(F.col("worst") < max_px)
+    counts = both.groupBy(*pair).agg(F.countDistinct("frame").alias("frames"), F.count(F.lit(1)).alias("points"))
+    scored = counts.join(inliers.groupBy(*pair).agg(F.count(F.lit(1)).alias("good")), pair, "left")
+    enough = (F.col("frames") >= min_points) & (F.col("points") >= min_points)
+    return scored.select(*pair, "frames", "points", F.when(enough, F.coalesce("good", F.lit(0))).otherwise(0).alias("score")).orderBy(F.desc("score"), *pair)
 
 
 def _seen(spark: SparkSession, sf_dir: str, noise: float = 0.0, min_conf: float = 0.5) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mvspark.functions.geometry import angle_degrees, box_iou, quaternion, undistort
 from mvspark.functions.series import spaced
 from mvspark.operators import calibration, occlusion, quality, sequences, smooth
-from mvspark.operators.triangulate import views
+from mvspark.operators.triangulate import rank_pairs, views
 from mvspark.plans.fixtures import calibration as cameras
 from mvspark.plans.fixtures import keypoints
 from mvspark.sources import records
@@ -129,3 +129,16 @@ def test_steady_set_is_the_best_or_held(spark, sf_dir):
     assert {(r.part, r.frame) for r in rows} == set(best)
     assert all(r.cameras == best[r.part, r.frame] or r.held for r in rows)
     assert all(r.n_inliers >= len(best[r.part, r.frame]) for r in rows)
+
+
+def test_pairs_are_ranked_by_what_reprojects(spark, sf_dir):
+    clean = keypoints(spark, sf_dir)
+    wrong = clean.withColumn("y", F.when((F.col("cam_id") == "cam01") & (F.col("frame") % 4 > 0), F.col("y") + 0.2).otherwise(F.col("y")))
+    before, after = ([r.asDict() for r in rank_pairs(views(k, cameras(spark), 0.5)).collect()] for k in (clean, wrong))
+    assert all(r["score"] == r["points"] for r in before)
+    assert [r["score"] for r in after] == sorted((r["score"] for r in after), reverse=True)
+    for r in after:
+        bad = "cam01" in (r["cam_a"], r["cam_b"])
+        assert r["score"] < 0.5 * r["points"] if bad else r["score"] == r["points"]
+    few = [r.frame for r in clean.select("frame").distinct().orderBy("frame").limit(7).collect()]
+    assert {r.score for r in rank_pairs(views(clean.filter(F.col("frame").isin(few)), cameras(spark), 0.5)).collect()} == {0}
