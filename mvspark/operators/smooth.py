@@ -59,14 +59,28 @@ def smooth(points: DataFrame, frames: DataFrame, keys: list[str], two_view_std:
 SAVGOL = (-2, 3, 6, 7, 6, 3, -2)
 
 
-def savgol(points: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Savitzky-Golay (7, 3) where the whole window is there; elsewhere the value as it is."""
-    w = Window.partitionBy(*keys).orderBy("frame")
-    taps = [F.lag(value, -k).over(w) * (c / 21) for k, c in zip(range(-3, 4), SAVGOL, strict=True)]
-    total = taps[0]
-    for tap in taps[1:]:
-        total = total + tap
-    return points.withColumn("smooth", F.coalesce(total, F.col(value)))
+def savgol_weights(window: int, order: int = 3) -> np.ndarray:
+    """Row p holds the weights of a window's values in the polynomial's value at place p."""
+    powers = np.vander(np.arange(window) - window // 2, order + 1).astype(float)
+    return powers @ np.linalg.pinv(powers)
+
+
+def savgol(points: DataFrame, keys: list[str], value: str, whole: bool = True) -> DataFrame:
+    """Savitzky-Golay (7, 3). The first and last three values are those of the polynomial of the first or last window; series of five or six have a
+    window of five, shorter ones stay as they are. Unless ``whole``, all that lacks a window of seven about it stays as it is."""
+    series = Window.partitionBy(*keys)
+    w = series.orderBy("frame")
+    rows = points.withColumns({"__n": F.count(F.lit(1)).over(series), "__r": F.row_number().over(w) - 1})
+    size = F.when(F.col("__n") >= 7, 7).otherwise(5)
+    place = F.col("__r") - F.greatest(F.lit(0), F.least(F.col("__r") - F.floor(size / 2), F.col("__n") - size))
+    at = (place + F.when(size == 7, 0).otherwise(7)).cast("int")
+    total = F.lit(0.0)
+    for d in range(-6, 7):
+        weights = [float(row[k + d]) if 0 <= k + d < len(row) else None for table in (savgol_weights(7), savgol_weights(5)) for k, row in enumerate(table)]
+        weight = F.get(F.array(*[F.lit(x).cast("double") for x in weights]), at)
+        total = total + F.when(weight.isNull(), 0.0).otherwise(F.lag(value, -d).over(w) * weight)
+    done = F.col("__n") >= 5 if whole else (F.col("__r") >= 3) & (F.col("__r") < F.col("__n") - 3)
+    return rows.withColumn("smooth", F.coalesce(F.when(done, total), F.col(value))).drop("__n", "__r")
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +96,9 @@ def _kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "kalman_rts": _kalman,
-    "savgol": lambda spark, sf: savgol(_series(spark, sf), ["session", "part"], "x").select("session", "part", "frame", F.round("smooth", 6).alias("smooth")),
+    # Its SQL leaves the ends of a series as they are; savgol_whole does them too.
+    "savgol": lambda spark, sf: savgol(_series(spark, sf), ["session", "part"], "x", whole=False).select("session", "part", "frame", F.round("smooth", 6).alias("smooth")),
+    "savgol_whole": lambda spark, sf: savgol(_series(spark, sf), ["session", "part"], "x").select("session", "part", "frame", F.round("smooth", 6).alias("smooth")),
 }
 _TAPS = " + ".join(f"{c} * lag(x, {-k}) over w" if k < 0 else f"{c} * lead(x, {k}) over w" if k else f"{c} * x" for k, c in zip(range(-3, 4), SAVGOL, strict=True))
 ORACLE_SQL = {

@@ -142,3 +142,16 @@ def test_pairs_are_ranked_by_what_reprojects(spark, sf_dir):
         assert r["score"] < 0.5 * r["points"] if bad else r["score"] == r["points"]
     few = [r.frame for r in clean.select("frame").distinct().orderBy("frame").limit(7).collect()]
     assert {r.score for r in rank_pairs(views(clean.filter(F.col("frame").isin(few)), cameras(spark), 0.5)).collect()} == {0}
+
+
+def test_savgol_at_the_ends(spark):
+    rng = np.random.default_rng(1)
+    series = {n: rng.normal(size=n) for n in (3, 4, 5, 6, 7, 8, 20)}
+    df = spark.createDataFrame([(n, t, float(x)) for n, xs in series.items() for t, x in enumerate(xs)], "k int, frame int, x double")
+    got = {(r.k, r.frame): r.smooth for r in smooth.savgol(df, ["k"], "x").collect()}
+    for n, xs in series.items():
+        window = min(7, n if n % 2 else n - 1)
+        for t in range(n):
+            lo = min(max(t - window // 2, 0), n - window)
+            want = np.polyval(np.polyfit(np.arange(lo, lo + window), xs[lo : lo + window], 3), t) if window > 3 else xs[t]
+            assert abs(got[n, t] - want) < 1e-9
