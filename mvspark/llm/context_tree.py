@@ -161,13 +161,13 @@ def hashes(words) -> list[int]:
 
 
 def with_base(docs: DataFrame, counted: DataFrame) -> DataFrame:
-    """Rows (doc_id, held_out, score, text) with n_tokens, n_known, train_tokens and base_score. Counts of the commonest words are broadcast; a
+    """Rows (doc_id, held_out, score, n_bytes, text) with bits_per_byte, n_tokens, n_known, train_tokens and base_score. Counts of the ends and of the commonest words are broadcast; a
     text's other words are joined with theirs by hash, once for each different one, and summed again by row."""
     total, kinds = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = {r["h"]: r["c"] for r in counted.filter(F.col("c") * HEAD > total).collect()}
+    head = {r["h"]: r["c"] for r in counted.filter((F.col("c") * HEAD > total) | (F.col("h") == END)).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(head)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "score", "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "score", "n_bytes", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
@@ -175,7 +175,7 @@ def with_base(docs: DataFrame, counted: DataFrame) -> DataFrame:
         names: dict[bytes, int] = {}
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            schema = pa.schema([pa.field("row", pa.int64()), batch.schema.field("doc_id"), pa.field("held_out", pa.bool_()), pa.field("score", pa.float64()), *[pa.field(k, pa.int64()) for k in ("h", "m", "known")], pa.field("logs", pa.float64())])
+            schema = pa.schema([pa.field("row", pa.int64()), batch.schema.field("doc_id"), pa.field("held_out", pa.bool_()), pa.field("score", pa.float64()), pa.field("n_bytes", pa.int64()), *[pa.field(k, pa.int64()) for k in ("h", "m", "known")], pa.field("logs", pa.float64())])
             for part, texts in pieces(batch):
                 ids = part.column("row").to_numpy()
                 h, m, sizes, known, logs, tokens = [], [], [], [], [], []
@@ -202,17 +202,17 @@ def with_base(docs: DataFrame, counted: DataFrame) -> DataFrame:
                     logs.append(s)
                     tokens.append(n)
                 # One row for the text itself (no hash; m: its tokens), then one for each rare word.
-                own = {"row": ids, "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": part.column("score"), "h": pa.nulls(len(ids), pa.int64()), "m": tokens, "known": known, "logs": logs}
+                own = {"row": ids, "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": part.column("score"), "n_bytes": part.column("n_bytes"), "h": pa.nulls(len(ids), pa.int64()), "m": tokens, "known": known, "logs": logs}
                 yield out_batch(schema, own)
                 if h:
                     none = len(h)
                     rare = {"row": np.repeat(ids, sizes), "h": h, "m": m} | {f.name: pa.nulls(none, f.type) for f in schema if f.name not in ("row", "h", "m")}
                     yield out_batch(schema, rare)
 
-    found = rows.mapInArrow(run, f"row bigint, doc_id {id_type}, held_out boolean, score double, h bigint, m bigint, known bigint, logs double")
+    found = rows.mapInArrow(run, f"row bigint, doc_id {id_type}, held_out boolean, score double, n_bytes bigint, h bigint, m bigint, known bigint, logs double")
     # Rows without a hash would all meet in one task: they get one that nothing has counted.
     found = found.withColumn("at", F.coalesce("h", F.xxhash64("row")))
-    rare = counted.filter(F.col("c") * HEAD <= total).select(F.col("h").alias("at"), "c")
+    rare = counted.filter((F.col("c") * HEAD <= total) & (F.col("h") != END)).select(F.col("h").alias("at"), "c")
     joined = found.join(rare, "at", "left").withColumn("c", F.when(F.col("h").isNotNull(), F.col("c")))
     one = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
@@ -221,13 +221,15 @@ def with_base(docs: DataFrame, counted: DataFrame) -> DataFrame:
         F.sum(F.coalesce("known", F.when(F.col("c").isNotNull(), F.col("m")), F.lit(0))).alias("n_known"),
         F.sum(F.coalesce("logs", F.col("m") * F.log10(F.col("c") + 1), F.lit(0.0))).alias("logs"),
         F.max("score").alias("score"),
+        F.max("n_bytes").alias("n_bytes"),
     )
     base = F.col("logs") - F.col("n_tokens") * np.log10(total + kinds + 1)
-    return one.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    bits = F.when(F.col("n_bytes") > 0, -F.col("score") * np.log2(10) / F.col("n_bytes"))
+    return one.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", bits.alias("bits_per_byte"))
 
 
 def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; ``learn`` is the condition for training."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of each row; ``learn`` is the condition for training."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), learn.alias("learn"))
     grams = byte_grams.counts(rows, "text", "learn", depth + 1, prepare)
     values = checkpointed(byte_log10(grams, depth))

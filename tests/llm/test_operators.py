@@ -221,6 +221,61 @@ def test_context_tree(spark, sf_dir, docs, odd):
     assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
 
 
+def direct_context_tree(texts, depth):
+    """log10 of a text's bytes, straight from the definition: a tree of byte contexts for each place in a byte's bits."""
+    raw = Counter()
+    for t in texts:
+        b = b"\n" * depth + t
+        for i in range(depth, len(b)):
+            for k in range(8):
+                for d in range(depth + 1):
+                    raw[b[i - d : i], k, b[i] >> (8 - k), b[i] >> (7 - k) & 1] += 1
+    counts = lambda *node: (raw[(*node, 0)], raw[(*node, 1)])
+    contexts = {x[0] for x in raw}
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
+    memo = {}
+
+    def parts(c, k, v):  # log of half the own estimate, log of half the children's
+        if (c, k, v) not in memo:
+            below = sum(weight(bytes([x]) + c, k, v) for x in range(256) if bytes([x]) + c in contexts)
+            memo[c, k, v] = kt(*counts(c, k, v)) - math.log(2), below - math.log(2)
+        return memo[c, k, v]
+
+    def weight(c, k, v):
+        return kt(*counts(c, k, v)) if len(c) == depth else float(np.logaddexp(*parts(c, k, v)))
+
+    def one(c, k, v, full):
+        a, b = counts(c, k, v)
+        own = (b + 0.5) / (a + b + 1)
+        if len(c) == depth:
+            return own
+        beta = math.exp(parts(c, k, v)[0] - weight(c, k, v))
+        return beta * own + (1 - beta) * one(full[depth - len(c) - 1 :], k, v, full)
+
+    def log10(t):
+        b = b"\n" * depth + t
+        p = [(one(b"", k, b[i] >> (8 - k), b[i - depth : i]), b[i] >> (7 - k) & 1) for i in range(depth, len(b)) for k in range(8)]
+        return sum(math.log10(x if bit else 1 - x) for x, bit in p)
+
+    return log10
+
+
+def test_context_tree_scores(spark):
+    texts = ["abra cadabra", "abra abra", "a cad", "never seen xyz"]
+    rows = context_tree.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") < 3, depth=2).collect()
+    direct = direct_context_tree([t.encode() + b"\n" for t in texts[:3]], 2)
+    for r in rows:
+        assert abs(r.score - direct(texts[r.doc_id].encode() + b"\n")) < 1e-6
+        assert r.n_bytes == len(texts[r.doc_id]) + 1 and abs(r.bits_per_byte + r.score * math.log2(10) / r.n_bytes) < 1e-9
+
+
+def test_context_tree_counts_rare_ends(spark):
+    rows = context_tree.score(spark.createDataFrame([(1, "word " * 250_000)], "doc_id long, text string"), F.lit(True), depth=1).collect()
+    n = 250_001
+    want = 250_000 * math.log10(250_001 / (n + 3)) + math.log10(2 / (n + 3))
+    assert rows[0].n_known == n and abs(rows[0].base_score - want) < 1e-6
+
+
 def test_context_tree_is_a_distribution():
     code, n = np.unique(byte_grams.codes([b"abracadabra\n", b"abra cadabra\n"], 4)[0], return_counts=True)
     ctx = code[5] >> 8
