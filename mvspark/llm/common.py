@@ -16,11 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of spark.checkpoint.dir (one of our own only where none is set)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a session on one machine gets a folder of its own; on a cluster that is an error, as the
+    executors would write to their own disks."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder of spark.checkpoint.dir."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -56,15 +76,28 @@ def with_text_columns(docs: DataFrame, text_col: str, added: dict[str, tuple[str
     """``docs`` with columns that ``make()`` gives for each list of whole texts: make() is called once a task and returns a function from
     texts to a dict of lists. Rows stay where they are, with all their columns; a column of an added name is replaced."""
     kept = docs.drop(*added)
-    text = F.col(text_col).cast("string").alias("__text")
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"`{k}` {t[0]}" for k, t in added.items())])
+    whole = fresh(kept, "text_")
+    ddl = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema), *(f"`{k}` {t[0]}" for k, t in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part, texts in pieces(batch, "__text", chars):
-                old = [x for x in part.schema if x.name != "__text"]
+            for part, texts in pieces(batch, whole, chars):
+                old = [x for x in part.schema if x.name != whole]
                 schema = pa.schema([*old, *[pa.field(k, t[1]) for k, t in added.items()]])
                 yield out_batch(schema, {x.name: part.column(x.name) for x in old} | f(texts))
 
-    return kept.select("*", text).mapInArrow(run, ddl)
+    return kept.select("*", F.col(text_col).cast("string").alias(whole)).mapInArrow(run, ddl)
+
+
+def judged(docs: DataFrame, names: tuple[str, ...], found, keep: Column) -> DataFrame:
+    """The rows of ``docs``, with its own columns and no others, for which ``keep`` holds of the columns (names) that ``found`` adds. Columns of docs
+    that have such a name stand aside meanwhile."""
+    aside = {}
+    taken = docs
+    for name in names:
+        if name in docs.columns:
+            aside[name] = fresh(taken, name)
+            taken = taken.withColumnRenamed(name, aside[name])
+    out = found(taken).filter(keep)
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])

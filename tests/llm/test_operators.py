@@ -185,9 +185,9 @@ def test_kneser_ney(spark, docs, odd, sf_dir):
     p = brute_kneser_ney(prepared[:9], 3)
     for code in list(values)[::17]:
         assert abs(math.exp(values[code]) - p(code.to_bytes(3, "big"))) < 1e-9
-    table = spark.createDataFrame(list(values.items()), "code long, value double")
-    for most in (10**6, 0):  # broadcast, and joined
-        rows = byte_grams.with_sums(learn, table, "text", 3, kneser_ney.prepare, "s", most).collect()
+    table = spark.createDataFrame([(c, c % 5, v) for c, v in values.items()], "code long, n long, value double")
+    for most in (10**6, 0, 300):  # broadcast, joined, and the common ones broadcast
+        rows = byte_grams.with_sums(learn, table, "text", 3, kneser_ney.prepare, "s", max_broadcast=most).collect()
         want = {t.decode(): sum(values[c] for c in byte_grams.codes([t], 3)[0].tolist()) for t in prepared}
         assert all(abs(r.s - want[r.text]) < 1e-6 for r in rows)
     out = kneser_ney.classify(odd, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -262,9 +262,15 @@ def direct_context_tree(texts, depth):
 
 def test_context_tree_scores(spark):
     texts = ["abra cadabra", "abra abra", "a cad", "never seen xyz"]
-    rows = context_tree.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") < 3, depth=2).collect()
-    direct = direct_context_tree([t.encode() + b"\n" for t in texts[:3]], 2)
-    for r in rows:
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # All broadcast; rare words and n-grams joined; and trees that are cut above their depth.
+    cases = [(2, {}), (2, {"max_broadcast": 8, "head": 3}), (4, {}), (1, {"head": 1})]
+    for depth, r in [(d, r) for d, how in cases for r in context_tree.score(df, F.col("doc_id") < 3, depth=d, **how).collect()]:
+        direct = direct_context_tree([t.encode() + b"\n" for t in texts[:3]], depth)
+        seen = Counter(w for t in texts[:3] for w in [*t.split(), None])
+        mine = [*texts[r.doc_id].split(), None]
+        assert r.n_known == sum(seen[w] > 0 for w in mine)
+        assert abs(r.base_score - sum(math.log10((seen[w] + 1) / (seen.total() + len(seen) + 1)) for w in mine)) < 1e-9
         assert abs(r.score - direct(texts[r.doc_id].encode() + b"\n")) < 1e-6
         assert r.n_bytes == len(texts[r.doc_id]) + 1 and abs(r.bits_per_byte + r.score * math.log2(10) / r.n_bytes) < 1e-9
 
@@ -282,11 +288,10 @@ def test_context_tree_is_a_distribution():
     asked = np.unique(np.concatenate([code, ctx << 8 | np.arange(256)]))
     counts = np.zeros(len(asked), np.int64)
     counts[np.searchsorted(asked, code)] = n
-    t = context_tree.Trees(asked, counts, 3)
-    key = (t.top >> 8 & 255) << 8 | t.top & 255
-    u, at = np.unique(key, return_inverse=True)
-    root = context_tree.Root(u >> 8, u & 255, *[np.bincount(at, x, len(u)) for x in (t.n0, t.n1, t.log_w)])
-    assert abs((10.0 ** root.log10(t)[asked >> 8 == ctx]).sum() - 1) < 1e-9
+    for to in (1, 2, 3):  # wherever the trees are cut, the root joins them to the same
+        t = context_tree.Trees(asked, counts, 3, to)
+        root = context_tree.Root(to, t.top, t.n0, t.n1, t.log_w)
+        assert abs((10.0 ** root.log10(t)[asked >> 8 == ctx]).sum() - 1) < 1e-9
 
 
 def test_decontamination(spark, odd):
