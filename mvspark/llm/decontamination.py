@@ -2,26 +2,37 @@
 
 A window is WINDOW consecutive words of a benchmark item (the whole item if it has fewer); a document holds it if all its words
 stand there in order. For such containment the prefix of a window's words in order of rarity (by the number of documents that have them)
-is its rarest word: only documents with that word are candidates. Where the word stands in document and window gives the
-one place that can match; length and position bound it, and the words there are compared.
+is its rarest word: only places with that word are candidates. They are joined with the prefix words' places in windows; these give the
+one place that can match, which length and position bound, and the words there are joined with the windows word for word.
 
-The windows are taken in blocks of BLOCK at most, dealt by their hash; a block is what is broadcast, and each document gathers its
-spans block by block. A null or blank text has no words and no hits; a null or wordless item has no windows. A null item id counts as
-the empty text. Repeated rows are judged each, repeated items are one for each id. With an empty benchmark nothing is hit; an empty
-table gives no rows.
+Nothing of the benchmark's or the corpus's size is broadcast: tasks know the words asked for from a bit map of FILTER_BITS bits, whose false positives
+only cost rows. Documents are known by two 64-bit hashes of their text, so copies are one document in all joins.
+
+A null or blank text has no words and no hits; a null or wordless item has no windows. A null item id counts as
+the empty text. Words of equal rarity are ordered by their hashes. Repeated rows are judged each, repeated items are one for each id. With an empty benchmark
+nothing is hit; an empty table gives no rows.
 """
 
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, out_batch, pieces, table, with_text_columns
+from .common import checkpointed, fresh, out_batch, pieces, table
 
 WINDOW = 10
-BLOCK = 200_000
+#: Bits of the map of words (8 MB).
+FILTER_BITS = 26
+#: Words, and texts, that a task remembers.
+CACHE_WORDS, CACHE_TEXTS = 300_000, 100_000
+#: The columns that contamination() adds.
+ADDED = ("n_words", "spans", "items")
+#: What a word is made of, after A-Z are in lower case.
+WORD_CHARS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: A-Z to lower case; other ASCII than letters and digits to a space. UTF-8's other bytes stand.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -30,117 +41,161 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
+def hash_of(word: bytes) -> int:
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(words, n, items array<string>): every different window, and the items that have it."""
+    """(words, n, h, items array<string>): every different window, the hashes of its words, and the items that have it."""
     df = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    schema = pa.schema([("item_id", pa.string()), ("words", pa.binary()), ("n", pa.int32())])
+    schema = pa.schema([("item_id", pa.string()), ("words", pa.string()), ("n", pa.int32()), ("h", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch):
-                ids, found, sizes = [], [], []
                 for item, text in zip(part.column("item_id").to_pylist(), texts, strict=True):
                     words = words_of(text)
                     n = min(WINDOW, len(words))
-                    own = {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else ()
-                    ids += [item] * len(own)
-                    found += own
-                    sizes += [n] * len(own)
-                yield out_batch(schema, {"item_id": ids, "words": found, "n": sizes})
+                    own = {b" ".join(words[i : i + n]): words[i : i + n] for i in range(len(words) - n + 1)} if n else {}
+                    yield out_batch(schema, {"item_id": [item] * len(own), "words": [w.decode() for w in own], "n": [n] * len(own), "h": [[*map(hash_of, x)] for x in own.values()]})
+
+    found = df.mapInArrow(run, "item_id string, words string, n int, h array<bigint>")
+    return found.groupBy("words", "n").agg(F.first("h").alias("h"), F.sort_array(F.collect_set("item_id")).alias("items"))
+
+
+class Known(dict):
+    """The hash of each word whose bit is set, 0 for others; worked out once for each word while it is remembered."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        h = hash_of(word)
+        at = h & ((1 << FILTER_BITS) - 1)
+        self[word] = found = h if int(self.bits[at >> 6]) >> (at & 63) & 1 else 0
+        return found
+
 
-    return df.mapInArrow(run, "item_id string, words binary, n int").groupBy("words", "n").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+def word_filter(hashes: DataFrame) -> np.ndarray:
+    """The bit map of hashes (h): FILTER_BITS bits, whatever their number."""
+    at = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    one = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    rows = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return bits.view(np.uint64)
 
 
-def document_frequency(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """In how many texts each word of the vocabulary occurs; the vocabulary bounds the result."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+def document_frequency(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(h, n): in how many texts each word of words (h) occurs; words with the bit of one may be among them."""
+    shared = texts.sparkSession.sparkContext.broadcast(word_filter(words))
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, held = shared.value, Counter()
+        known, held = Known(shared.value), Counter()
         for batch in batches:
-            for _, texts in pieces(batch):
-                for text in texts:
-                    held.update(wanted.intersection(words_of(text)))
-        yield out_batch(schema, {"word": [*held], "n": [*held.values()]})
-
-    rows = docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in rows.collect()}
-
-
-class Prefixes:
-    """A block's windows by their rarest word, its place in them, and their length."""
-
-    def __init__(self, rows: list[tuple[bytes, list[str]]], frequency: dict[bytes, int]):
-        self.by_word: dict[bytes, dict[tuple[int, int], dict[bytes, list[str]]]] = defaultdict(lambda: defaultdict(dict))
-        for window, items in rows:
-            words = window.split(b" ")
-            rarest = min(words, key=lambda w: (frequency.get(w, 0), w))
-            self.by_word[rarest][words.index(rarest), len(words)][window] = items
-        self.by_word = {w: dict(x) for w, x in self.by_word.items()}
-
-    def find(self, text: str | None) -> tuple[int, list[list[int]], set[str]]:
-        """Words of the text, spans [from, to) inside windows that occur, and their items."""
-        words, spans, items = words_of(text), [], set()
-        by_word, n = self.by_word, len(words)
-        for p in [p for p, w in enumerate(words) if w in by_word]:
-            for (offset, size), found in by_word[words[p]].items():
-                start = p - offset
-                if start >= 0 and start + size <= n and (names := found.get(b" ".join(words[start : start + size]))) is not None:
-                    spans.append([start, start + size])
-                    items.update(names)
-        return n, merged(spans), items
-
-
-def merged(spans: list[list[int]]) -> list[list[int]]:
-    """The same places as disjoint spans in order."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """``docs`` with n_words, spans (array of [from, to) in words) and items (ids, sorted) of the windows that occur in each text."""
+            for _, some in pieces(batch):
+                for text in some:
+                    held.update([h for w in set(words_of(text)) if (h := known[w])])
+                if len(held) > CACHE_WORDS:
+                    yield out_batch(schema, {"h": [*held], "n": [*held.values()]})
+                    held.clear()
+        yield out_batch(schema, {"h": [*held], "n": [*held.values()]})
+
+    return texts.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def prefixes(asked: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(h, at, n, words, items): each window's rarest word and its first place there. A window with a word that no text has is left out."""
+    places = asked.select("words", F.posexplode("h").alias("at", "h")).join(frequency.withColumnRenamed("n", "df"), "h", "left")
+    rarest = places.groupBy("words").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "at")).alias("r")).filter("r.df > 0")
+    return asked.drop("h").join(rarest, "words").select("r.h", "r.at", "n", "words", "items")
+
+
+def occurrences(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(k1, k2, p, total, h, lo, near): every place p where a text (k1, k2, text) of so many words has a prefix word, with the words from lo on that a
+    window there can hold. A text that a task has just seen isn't looked at again."""
+    shared = texts.sparkSession.sparkContext.broadcast(word_filter(found.select("h")))
+    schema = pa.schema([*[pa.field(c, pa.int64()) for c in ("k1", "k2")], *[pa.field(c, pa.int32()) for c in ("p", "total")], pa.field("h", pa.int64()), pa.field("lo", pa.int32()), pa.field("near", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = Known(shared.value), set()
+        for batch in batches:
+            for part, some in pieces(batch):
+                if len(seen) > CACHE_TEXTS:
+                    seen.clear()
+                for k1, k2, text in zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), some, strict=True):
+                    if (k1, k2) in seen:
+                        continue
+                    seen.add((k1, k2))
+                    words = words_of(text)
+                    hits = [(p, h) for p, w in enumerate(words) if (h := known[w])]
+                    for i in range(0, len(hits), 10_000):
+                        out: dict[str, list] = {f.name: [] for f in schema}
+                        for p, h in hits[i : i + 10_000]:
+                            lo = max(0, p - WINDOW + 1)
+                            for name, value in zip(out, (k1, k2, p, len(words), h, lo, b" ".join(words[lo : p + WINDOW]).decode()), strict=True):
+                                out[name].append(value)
+                        yield out_batch(schema, out)
+
+    return texts.mapInArrow(run, "k1 bigint, k2 bigint, p int, total int, h bigint, lo int, near string")
+
+
+def hits(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(k1, k2, at, n, items): the windows that occur in texts, where."""
+    shapes = found.groupBy("h").agg(F.collect_set(F.struct(F.col("at").alias("offset"), "n")).alias("shapes"))  # at most WINDOW^2 to a word
+    places = occurrences(texts, found).join(shapes, "h").select("k1", "k2", "p", "total", "lo", "near", F.explode("shapes").alias("s"))
+    at = F.col("p") - F.col("s.offset")
+    places = places.withColumn("at", at).filter((F.col("at") >= 0) & (F.col("at") + F.col("s.n") <= F.col("total")))
+    words = F.array_join(F.slice(F.split("near", " "), F.col("at") - F.col("lo") + 1, F.col("s.n")), " ")
+    places = places.select("k1", "k2", "at", words.alias("words")).distinct()
+    return places.join(found.select("words", "n", "items"), "words").select("k1", "k2", "at", "n", "items")
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans [from, to) as disjoint ones."""
+    none = F.array().cast("array<array<int>>")
+    start = F.struct(none.alias("done"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    closed = lambda acc: F.when(acc["b"] > acc["a"], F.concat(acc["done"], F.array(F.array(acc["a"], acc["b"])))).otherwise(acc["done"])
+
+    def step(acc: Column, s: Column) -> Column:
+        more = s["at"] <= acc["b"]
+        return F.struct(
+            F.when(more, acc["done"]).otherwise(closed(acc)).alias("done"),
+            F.when(more & (acc["b"] > acc["a"]), acc["a"]).otherwise(s["at"]).alias("a"),
+            F.when(more, F.greatest(acc["b"], s["to"])).otherwise(s["to"]).alias("b"),
+        )
+
+    return F.aggregate(spans, start, step, closed)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` with n_words, spans (disjoint, array of [from, to) in words) and items (ids, sorted) of the windows that occur in each text; columns of
+    these names are replaced."""
+    text = F.col(text_col).cast("string")
+    keys = {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
     asked = checkpointed(windows(benchmark, item_col, item_text_col))
-    blocks = max(1, -(-asked.count() // block))
-    # Twice as many as needed where there are several: hashing fills none much over its share.
-    blocks = 1 if blocks == 1 else 2 * blocks
-    added = {"n_words": ("bigint", pa.int64()), "spans": ("array<array<int>>", pa.list_(pa.list_(pa.int32()))), "items": ("array<string>", pa.list_(pa.string()))}
-    sc = docs.sparkSession.sparkContext
-    out = docs
-    for k in range(blocks):
-        rows = [(bytes(r["words"]), list(r["items"])) for r in asked.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect()]
-        frequency = document_frequency(docs.select(F.col(text_col).cast("string").alias("text")), {w for x, _ in rows for w in x.split(b" ")}) if rows else {}
-        shared = sc.broadcast(Prefixes(rows, frequency))
-
-        def make(shared=shared) -> Callable:
-            find = shared.value.find
-
-            def f(texts: list[str | None]) -> dict:
-                n, spans, items = zip(*map(find, texts), strict=True)
-                return {"n_words": n, "spans": spans, "items": [sorted(x) for x in items]}
-
-            return f
-
-        if k == 0:
-            out = with_text_columns(docs, text_col, added, make)
-            continue
-        # Spans and items of the blocks so far are joined with this one's in the row; the written table keeps one block in memory.
-        old = checkpointed(out.withColumnsRenamed({"spans": "__spans", "items": "__items"}))
-        new = with_text_columns(old, text_col, added, make)
-        out = new.withColumns({"spans": F.concat("__spans", "spans"), "items": F.array_sort(F.array_union("__items", "items"))}).drop("__spans", "__items")
-    return out
-
-
-def n_hit():
-    """Words inside the spans, which may overlap where there were several blocks."""
-    ordered = F.array_sort("spans")
-    step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s[1] - F.greatest(s[0], acc["to"]))).alias("n"), F.greatest(acc["to"], s[1]).alias("to"))
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step, lambda acc: acc["n"].cast("long"))
+    texts = docs.filter(text.isNotNull()).select(*[k.alias(c) for c, k in keys.items()], text.alias("text"))
+    words = asked.select(F.explode("h").alias("h")).distinct()
+    found = checkpointed(prefixes(asked, document_frequency(texts, words)))
+    spans = F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("to"))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    marked = hits(texts, found).groupBy("k1", "k2").agg(merged(spans).alias("spans"), items.alias("items"))
+    kept = docs.drop(*ADDED)
+    own = {c: fresh(kept, f"{c}_") for c in keys}
+    marked = checkpointed(marked).withColumnsRenamed(own)
+    n_words = F.coalesce(F.regexp_count(text, F.lit(WORD_CHARS)), F.lit(0)).cast("long")
+    rows = kept.withColumns({own[c]: k for c, k in keys.items()} | {"n_words": n_words}).join(marked, [*own.values()], "left")
+    empty = {"spans": F.array().cast("array<array<int>>"), "items": F.array().cast("array<string>")}
+    return rows.select(*[F.col(f"`{c}`") for c in kept.columns], "n_words", *[F.coalesce(c, e).alias(c) for c, e in empty.items()])
+
+
+def n_hit() -> Column:
+    """Words inside the spans."""
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
