@@ -1,12 +1,14 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse word features.
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector for all ordered thresholds theta. x marks the hashed words, and beginnings of words, that
-occur in a text. The model is fitted to at most MAX_LABELLED labelled texts (those of least hash), a bound on what reaches the driver together with
-MAX_FEATURES a text; an L1 penalty leaves few weights. The expected grade, the sum of P(grade > k), is the severity.
+occur in a text. The model is fitted to at most MAX_LABELLED labelled texts (those of least hash), the bound on what reaches the driver. Which features are
+weighed at all is settled before by their counts over the labelled texts, a distributed aggregate of their whole texts; of each text only those features are fetched. An L1
+penalty leaves few weights. The expected grade, the sum of P(grade > k), is the severity.
 
 A null, empty or blank text has no features: its severity is that of the thresholds alone, and it is not flagged. Labels with a null grade or id are not learnt
-from; an id labelled twice has its highest grade. With labels of one grade only there is nothing to rank and no text is flagged. Repeated rows
-are scored each. An empty table gives no rows.
+from; an id labelled twice has its highest grade, and an id that stands on several texts is learnt from once, with the text of least hash. Features of equal
+rates are weighed alike whatever their order; texts of the severity from which texts are flagged are flagged. With labels of one grade only there is nothing
+to rank and no text is flagged. Repeated rows are scored each. An empty table gives no rows.
 """
 
 from collections.abc import Callable, Iterator
@@ -20,13 +22,13 @@ from pyspark.sql import functions as F
 from .common import checkpointed, id_crc, lower_words, out_batch, pieces, table, with_text_columns
 
 MAX_LABELLED = 5_000
-#: Different features of one labelled text that are learnt from at most (those of least hash); scoring uses all of all texts.
-MAX_FEATURES = 8_000
 BITS = 20
 MIN_TEXTS = 3
 #: Lengths of beginnings.
 STEMS = (4, 5, 6, 7)
 L1, STEPS, RATE = 5e-4, 200, 0.05
+#: How much commoner in texts of higher grades a feature must be to be weighed.
+TWICE = 2
 STRIP = b".,;:!?\"'()[]*#$%&|<>"
 CACHE_WORDS = 300_000
 
@@ -63,11 +65,9 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, l1: float = L1, steps: int
     if not len(grades) or levels == 0 or grades.min() == levels:
         return Ordinal({}, np.full(max(levels, 1), 50.0), np.inf)
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    bucket, col, seen = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
-    # Only what is twice as common in texts of higher grades is weighed.
-    bad_rate = np.bincount(col, grades[row] > 0, len(bucket)) / (grades > 0).sum()
-    clean_rate = np.bincount(col, grades[row] == 0, len(bucket)) / (grades == 0).sum()
-    screened = (seen >= MIN_TEXTS) & (bad_rate >= 2 * clean_rate)
+    bucket, col = np.unique(np.concatenate(texts), return_inverse=True)
+    bad, clean = (np.bincount(col, mine[row], len(bucket)) for mine in (grades > 0, grades == 0))
+    screened = (bad + clean >= MIN_TEXTS) & (bad * (grades == 0).sum() >= TWICE * clean * (grades > 0).sum())
     keep = screened[col]
     bucket, row, col = bucket[screened], row[keep], (np.cumsum(screened) - 1)[col[keep]]
     above = np.array([np.clip((grades > k).mean(), 1e-4, 1 - 1e-4) for k in range(levels)])
@@ -119,29 +119,48 @@ def fit_and_cut(texts: list[np.ndarray], grades: np.ndarray) -> Ordinal:
     return model
 
 
-def labelled(docs: DataFrame, graded: DataFrame, id_col: str, text_col: str, limit: int) -> list:
-    """(grade, features) of at most limit labelled texts."""
-    ids = graded.filter("grade is not null and __id is not null").groupBy("__id").agg(F.max("grade").cast("int").alias("grade"))
-    ids = checkpointed(ids.orderBy(F.xxhash64("__id"), "__id").limit(limit))
-    df = docs.join(F.broadcast(ids), docs[id_col] == ids["__id"]).select("grade", F.col(text_col).cast("string").alias("text"))  # at most limit ids
+def labelled(docs: DataFrame, graded: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """(grade, f) of at most limit labelled texts: the buckets of each that tell higher grades from clean texts, or none."""
+    ids = graded.filter("grade is not null and id is not null").groupBy("id").agg(F.max("grade").cast("int").alias("grade"))
+    ids = checkpointed(ids.orderBy(F.xxhash64("id"), "id").limit(limit))
+    text = F.col(text_col).cast("string")
+    some = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(ids), "id")  # at most limit ids
+    once = some.groupBy("id").agg(F.max("grade").alias("grade"), F.min(F.struct(F.xxhash64("text"), "text")).alias("best")).select("grade", F.col("best.text").alias("text"))
     schema = pa.schema([("grade", pa.int32()), ("f", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch):
-                # Buckets are hashes, so the least are a fair choice.
-                yield out_batch(schema, {"grade": part.column("grade"), "f": [features(t)[:MAX_FEATURES] for t in texts]})
+                yield out_batch(schema, {"grade": part.column("grade"), "f": [features(t) for t in texts]})
 
-    return df.mapInArrow(run, "grade int, f array<int>").limit(2 * limit).toArrow()
+    rows = checkpointed(once.mapInArrow(run, "grade int, f array<int>"))
+    bad, clean = rows.agg(F.count(F.when(F.col("grade") > 0, 1)), F.count(F.when(F.col("grade") == 0, 1))).first()
+    seen = rows.select("grade", F.explode("f").alias("bucket")).groupBy("bucket").agg(F.count(F.when(F.col("grade") > 0, 1)).alias("bad"), F.count(F.when(F.col("grade") == 0, 1)).alias("clean"))
+    told = seen.filter((F.col("bad") + F.col("clean") >= MIN_TEXTS) & (F.col("bad") * clean >= F.lit(TWICE) * F.col("clean") * bad)).select("bucket")
+    keep = docs.sparkSession.sparkContext.broadcast(np.sort(told.toArrow().column("bucket").to_numpy()))  # at most 2 ** BITS
+
+    def told_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.intersect1d(np.asarray(f, np.int32), keep.value, assume_unique=True) for f in batch.column("f").to_pylist()]
+            yield out_batch(schema, {"grade": batch.column("grade"), "f": lists})
+
+    return rows.mapInArrow(told_only, "grade int, f array<int>")
 
 
 def severity(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> tuple[DataFrame, Ordinal]:
     """``docs`` with severity (expected grade) and toxic, and the model. graded: (doc id, grade 0 to K)."""
-    rows = labelled(docs, graded.select(F.col(graded.columns[0]).alias("__id"), F.col(graded.columns[1]).alias("grade")), id_col, text_col, limit)
-    model = fit_and_cut([np.asarray(f, np.int64) for f in rows.column("f").to_pylist()], rows.column("grade").to_numpy())
+    names = graded.columns
+    rows = labelled(docs, graded.select(F.col(names[0]).alias("id"), F.col(names[1]).alias("grade")), id_col, text_col, limit).toArrow()
+    # The order of rows must not matter to what is fitted.
+    texts = sorted(((g, tuple(f)) for g, f in zip(rows.column("grade").to_pylist(), rows.column("f").to_pylist(), strict=True)), key=lambda x: (hash_of(x[1]), x))
+    model = fit_and_cut([np.asarray(f, np.int64) for _, f in texts], np.array([g for g, _ in texts], np.int64))
     return score(docs, model, text_col), model
 
 
+def hash_of(f: tuple[int, ...]) -> int:
+    return xxhash.xxh64_intdigest(np.asarray(f, np.int32).tobytes(), 7)
+
+
 def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -168,32 +187,16 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     return with_text_columns(docs, text_col, {"severity": ("double", pa.float64()), "toxic": ("boolean", pa.bool_())}, make)
 
 
-def grades(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, grade) from binary labels: 0 not toxic, 1 toxic, 2 toxic with as many marked words as half the toxic texts or more. Marked words
-    are those that a two-grade model of the same labels weighs upwards."""
-    two = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("grade"))
-    rows = labelled(docs, two, "doc_id", "text", limit)
-    texts, toxic = [np.asarray(f, np.int64) for f in rows.column("f").to_pylist()], rows.column("grade").to_numpy()
-    weights = fit(texts, toxic).weights
-    high = max(weights.values(), default=0.0) / 2
-    marks = {b for b, w in weights.items() if w > high > 0}
-    n = np.array([len(marks.intersection(t.tolist())) for t, y in zip(texts, toxic, strict=True) if y])
-    shared = docs.sparkSession.sparkContext.broadcast((marks, float(np.median(n)) if len(n) else 0.0))
-    ids = checkpointed(labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    df = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-
-    def make() -> Callable:
-        marks, middle = shared.value
-        return lambda texts: {"severe": [len(marks.intersection(features(t).tolist())) >= max(middle, 2) for t in texts]}
-
-    marked = with_text_columns(df, "text", {"severe": ("boolean", pa.bool_())}, make)
-    return marked.select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("severe"), 2).otherwise(1).alias("grade"))
+def grades(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) from binary labels, by how much harm is done if nothing else catches the text: 0 not toxic, 1 toxic in a text that is bad in any
+    case, 2 toxic in one that is otherwise good."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 1).otherwise(2)).alias("grade"))
 
 
 def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(id_crc() % 5 != 0)
-    scored, _ = severity(docs, grades(docs, labels))
+    scored, _ = severity(docs, grades(labels))
     return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "severity", "toxic")
 
 
