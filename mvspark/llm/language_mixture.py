@@ -2,7 +2,7 @@
 n-gram likelihoods of its words, and penalised likelihood chooses the set of languages.
 
 N-grams are the trigrams around each letter (what is not a letter counts as a space), hashed to BUCKETS buckets, so that the model has
-BUCKETS x languages numbers whatever the corpus. Its counts cover every training text. A word's likelihood in a language is the product
+BUCKETS x languages numbers whatever the corpus; buckets are halved until these are MAX_CELLS at most. Its counts cover every training text. A word's likelihood in a language is the product
 over its trigrams; a document's words are drawn from its mixture. From all languages on, the one of least proportion is
 dropped as long as the log-likelihood minus PENALTY x languages x ln(words) / 2 does not fall.
 
@@ -18,19 +18,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, out_batch, pieces, table, with_text_columns
+from .common import checkpointed, id_crc, out_batch, pieces, table, with_text_columns
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 #: Added to every count.
 ALPHA = 0.1
-#: Languages at most: a bound on what is broadcast, which holds at 4 x BUCKETS bytes each. More are an error.
-MAX_LANGUAGES = 256
+#: Numbers in the model at most (4 bytes each): beyond 256 languages they share fewer buckets.
+MAX_CELLS = 1 << 26
 STEPS = 12
 #: Bytes of text whose arrays are held at once.
 CHARS = 500_000
 PENALTY = 2.0
 UNKNOWN = "und"
+#: The columns that predict() adds.
+ADDED = ("lang_pred", "score", "languages", "proportions")
 
 _LETTERS: list[np.ndarray] = []
 
@@ -85,13 +87,15 @@ def counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 class Model:
-    """ln of each bucket's probability in each language: BUCKETS x languages."""
+    """ln of each bucket's probability in each language; a bucket stands for 2 ** shift hashes."""
 
-    def __init__(self, languages: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
-        self.languages = languages
-        table = np.full((BUCKETS, len(languages)), ALPHA)
-        table[bucket, lang] += n
-        self.log_p = np.log(table / table.sum(axis=0)).astype(np.float32)
+    def __init__(self, languages: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray, shift: int = 0):
+        self.languages, self.shift = languages, shift
+        self.log_p = np.full((BUCKETS >> shift, len(languages)), ALPHA, np.float32)
+        self.log_p[bucket, lang] += n
+        total = self.log_p.sum(axis=0, dtype=np.float64)
+        np.log(self.log_p, out=self.log_p)
+        self.log_p -= np.log(total).astype(np.float32)
 
     def mixtures(self, texts: list[str | None]) -> np.ndarray:
         """Proportions (text, language) of the chosen sets; all zero where a text has no letter."""
@@ -100,7 +104,7 @@ class Model:
         if not len(bucket) or not self.languages:
             return out
         first = np.flatnonzero(starts)
-        words = np.add.reduceat(self.log_p[bucket], first, axis=0).astype(np.float64)
+        words = np.add.reduceat(self.log_p[bucket >> self.shift], first, axis=0).astype(np.float64)
         peak = words.max(axis=1, keepdims=True)
         like, of = np.exp(words - peak), of[first]
         begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
@@ -143,14 +147,15 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    counted = counts(docs, text_col, lang_col)
-    rows = counted.orderBy("lang", "bucket").toArrow()  # at most BUCKETS rows a language
-    languages = sorted(set(rows.column("lang").to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; MAX_LANGUAGES is {MAX_LANGUAGES}")
-    at = {x: k for k, x in enumerate(languages)}
-    return Model(languages, np.array([at[x] for x in rows.column("lang").to_pylist()], np.int64), rows.column("bucket").to_numpy(), rows.column("n").to_numpy())
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_cells: int = MAX_CELLS) -> Model:
+    counted = checkpointed(counts(docs, text_col, lang_col))
+    names = counted.select("lang").distinct().orderBy("lang").toArrow().column("lang").to_pylist()
+    shift = 0
+    while len(names) * (BUCKETS >> shift) > max_cells and shift < BUCKET_BITS:
+        shift += 1
+    rows = counted.groupBy("lang", F.shiftright("bucket", shift).alias("bucket")).agg(F.sum("n").alias("n")).orderBy("lang", "bucket").toArrow()  # at most max_cells
+    lang = rows.column("lang").combine_chunks().dictionary_encode()  # in the order of the rows, which is that of names
+    return Model(names, lang.indices.to_numpy(), rows.column("bucket").to_numpy(), rows.column("n").to_numpy(), shift)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -173,7 +178,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         return f
 
-    return with_text_columns(docs, text_col, added, make, CHARS)
+    # The words of a piece are held for every language.
+    return with_text_columns(docs, text_col, added, make, max(1, CHARS * 32 // max(32, len(model.languages))))
 
 
 def held_out() -> Column:
