@@ -16,7 +16,7 @@ a candidate is a link only if the two shingle sets have the similarity. Candidat
 The keys and the sketch miss less than one pair in 5,000 that just has the similarity, fewer above it.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_words, out_batch, pieces, table, with_text_columns
+from .common import checkpointed, fresh, lower_words, out_batch, pieces, table
 from .components import components
 
 SHINGLE = 3
@@ -58,17 +58,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)[0])
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, key): the key, a hash of the text, finds a row of an id again without working out what its text holds."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp bigint) of each row."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, key, fp bigint) of each row."""
+    df = _keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch):
-                schema = pa.schema([part.schema.field("doc_id"), pa.field("fp", pa.int64())])
-                yield out_batch(schema, {"doc_id": part.column("doc_id"), "fp": [fingerprint(t, shingle) for t in texts]})
+                schema = pa.schema([part.schema.field("doc_id"), pa.field("key", pa.int64()), pa.field("fp", pa.int64())])
+                yield out_batch(schema, {"doc_id": part.column("doc_id"), "key": part.column("key"), "fp": [fingerprint(t, shingle) for t in texts]})
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, key bigint, fp bigint")
 
 
 def close(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -173,7 +179,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of each row."""
-    rows = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+    rows = checkpointed(fingerprints(docs, id_col, text_col, shingle).select("doc_id", "fp"))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(distinct.select("fp"), radius))
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
@@ -223,8 +229,8 @@ def sketch_radius(similarity: float) -> int:
 
 
 def marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, band: int) -> DataFrame:
-    """(doc_id, node, s0, s1, keys) of each row; a text without words has no keys."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, key, node, s0, s1, keys) of each row; a text without words has no keys."""
+    df = _keyed(docs, id_col, text_col)
     bands = MINIMA // band
     fields = [pa.field("node", pa.int64()), pa.field("s0", pa.int64()), pa.field("s1", pa.int64()), pa.field("keys", pa.list_(pa.int64()))]
 
@@ -240,9 +246,10 @@ def marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, band: int)
                     keys = (mixed[: bands * band] ^ (mixed[: bands * band] >> np.uint64(31))).reshape(bands, band).sum(axis=1, dtype=np.uint64) + _ADD[:bands]
                     for name, value in zip(out, (set_node(h), s0, s1, keys.view(np.int64) if len(h) else []), strict=True):
                         out[name].append(value)
-                yield out_batch(pa.schema([part.schema.field("doc_id"), *fields]), {"doc_id": part.column("doc_id")} | out)
+                given = {c: part.column(c) for c in ("doc_id", "key")}
+                yield out_batch(pa.schema([*[part.schema.field(c) for c in given], *fields]), given | out)
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, node bigint, s0 bigint, s1 bigint, keys array<bigint>")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, key bigint, node bigint, s0 bigint, s1 bigint, keys array<bigint>")
 
 
 def within(sketch: np.ndarray, group: np.ndarray, root: np.ndarray, radius: int) -> np.ndarray:
@@ -279,7 +286,12 @@ def _candidates(batches: Iterator[pa.RecordBatch], radius: int, every: bool) ->
     held = [np.zeros(0, np.int64)] * len(names)
 
     def packed(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        group = np.cumsum(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+        new = np.r_[True, bucket[1:] != bucket[:-1]] if len(bucket) else np.zeros(0, bool)
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        if len(group):  # a bucket whose members are all connected asks for nothing
+            root = columns[-1]
+            open_ = (np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first))[group]
+            group, columns = group[open_], tuple(c[open_] for c in columns)
         start = 0
         while start < len(group):
             stop = min(start + CHUNK, len(group))
@@ -316,18 +328,21 @@ def buckets(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "node", "s0", "s1")
 
 
-def _shingle_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes of ``wanted``."""
+def _shingle_sets(docs: DataFrame, text_col: str, shingle: int, marked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes of ``wanted``, from one text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
         for batch in batches:
-            for part, texts in pieces(batch):
-                yield out_batch(schema, {"node": part.column("node"), "shingles": [shingle_set(t, shingle).view(np.int64) for t in texts]})
+            for _, texts in pieces(batch):
+                for text in texts:  # a set is named by what it holds
+                    h = shingle_set(text, shingle)
+                    yield out_batch(schema, {"node": [set_node(h)], "shingles": [h.view(np.int64)]})
 
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    marked = with_text_columns(texts, "text", {"node": ("bigint", pa.int64())}, lambda: lambda some: {"node": [set_node(shingle_set(t, shingle)) for t in some]})
-    return marked.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(run, "node bigint, shingles array<bigint>")
+    keys = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("key")).join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return texts.select("text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -348,10 +363,10 @@ def similar_links(docs: DataFrame, text_col: str, shingle: int, similarity: floa
 
     # Every member with a candidate is in the first pairs. What they connect needs no further check; all other candidates get one.
     first = candidates(members.withColumn("root", F.col("node")), False)
-    sets = checkpointed(_shingle_sets(docs, text_col, shingle, first.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    sets = checkpointed(_shingle_sets(docs, text_col, shingle, marked, first.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     sure = checkpointed(_similar(first, sets, similarity))
-    roots = components(sure).withColumnRenamed("node", "__in")
-    now = members.join(roots, members["node"] == roots["__in"], "left").select("bucket", "node", "s0", "s1", F.coalesce("root", "node").alias("root"))
+    roots = components(sure).withColumnRenamed("node", "in")
+    now = members.join(roots, members["node"] == roots["in"], "left").select("bucket", "node", "s0", "s1", F.coalesce("root", "node").alias("root"))
     rest = candidates(now, True).join(first, ["a", "b"], "left_anti")
     return sure.unionByName(_similar(rest, sets, similarity))
 
@@ -362,30 +377,29 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     RADIUS, or, with a similarity, by shingle sets of that Jaccard similarity or more."""
     if similarity is None:
         rows = checkpointed(fingerprints(docs, id_col, text_col, shingle).withColumnRenamed("fp", "node"))
-        return _chosen(docs, id_col, text_col, rows, links(rows.select(F.col("node").alias("fp")).distinct()), lambda text: fingerprint(text, shingle))
+        return _chosen(docs, id_col, text_col, rows, links(rows.select(F.col("node").alias("fp")).distinct()))
     marked = checkpointed(marks(docs, id_col, text_col, shingle, band_size(similarity)))
     linked = similar_links(docs, text_col, shingle, similarity, marked)
-    return _chosen(docs, id_col, text_col, marked.select("doc_id", "node"), linked, lambda text: set_node(shingle_set(text, shingle)))
+    return _chosen(docs, id_col, text_col, marked.select("doc_id", "key", "node"), linked)
 
 
-def _chosen(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, linked: DataFrame, node: Callable[[str | None], int]) -> DataFrame:
-    """One row of ``docs`` for each component: rows holds (doc_id, node) of each row, linked the links between nodes, and node() gives a text's."""
-    once = rows.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
-    roots = components(linked).select(F.col("node").alias("__in"), "root")
-    own = once.join(roots, once["node"] == roots["__in"], "left").withColumn("root", F.coalesce("root", "node"))
-    least = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node", "n")).alias("best"))
-    least = checkpointed(least.select(F.col("best.doc_id").alias("__id"), F.col("best.node").alias("__best"), F.col("best.n").alias("__n")))
+def _chosen(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component: rows holds (doc_id, key, node) of each row, and linked the links between nodes."""
+    once = rows.groupBy("doc_id", "node", "key").agg(F.count(F.lit(1)).alias("n"))
+    roots = components(linked).select(F.col("node").alias("in"), "root")
+    own = once.join(roots, once["node"] == roots["in"], "left").withColumn("root", F.coalesce("root", "node"))
+    least = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node", "key", "n")).alias("best"))
+    key = fresh(docs, "key")
+    least = checkpointed(least.select(F.col("best.doc_id").alias("id"), F.col("best.key").alias("best"), F.col("best.n").alias("n")))
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
 
-    def kept(docs: DataFrame, least: DataFrame) -> DataFrame:
-        marked = with_text_columns(docs, text_col, {"__own": ("bigint", pa.int64())}, lambda: lambda texts: {"__own": [node(t) for t in texts]})
-        return marked.join(least, marked[id_col].eqNullSafe(least["__id"]) & (marked["__own"] == least["__best"]), "left_semi")
+    def kept(least: DataFrame) -> DataFrame:
+        return keyed.join(least, keyed[id_col].eqNullSafe(least["id"]) & (keyed[key] == least["best"]), "left_semi")
 
-    out = kept(docs, least.filter("__n = 1")).drop("__own")
-    repeated = least.filter("__n > 1")
+    out, repeated = kept(least.filter("n = 1")), least.filter("n > 1")
     if not repeated.isEmpty():
-        some = docs.join(repeated, docs[id_col].eqNullSafe(repeated["__id"]), "left_semi")
-        out = out.unionByName(kept(some, repeated).dropDuplicates([id_col, "__own"]).drop("__own"))
-    return out
+        out = out.unionByName(kept(repeated).dropDuplicates([id_col, key]))
+    return out.drop(key)
 
 
 def op7_bitslice_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from .common import fresh, out_batch, pieces, with_text_columns
 #: Codes whose values are broadcast at most (about 26 bytes each): all, or the commonest; the others are joined.
 MAX_BROADCAST = 6_000_000
 #: Codes that a task holds before it hands on their counts.
-MAX_HELD = 1_500_000
+MAX_HELD = 750_000
 
 
 def codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:

@@ -297,10 +297,38 @@ def test_context_tree_is_a_distribution():
 def test_decontamination(spark, odd):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "Short, item"), (3, None), (4, "..."), (None, "short item")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "X one two THREE four five six seven eight nine ten eleven y short-item"), (2, "one two three"), (3, None), (3, None)], "doc_id long, text string").withColumns(clash())
-    for block in (100, 1):
-        out = decontamination.contamination(docs, bench, block=block).select("doc_id", "items", decontamination.n_hit().alias("hit")).collect()
-        assert sorted((r.doc_id, tuple(r["items"]), r.hit) for r in out) == [(1, ("", "1", "2"), 13), (2, (), 0), (3, (), 0), (3, (), 0)]
+    out = decontamination.contamination(docs, bench).select("doc_id", "items", decontamination.n_hit().alias("hit")).collect()
+    assert sorted((r.doc_id, tuple(r["items"]), r.hit) for r in out) == [(1, ("", "1", "2"), 13), (2, (), 0), (3, (), 0), (3, (), 0)]
     assert decontamination.contamination(odd, bench.filter("false")).filter("size(spans) > 0").count() == 0
+    clean = decontamination.contamination(docs.filter("doc_id = 2"), bench).first()
+    assert clean.score == "mine" and clean.n_words == 3 and [*clean.spans] == []
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(7)  # few words, so that windows, ties of rarity and overlaps are many
+    word = lambda n, k: [f"w{x}" for x in rng.integers(0, k, n)]
+    items = [word(int(n), 6) for n in rng.integers(1, 16, 60)] + [word(40, 500) for _ in range(60)]
+    docs = [word(int(n), 6) for n in rng.integers(0, 80, 60)] + [word(30, 500) + items[60 + k][5 : 10 + k] + word(9, 500) for k in range(40)]
+    docs += [docs[3], docs[3], items[70] * 50]
+    found = decontamination.contamination(
+        spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(f"i{k}", "-".join(x)) for k, x in enumerate(items)], "item_id string, text string")
+    )
+    wanted = {}
+    for k, x in enumerate(items):
+        n = min(10, len(x))
+        for i in range(len(x) - n + 1):
+            wanted.setdefault(tuple(x[i : i + n]), set()).add(f"i{k}")
+    rows = found.select("*", decontamination.n_hit().alias("hit")).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        d, hit, names = docs[r.doc_id], set(), set()
+        for i in range(len(d)):
+            for n in range(1, 11):
+                if i + n <= len(d) and (own := wanted.get(tuple(d[i : i + n]))):
+                    hit.update(range(i, i + n))
+                    names |= own
+        assert r.n_words == len(d) and r.hit == len(hit) and [*r["items"]] == sorted(names)
+        assert {p for a, b in r.spans for p in range(a, b)} == hit and all(x[1] < y[0] for x, y in zip(r.spans, r.spans[1:]))
 
 
 class Reader(html.parser.HTMLParser):
@@ -365,7 +393,7 @@ def test_empty_tables(spark, odd, sf_dir):
         context_tree.score(none, F.lit(True)),
         decontamination.contamination(none, bench),
         warc_derivatives.derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet").filter("false")),
-        ordinal_toxicity.severity(none, ordinal_toxicity.grades(none, labels))[0],
+        ordinal_toxicity.severity(none, ordinal_toxicity.grades(labels))[0],
     ]
     assert [df.count() for df in made] == [0] * len(made)
 
