@@ -1,13 +1,16 @@
-"""A corpus pipeline of five stages, each one operator of mvspark.llm, over the whole of what the stage before kept."""
+"""A corpus pipeline of five stages, each one operator of mvspark.llm, over the whole of what the stage before kept.
+
+The filtering stages give rows of their input as they are: all its columns and no others, whatever their names. A null id is an id like
+any other. An empty table passes all stages empty.
+"""
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mvspark.llm import bitslice_simhash, decontamination, kneser_ney, language_mixture, segment_bpe
-from mvspark.llm.common import table
+from mvspark.llm.common import judged, shared_folder, table
 
 #: A text whose main language has a smaller share is rejected.
 MIN_SHARE = 0.5
@@ -16,47 +19,44 @@ NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose perplexity passes their language's fence, and empty ones."""
-    return kneser_ney.classify(docs, table(spark, sf_dir, "labels")).filter("kept").select(docs.columns)
+    """Drops documents whose perplexity passes their language's threshold, and null and empty ones. Repeated rows are judged each, and alike."""
+    labels = table(spark, sf_dir, "labels")
+    return judged(docs, kneser_ney.ADDED, lambda df: kneser_ney.classify(df, labels), F.col("kept"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or without a main language."""
+    """Drops documents without letters (null and empty ones too) or without a main language: none of a share of MIN_SHARE. Of languages of the same share
+    the first by name is the main one. Repeated rows are judged each, and alike."""
     model = language_mixture.learn(docs.filter(~language_mixture.held_out()))
-    found = language_mixture.predict(docs, model)
-    return found.filter((F.col("lang_pred") != language_mixture.UNKNOWN) & (F.col("score") >= MIN_SHARE)).select(docs.columns)
+    keep = (F.col("lang_pred") != language_mixture.UNKNOWN) & (F.col("score") >= MIN_SHARE)
+    return judged(docs, language_mixture.ADDED, lambda df: language_mixture.predict(df, model), keep)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates, of least id."""
-    return bitslice_simhash.representatives(docs, shingle=NEAR_SHINGLE, similarity=NEAR_SIMILARITY).select(docs.columns)
+    """Keeps one document of each class of near-duplicates, of least id (a null id is the greatest). Of equal rows one stays, as of null, empty
+    and blank texts, which are one class."""
+    return bitslice_simhash.representatives(docs, shingle=NEAR_SHINGLE, similarity=NEAR_SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("spans") == 0).select(docs.columns)
+    """Drops documents that hold a window of a benchmark item. Null and empty ones hold none. Repeated rows are judged each, and alike."""
+    items = table(spark, sf_dir, "benchmark")
+    return judged(docs, decontamination.ADDED, lambda df: decontamination.contamination(df, items), F.size("spans") == 0)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each document, counted and digested with what they decode to."""
+    """The tokens of each document, counted and digested with what they decode to. A null text has none."""
     return segment_bpe.digests(docs, segment_bpe.vocabulary_path())
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("tokens", tokens)]
-#: SQL expresses neither the perplexities, the mixtures nor the byte-pair merges; tests hold each stage against a brute-force version.
+#: SQL expresses neither the perplexities, the mixtures nor the byte-pair merges; tests hold each stage's operator against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Each stage's rows are written to the shared folder of spark.checkpoint.dir and read again."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    folder = os.path.join(base, f"pipeline-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}_{name}"
