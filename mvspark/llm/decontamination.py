@@ -29,6 +29,8 @@ WINDOW = 10
 FILTER_BITS = 26
 #: Words, and texts, that a task remembers.
 CACHE_WORDS, CACHE_TEXTS = 300_000, 100_000
+#: Tasks to which the places of one word are dealt.
+SALTS = 16
 #: The columns that contamination() adds.
 ADDED = ("n_words", "spans", "items")
 #: What a word is made of, after A-Z are in lower case.
@@ -122,7 +124,7 @@ def occurrences(texts: DataFrame, found: DataFrame) -> DataFrame:
     schema = pa.schema([*[pa.field(c, pa.int64()) for c in ("k1", "k2")], *[pa.field(c, pa.int32()) for c in ("p", "total")], pa.field("h", pa.int64()), pa.field("lo", pa.int32()), pa.field("near", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = Known(shared.value), set()
+        known, seen, held = Known(shared.value), set(), []
         for batch in batches:
             for part, some in pieces(batch):
                 if len(seen) > CACHE_TEXTS:
@@ -132,14 +134,15 @@ def occurrences(texts: DataFrame, found: DataFrame) -> DataFrame:
                         continue
                     seen.add((k1, k2))
                     words = words_of(text)
-                    hits = [(p, h) for p, w in enumerate(words) if (h := known[w])]
-                    for i in range(0, len(hits), 10_000):
-                        out: dict[str, list] = {f.name: [] for f in schema}
-                        for p, h in hits[i : i + 10_000]:
-                            lo = max(0, p - WINDOW + 1)
-                            for name, value in zip(out, (k1, k2, p, len(words), h, lo, b" ".join(words[lo : p + WINDOW]).decode()), strict=True):
-                                out[name].append(value)
-                        yield out_batch(schema, out)
+                    h = [*map(known.__getitem__, words)]
+                    for p in [p for p, x in enumerate(h) if x]:
+                        lo = max(0, p - WINDOW + 1)
+                        held.append((k1, k2, p, len(words), h[p], lo, b" ".join(words[lo : p + WINDOW]).decode()))
+                        if len(held) == 20_000:
+                            yield out_batch(schema, dict(zip(schema.names, zip(*held, strict=True), strict=True)))
+                            held.clear()
+        if held:
+            yield out_batch(schema, dict(zip(schema.names, zip(*held, strict=True), strict=True)))
 
     return texts.mapInArrow(run, "k1 bigint, k2 bigint, p int, total int, h bigint, lo int, near string")
 
@@ -147,7 +150,10 @@ def occurrences(texts: DataFrame, found: DataFrame) -> DataFrame:
 def hits(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(k1, k2, at, n, items): the windows that occur in texts, where."""
     shapes = found.groupBy("h").agg(F.collect_set(F.struct(F.col("at").alias("offset"), "n")).alias("shapes"))  # at most WINDOW^2 to a word
-    places = occurrences(texts, found).join(shapes, "h").select("k1", "k2", "p", "total", "lo", "near", F.explode("shapes").alias("s"))
+    # A frequent word's places are dealt to SALTS tasks; its shapes, one row, are repeated for each.
+    shapes = shapes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = occurrences(texts, found).withColumn("salt", F.pmod(F.col("k2") + F.col("p"), F.lit(SALTS)).cast("int"))
+    places = places.join(shapes, ["h", "salt"]).select("k1", "k2", "p", "total", "lo", "near", F.explode("shapes").alias("s"))
     at = F.col("p") - F.col("s.offset")
     places = places.withColumn("at", at).filter((F.col("at") >= 0) & (F.col("at") + F.col("s.n") <= F.col("total")))
     words = F.array_join(F.slice(F.split("near", " "), F.col("at") - F.col("lo") + 1, F.col("s.n")), " ")
