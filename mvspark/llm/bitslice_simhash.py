@@ -11,8 +11,9 @@ gets the least id of its component (null if all are). Repeated rows stay rows. A
 id and the text are not looked at.
 
 representatives() also takes a similarity, for texts that are near copies by their word shingles. Then a text's 128 minima give keys (a bucket
-for each BANDS of them) and a 128-bit sketch; members of a bucket whose sketches are near, by the same bit-sliced counting, are candidates, and
-a candidate is a link only if the two shingle sets have the similarity. Candidates within what is connected already are not checked again.
+for each few of them) and a 128-bit sketch; members of a bucket whose sketches are near, by the same bit-sliced counting, are candidates, and
+a candidate is a link only if the two shingle sets have the similarity. One candidate of each member is checked first; candidates within what that connects are
+not checked again; for the others a bucket's members (two chunks of CHUNK at most) bring their sets, which are compared in the bucket.
 The keys and the sketch miss less than one pair in 5,000 that just has the similarity, fewer above it.
 """
 
@@ -115,7 +116,11 @@ def close(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.ndarray
 
 def stars(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, least member) of what is connected within the radius in each group."""
-    near = close(fp, group, radius)
+    return _stars(fp, close(fp, group, radius))
+
+
+def _stars(fp: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, least member) of what a matrix connects."""
     i, j = np.nonzero(near)
     label = np.arange(len(fp))
     while True:
@@ -278,45 +283,86 @@ def within(sketch: np.ndarray, group: np.ndarray, root: np.ndarray, radius: int)
     return near & (group[:, None] == group[None, :]) & (root[:, None] != root[None, :]) & (place[:, None] < place[None, :])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], radius: int, every: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, node, s0, s1, root) in the order of bucket and node: candidate pairs (a, b). Unless ``every``, each member that has a
-    candidate gives one pair only: with its least candidate."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _candidates(batches: Iterator[pa.RecordBatch], radius: int, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node, s0, s1, root) in the order of bucket and node: of each member with a candidate, its pair (a, b) with the least one (pairs), or
+    itself (bucket, node, root)."""
+    schema = pa.schema([(c, pa.int64()) for c in (("a", "b") if pairs else ("bucket", "node", "root"))])
     names = ("bucket", "node", "s0", "s1", "root")
-    held = [np.zeros(0, np.int64)] * len(names)
 
-    def packed(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.r_[True, bucket[1:] != bucket[:-1]] if len(bucket) else np.zeros(0, bool)
-        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        if len(group):  # a bucket whose members are all connected asks for nothing
-            root = columns[-1]
-            open_ = (np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first))[group]
-            group, columns = group[open_], tuple(c[open_] for c in columns)
+    for group, bucket, node, s0, s1, root in _groups(batches, names):
+        near = within(np.stack([s0, s1], axis=1), group, root, radius)
+        near |= near.T
+        i = np.flatnonzero(near.any(axis=1))
+        if pairs:
+            pair = np.sort(np.stack([node[i], node[near[i].argmax(axis=1)]]), axis=0)
+            yield out_batch(schema, {"a": pair[0], "b": pair[1]})
+        else:
+            yield out_batch(schema, {"bucket": bucket[i], "node": node[i], "root": root[i]})
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list]:
+    """Group numbers and columns of about CHUNK rows of whole buckets at a time, those of all members of one root left out: they ask for nothing.
+    The first column is the bucket, the rows are in its order, and ``root`` is among them."""
+    held: list[pa.RecordBatch] = []
+
+    def packed(rows: pa.RecordBatch) -> Iterator[list]:
+        bucket, root = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "root"))
+        new = np.r_[True, bucket[1:] != bucket[:-1]]
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        open_ = np.flatnonzero((np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first))[group])
+        group, rows = group[open_], rows.take(pa.array(open_))
         start = 0
         while start < len(group):
             stop = min(start + CHUNK, len(group))
             if stop < len(group):
-                first = np.searchsorted(group, group[stop])
-                stop = first if first > start else np.searchsorted(group, group[stop], side="right")
-            node, s0, s1, root = (c[start:stop] for c in columns)
-            near = within(np.stack([s0, s1], axis=1), group[start:stop], root, radius)
-            if every:
-                i, j = np.nonzero(near)
-            else:
-                both = near | near.T
-                i = np.flatnonzero(both.any(axis=1))
-                j = both[i].argmax(axis=1)
-            for k in range(0, len(i), 1 << 16):
-                pair = np.sort(np.stack([node[i[k : k + (1 << 16)]], node[j[k : k + (1 << 16)]]]), axis=0)
-                yield out_batch(schema, {"a": pair[0], "b": pair[1]})
+                begin = np.searchsorted(group, group[stop])
+                stop = begin if begin > start else np.searchsorted(group, group[stop], side="right")
+            columns = [rows.column(c).slice(start, stop - start) for c in names]
+            yield [group[start:stop], *[c if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in columns]]
             start = stop
 
     for batch in batches:
-        now = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names, strict=True)]
-        cut = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
-        yield from packed(*[c[:cut] for c in now])
-        held = [c[cut:] for c in now]
-    yield from packed(*held)
+        if batch.num_rows:
+            rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            bucket = rows.column("bucket").to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            if cut:
+                yield from packed(rows.slice(0, cut))
+            held = [rows.slice(cut)]
+    if held:
+        yield from packed(held[0])
+
+
+def common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles each two sets have in common: products of blocks of the table of members and shingles, those of one member alone left out."""
+    member = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shingle, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    at, member = (np.cumsum(shared) - 1)[at[shared[at]]], member[shared[at]]
+    order = np.argsort(at, kind="stable")
+    at, member = at[order], member[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, int(shared.sum()), columns):
+        some = slice(*np.searchsorted(at, [c, c + columns]))
+        block = np.zeros((len(sets), columns), np.float32)
+        block[member[some], at[some] - c] = 1
+        out += block @ block.T
+    return out
+
+
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node, root, shingles) in the order of bucket: stars of links between members of a bucket whose sets have the similarity."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for group, _, node, _, shingles in _groups(batches, ("bucket", "node", "root", "shingles")):
+        for g in np.unique(group):
+            mine = np.flatnonzero(group == g)
+            sets = [np.asarray(shingles[int(i)].values) for i in mine]
+            size = np.array([len(x) for x in sets])
+            both = common(sets)
+            near = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
+            a, b = _stars(node[mine], np.triu(near, 1))
+            yield out_batch(schema, {"a": a, "b": b})
 
 
 def buckets(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -329,7 +375,7 @@ def buckets(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, text_col: str, shingle: int, marked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes of ``wanted``, from one text of each."""
+    """(node, shingles) of the nodes of ``wanted``, from the text of each that ``marked`` (node, key; a row for each node) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -339,7 +385,7 @@ def _shingle_sets(docs: DataFrame, text_col: str, shingle: int, marked: DataFram
                     h = shingle_set(text, shingle)
                     yield out_batch(schema, {"node": [set_node(h)], "shingles": [h.view(np.int64)]})
 
-    keys = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key")
+    keys = marked.join(wanted, "node", "left_semi").select("key")
     text = F.col(text_col).cast("string")
     texts = docs.select(text.alias("text"), F.xxhash64(text).alias("key")).join(keys, "key", "left_semi").dropDuplicates(["key"])
     return texts.select("text").mapInArrow(run, "node bigint, shingles array<bigint>")
@@ -352,23 +398,31 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b")
 
 
+def nodes(marked: DataFrame) -> DataFrame:
+    """One row (node, key, s0, s1, keys) for each node of ``marked`` (see marks())."""
+    return marked.groupBy("node").agg(F.min(F.struct("key", "s0", "s1", "keys")).alias("m")).select("node", "m.*")
+
+
 def similar_links(docs: DataFrame, text_col: str, shingle: int, similarity: float, marked: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(a, b) links between the nodes of ``marked`` (see marks()) that connect all candidates of the similarity."""
     radius = sketch_radius(similarity)
-    members = checkpointed(buckets(marked.dropDuplicates(["node"]), chunk))
+    distinct = checkpointed(nodes(marked))
+    members = checkpointed(buckets(distinct, chunk))
 
-    def candidates(rows: DataFrame, every: bool) -> DataFrame:
+    def candidates(rows: DataFrame, pairs: bool) -> DataFrame:
         ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
-        return checkpointed(ordered.mapInArrow(lambda batches: _candidates(batches, radius, every), "a bigint, b bigint").distinct())
+        ddl = "a bigint, b bigint" if pairs else "bucket bigint, node bigint, root bigint"
+        return ordered.mapInArrow(lambda batches: _candidates(batches, radius, pairs), ddl)
 
-    # Every member with a candidate is in the first pairs. What they connect needs no further check; all other candidates get one.
-    first = candidates(members.withColumn("root", F.col("node")), False)
-    sets = checkpointed(_shingle_sets(docs, text_col, shingle, marked, first.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    # Every member with a candidate is in the first pairs. What they connect needs no further check. Buckets that still hold candidates get the sets of
+    # these members and compare them where they are, so that no table of pairs is made.
+    first = checkpointed(candidates(members.withColumn("root", F.col("node")), True).distinct())
+    sets = checkpointed(_shingle_sets(docs, text_col, shingle, distinct, first.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     sure = checkpointed(_similar(first, sets, similarity))
     roots = components(sure).withColumnRenamed("node", "in")
     now = members.join(roots, members["node"] == roots["in"], "left").select("bucket", "node", "s0", "s1", F.coalesce("root", "node").alias("root"))
-    rest = candidates(now, True).join(first, ["a", "b"], "left_anti")
-    return sure.unionByName(_similar(rest, sets, similarity))
+    rest = candidates(now, False).join(sets, "node").select("bucket", "node", "root", "shingles").repartition("bucket").sortWithinPartitions("bucket")
+    return sure.unionByName(rest.mapInArrow(lambda batches: _verified(batches, similarity), "a bigint, b bigint"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -385,12 +439,15 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _chosen(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, linked: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: rows holds (doc_id, key, node) of each row, and linked the links between nodes."""
-    once = rows.groupBy("doc_id", "node", "key").agg(F.count(F.lit(1)).alias("n"))
+    # The best row of each node first, so that many rows of one node don't meet.
+    once = rows.withColumn("nameless", F.col("doc_id").isNull()).groupBy("node").agg(F.min(F.struct("nameless", "doc_id", "key")).alias("of"))
     roots = components(linked).select(F.col("node").alias("in"), "root")
-    own = once.join(roots, once["node"] == roots["in"], "left").withColumn("root", F.coalesce("root", "node"))
-    least = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node", "key", "n")).alias("best"))
+    own = once.join(roots, once["node"] == roots["in"], "left").select(F.coalesce("root", "node").alias("root"), "node", "of.*")
+    least = own.groupBy("root").agg(F.min(F.struct("nameless", "doc_id", "node", "key")).alias("best"))
+    times = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("of"), F.col("key").alias("k"), "n")
+    least = least.select(F.col("best.doc_id").alias("id"), F.col("best.key").alias("best"))
+    least = checkpointed(least.join(times, least["id"].eqNullSafe(times["of"]) & (least["best"] == times["k"]), "left").select("id", "best", F.coalesce("n", F.lit(1)).alias("n")))
     key = fresh(docs, "key")
-    least = checkpointed(least.select(F.col("best.doc_id").alias("id"), F.col("best.key").alias("best"), F.col("best.n").alias("n")))
     keyed = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
 
     def kept(least: DataFrame) -> DataFrame:

@@ -113,6 +113,29 @@ def test_similar_texts(spark, odd):
     assert sorted(r.doc_id for r in bitslice_simhash.representatives(odd, shingle=5, similarity=0.8).collect()) == [1, 4, 5, 8]
 
 
+def test_similar_texts_about_one_that_are_not_alike(spark):
+    # Many texts are like a middle one but not like one another; others are nearly like it. All pairs of one bucket have near sketches.
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    texts = [base]
+    for k in range(160):
+        copy = base.copy()
+        for place in rng.choice(120, 1 + k % 5, replace=False):
+            copy[place] = f"n{k}_{place}"
+        texts.append(copy)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    alike = [[k for k, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y)] for x in sets]
+    root = list(range(len(texts)))
+    for _ in range(6):
+        root = [min(root[k] for k in near) for near in alike]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    kept = bitslice_simhash.representatives(df, shingle=5, similarity=0.8).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root)) and 1 < len(set(root)) < 160
+    own = [np.unique(np.array([hash(x) for x in s])) for s in sets[:40]]
+    both = bitslice_simhash.common(own, 64)
+    assert all(both[i, j] == len(np.intersect1d(own[i], own[j])) for i in range(40) for j in range(i))
+
+
 def test_bpe(spark, docs, odd):
     from tokenizers import Tokenizer
 
