@@ -16,6 +16,8 @@ HASH_BITS = 60
 STEP_BITS = 12
 #: The shard size that the query uses.
 LIMIT_BYTES = 32 << 20
+#: A limit at which small tables split too: the directory then has several depths, for its SQL to show.
+FINE_BYTES = 64 << 10
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,9 +70,17 @@ def assign(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     )
 
 
-def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sharded(spark: SparkSession, sf_dir: str, limit_bytes: int) -> DataFrame:
     rows = checkpointed(sized(table(spark, sf_dir, "documents")))
-    return assign(rows, directory(rows, LIMIT_BYTES))
+    return assign(rows, directory(rows, limit_bytes))
+
+
+def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharded(spark, sf_dir, LIMIT_BYTES)
+
+
+def shards_of_64k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharded(spark, sf_dir, FINE_BYTES)
 
 
 def oracle(limit_bytes: int) -> str:
@@ -90,5 +100,5 @@ from n join leaf on leaf.d = n.d and leaf.p = n.p
 """
 
 
-QUERIES = {"op8_extendible_sharding": op8_extendible_sharding}
-ORACLE_SQL = {"op8_extendible_sharding": oracle(LIMIT_BYTES)}
+QUERIES = {"op8_extendible_sharding": op8_extendible_sharding, "shards_of_64k": shards_of_64k}
+ORACLE_SQL = {"op8_extendible_sharding": oracle(LIMIT_BYTES), "shards_of_64k": oracle(FINE_BYTES)}

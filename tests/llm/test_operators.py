@@ -2,6 +2,7 @@ import hashlib
 import html.parser
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -392,6 +393,111 @@ def test_warc(spark, sf_dir):
     assert warc_derivatives.derivatives(nulls).count() == 4
 
 
+def test_warc_sources(spark):
+    page = b"<html lang='de'><head><title> A &amp; B </title></head><body><a class=x href='/one?a=1&amp;b=2'>1</a><A HREF=two>2</A><a name=n>3</a><!-- <a href=no> --><a href=\"x>y\">4</a></body></html>"
+    block = b"HTTP/1.1 200 OK\r\nServer: test\r\nContent-Type: text/html\r\n\r\n" + page
+    sent = [("X-Own", "yes")]
+    rows = [(1, "http://h/d/", None, block, "2020-01-02T03:04:05Z", "<urn:uuid:1>", None), (2, "http://h/d/", None, page, None, None, sent), (2, "http://h/d/", None, page, None, None, sent), (3, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, raw binary, at string, rid string, sent array<struct<name:string,value:string>>")
+    got = warc_derivatives.derivatives(df, date_col="at", record_id_col="rid", headers_col="sent", block_col="raw").collect()
+    assert len(got) == 8
+    meta = {r.page_id: bytes(r.block).decode().split("\r\n")[:-1] for r in got if r.record_type == "metadata"}
+    assert meta[1][:2] == ["source-server: test", "source-content-type: text/html"] and meta[2][0] == "source-x-own: yes"
+    assert meta[1][2] == meta[2][1] == f"source-payload-digest: {warc_derivatives.digest(page)}"
+    assert meta[1][4:] == ["title: A & B", "language: de", *(f"outlink: http://h/{x} L a/@href" for x in ("one?a=1&b=2", "d/two", "d/x>y"))]
+    head = {(r.page_id, r.record_type): dict(tuple(h) for h in r.headers) for r in got}
+    assert head[1, "conversion"]["WARC-Date"] == "2020-01-02T03:04:05Z" and head[1, "metadata"]["WARC-Refers-To"] == "<urn:uuid:1>"
+    assert head[3, "conversion"]["WARC-Date"] == warc_derivatives.NO_DATE and "WARC-Target-URI" not in head[3, "conversion"]
+
+
+@pytest.mark.parametrize("part", ["<title>", "<a ", "<a href=", "<!", "<!--", "<p", "<script>", "<?", "</title ", "<html "])
+def test_warc_scans_are_linear(part):
+    began = time.time()
+    for page in (part * 200_000, part * 100_000 + ">" + part * 100_000):
+        warc_derivatives.derive(page.encode(), [], "http://h/", warc_derivatives.NO_DATE, "<urn:uuid:1>")
+    assert time.time() - began < 20
+
+
+def test_sharding_on_odd_rows(spark, odd):
+    many = odd.unionByName(spark.range(50).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same row " * 20).alias("text"), F.lit("en").alias("lang")).withColumns(clash()))
+    rows = extendible_sharding.sized(many)
+    out = extendible_sharding.assign(rows, extendible_sharding.directory(rows, 2_000)).collect()
+    assert len(out) == len(ODD) + 50
+    same_row = {(r.shard_id, r.overflow, r.shard_rows) for r in out if r.doc_id == 7}
+    assert len(same_row) == 1 and {x[1:] for x in same_row} == {(True, 50)}
+    assert [r.overflow for r in out if r.doc_id == 4] == [True] and all(r.overflow or r.shard_bytes <= 2_000 for r in out)
+
+
+def test_many_languages(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}x word{chr(97 + k % 26)}{chr(97 + k // 26)} " * 5, f"l{k:03}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for cells in (language_mixture.MAX_CELLS, 300 * 4096):
+        model = language_mixture.learn(df, max_cells=cells)
+        assert len(model.languages) == 300 and model.log_p.size <= cells
+        got = language_mixture.predict(df.filter("doc_id % 50 = 0"), model).collect()
+        assert len(got) == 6 and all(r.lang_pred == r.lang for r in got)
+
+
+def brute_mixture(model, text, languages, steps):
+    """Proportions and log-likelihood of a set of languages by EM over words, straight from the definition."""
+    words, bare = [], "".join(c if c.isalpha() else " " for c in text.lower())
+    for w in re.finditer(r"\S+", bare):
+        around = [" " if not (0 <= i < len(bare)) else bare[i] for i in range(w.start() - 1, w.end() + 1)]
+        code = lambda c: 0 if c == " " else ord(c)
+        bucket = [((code(a) << 42 | code(b) << 21 | code(c)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - language_mixture.BUCKET_BITS) for a, b, c in zip(around, around[1:], around[2:])]
+        words.append([math.exp(sum(float(model.log_p[b, k]) for b in bucket)) for k in languages])
+    mix = [1 / len(languages)] * len(languages)
+    for _ in range(steps):
+        post = [[p * m / sum(x * y for x, y in zip(w, mix)) for p, m in zip(w, mix)] for w in words]
+        mix = [sum(p[k] for p in post) / len(words) for k in range(len(languages))]
+    return mix, sum(math.log(sum(x * y for x, y in zip(w, mix))) for w in words), len(words)
+
+
+def test_mixture_against_brute_force(spark, sf_dir):
+    model = language_mixture.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    for text in ("the and that of ist nicht und der", "les des une pour dans avec", "un texto corto y the other one", "a"):
+        chosen = list(range(len(model.languages)))
+        mix, fit, n = brute_mixture(model, text, chosen, language_mixture.STEPS)
+        while len(chosen) > 1:
+            least = max(k for k in range(len(chosen)) if mix[k] == min(mix))
+            fewer = [x for k, x in enumerate(chosen) if k != least]
+            new, new_fit, _ = brute_mixture(model, text, fewer, language_mixture.STEPS)
+            if new_fit + language_mixture.PENALTY / 2 * math.log(max(n, 2)) < fit:
+                break
+            chosen, mix, fit = fewer, new, new_fit
+        got = model.mixtures([text])[0]
+        assert np.allclose(got[chosen], mix, atol=1e-4) and abs(got.sum() - 1) < 1e-6
+
+
+def test_toxicity_on_odd_labels(spark):
+    # A very long labelled text, whose mark comes last; ids on several texts and labels; null labels.
+    rows = [(k, f"plain words number {k} " + ("vile" if k % 2 else "kind") + " end") for k in range(40)]
+    rows += [(100, " ".join(f"w{x}" for x in range(100_000)) + " vile"), *[(101, f"vile text {k}") for k in range(5)], (None, "vile"), (102, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(k, 1 if k % 2 else 0, 0 if k % 4 == 1 else 1) for k in range(40)] + [(100, 1, 1), (101, 0, 1), (101, 1, 1), (102, 0, 1), (None, 1, 1), (5, None, None)]
+    graded = ordinal_toxicity.grades(spark.createDataFrame(labels, "doc_id long, toxic int, quality int"))
+    ids = graded.select(F.col("doc_id").alias("id"), "grade")
+    learnt = ordinal_toxicity.labelled(df, ids, "doc_id", "text", 1000).collect()
+    assert len(learnt) == 43 and sum(len(r.f) > 0 for r in learnt if r.grade > 0) == 22  # one row an id; the long text's mark is among its features
+    out = ordinal_toxicity.severity(df, graded)[0].collect()
+    assert len(out) == len(rows) and all(r.toxic == (r.text is not None and "vile" in r.text) for r in out)
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd):
+    import corpus_pipeline
+
+    names = {"n_bytes": F.lit("a"), "threshold": F.lit("b"), "lang_pred": F.lit("c"), "languages": F.lit("d"), "items": F.lit("e"), "__text": F.lit("f"), "__id": F.lit("g"), "key": F.lit("h"), "text_": F.lit("i"), "k1_": F.lit("j"), "log_p": F.lit("k")}
+    many = odd.withColumns(names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (many, many.filter("false")):
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            rows = out.collect()
+            assert all(r.score == "mine" and r.items == "e" and r.fp == 7 and r.kept == "no" for r in rows) and len(rows) <= len(ODD)
+            assert name == "near_duplicates" or sum(r.doc_id == 5 for r in rows) in (0, 2)
+    assert corpus_pipeline.tokens(spark, many, sf_dir).count() == len(ODD)
+
+
 def test_warc_query_gives_the_records(spark, sf_dir):
     rows = warc_derivatives.op2_warc_derivatives(spark, sf_dir).collect()
     assert len(rows) == 2 * spark.read.parquet(f"{sf_dir}/pages.parquet").count()
