@@ -2,7 +2,7 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,18 +16,43 @@ def to_pixels(x, size) -> Column:
     return _c(x) * _c(size)
 
 
+#: The columns of a camera's 3 x 4 matrix.
+PROJECTION = [[f"p{i}{k}" for k in range(4)] for i in range(3)]
+
+
+def with_projection(cameras: DataFrame) -> DataFrame:
+    """Cameras (fx, fy, cx, cy, r array of nine in rows, t array of three) with the columns p00 to p23 of K [R | t]."""
+    r = [[F.get("r", F.lit(3 * i + k)) for k in range(3)] + [F.get("t", F.lit(i))] for i in range(3)]
+    fx, fy, cx, cy = map(F.col, ("fx", "fy", "cx", "cy"))
+    rows = [[fx * r[0][k] + cx * r[2][k] for k in range(4)], [fy * r[1][k] + cy * r[2][k] for k in range(4)], r[2]]
+    return cameras.withColumns({PROJECTION[i][k]: rows[i][k] for i in range(3) for k in range(4)})
+
+
+def camera_centre() -> Column:
+    """Where a camera (r, t) stands in the world: -Rt t."""
+    return F.array(*[-sum((F.get("r", F.lit(3 * i + k)) * F.get("t", F.lit(i)) for i in (1, 2)), F.get("r", F.lit(k)) * F.get("t", F.lit(0))) for k in range(3)])
+
+
+def intrinsics_of(vector: str) -> dict[str, Column]:
+    """width, height, cx, cy, fx, fy and the eight distortion coefficients of a vector in this order."""
+    return {n: F.get(F.col(vector), F.lit(k)) for k, n in enumerate(("width", "height", "cx", "cy", "fx", "fy"))} | {"dist": F.slice(vector, 7, 8)}
+
+
+def rescaled(width: Column, height: Column) -> dict[str, Column]:
+    """fx, fy, cx, cy of a camera (width, height) at another resolution."""
+    sx, sy = width / F.col("width"), height / F.col("height")
+    return {"fx": F.col("fx") * sx, "fy": F.col("fy") * sy, "cx": F.col("cx") * sx, "cy": F.col("cy") * sy, "width": width, "height": height}
+
+
 def project(x, y, z) -> tuple[Column, Column]:
-    """Pixels of a world point in a camera of the ring: columns rc, rs, fx, fy, cx, cy; null at depth zero."""
+    """Pixels of a world point in a camera (p00 to p23); null at depth zero."""
     x, y, z = map(_c, (x, y, z))
-    depth = F.lit(2.0) + F.col("rc") * z - F.col("rs") * x
-    return F.try_divide(F.col("fx") * (F.col("rc") * x + F.col("rs") * z), depth) + F.col("cx"), F.try_divide(F.col("fy") * y, depth) + F.col("cy")
+    u, v, depth = (F.col(a) * x + F.col(b) * y + F.col(c) * z + F.col(d) for a, b, c, d in PROJECTION)
+    return F.try_divide(u, depth), F.try_divide(v, depth)
 
 
 def projection_rows() -> list[list[Column]]:
-    """The 3 x 4 matrix K [R | t] of a camera of the ring."""
-    rc, rs, fx, fy, cx, cy = map(F.col, ("rc", "rs", "fx", "fy", "cx", "cy"))
-    zero, two = F.lit(0.0), F.lit(2.0)
-    return [[fx * rc - cx * rs, zero, fx * rs + cx * rc, cx * two], [-cy * rs, fy, cy * rc, cy * two], [-rs, zero, rc, two]]
+    return [[F.col(c) for c in row] for row in PROJECTION]
 
 
 def gram_terms(u, v, weight=None) -> list[Column]:

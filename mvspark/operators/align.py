@@ -38,32 +38,29 @@ def slots(log: DataFrame, reference: str, time: str = "unified_ts_s") -> DataFra
 
 
 def nearest(asked: DataFrame, log: DataFrame, time: str = "unified_ts_s") -> DataFrame:
-    """Each (session_id, slot, slot_ts_s) with each camera's nearest entry; of two as near the earlier. One sort of slots and
-    entries together for each camera, no range join."""
+    """Each (session_id, slot, slot_ts_s) with each camera's nearest entry; of two as near the earlier (null if
+    it has no valid entry at all). One sort of slots and entries together for each camera and direction, no range join."""
     cams = log.select("session_id", "cam_id").distinct()
     grid = asked.join(cams, "session_id").select("session_id", "cam_id", F.col("slot_ts_s").alias("t"), "slot", F.lit(None).cast("int").alias("idx"), F.lit(0).alias("kind"))
     entries = log.filter(F.col(time).isNotNull() & ~F.isnan(time)).select("session_id", "cam_id", F.col(time).alias("t"), F.lit(None).cast("int").alias("slot"), "idx", F.lit(1).alias("kind"))
     both = grid.unionByName(entries)
     own = F.when(F.col("kind") == 1, F.struct("t", "idx"))
-    w = Window.partitionBy("session_id", "cam_id").orderBy("t", "kind", "idx", "slot")
-    both = both.withColumns(
-        {
-            "before": F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-            "after": F.first(own, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-        }
-    ).filter("kind = 0")
+    camera, order = Window.partitionBy("session_id", "cam_id"), ("t", "kind", "idx", "slot")
+    # Both frames reach back from the row, one in descending order: a frame that grows at its end is worked out in one pass.
+    last = lambda w: F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("before", last(camera.orderBy(*order))).withColumn("after", last(camera.orderBy(*map(F.desc, order)))).filter("kind = 0")
     back, ahead = F.col("t") - F.col("before.t"), F.col("after.t") - F.col("t")
     pick = F.when(ahead.isNull() | (back <= ahead), F.col("before")).otherwise(F.col("after"))
-    found = both.withColumn("hit", pick).filter("hit is not null")
+    found = both.withColumn("hit", pick)
     return found.select("session_id", "slot", F.col("t").alias("slot_ts_s"), "cam_id", F.col("hit.idx").alias("nearest_idx"), F.col("hit.t").alias("nearest_ts_s"), (F.abs(F.col("hit.t") - F.col("t")) * 1000).alias("delta_ms"))
 
 
 def quorum(matches: DataFrame, threshold_ms: float, decoded: DataFrame | None = None) -> DataFrame:
-    """Status of each camera in each slot: a slot counts only if all cameras are within the threshold. A frame that can't be decoded (``decoded``: session_id,
+    """Status of each camera in each slot: a slot counts only if all cameras are within the threshold; one without entries is missing in all. A frame that can't be decoded (``decoded``: session_id,
     cam_id, idx of those that can) spoils its own camera alone."""
     near = F.coalesce(F.col("delta_ms") <= threshold_ms, F.lit(False))
     whole = F.bool_and(near).over(Window.partitionBy("session_id", "slot"))
-    status = F.when(whole, "matched").when(near, "discarded_slot").otherwise("discarded")
+    status = F.when(whole, "matched").when(near, "discarded_slot").when(F.col("nearest_idx").isNull(), "missing").otherwise("discarded")
     out = matches.withColumn("status", status)
     if decoded is not None:
         seen = decoded.select("session_id", "cam_id", F.col("idx").alias("nearest_idx"), F.lit(True).alias("ok"))
@@ -86,6 +83,7 @@ def camera_stats(rows: DataFrame) -> DataFrame:
         is_("matched").alias("matched"),
         is_("discarded").alias("discarded"),
         is_("discarded_slot").alias("discarded_slot"),
+        is_("missing").alias("missing"),
         F.count(F.when(F.col("status") != "matched", 1)).alias("placeholders"),
         F.round(F.coalesce(F.avg("off"), F.lit(0.0)), 3).alias("mean_ms"),
         F.round(F.coalesce(F.max("off"), F.lit(0.0)), 3).alias("max_ms"),
@@ -95,7 +93,8 @@ def camera_stats(rows: DataFrame) -> DataFrame:
 
 def spread(rows: DataFrame) -> DataFrame:
     """Largest minus least matched time over whole slots: mean, maximum, p95, count."""
-    each = rows.filter("status = 'matched'").groupBy("session_id", "slot").agg(((F.max("matched_ts_s") - F.min("matched_ts_s")) * 1000).alias("ms"))
+    good = F.count(F.when(F.col("status") == "matched", 1)) == F.count(F.lit(1))
+    each = rows.groupBy("session_id", "slot").agg(((F.max("matched_ts_s") - F.min("matched_ts_s")) * 1000).alias("ms"), good.alias("whole")).filter("whole")
     return each.groupBy("session_id").agg(F.count(F.lit(1)).alias("slots"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.round(F.max("ms"), 3).alias("max_ms"), F.round(percentile("ms", 0.95), 3).alias("p95_ms"))
 
 
@@ -108,14 +107,25 @@ def drift(rows: DataFrame, fps: float, least: int = 20) -> DataFrame:
     return out.select("session_id", "cam_id", F.round("a", 3).alias("first_ms"), F.round("b", 3).alias("last_ms"), (F.abs(F.col("b") - F.col("a")) > 1000 / fps).alias("drifts"))
 
 
-def warnings(rows: DataFrame, log: DataFrame, fps: float, threshold_ms: float) -> DataFrame:
-    """(session_id, kind, cam_id, value): p95 spread over a frame, offsets over the threshold, a threshold under 0.45 frame, no calibration."""
+def warnings(rows: DataFrame, log: DataFrame, fps: float, threshold_ms: float, videos: DataFrame | None = None) -> DataFrame:
+    """(session_id, kind, cam_id, value): p95 spread over a frame, matched offsets over the threshold, a threshold under 0.45 frame, no calibration, and frames that
+    a video (session_id, cam_id, frames) has more than its log."""
     frame = 1000 / fps
     wide = spread(rows).filter(F.col("p95_ms") > frame).select("session_id", F.lit("spread").alias("kind"), F.lit("").alias("cam_id"), F.col("p95_ms").alias("value"))
-    far = rows.groupBy("session_id", "cam_id").agg(F.round(F.max("delta_ms"), 3).alias("value")).filter(F.col("value") > threshold_ms).select("session_id", F.lit("offset").alias("kind"), "cam_id", "value")
+    far = rows.filter("status = 'matched'").groupBy("session_id", "cam_id").agg(F.round(F.max("delta_ms"), 3).alias("value")).filter(F.col("value") > threshold_ms).select("session_id", F.lit("offset").alias("kind"), "cam_id", "value")
     tight = log.select("session_id").distinct().filter(F.lit(threshold_ms < 0.45 * frame)).select("session_id", F.lit("threshold").alias("kind"), F.lit("").alias("cam_id"), F.lit(float(threshold_ms)).alias("value"))
     bare = log.filter("host_offset_s is null").groupBy("session_id", "cam_id").agg(F.count(F.lit(1)).cast("double").alias("value")).select("session_id", F.lit("calibration").alias("kind"), "cam_id", "value")
-    return wide.unionByName(far).unionByName(tight).unionByName(bare)
+    out = wide.unionByName(far).unionByName(tight).unionByName(bare)
+    if videos is not None:
+        logged = log.groupBy("session_id", "cam_id").agg(F.count(F.lit(1)).alias("logged"))
+        more = (F.col("frames") - F.coalesce("logged", F.lit(0))).cast("double").alias("value")
+        out = out.unionByName(videos.join(logged, ["session_id", "cam_id"], "left").select("session_id", F.lit("count").alias("kind"), "cam_id", more).filter("value <> 0"))
+    return out
+
+
+def _videos(log: DataFrame) -> DataFrame:
+    """Videos with as many frames as their logs, but for one of cam2."""
+    return log.groupBy("session_id", "cam_id").agg((F.count(F.lit(1)) + F.when(F.col("cam_id") == "cam2", 1).otherwise(0)).alias("frames"))
 
 
 _SQL = f"""with {FRAME_LOG_SQL},
@@ -138,7 +148,7 @@ al as (select *, case when status = 'matched' then nearest_idx end as idx, case
   case when status = 'matched' then nearest_ts_s end as matched_ts_s from st)
 """
 _STATS = """select session_id, cam_id, count(case when status = 'matched' then 1 end) as matched, count(case when status = 'discarded' then 1 end) as discarded,
- count(case when status = 'discarded_slot' then 1 end) as discarded_slot, count(case when status <> 'matched' then 1 end) as placeholders,
+ count(case when status = 'discarded_slot' then 1 end) as discarded_slot, count(case when nearest_idx is null then 1 end) as missing, count(case when status <> 'matched' then 1 end) as placeholders,
  round(coalesce(avg(abs(offset_ms)), 0), 3) as mean_ms, round(coalesce(max(abs(offset_ms)), 0), 3) as max_ms, round(coalesce(quantile_cont(abs(offset_ms), 0.95), 0), 3) as p95_ms from al group by session_id, cam_id"""
 _SPREAD = """select session_id, count(*) as slots, round(avg(ms), 3) as mean_ms, round(max(ms), 3) as max_ms, round(coalesce(quantile_cont(ms, 0.95), 0), 3) as p95_ms
  from (select session_id, slot, (max(matched_ts_s) - min(matched_ts_s)) * 1000 as ms from al where status = 'matched' group by session_id, slot) group by session_id"""
@@ -154,7 +164,7 @@ QUERIES = {
     "align_camera_stats": lambda spark, sf: camera_stats(aligned(spark, sf)),
     "align_spread": lambda spark, sf: spread(aligned(spark, sf)),
     "align_drift": lambda spark, sf: drift(aligned(spark, sf), FPS),
-    "align_warnings": lambda spark, sf: warnings(aligned(spark, sf), frame_log(spark, sf), 1 / 500.0, 200_000.0),
+    "align_warnings": lambda spark, sf: warnings(aligned(spark, sf), frame_log(spark, sf), 1 / 500.0, 200_000.0, _videos(frame_log(spark, sf))),
 }
 ORACLE_SQL = {
     "align_slots": _SQL + "select session_id, slot, cam_id, status, idx, nearest_idx, round(delta_ms, 3) as delta_ms from al",
@@ -164,6 +174,7 @@ ORACLE_SQL = {
     "align_spread": _SQL + _SPREAD,
     "align_drift": _SQL + _DRIFT,
     "align_warnings": _SQL + f"""select session_id, 'spread' as kind, '' as cam_id, p95_ms as value from ({_SPREAD}) where p95_ms > 500000
- union all select * from (select session_id, 'offset' as kind, cam_id, round(max(delta_ms), 3) as value from al group by session_id, cam_id) where value > 200000
- union all select distinct session_id, 'threshold', '', cast(200000 as double) from frame_log where 200000 < 0.45 * 500000""",
+ union all select * from (select session_id, 'offset' as kind, cam_id, round(max(delta_ms), 3) as value from al where status = 'matched' group by session_id, cam_id) where value > 200000
+ union all select distinct session_id, 'threshold', '', cast(200000 as double) from frame_log where 200000 < 0.45 * 500000
+ union all select distinct session_id, 'count', cam_id, cast(1 as double) from frame_log where cam_id = 'cam2'""",
 }

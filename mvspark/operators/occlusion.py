@@ -24,9 +24,12 @@ def occlusions(boxes: DataFrame, keys: list[str], min_iou: float = MIN_IOU) -> D
     box = F.struct("frame", *CORNERS)
     seen = {p: F.max(F.when(F.col("place") == p, box)).alias(f"box{p}") for p in (1, 2)}
     rows = boxes.groupBy(*keys, "frame").agg(*seen.values(), F.max(F.coalesce("disagree", F.lit(False))).alias("disagree"))
-    w = Window.partitionBy(*keys).orderBy("frame")
-    near = {f"{side}{p}": f(f"box{p}", ignorenulls=True).over(w.rowsBetween(*rows_)) for p in (1, 2) for side, f, rows_ in (("before", F.last, (Window.unboundedPreceding, -1)), ("after", F.first, (1, Window.unboundedFollowing)))}
-    rows = rows.withColumns(near).filter("box1 is null or box2 is null")
+    series = Window.partitionBy(*keys)
+    # Both frames reach back from the row, one in descending order, so that each is worked out in one pass.
+    for side, order in (("before", F.asc("frame")), ("after", F.desc("frame"))):
+        w = series.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumns({f"{side}{p}": F.last(f"box{p}", ignorenulls=True).over(w) for p in (1, 2)})
+    rows = rows.filter("box1 is null or box2 is null")
     nearest = lambda p: F.when(F.col(f"after{p}").isNull() | (F.col("frame") - F.col(f"before{p}.frame") <= F.col(f"after{p}.frame") - F.col("frame")), F.col(f"before{p}")).otherwise(F.col(f"after{p}"))
     one = rows.select(*keys, "frame", F.when(F.col("box1").isNull(), 2).otherwise(1).alias("place"), F.coalesce("box1", "box2").alias("a"), F.when(F.col("box1").isNull(), nearest(1)).otherwise(nearest(2)).alias("b"), "disagree")
     iou = F.when(F.col("b").isNotNull(), box_iou([f"a.{c}" for c in CORNERS], [f"b.{c}" for c in CORNERS])).otherwise(0.0)

@@ -37,7 +37,10 @@ def combine_max(points: DataFrame) -> DataFrame:
 def combine_weighted(points: DataFrame) -> DataFrame:
     """Each landmark's mean over sources weighted by the frame's confidence (1e-6 at least); the confidence is the highest."""
     w = F.greatest(F.coalesce(F.col("conf"), F.lit(0.0)), F.lit(1e-6))
-    return points.groupBy("cam_id", "frame", "part", "lm_id").agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in "xy"], F.max("conf").alias("conf"))
+    # The few sources of a landmark are added in the order of source_ord: a sum in the order of arrival would not be the same twice.
+    few = points.groupBy("session", "cam_id", "frame", "part", "lm_id").agg(F.array_sort(F.collect_list(F.struct("source_ord", w.alias("w"), "x", "y"))).alias("s"), F.max("conf").alias("conf"))
+    total = lambda value: F.aggregate("s", F.lit(0.0), lambda acc, s: acc + value(s))
+    return few.select("session", "cam_id", "frame", "part", "lm_id", *[(total(lambda s, c=c: s["w"] * s[c]) / total(lambda s: s["w"])).alias(c) for c in "xy"], "conf")
 
 
 def source_disagreement(points: DataFrame, ratio: float = 0.5) -> DataFrame:
@@ -66,7 +69,7 @@ def leave_one_out_swap(seen: DataFrame, margin_px: float = 5.0) -> DataFrame:
     wrist = seen.filter("lm_id = 0")
     terms = gram_terms("u", "v")
     rows = wrist.select("*", *[t.alias(f"g{k}") for k, t in enumerate(terms)])
-    w = Window.partitionBy("frame", "part")
+    w = Window.partitionBy("session", "frame", "part")
     others = [(F.sum(f"g{k}").over(w) - F.col(f"g{k}")).alias(f"o{k}") for k in range(10)]
     rows = rows.select("*", *others, (F.count(F.lit(1)).over(w) - 1).alias("n_others")).filter("n_others >= 2")
     rows = rows.withColumn("p", smallest_eigvec4(F.array(*[f"o{k}" for k in range(10)]))).filter("p is not null")
@@ -203,7 +206,8 @@ ORACLE_SQL = {
     "cooccurrence": _K + """, b as (select cam_id, frame, max(case when part = 'left' and conf < 0.5 then 1 else 0 end) as l, max(case when part = 'right' and conf < 0.7 then 1 else 0 end) as r from keypoint where lm_id = 0 group by cam_id, frame)
  select cam_id, case when max(l) > min(l) and max(r) > min(r) then round(corr(l, r), 6) end as corr from b group by cam_id""",
     "combine_max": _TWO + "select cam_id, frame, part, lm_id, source_ord, round(conf, 4) as conf from (select *, max(conf) over (partition by cam_id, frame, part) as best, rank() over (partition by cam_id, frame, part order by conf desc, source_ord) as r from two) where r = 1",
-    "combine_weighted": _TWO + "select cam_id, frame, part, lm_id, round(sum(greatest(conf, 1e-6) * x) / sum(greatest(conf, 1e-6)), 6) as x, round(sum(greatest(conf, 1e-6) * y) / sum(greatest(conf, 1e-6)), 6) as y, round(max(conf), 6) as conf from two group by cam_id, frame, part, lm_id",
+    "combine_weighted": _TWO + """select cam_id, frame, part, lm_id, round(list_reduce(list(greatest(conf, 1e-6) * x order by source_ord), lambda a, b: a + b) / list_reduce(list(greatest(conf, 1e-6) order by source_ord), lambda a, b: a + b), 6) as x,
+ round(list_reduce(list(greatest(conf, 1e-6) * y order by source_ord), lambda a, b: a + b) / list_reduce(list(greatest(conf, 1e-6) order by source_ord), lambda a, b: a + b), 6) as y, round(max(conf), 6) as conf from two group by cam_id, frame, part, lm_id""",
     "bodywrist_swap": _BW + " select cam_id, frame, round(labelled_px - swapped_px, 3) as margin, swapped_px < labelled_px - 20 as swap from t",
     "velocity": _STEP + " select cam_id, part, frame, round(step_px, 3) as step_px, coalesce(step_px > 200, false) as fast from s",
     "jitter_flags": _STEP + """, m as (select *, median(step_px) over (partition by cam_id, part) as mid from s where step_px is not null), d as (select *, median(abs(step_px - mid)) over (partition by cam_id, part) as mad from m)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mvspark.functions.geometry import gram_terms
+from mvspark.functions.geometry import PROJECTION, gram_terms
 from mvspark.operators.triangulate import robust_cameras, views
 from mvspark.plans.fixtures import POINTS_SQL, calibration, keypoints, true_points
 
@@ -25,11 +25,9 @@ def wrist_errors(views: pd.DataFrame, used: pd.Series) -> np.ndarray:
     x, y, z, w = np.linalg.eigh(np.triu(full) + np.triu(full, 1).T)[1][:, 0]
     if abs(w) < 1e-12:
         return np.full(len(views), np.inf)
-    x, y, z = x / w, y / w, z / w
-    depth = 2 + views["rc"] * z - views["rs"] * x
-    u = views["fx"] * (views["rc"] * x + views["rs"] * z) / depth + views["cx"]
-    v = views["fy"] * y / depth + views["cy"]
-    return np.hypot(u - views["u"], v - views["v"]).to_numpy()
+    point = np.array([x, y, z, w]) / w
+    u, v, depth = (views[row].to_numpy(float) @ point for row in PROJECTION)
+    return np.hypot(u / depth - views["u"].to_numpy(), v / depth - views["v"].to_numpy())
 
 
 def steady_scan(rows: pd.DataFrame, max_px: float, margin: int, factor: float) -> list[dict]:
@@ -59,8 +57,8 @@ def steady_scan(rows: pd.DataFrame, max_px: float, margin: int, factor: float) -
 
 def steady_cameras(seen: DataFrame, best: DataFrame, frames: DataFrame, max_px: float = 15.0, margin: int = 0, factor: float = 1.5) -> DataFrame:
     """(session, part, frame, cameras, n_inliers, mean_err, held): robust camera sets that don't flicker. One wrist's views in one session are a group."""
-    wrist = seen.filter("lm_id = 0").select("session", "frame", "part", "cam_id", F.col("ord").cast("int").alias("ord"), "u", "v", "rc", "rs", "fx", "fy", "cx", "cy", *[t.alias(g) for g, t in zip(GRAM, gram_terms("u", "v"), strict=True)])
-    rows = wrist.join(_places(frames), ["session", "frame"]).join(best.select("frame", "part", "cameras", "mean_err"), ["frame", "part"], "left")
+    wrist = seen.filter("lm_id = 0").select("session", "frame", "part", "cam_id", F.col("ord").cast("int").alias("ord"), "u", "v", *[c for row in PROJECTION for c in row], *[t.alias(g) for g, t in zip(GRAM, gram_terms("u", "v"), strict=True)])
+    rows = wrist.join(_places(frames), ["session", "frame"]).join(best.select("session", "frame", "part", "cameras", "mean_err"), ["session", "frame", "part"], "left")
     columns = ["session", "part", "frame", "cameras", "n_inliers", "mean_err", "held"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

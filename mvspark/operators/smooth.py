@@ -84,23 +84,23 @@ def savgol(points: DataFrame, keys: list[str], value: str, whole: bool = True) -
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return true_points(spark, sf_dir).filter("lm_id = 0").withColumns({"n_views": F.when(F.col("frame") % 3 == 0, 2).otherwise(4)})
+    return true_points(spark, sf_dir).withColumns({"n_views": F.when(F.col("frame") % 3 == 0, 2).otherwise(4)})
 
 
 def _kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _series(spark, sf_dir)
     seen = s.withColumns({c: F.when(F.col("frame") % 7 != 0, F.col(c)) for c in "xyz"}).dropna(subset=["x"])  # a gap in each seventh frame
     out = smooth(seen, s, ["session", "part", "lm_id"])
-    return out.select("session", "part", "frame", "observed", *[F.round(c, 6).alias(c) for c in "xyz"])
+    return out.select("session", "part", "lm_id", "frame", "observed", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
 QUERIES = {
     "kalman_rts": _kalman,
     # Its SQL leaves the ends of a series as they are; savgol_whole does them too.
-    "savgol": lambda spark, sf: savgol(_series(spark, sf), ["session", "part"], "x", whole=False).select("session", "part", "frame", F.round("smooth", 6).alias("smooth")),
-    "savgol_whole": lambda spark, sf: savgol(_series(spark, sf), ["session", "part"], "x").select("session", "part", "frame", F.round("smooth", 6).alias("smooth")),
+    "savgol": lambda spark, sf: savgol(_series(spark, sf), ["session", "part", "lm_id"], "x", whole=False).select("session", "part", "lm_id", "frame", F.round("smooth", 6).alias("smooth")),
+    "savgol_whole": lambda spark, sf: savgol(_series(spark, sf), ["session", "part", "lm_id"], "x").select("session", "part", "lm_id", "frame", F.round("smooth", 6).alias("smooth")),
 }
 _TAPS = " + ".join(f"{c} * lag(x, {-k}) over w" if k < 0 else f"{c} * lead(x, {k}) over w" if k else f"{c} * x" for k, c in zip(range(-3, 4), SAVGOL, strict=True))
 ORACLE_SQL = {
-    "savgol": f"with {POINTS_SQL}, s as (select * from points where lm_id = 0) select session, part, frame, round(coalesce(({_TAPS}) / 21.0::double, x), 6) as smooth from s window w as (partition by session, part order by frame)",
+    "savgol": f"with {POINTS_SQL}, s as (select * from points) select session, part, lm_id, frame, round(coalesce(({_TAPS}) / 21.0::double, x), 6) as smooth from s window w as (partition by session, part, lm_id order by frame)",
 }

@@ -4,10 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mvspark.functions.geometry import gram_terms, project, smallest_eigvec4, to_pixels
+from mvspark.functions.geometry import PROJECTION, gram_terms, project, smallest_eigvec4, to_pixels
 from mvspark.plans.fixtures import calibration, keypoints, keypoints_sql
 
-POINT = ["frame", "part", "lm_id"]
+POINT = ["session", "frame", "part", "lm_id"]
+SIDE = ["session", "frame", "part"]
+#: What the queries show of a point: a frame is of one session.
+SHOWN = POINT[1:]
+CAMERA = ["cam_id", "ord", "u", "v", *[c for row in PROJECTION for c in row]]
 
 
 def views(points: DataFrame, cameras: DataFrame, min_conf: float = 0.0) -> DataFrame:
@@ -35,29 +39,29 @@ def reprojection(points: DataFrame, seen: DataFrame, keys: list[str] = POINT) ->
 
 def camera_pairs(seen: DataFrame) -> DataFrame:
     """All pairs of one group's views, in the order of the cameras (at most cameras squared for a point)."""
-    a, b = seen.select("frame", "part", F.col("cam_id").alias("cam_a"), F.col("ord").alias("ord_a")), seen.select("frame", "part", F.col("cam_id").alias("cam_b"), F.col("ord").alias("ord_b"))
-    return a.join(b, ["frame", "part"]).filter("ord_a < ord_b")
+    a, b = (seen.select(*SIDE, F.col("cam_id").alias(f"cam_{x}"), F.col("ord").alias(f"ord_{x}")) for x in "ab")
+    return a.join(b, SIDE).filter("ord_a < ord_b")
 
 
-def robust_cameras(seen: DataFrame, max_px: float = 15.0) -> DataFrame:
-    """For each (frame, part) the cameras that agree: every pair proposes its point of the wrist (landmark 0), the gated cameras within max_px
+def robust_cameras(seen: DataFrame, max_px: float = 15.0, landmark: int = 0) -> DataFrame:
+    """For each (session, frame, part) the cameras that agree: every pair proposes its point of the wrist (or another landmark), the gated cameras within max_px
     are its inliers (two at least); most inliers win, then the least mean error, then the first pair."""
-    wrist = seen.filter("lm_id = 0")
+    wrist = seen.filter(F.col("lm_id") == landmark)
     pairs = camera_pairs(wrist)
-    members = pairs.select("frame", "part", "ord_a", "ord_b", F.explode(F.array("cam_a", "cam_b")).alias("cam_id")).join(wrist, ["frame", "part", "cam_id"])
-    keys = ["frame", "part", "ord_a", "ord_b"]
+    members = pairs.select(*SIDE, "ord_a", "ord_b", F.explode(F.array("cam_a", "cam_b")).alias("cam_id")).join(wrist, [*SIDE, "cam_id"])
+    keys = [*SIDE, "ord_a", "ord_b"]
     proposed = triangulate(members, keys)
     u, v = project("x", "y", "z")
-    tried = proposed.join(wrist.select("frame", "part", "cam_id", "ord", "u", "v", "rc", "rs", "fx", "fy", "cx", "cy"), ["frame", "part"]).withColumn("err", F.hypot(u - F.col("u"), v - F.col("v")))
+    tried = proposed.join(wrist.select(*SIDE, *CAMERA), SIDE).withColumn("err", F.hypot(u - F.col("u"), v - F.col("v")))
     sets = tried.filter(F.col("err") < max_px).groupBy(*keys).agg(F.array_sort(F.collect_list("cam_id")).alias("cameras"), F.count(F.lit(1)).alias("n_inliers"), F.avg("err").alias("mean_err")).filter("n_inliers >= 2")
-    best = Window.partitionBy("frame", "part").orderBy(F.desc("n_inliers"), F.round("mean_err", 9), "ord_a", "ord_b")
-    return sets.withColumn("place", F.row_number().over(best)).filter("place = 1").select("frame", "part", "cameras", "n_inliers", "mean_err")
+    best = Window.partitionBy(*SIDE).orderBy(F.desc("n_inliers"), F.round("mean_err", 9), "ord_a", "ord_b")
+    return sets.withColumn("place", F.row_number().over(best)).filter("place = 1").select(*SIDE, "cameras", "n_inliers", "mean_err")
 
 
 def triangulate_robust(seen: DataFrame, chosen: DataFrame, weight: str = "conf") -> DataFrame:
     """All landmarks from the chosen cameras."""
-    kept = chosen.select("frame", "part", F.explode("cameras").alias("cam_id"))
-    return triangulate(seen.join(kept, ["frame", "part", "cam_id"], "left_semi"), weight=weight)
+    kept = chosen.select(*SIDE, F.explode("cameras").alias("cam_id"))
+    return triangulate(seen.join(kept, [*SIDE, "cam_id"], "left_semi"), weight=weight)
 
 
 def plausible(errors: DataFrame, max_px: float = 30.0, spread: float = 3.0) -> DataFrame:
@@ -92,7 +96,7 @@ def _seen(spark: SparkSession, sf_dir: str, noise: float = 0.0, min_conf: float
 
 def _rounded(points: DataFrame) -> DataFrame:
     # Adding 0.0 turns a negative zero into zero.
-    return points.select(*POINT, "n_views", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
+    return points.select(*SHOWN, "n_views", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
 
 
 def camera_errors(errors: DataFrame) -> DataFrame:
@@ -113,20 +117,32 @@ def _pixel_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reprojection(true_points(spark, sf_dir), _seen(spark, sf_dir, 2.0))
 
 
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of which one camera's, in every third frame with four views of the wrist, lie 300 pixels off for a whole hand: it must be left out."""
+    seen = _seen(spark, sf_dir)
+    full = seen.filter("lm_id = 0").groupBy(*SIDE).agg((F.count(F.lit(1)) == 4).alias("full")).filter("full and frame % 3 = 0").drop("full")
+    off = F.when((F.col("bad") == 1) & (F.col("ord") == F.col("frame") % 4), 300.0).otherwise(0.0)
+    return seen.join(full.withColumn("bad", F.lit(1)), SIDE, "left").withColumns({"u": F.col("u") + off, "v": F.col("v") + off}).drop("bad")
+
+
 _K = "with " + keypoints_sql(0.0)
 _GATED = f"{_K}, n as (select frame, part, lm_id, count(*) as n_views from keypoint where conf >= 0.5 group by frame, part, lm_id having count(*) >= 2) "
 _KNOWN = _GATED + "select p.frame, p.part, p.lm_id, n_views, round(x, 4) + 0.0 as x, round(y, 4) + 0.0 as y, round(z, 4) + 0.0 as z from points p join n using (frame, part, lm_id)"
+_PLANTED = f"""{_K}, w as (select *, count(*) over (partition by frame, part, lm_id) as k from keypoint where conf >= 0.5),
+ good as (select w.* from w left join (select distinct frame, part from w where lm_id = 0 and k = 4 and frame % 3 = 0) b using (frame, part) where b.frame is null or ord <> w.frame % 4) """
 
 QUERIES = {
-    "project_points": lambda spark, sf: keypoints(spark, sf).select(*POINT, "cam_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")),
+    "project_points": lambda spark, sf: keypoints(spark, sf).select(*SHOWN, "cam_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")),
     "triangulate": lambda spark, sf: _rounded(triangulate(_seen(spark, sf))),
     "triangulate_weighted": lambda spark, sf: _rounded(triangulate(_seen(spark, sf), weight="conf")),
     "triangulate_robust": lambda spark, sf: _rounded(triangulate_robust(s := _seen(spark, sf), robust_cameras(s))),
     "robust_set": lambda spark, sf: robust_cameras(_seen(spark, sf)).select("frame", "part", F.array_join("cameras", ",").alias("cameras"), "n_inliers"),
+    "robust_planted": lambda spark, sf: robust_cameras(_planted(spark, sf)).select("frame", "part", F.array_join("cameras", ",").alias("cameras"), "n_inliers"),
+    "triangulate_planted": lambda spark, sf: _rounded(triangulate_robust(s := _planted(spark, sf), robust_cameras(s))),
     "camera_error": lambda spark, sf: camera_errors(_pixel_error(spark, sf)),
     "triangulated_error": lambda spark, sf: camera_errors(_errors(spark, sf)),
     "pair_rank": lambda spark, sf: rank_pairs(_seen(spark, sf)),
-    "plausible_points": lambda spark, sf: plausible(_errors(spark, sf)).select(*POINT),
+    "plausible_points": lambda spark, sf: plausible(_errors(spark, sf)).select(*SHOWN),
 }
 ORACLE_SQL = {
     "project_points": _K + "select frame, part, lm_id, cam_id, round(x, 6) as x, round(y, 6) as y from keypoint",
@@ -135,6 +151,9 @@ ORACLE_SQL = {
     "triangulate_weighted": _KNOWN,
     "triangulate_robust": _KNOWN.replace("from keypoint where", "from keypoint join (select distinct frame, part from keypoint where lm_id = 0) using (frame, part) where"),
     "robust_set": _K + "select frame, part, string_agg(cam_id, ',' order by cam_id) as cameras, count(*) as n_inliers from keypoint where lm_id = 0 and conf >= 0.5 group by frame, part having count(*) >= 2",
+    "robust_planted": _PLANTED + "select frame, part, string_agg(cam_id, ',' order by cam_id) as cameras, count(*) as n_inliers from good where lm_id = 0 group by frame, part having count(*) >= 2",
+    "triangulate_planted": _PLANTED + """, n as (select frame, part, lm_id, count(*) as n_views from good where (frame, part) in (select (frame, part) from w where lm_id = 0) group by frame, part, lm_id having count(*) >= 2)
+ select p.frame, p.part, p.lm_id, n_views, round(x, 4) + 0.0 as x, round(y, 4) + 0.0 as y, round(z, 4) + 0.0 as z from points p join n using (frame, part, lm_id)""",
     "camera_error": "with " + keypoints_sql(2.0) + """, e as (select cam_id, part, sqrt(2) * abs(2.0 * ((frame * 31 + ord * 17) % 7 - 3) / 10) as err_px from keypoint where conf >= 0.5)
  select cam_id, part, count(*) as n, round(avg(err_px), 3) as mean_px, round(quantile_cont(err_px, 0.25), 3) as q25_px, round(quantile_cont(err_px, 0.5), 3) as median_px, round(quantile_cont(err_px, 0.75), 3) as q75_px from e group by cam_id, part""",
     "pair_rank": _K + """, s as (select frame, part, lm_id, cam_id, ord from keypoint where conf >= 0.5)

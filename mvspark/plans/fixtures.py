@@ -4,6 +4,7 @@ text of the same rows. The SQL texts are common table expressions that oracles p
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mvspark.functions.geometry import with_projection
 from mvspark.functions.series import row_index
 
 #: Rotations about y of four cameras as (cos, sin); focal length, principal point, frame size.
@@ -54,7 +55,16 @@ def calibration(spark: SparkSession) -> DataFrame:
     """Four cameras on a ring that look at the origin from two units away."""
     rows = [(f"cam{k:02d}", k, c, s) for k, (c, s) in enumerate(RING)]
     cams = spark.createDataFrame(rows, "cam_id string, ord int, rc double, rs double")
-    return cams.select("cam_id", "ord", "rc", "rs", *[F.lit(v).alias(n) for n, v in (("fx", FOCAL), ("fy", FOCAL), ("cx", CX), ("cy", CY), ("width", WIDTH), ("height", HEIGHT))])
+    rc, rs, zero, one = F.col("rc"), F.col("rs"), F.lit(0.0), F.lit(1.0)
+    cams = cams.withColumns({"r": F.array(rc, zero, rs, zero, one, zero, -rs, zero, rc), "t": F.array(zero, zero, F.lit(2.0))})
+    return with_projection(cams.select("*", *[F.lit(v).alias(n) for n, v in (("fx", FOCAL), ("fy", FOCAL), ("cx", CX), ("cy", CY), ("width", WIDTH), ("height", HEIGHT))]))
+
+
+def ring_pixels() -> tuple:
+    """Pixels of a point (x, y, z) in a camera of the ring, in the form that the SQL has."""
+    x, y, z, rc, rs = map(F.col, ("x", "y", "z", "rc", "rs"))
+    depth = F.lit(2.0) + rc * z - rs * x
+    return F.try_divide(F.col("fx") * (rc * x + rs * z), depth) + F.col("cx"), F.try_divide(F.col("fy") * y, depth) + F.col("cy")
 
 
 CALIBRATION_SQL = (
@@ -93,10 +103,8 @@ points as (select cast(floor(frame / 4000) as bigint) as session, cast(frame as
 
 def keypoints(spark: SparkSession, sf_dir: str, noise: float = 0.0) -> DataFrame:
     """The points as each camera sees them (image fractions), with the confidence of the detection."""
-    from mvspark.functions.geometry import project
-
     seen = true_points(spark, sf_dir).join(F.broadcast(calibration(spark)), F.lit(True))  # four cameras
-    u, v = project("x", "y", "z")
+    u, v = ring_pixels()
     n = F.lit(noise) * ((F.col("frame") * 31 + F.col("ord") * 17) % 7 - 3) / 10
     seen = seen.select("session", "frame", "part", "lm_id", "cam_id", "ord", u.alias("u"), v.alias("v"), n.alias("n"))
     return seen.select(

@@ -35,10 +35,10 @@ def parse_header(texts: DataFrame, keys: list[str]) -> DataFrame:
     lines = texts.select(*keys, F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     first = F.min(F.when(~F.col("line").startswith("#"), F.col("pos"))).over(Window.partitionBy(*keys))
     head = lines.withColumn("first", first).filter(F.coalesce(F.col("pos") < F.col("first"), F.lit(True)))
-    size, offset = r"(\d+)x(\d+)@(\d+(?:\.\d+)?)FPS", r"host_offset_s=([-+0-9.eE]+)"
+    size, offset = r"(\d+)x(\d+)@(\d+(?:\.\d+)?)fps", r"host_offset_s=([-\d.]+)"
     got = lambda pattern, k: F.nullif(F.regexp_extract("line", pattern, k), F.lit(""))
     last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("pos")))
-    sync = F.when(F.col("line").contains("sync_calibration"), got(offset, 1))
+    sync = F.when(F.col("line").startswith("# sync_calibration"), got(offset, 1))
     return head.groupBy(*keys).agg(last(got(size, 1)).cast("int").alias("rec_w"), last(got(size, 2)).cast("int").alias("rec_h"), last(got(size, 3)).cast("double").alias("fps"), last(sync).cast("double").alias("host_offset_s"))
 
 
@@ -72,7 +72,11 @@ def log_texts(log: DataFrame) -> DataFrame:
     """Logs in text form, with their headers: what the recorder writes."""
     line = F.concat_ws(" ", F.format_string("%.6f", "host_ts_s"), "seq", F.format_string("%.6f", "device_ts_s"), "n_bytes")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("l")))), lambda s: s["l"]), "\n")
-    head = F.concat(F.lit("# 3840x2160@30FPS\n# sync_calibration host_offset_s="), F.max("host_offset_s").cast("string"), F.lit("\n\nshort line x\n"))
+    # Sizes and rates differ by camera, so that what is read must come from the text.
+    n = F.substring("cam_id", 4, 4).cast("int")
+    size = F.format_string("# iso=800 shutter_us=4000 %dx%d@%dfps mjpeg_q=70\n", 3840 - 640 * n, 2160 - 360 * n, 30 - 5 * n)
+    sync = F.format_string("# sync_calibration host_ts_s=%.9f device_ts_s=%.9f host_offset_s=%.9f\n", F.min("host_ts_s"), F.min("device_ts_s"), F.max("host_offset_s"))
+    head = F.concat(F.lit("# video=v.mjpeg\n# camera=c\n"), size, sync, F.lit("# sync_source=rec_mjpeg_post_warmup\n# frame_log: host_ts_s sequence_num device_timestamp_s bytes\n\nshort line x\n"))
     return log.groupBy("session_id", "cam_id").agg(F.concat(head, body).alias("value"))
 
 
@@ -114,7 +118,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "log_parse": _WITH + "select session_id, cam_id, idx, seq, n_bytes, cast(round(host_ts_s * 1e6) as bigint) as host_us, cast(round(device_ts_s * 1e6) as bigint) as device_us from frame_log",
-    "log_header": _WITH + "select session_id, cam_id, 3840 as rec_w, 2160 as rec_h, cast(30 as double) as fps, max(host_offset_s) as host_offset_s from frame_log group by session_id, cam_id",
+    "log_header": _WITH + "select session_id, cam_id, 3840 - 640 * n as rec_w, 2160 - 360 * n as rec_h, cast(30 - 5 * n as double) as fps, max(host_offset_s) as host_offset_s from (select *, cast(substr(cam_id, 4) as integer) as n from frame_log) group by session_id, cam_id, n",
     "mjpeg_offsets": _WITH + "select session_id, cam_id, idx, cast(coalesce(sum(n_bytes) over (partition by session_id, cam_id order by idx rows between unbounded preceding and 1 preceding), 0) as bigint) as offset, n_bytes as length from frame_log",
     "warmup_sync": _WITH + "select session_id, cam_id, round(min_by(host_ts_s - device_ts_s, idx), 4) as sync_offset_s, min(idx) as idx from frame_log where idx >= 10 group by session_id, cam_id",
     "window_fps": _WITH + "select session_id, cam_id, cast(floor(host_ts_s / 86400) * 86400 as bigint) as from_s, count(*) as frames from frame_log group by session_id, cam_id, from_s",

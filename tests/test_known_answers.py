@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from mvspark.functions.geometry import angle_degrees, box_iou, quaternion, undistort
@@ -48,7 +49,7 @@ def test_kalman_fills_gaps_of_a_straight_line():
 
 
 def test_logs(spark):
-    text = "# 3840x2160@30FPS\n# sync_calibration host_offset_s=0.25\n\n1.5 7 1.25 900\nshort line\n1970-01-01T00:00:02 8 NaN 901\n# 1x1@1FPS\n"
+    text = "# camera=cam0\n# iso=800 shutter_us=4000 3840x2160@30fps mjpeg_q=70\n# sync_calibration host_ts_s=1.0 device_ts_s=0.75 host_offset_s=0.25\n# unified_time = device_timestamp_s + host_offset_s\n\n1.5 7 1.25 900\nshort line\n1970-01-01T00:00:02 8 NaN 901\n# 1x1@1fps\n"
     df = spark.createDataFrame([("a", text)], "path string, value string")
     rows = parse_log(df, ["path"]).orderBy("idx").collect()
     assert [(r.idx, r.seq, r.host_ts_s) for r in rows] == [(0, 7, 1.5), (1, 8, 2.0)]
@@ -155,3 +156,79 @@ def test_savgol_at_the_ends(spark):
             lo = min(max(t - window // 2, 0), n - window)
             want = np.polyval(np.polyfit(np.arange(lo, lo + window), xs[lo : lo + window], 3), t) if window > 3 else xs[t]
             assert abs(got[n, t] - want) < 1e-9
+
+
+def test_alignment_of_gaps_and_empty_cameras(spark):
+    from mvspark.operators import align
+
+    log = spark.createDataFrame(
+        [("s", "cam0", k, float(k)) for k in range(6)] + [("s", "cam1", k, k + 0.01) for k in range(6) if k != 3] + [("s", "cam2", k, None) for k in range(3)], "session_id string, cam_id string, idx int, unified_ts_s double"
+    )
+    two = log.filter("cam_id <> 'cam2'")
+    asked = align.slots(two, "cam0")
+    rows = align.quorum(align.nearest(asked, two), 50.0).collect()
+    assert {r.status for r in rows if r.slot_ts_s == 3.0} == {"discarded", "discarded_slot"} and sum(r.status == "matched" for r in rows) == 8
+    rows = align.quorum(align.nearest(asked, log), 50.0)
+    # A camera without valid entries spoils every slot.
+    assert {(r.cam_id, r.status) for r in rows.filter("slot = 1").collect()} == {("cam0", "discarded_slot"), ("cam1", "discarded_slot"), ("cam2", "missing")}
+    assert {r["kind"] for r in align.warnings(align.quorum(align.nearest(asked, two), 50.0), log.withColumn("host_offset_s", F.lit(0.0)), 30.0, 50.0).collect()} == set()
+
+
+def test_alignment_grows_with_its_rows(spark):
+    import time
+
+    from mvspark.operators import align
+
+    def took(n):
+        log = spark.range(2 * n).select(F.lit("s").alias("session_id"), F.when(F.col("id") % 2 == 0, "cam0").otherwise("cam1").alias("cam_id"), (F.col("id") / 2).cast("int").alias("idx"), (F.col("id") / 100).alias("unified_ts_s"))
+        began = time.time()
+        align.nearest(align.slots(log, "cam0"), log).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    took(1_000)
+    assert took(80_000) < 8 * took(10_000) + 20
+
+
+def test_recordings_need_logs(spark, tmp_path):
+    from mvspark.operators import rigs
+
+    for name in ("video_cam2.mjpeg", "frames_cam2.log", "video_cam10.mjpeg"):
+        (tmp_path / name).write_bytes(b"")
+    with pytest.raises(FileNotFoundError, match="cam10"):
+        rigs.read_recordings(spark, str(tmp_path))
+    (tmp_path / "frames_cam10.log").write_bytes(b"")
+    found = rigs.read_recordings(spark, str(tmp_path)).orderBy(rigs.camera_number()).collect()
+    assert [r.cam_id for r in found] == ["cam2", "cam10"] and all(r.log and r.session_id == tmp_path.name for r in found)
+
+
+def test_sessions_with_equal_frames_stay_apart(spark, sf_dir):
+    from mvspark.operators import triangulate
+    from mvspark.plans.fixtures import calibration as ring, keypoints
+
+    one = keypoints(spark, sf_dir).filter("frame < 200")
+    two = one.withColumns({"session": F.lit(99).cast("long"), "x": F.col("x") + 0.001})
+    both = triangulate.triangulate(triangulate.views(one.unionByName(two), ring(spark)))
+    alone = triangulate.triangulate(triangulate.views(one, ring(spark)))
+    assert {(r.frame, r.part, r.lm_id, round(r.x, 6), r.n_views) for r in both.filter("session <> 99").collect()} == {(r.frame, r.part, r.lm_id, round(r.x, 6), r.n_views) for r in alone.collect()}
+
+
+def test_points_from_saved_calibrations(spark):
+    """Cameras that are on no ring, written to calibration JSON, read back, and used."""
+    from mvspark.functions.geometry import project, with_projection
+    from mvspark.operators import triangulate
+    from mvspark.sources.records import calibration_texts, read_calibrations
+
+    def turned(axis, angle):
+        return calibration.rotation_matrix(np.array(axis, float) / np.linalg.norm(axis) * angle).ravel().tolist()
+
+    cams = [(f"cam{k}", f"d{k}", 900.0 + 50 * k, 950.0, 640.0, 350.0 + k, [0.0] * 8, 1280, 720 + 10 * k, turned(a, w), t) for k, (a, w, t) in enumerate([((1, 2, 0.5), 0.3, [0.1, 0.2, 3.0]), ((0, 1, 1), -0.5, [-0.4, 0.1, 2.5]), ((1, 0, 0), 0.9, [0.3, -0.6, 4.0])])]
+    kinds = "cam_id string, device_id string, fx double, fy double, cx double, cy double, dist array<double>, width int, height int, r array<double>, t array<double>"
+    saved = calibration_texts(spark.createDataFrame(cams, kinds).withColumn("rig", F.lit(1)), ["rig"])
+    rig = with_projection(read_calibrations(saved, ["rig"])).withColumn("ord", F.substring("cam_id", 4, 1).cast("int"))
+    points = spark.createDataFrame([(0, f, "left", lm, 0.1 * f, 0.05 * lm, 0.02 * f * lm) for f in range(4) for lm in range(3)], "session long, frame long, part string, lm_id int, x double, y double, z double")
+    u, v = project("x", "y", "z")
+    seen = points.crossJoin(rig.select("cam_id", *[c for c in rig.columns if c.startswith("p")], "width", "height")).select("session", "frame", "part", "lm_id", "cam_id", (u / F.col("width")).alias("x"), (v / F.col("height")).alias("y"), F.lit(1.0).alias("conf"))
+    found = triangulate.triangulate(triangulate.views(seen, rig)).join(points.select("frame", "lm_id", *[F.col(c).alias(f"t{c}") for c in "xyz"]), ["frame", "lm_id"]).collect()
+    assert len(found) == 12 and all(abs(r[c] - r[f"t{c}"]) < 1e-6 for r in found for c in "xyz")
+    sets = triangulate.robust_cameras(triangulate.views(seen, rig)).collect()
+    assert len(sets) == 4 and all(r.n_inliers == 3 for r in sets)
