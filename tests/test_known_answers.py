@@ -193,10 +193,10 @@ def test_recordings_need_logs(spark, tmp_path):
     from mvspark.operators import rigs
 
     for name in ("video_cam2.mjpeg", "frames_cam2.log", "video_cam10.mjpeg"):
-        (tmp_path / name).write_bytes(b"")
+        (tmp_path / name).write_bytes(b"x")
     with pytest.raises(FileNotFoundError, match="cam10"):
         rigs.read_recordings(spark, str(tmp_path))
-    (tmp_path / "frames_cam10.log").write_bytes(b"")
+    (tmp_path / "frames_cam10.log").write_bytes(b"x")
     found = rigs.read_recordings(spark, str(tmp_path)).orderBy(rigs.camera_number()).collect()
     assert [r.cam_id for r in found] == ["cam2", "cam10"] and all(r.log and r.session_id == tmp_path.name for r in found)
 
