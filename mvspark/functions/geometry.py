@@ -96,19 +96,26 @@ def angle_degrees(a: str, b: str) -> Column:
     return F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (trace - 1) / 2))))
 
 
-def undistort(u, v, k: tuple[float, ...], steps: int = 5) -> tuple[Column, Column]:
-    """Pixels without lens distortion: the eight-coefficient rational model (k1 k2 p1 p2 k3 k4 k5 k6) turned round by so many fixed-point steps. Columns fx, fy, cx, cy."""
+def undistort_step(x: Column, y: Column, x0: Column, y0: Column, k: tuple) -> tuple[Column, Column, Column]:
+    """One fixed-point step of the eight-coefficient rational model (k1 k2 p1 p2 k3 k4 k5 k6, numbers or columns) turned round: the next x and y, and whether the model's
+    factor is negative, where the point stays as it is."""
     k1, k2, p1, p2, k3, k4, k5, k6 = k
+    r = x * x + y * y
+    scale = (1 + ((k6 * r + k5) * r + k4) * r) / (1 + ((k3 * r + k2) * r + k1) * r)
+    dx, dy = 2 * p1 * x * y + p2 * (r + 2 * x * x), p1 * (r + 2 * y * y) + 2 * p2 * x * y
+    return (x0 - dx) * scale, (y0 - dy) * scale, F.coalesce(scale < 0, F.lit(False))
+
+
+def undistort(u, v, k: tuple, steps: int = 5) -> tuple[Column, Column]:
+    """Pixels without lens distortion, by so many steps. Columns fx, fy, cx, cy. For whole tables undistort_points has a projection for each step instead."""
     x0, y0 = (_c(u) - F.col("cx")) / F.col("fx"), (_c(v) - F.col("cy")) / F.col("fy")
     # One step as SQL over a struct keeps the expression small: it grows with steps, not with its powers.
-    start = F.struct(x0.alias("x"), y0.alias("y"), x0.alias("x0"), y0.alias("y0"))
+    start = F.struct(x0.alias("x"), y0.alias("y"), x0.alias("x0"), y0.alias("y0"), F.lit(False).alias("stop"))
 
     def step(s: Column, _) -> Column:
-        x, y = s["x"], s["y"]
-        r = x * x + y * y
-        scale = (1 + ((k6 * r + k5) * r + k4) * r) / (1 + ((k3 * r + k2) * r + k1) * r)
-        dx, dy = 2 * p1 * x * y + p2 * (r + 2 * x * x), p1 * (r + 2 * y * y) + 2 * p2 * x * y
-        return F.struct(((s["x0"] - dx) * scale).alias("x"), ((s["y0"] - dy) * scale).alias("y"), s["x0"].alias("x0"), s["y0"].alias("y0"))
+        x, y, stop = undistort_step(s["x"], s["y"], s["x0"], s["y0"], k)
+        stop = s["stop"] | stop
+        return F.struct(F.when(stop, s["x0"]).otherwise(x).alias("x"), F.when(stop, s["y0"]).otherwise(y).alias("y"), s["x0"].alias("x0"), s["y0"].alias("y0"), stop.alias("stop"))
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
     return done["x"] * F.col("fx") + F.col("cx"), done["y"] * F.col("fy") + F.col("cy")

@@ -32,6 +32,40 @@ def converged(status: DataFrame, max_error: float = 0.6, min_coverage: float = 0
     return one.withColumn("all_converged", F.bool_and("converged").over(Window.partitionBy("rig_id")))
 
 
+def stop_signal(status: DataFrame) -> DataFrame:
+    """(rig_id, done): whether all cameras of a rig have converged; works on a stream's status too (update mode)."""
+    return status.groupBy("rig_id").agg(F.bool_and(F.coalesce("converged", F.lit(False))).alias("done"))
+
+
+def recalibration_due(count: str, least: int, every: int):
+    """Whether a camera's newest accepted sample (its count so far) is one after which it is calibrated: the first with ``least`` and ``every`` samples, and each ``every`` after."""
+    first = max(least, every)
+    return (F.col(count) >= first) & ((F.col(count) - first) % every == 0)
+
+
+def world_alignment(detections: DataFrame, poses: DataFrame, now: float, max_age_s: float = 2.0) -> DataFrame:
+    """(rig_id, cam_id, align): turn of the world onto a flat board, up being the board's true upward side, by the first posed camera (ord) that saw the board in the last seconds. detections: rig_id,
+    cam_id, ord, ts_s, r of the board to the camera; poses: rig_id, cam_id, r of the world to the camera. A rig without such a camera gives no row: the request stays open."""
+    fresh = detections.filter(F.lit(now) - F.col("ts_s") <= max_age_s).join(poses.select("rig_id", "cam_id", F.col("r").alias("pose")), ["rig_id", "cam_id"])
+    first = fresh.groupBy("rig_id").agg(F.min_by(F.struct("cam_id", "r", "pose"), F.struct("ord", -F.col("ts_s"))).alias("s")).select("rig_id", "s.*")
+    at = lambda m, i, j: F.get(F.col(m), F.lit(3 * i + j))
+    # The board's turn in the world is pose transposed times r; its second and third axes are turned over.
+    cell = lambda i, j: sum((at("pose", k, i) * at("r", k, j) for k in (1, 2)), at("pose", 0, i) * at("r", 0, j)) * (1 if j == 0 else -1)
+    return first.select("rig_id", "cam_id", F.array(*[cell(i, j) for i in range(3) for j in range(3)]).alias("align"))
+
+
+def aligned_poses(poses: DataFrame, alignment: DataFrame) -> DataFrame:
+    """Poses (rig_id, cam_id, r, t) in their rig's aligned world; a rig without an alignment keeps its own. Turning the world leaves t as it is."""
+    both = poses.join(alignment.select("rig_id", "align"), "rig_id", "left")
+    return both.withColumn("r", F.when(F.col("align").isNotNull(), multiply("r", "align")).otherwise(F.col("r"))).drop("align")
+
+
+def frozen(calibrations: DataFrame, started_s: float) -> DataFrame:
+    """Of each rig's calibrations (rig_id, made_s, one row a camera) the newest that was made by the start: what a recording keeps to, whatever is calibrated later."""
+    made = calibrations.filter(F.col("made_s") <= started_s)
+    return made.join(made.groupBy("rig_id").agg(F.max("made_s").alias("made_s")), ["rig_id", "made_s"], "left_semi")
+
+
 def novel(accepted: list[tuple[np.ndarray, np.ndarray]], r: np.ndarray, t: np.ndarray) -> bool:
     """Whether no accepted pose is near both in place and in turn."""
     for r0, t0 in accepted:
@@ -265,6 +299,33 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_gates(p).groupBy("cam_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("accepted"), 1)).alias("accepted"))
 
 
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rig for each customer: a board seen by two cameras, turned about z in the first and about x in the second; of every third rig the first's view is stale."""
+    key = F.col("c_custkey")
+    z, o, turn = F.lit(0.0), F.lit(1.0), lambda k: F.element_at(F.array(*[F.lit(t[k]) for t in TURNS]), (key % 4 + 1).cast("int"))
+    c, s = turn(0), turn(1)
+    views = [F.struct(F.lit("cam0").alias("cam_id"), F.lit(0).alias("ord"), F.when(key % 3 == 0, 5.0).otherwise(9.0).alias("ts_s"), F.array(c, -s, z, s, c, z, z, z, o).alias("r")), F.struct(F.lit("cam1").alias("cam_id"), F.lit(1).alias("ord"), F.lit(8.5).alias("ts_s"), F.array(o, z, z, z, c, -s, z, s, c).alias("r"))]
+    seen = table(spark, sf_dir, "customer").select(key.alias("rig_id"), F.inline(F.array(*views)))
+    poses = seen.select("rig_id", "cam_id", F.array(z, -o, z, o, z, z, z, z, o).alias("r"), F.array(o, z, z).alias("t"))
+    out = aligned_poses(poses, world_alignment(seen, poses, 10.0))
+    return out.filter("cam_id = 'cam0'").select("rig_id", *[(F.round(F.get("r", F.lit(k)), 6) + 0.0).alias(f"r{k}") for k in (0, 1, 3, 4, 5, 8)])
+
+
+def _due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = frame_log(spark, sf_dir).withColumn("n", F.col("idx") + 1)
+    return log.select("cam_id", "n", recalibration_due("n", 12, 5).alias("due"))
+
+
+def _done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("rig_id"), F.col("s_suppkey").alias("cam_id"), ((F.col("s_suppkey") % 11) / 10).alias("error"), F.lit(0.9).alias("coverage"))
+    return stop_signal(converged(s, 0.9))
+
+
+def _frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("rig_id"), (F.col("o_orderkey") % 90).cast("double").alias("made_s"), F.col("o_orderkey").alias("cam_id"))
+    return frozen(o, 60.0)
+
+
 _OBS = "with o as (select o_orderkey as seq, k from orders, (values (0), (1), (2), (3)) as c(k) where o_orderkey % 5 <> k) "
 QUERIES = {
     "coverage": lambda spark, sf: coverage(_corners(spark, sf), 1920.0, 1080.0),
@@ -272,6 +333,10 @@ QUERIES = {
     "edge_mean": lambda spark, sf: _edges(spark, sf).select("cam_a", "cam_b", "n", F.round("err", 6).alias("err"), *[(F.round(F.get("r", F.lit(k)), 4) + 0.0).alias(f"r{k}") for k in (0, 1, 3, 4, 8)]),
     "pose_graph": _graph,
     "sample_gates": _gated,
+    "world_alignment": _aligned,
+    "recalibration_due": _due,
+    "stop_signal": _done,
+    "frozen_calibration": _frozen,
 }
 ORACLE_SQL = {
     "coverage": f"with {FRAME_LOG_SQL}, c as (select cam_id, floor((seq * 37 % 1920) / 1920.0 * 6) as c, floor((seq * 53 % 1080) / 1080.0 * 4) as r from frame_log) select cam_id, count(*) as cells, round(count(*) / 24.0::double, 6) as coverage from (select distinct cam_id, c, r from c) group by cam_id",
@@ -280,4 +345,10 @@ ORACLE_SQL = {
     "edge_mean": _OBS + ", t as (select * from (values " + ", ".join(f"({k}, cast({a!r} as double), cast({b!r} as double))" for k, (a, b) in enumerate(TURNS)) + """) as v(k, c, s))
  select 'cam' || a.k as cam_a, 'cam' || b.k as cam_b, count(*) as n, round(avg(0.1 + a.seq % 7 / 100.0), 6) as err, round(max(ta.c * tb.c + ta.s * tb.s), 4) as r0, round(max(-(tb.s * ta.c - tb.c * ta.s)), 4) as r1, round(max(tb.s * ta.c - tb.c * ta.s), 4) as r3, round(max(ta.c * tb.c + ta.s * tb.s), 4) as r4, cast(1 as double) as r8
  from o a join o b on a.seq = b.seq and a.k < b.k join t ta on ta.k = a.k join t tb on tb.k = b.k group by a.k, b.k having count(*) >= 5""",
+    # The pose is a quarter turn q: its inverse cancels it, and what stays is the board's turn with the second and third axes turned over.
+    "world_alignment": "with t as (select * from (values " + ", ".join(f"({k}, cast({a!r} as double), cast({b!r} as double))" for k, (a, b) in enumerate(TURNS)) + """) as v(k, c, s)), r as (select c_custkey as rig_id, c_custkey % 3 = 0 as stale, c, s from customer join t on k = c_custkey % 4)
+ select rig_id, round(case when stale then 1 else c end, 6) as r0, round(case when stale then 0 else s end, 6) as r1, round(case when stale then 0 else s end, 6) as r3, round(-c, 6) as r4, round(case when stale then s else 0 end, 6) as r5, round(case when stale then -c else -1 end, 6) as r8 from r""",
+    "recalibration_due": f"with {FRAME_LOG_SQL} select cam_id, idx + 1 as n, idx + 1 >= 12 and (idx + 1 - 12) % 5 = 0 as due from frame_log",
+    "stop_signal": "select s_nationkey as rig_id, bool_and(s_suppkey % 11 <= 9) as done from supplier group by s_nationkey",
+    "frozen_calibration": "with o as (select o_custkey % 50 as rig_id, cast(o_orderkey % 90 as double) as made_s, o_orderkey as cam_id from orders where o_orderkey % 90 <= 60) select * from o where made_s = (select max(made_s) from o as q where q.rig_id = o.rig_id)",
 }

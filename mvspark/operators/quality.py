@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mvspark.functions.geometry import gram_terms, project, smallest_eigvec4
-from mvspark.operators.triangulate import views
+from mvspark.operators.smooth import savgol
+from mvspark.operators.triangulate import undistort_points, views
 from mvspark.plans.fixtures import HEIGHT, WIDTH, POINTS_SQL, calibration, keypoints, keypoints_sql, true_points
 
 HAND = ["cam_id", "frame"]
@@ -107,6 +108,14 @@ def mad_outliers(series: DataFrame, keys: list[str], value: str, factor: float =
     return off.join(mad, keys).withColumn("flag", F.col(value) > F.col("mid") + factor * (F.col("mad") + 1e-9)).drop("off")
 
 
+def smoothing_outliers(raw: DataFrame, smoothed: DataFrame, keys: list[str], factor: float = 4.0) -> DataFrame:
+    """(keys, frame, residual, flag): how far a reference landmark's raw point (x, y, z) lies from its smoothed one in the frames that have both; flagged where it is an outlier of
+    its whole series."""
+    both = raw.select(*keys, "frame", "x", "y", "z").join(smoothed.select(*keys, "frame", *[F.col(c).alias(f"s{c}") for c in "xyz"]), [*keys, "frame"])
+    off = both.select(*keys, "frame", F.sqrt(sum(((F.col(c) - F.col(f"s{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("sx")) ** 2)).alias("residual"))
+    return mad_outliers(off, keys, "residual", factor).select(*keys, "frame", "residual", "flag")
+
+
 def swap_correct(points: DataFrame, flags: DataFrame) -> DataFrame:
     """Keypoints with the sides of flagged (cam_id, frame) exchanged."""
     marked = points.join(flags.filter("swap").select(*HAND, F.lit(True).alias("__swap")).distinct(), HAND, "left")
@@ -127,12 +136,14 @@ def threshold_sweep(tests: DataFrame, margins: list[float]) -> DataFrame:
     return each.groupBy("margin_px").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("swapped_px") < F.col("labelled_px") - F.col("margin_px"), 1)).alias("swaps"))
 
 
-def correct(points: DataFrame, body: DataFrame, cameras: DataFrame) -> tuple[DataFrame, DataFrame]:
+def correct(points: DataFrame, body: DataFrame, cameras: DataFrame, min_conf: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Keypoints after both swap corrections, and the wrists' detections with fast ones penalised. The cheap test against body wrists comes first, the test against the other
-    cameras sees its output, and velocities are those of the twice corrected keypoints."""
-    once = swap_correct(points, body_wrist_swap(points, body))
-    twice = swap_correct(once, leave_one_out_swap(views(once, cameras)))
-    wrists = twice.filter("lm_id = 0")
+    cameras (views of min_conf) sees its output, and velocities are those of the twice corrected keypoints. Where cameras have a distortion (dist), each test sees
+    keypoints without it, taken out anew after each correction; what is corrected are the keypoints as they were seen."""
+    flat = (lambda p: undistort_points(p, cameras).drop("raw_x", "raw_y")) if "dist" in cameras.columns else (lambda p: p)
+    once = swap_correct(points, body_wrist_swap(flat(points), flat(body)))
+    twice = swap_correct(once, leave_one_out_swap(views(flat(once), cameras, min_conf)))
+    wrists = flat(twice).filter("lm_id = 0")
     return twice, penalise(wrists.select(*HAND, "part", "conf"), velocity(wrists, points).filter("fast"))
 
 
@@ -185,7 +196,15 @@ def _outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.select("cam_id", "part", "frame", "flag")
 
 
+def _smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrists with a jump in every 41st frame, against the same ones smoothed in x."""
+    raw = true_points(spark, sf_dir).filter("lm_id = 0").withColumn("x", F.when(F.col("frame") % 41 == 0, F.col("x") + 3.0).otherwise(F.col("x")))
+    fine = savgol(raw, ["session", "part"], "x", whole=False).select("session", "part", "frame", F.col("smooth").alias("x"), "y", "z")
+    return smoothing_outliers(raw, fine, ["session", "part"]).select("session", "part", "frame", F.round("residual", 6).alias("residual"), "flag")
+
+
 QUERIES = {
+    "smoothing_outliers": _smoothed,
     "detection_rate": lambda spark, sf: detection_rates(k := keypoints(spark, sf), k, 0.6),
     "cooccurrence": lambda spark, sf: co_occurrence(_bad(spark, sf)),
     "combine_max": lambda spark, sf: combine_max(_two_sources(spark, sf)).select("cam_id", "frame", "part", "lm_id", "source_ord", F.round("conf", 4).alias("conf")),
@@ -201,7 +220,12 @@ QUERIES = {
     "corrections": lambda spark, sf: correct(_swapped(k := keypoints(spark, sf)), k, calibration(spark))[1].withColumn("conf", F.round("conf", 6)),
     "threshold_sweep": lambda spark, sf: threshold_sweep(body_wrist_swap(_swapped(k := keypoints(spark, sf)), k), [5.0, 20.0, 400.0, 1000.0]),
 }
+_MEAN7 = " + ".join(f"{k} * {x}" for k, x in zip((-2, 3, 6, 7, 6, 3, -2), [f"lag(x, {n}) over w" if n > 0 else f"lead(x, {-n}) over w" if n < 0 else "x" for n in range(3, -4, -1)], strict=True))
 ORACLE_SQL = {
+    "smoothing_outliers": f"""with {POINTS_SQL}, q as (select session, part, frame, case when frame % 41 = 0 then x + 3 else x end as x from points where lm_id = 0),
+ s as (select *, abs(x - coalesce(({_MEAN7}) / 21.0::double, x)) as residual from q window w as (partition by session, part order by frame)),
+ m as (select *, median(residual) over (partition by session, part) as mid from s), d as (select *, median(abs(residual - mid)) over (partition by session, part) as mad from m)
+ select session, part, frame, round(residual, 6) as residual, residual > mid + 4 * (mad + 1e-9) as flag from d""",
     "detection_rate": _K + "select cam_id, part, count(distinct case when conf >= 0.6 then frame end) as detected, round(count(distinct case when conf >= 0.6 then frame end) / cast((select count(distinct frame) from keypoint) as double), 6) as rate from keypoint group by cam_id, part",
     "cooccurrence": _K + """, b as (select cam_id, frame, max(case when part = 'left' and conf < 0.5 then 1 else 0 end) as l, max(case when part = 'right' and conf < 0.7 then 1 else 0 end) as r from keypoint where lm_id = 0 group by cam_id, frame)
  select cam_id, case when max(l) > min(l) and max(r) > min(r) then round(corr(l, r), 6) end as corr from b group by cam_id""",

@@ -1,10 +1,10 @@
 """Many-view 3D points: triangulation as sums of Gram entries, robust choice of cameras, reprojection errors."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mvspark.functions.geometry import PROJECTION, gram_terms, project, smallest_eigvec4, to_pixels
+from mvspark.functions.geometry import PROJECTION, gram_terms, project, smallest_eigvec4, to_pixels, undistort_step
 from mvspark.plans.fixtures import calibration, keypoints, keypoints_sql
 
 POINT = ["session", "frame", "part", "lm_id"]
@@ -20,14 +20,50 @@ def views(points: DataFrame, cameras: DataFrame, min_conf: float = 0.0) -> DataF
     return rows.withColumns({"u": to_pixels("x", "width"), "v": to_pixels("y", "height")}).drop("x", "y")
 
 
-def triangulate(seen: DataFrame, keys: list[str] = POINT, weight: str | None = None, min_views: int = 2) -> DataFrame:
-    """(keys, x, y, z, n_views): the least-squares point of each group of views. Sums are combined before the shuffle; the eigenvector is of
-    aggregated rows. weight: a column whose square weighs a view's rows (at least 1e-6)."""
+def undistort_points(points: DataFrame, cameras: DataFrame, steps: int = 5) -> DataFrame:
+    """Keypoints (x, y fractions) without their camera's lens distortion (cameras: fx, fy, cx, cy, width, height, dist of up to eight coefficients); raw_x and raw_y
+    keep what was seen, for drawing. Keypoints of cameras that are not listed are left out."""
+    size, centre = {"x": "width", "y": "height"}, {"x": ("cx", "fx"), "y": ("cy", "fy")}
+    lens = cameras.select("cam_id", *[F.col(c).alias(f"__{c}") for c in ("fx", "fy", "cx", "cy", "width", "height")], *[F.coalesce(F.get("dist", F.lit(i)), F.lit(0.0)).alias(f"__k{i}") for i in range(8)])
+    start = {f"__{c}0": (F.col(c) * F.col(f"__{size[c]}") - F.col(f"__{m}")) / F.col(f"__{f}") for c, (m, f) in centre.items()}
+    rows = points.join(lens, "cam_id").withColumns(start).withColumns({"__x": F.col("__x0"), "__y": F.col("__y0"), "__stop": F.lit(False)})
+    k = tuple(F.col(f"__k{i}") for i in range(8))
+    for _ in range(steps):  # a projection each: generated code, and no expression within itself
+        x, y, stop = undistort_step(F.col("__x"), F.col("__y"), F.col("__x0"), F.col("__y0"), k)
+        rows = rows.withColumns({"__x": x, "__y": y, "__stop": F.col("__stop") | stop})
+        rows = rows.withColumns({f"__{c}": F.when(F.col("__stop"), F.col(f"__{c}0")).otherwise(F.col(f"__{c}")) for c in "xy"})
+    flat = {c: (F.col(f"__{c}") * F.col(f"__{f}") + F.col(f"__{m}")) / F.col(f"__{size[c]}") for c, (m, f) in centre.items()}
+    return rows.withColumns({"raw_x": F.col("x"), "raw_y": F.col("y")} | flat).select(*points.columns, "raw_x", "raw_y")
+
+
+def triangulate(seen: DataFrame, keys: list[str] = POINT, weight: str | None = None, min_views: int = 2, also: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, x, y, z, n_views, also): the least-squares point of each group of views. Sums are combined before the shuffle; the eigenvector is of
+    aggregated rows. weight: a column whose square weighs a view's rows (at least 1e-6). also: further columns whose means over the views are wanted."""
+    also = also or {}
     w = None if weight is None else F.greatest(F.coalesce(F.col(weight), F.lit(1.0)), F.lit(1e-6))
     terms = gram_terms("u", "v", w)
-    sums = seen.select(*keys, *[t.alias(f"g{k}") for k, t in enumerate(terms)]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_views"), *[F.sum(f"g{k}").alias(f"g{k}") for k in range(10)])
-    solved = sums.filter(F.col("n_views") >= min_views).select(*keys, "n_views", smallest_eigvec4(F.array(*[f"g{k}" for k in range(10)])).alias("p"))
-    return solved.filter("p is not null").select(*keys, "n_views", *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate("xyz")])
+    rows = seen.select(*keys, *[t.alias(f"g{k}") for k, t in enumerate(terms)], *[c.alias(n) for n, c in also.items()])
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_views"), *[F.sum(f"g{k}").alias(f"g{k}") for k in range(10)], *[F.avg(n).alias(n) for n in also])
+    solved = sums.filter(F.col("n_views") >= min_views).select(*keys, "n_views", *also, smallest_eigvec4(F.array(*[f"g{k}" for k in range(10)])).alias("p"))
+    return solved.filter("p is not null").select(*keys, "n_views", *also, *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate("xyz")])
+
+
+#: The least confidence of each part's views in older reconstructions, and what is added to its landmarks' ids there.
+PART_RULES = {"body": (0.60, 0), "left": (0.90, 100), "right": (0.90, 200)}
+
+
+def triangulate_parts(seen: DataFrame, rules: dict[str, tuple[float, int]] = PART_RULES, min_views: int = 2) -> DataFrame:
+    """(session, frame, part, lm_id, joint, x, y, z, n_views, conf): points of body and hands, each from the views of its part's least confidence; joint numbers all parts'
+    landmarks in one range, conf is the views' mean. Parts without a rule are left out."""
+    pick = lambda k: F.coalesce(*[F.when(F.col("part") == p, F.lit(r[k])) for p, r in rules.items()])
+    good = seen.filter(F.coalesce("conf", F.lit(0.0)) >= pick(0))
+    return triangulate(good, min_views=min_views, also={"conf": F.col("conf")}).withColumn("joint", F.col("lm_id") + pick(1))
+
+
+def older_weight(occluded: str, share: float = 0.5, least: float = 1e-3) -> Column:
+    """Weight of a view in older reconstructions, which weigh a view's rows by its root: the confidence, of which an occluded view has a share."""
+    conf = F.greatest(F.coalesce(F.col("conf"), F.lit(0.0)), F.lit(least))
+    return F.sqrt(conf * F.when(F.col(occluded), share).otherwise(1.0))
 
 
 def reprojection(points: DataFrame, seen: DataFrame, keys: list[str] = POINT) -> DataFrame:
@@ -125,6 +161,16 @@ def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(full.withColumn("bad", F.lit(1)), SIDE, "left").withColumns({"u": F.col("u") + off, "v": F.col("v") + off}).drop("bad")
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left hands stand for bodies."""
+    seen = _seen(spark, sf_dir).withColumn("part", F.when(F.col("part") == "left", "body").otherwise(F.col("part")))
+    return triangulate_parts(seen).select("frame", "part", "joint", "n_views", F.round("conf", 4).alias("conf"), *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
+
+
+def _older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seen(spark, sf_dir).withColumn("occluded", (F.col("frame") + F.col("ord")) % 3 == 0).withColumn("w", older_weight("occluded"))
+
+
 _K = "with " + keypoints_sql(0.0)
 _GATED = f"{_K}, n as (select frame, part, lm_id, count(*) as n_views from keypoint where conf >= 0.5 group by frame, part, lm_id having count(*) >= 2) "
 _KNOWN = _GATED + "select p.frame, p.part, p.lm_id, n_views, round(x, 4) + 0.0 as x, round(y, 4) + 0.0 as y, round(z, 4) + 0.0 as z from points p join n using (frame, part, lm_id)"
@@ -138,6 +184,8 @@ QUERIES = {
     "triangulate_robust": lambda spark, sf: _rounded(triangulate_robust(s := _seen(spark, sf), robust_cameras(s))),
     "robust_set": lambda spark, sf: robust_cameras(_seen(spark, sf)).select("frame", "part", F.array_join("cameras", ",").alias("cameras"), "n_inliers"),
     "robust_planted": lambda spark, sf: robust_cameras(_planted(spark, sf)).select("frame", "part", F.array_join("cameras", ",").alias("cameras"), "n_inliers"),
+    "triangulate_parts": lambda spark, sf: _parts(spark, sf),
+    "triangulate_older": lambda spark, sf: _rounded(triangulate(_older(spark, sf), weight="w")),
     "triangulate_planted": lambda spark, sf: _rounded(triangulate_robust(s := _planted(spark, sf), robust_cameras(s))),
     "camera_error": lambda spark, sf: camera_errors(_pixel_error(spark, sf)),
     "triangulated_error": lambda spark, sf: camera_errors(_errors(spark, sf)),
@@ -149,6 +197,10 @@ ORACLE_SQL = {
     # The views are of known points, so these must come back.
     "triangulate": _KNOWN,
     "triangulate_weighted": _KNOWN,
+    "triangulate_older": _KNOWN,
+    "triangulate_parts": _K + """, n as (select frame, part, lm_id, count(*) as n_views, avg(conf) as conf from keypoint where conf >= case when part = 'left' then 0.6 else 0.9 end group by frame, part, lm_id having count(*) >= 2)
+ select p.frame, case when p.part = 'left' then 'body' else p.part end as part, p.lm_id + case when p.part = 'left' then 0 else 200 end as joint, n_views, round(conf, 4) as conf, round(x, 4) + 0.0 as x, round(y, 4) + 0.0 as y, round(z, 4) + 0.0 as z
+ from points p join n using (frame, part, lm_id)""",
     "triangulate_robust": _KNOWN.replace("from keypoint where", "from keypoint join (select distinct frame, part from keypoint where lm_id = 0) using (frame, part) where"),
     "robust_set": _K + "select frame, part, string_agg(cam_id, ',' order by cam_id) as cameras, count(*) as n_inliers from keypoint where lm_id = 0 and conf >= 0.5 group by frame, part having count(*) >= 2",
     "robust_planted": _PLANTED + "select frame, part, string_agg(cam_id, ',' order by cam_id) as cameras, count(*) as n_inliers from good where lm_id = 0 group by frame, part having count(*) >= 2",

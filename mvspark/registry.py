@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("operators.align", "sources.logs", "sources.records", "operators.triangulate", "operators.quality", "operators.calibration", "operators.smooth", "operators.tracks", "operators.occlusion", "operators.hands", "operators.sequences", "operators.rigs")
+MODULES = ("operators.align", "sources.logs", "sources.records", "operators.triangulate", "operators.quality", "operators.calibration", "operators.smooth", "operators.tracks", "operators.occlusion", "operators.hands", "operators.sequences", "operators.rigs", "operators.lens", "operators.meshes")
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mvspark.operators.calibration import MOST_SAMPLES, novel
+from mvspark.operators.calibration import MIN_OBSERVATIONS, MOST_SAMPLES, edges, frozen, novel
 
 
 def fps(frames: DataFrame, late: str = "10 seconds", width: str = "1 second") -> DataFrame:
@@ -28,6 +28,16 @@ def running_edges(observations: DataFrame) -> DataFrame:
     return observations.groupBy("rig_id", "cam_a", "cam_b").agg(F.count(F.lit(1)).alias("n"), F.avg("err").alias("err"))
 
 
+def running_poses(observations: DataFrame, least: int = MIN_OBSERVATIONS) -> DataFrame:
+    """The mean transform of each pair of cameras so far, for update mode: the sums that are the state are one row for each pair, and the turn is of changed rows only."""
+    return edges(observations, least)
+
+
+def posed(frames: DataFrame, calibrations: DataFrame, started_s: float) -> DataFrame:
+    """A stream's rows (rig_id, cam_id) with the calibration that their rig had when it started; later ones don't touch it."""
+    return frames.join(frozen(calibrations, started_s), ["rig_id", "cam_id"])
+
+
 def simultaneous(frames: DataFrame, tolerance: str = "80 milliseconds", late: str = "10 seconds") -> DataFrame:
     """Pairs of different cameras' rows (rig_id, cam_id, ts, seq) within the tolerance in event time: a stream-stream join whose state the watermarks bound."""
     a = frames.withWatermark("ts", late).select(*[F.col(c).alias(f"{c}_a") for c in ("rig_id", "cam_id", "ts", "seq")])
@@ -91,3 +101,23 @@ def alarms(frames: DataFrame, after_s: float = 20.0, late: str = "1 second") ->
 
     marked = frames.withWatermark("ts", late)
     return marked.groupBy("cam_id").applyInPandasWithState(step, "cam_id string, silent_from_s double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def anchors(wrists: DataFrame, step_px: float = 200.0) -> DataFrame:
+    """(cam_id, part, place, accepted) of a stream of wrists (cam_id, part, place, u, v in pixels), by the batch form's rule: one outside the circle around the last accepted counts as missing, and the
+    circle grows with every frame. A wrist's state is its anchor and the anchor's frame; rows from before that frame are too late."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values("place")
+        anchor, took = state.get if state.exists else None, []
+        for place, u, v in zip(rows["place"], rows["u"].astype(float), rows["v"].astype(float), strict=True):
+            here = not (np.isnan(u) or np.isnan(v))
+            take = here and (anchor is None or (place >= anchor[2] and np.hypot(u - anchor[0], v - anchor[1]) <= step_px * max(place - anchor[2], 1)))
+            if take:
+                anchor = (float(u), float(v), int(place))
+            took.append(bool(take))
+        if anchor is not None:
+            state.update(anchor)
+        yield pd.DataFrame({"cam_id": key[0], "part": key[1], "place": rows["place"].to_numpy(), "accepted": took})
+
+    return wrists.groupBy("cam_id", "part").applyInPandasWithState(step, "cam_id string, part string, place bigint, accepted boolean", "u double, v double, place bigint", "append", GroupStateTimeout.NoTimeout)
