@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from mvspark.functions.geometry import angle_degrees, box_iou, quaternion, undistort
 from mvspark.functions.series import spaced
-from mvspark.operators import calibration, occlusion, quality, sequences, smooth
-from mvspark.operators.triangulate import rank_pairs, views
+from mvspark.operators import calibration, lens, meshes, occlusion, quality, sequences, smooth
+from mvspark.operators.triangulate import older_weight, rank_pairs, triangulate, undistort_points, views
 from mvspark.plans.fixtures import calibration as cameras
 from mvspark.plans.fixtures import keypoints
 from mvspark.sources import records
@@ -232,3 +232,86 @@ def test_points_from_saved_calibrations(spark):
     assert len(found) == 12 and all(abs(r[c] - r[f"t{c}"]) < 1e-6 for r in found for c in "xyz")
     sets = triangulate.robust_cameras(triangulate.views(seen, rig)).collect()
     assert len(sets) == 4 and all(r.n_inliers == 3 for r in sets)
+
+
+def test_older_weights_are_roots(spark, sf_dir):
+    seen = views(keypoints(spark, sf_dir, 40.0), cameras(spark), 0.5).filter("frame % 100 = 1").withColumn("occluded", (F.col("ord") + F.col("lm_id")) % 2 == 0)
+    got = {(r.frame, r.part, r.lm_id): (r.x, r.y, r.z) for r in triangulate(seen.withColumn("w", older_weight("occluded")), weight="w").collect()}
+    rows = seen.toPandas()
+    assert got
+    for key, g in rows.groupby(["frame", "part", "lm_id"]):
+        if len(g) < 2:
+            assert key not in got
+            continue
+        a = []
+        for r in g.itertuples():
+            p = np.array([[getattr(r, f"p{i}{k}") for k in range(4)] for i in range(3)])
+            w = np.sqrt(max(r.conf, 1e-3) * (0.5 if r.occluded else 1.0))
+            a += [w * (r.u * p[2] - p[0]), w * (r.v * p[2] - p[1])]
+        x = np.linalg.svd(np.array(a))[2][-1]
+        assert np.allclose(got[key], x[:3] / x[3], atol=1e-5)
+
+
+def test_points_stay_where_the_lens_model_breaks(spark):
+    cams = spark.createDataFrame([("a", [-3.0]), ("b", [0.0] * 8)], "cam_id string, dist array<double>").select("*", *[F.lit(v).alias(n) for n, v in (("fx", 100.0), ("fy", 100.0), ("cx", 50.0), ("cy", 50.0), ("width", 100.0), ("height", 100.0))])
+    points = spark.createDataFrame([("a", 1.0, 1.0, 9), ("b", 0.9, 0.1, 8), ("c", 0.5, 0.5, 7)], "cam_id string, x double, y double, z long")
+    out = {r.cam_id: (round(r.x, 6), round(r.y, 6), r.raw_x, r.z) for r in undistort_points(points, cams).collect()}
+    assert out == {"a": (1.0, 1.0, 1.0, 9), "b": (0.9, 0.1, 0.9, 8)}  # a: the model's factor is below zero; c has no lens
+
+
+def test_shapes_follow_the_one_before():
+    j = np.arange(5.0)[:, None]
+    good, bad = np.hstack([j, 0 * j, 0 * j]) * 0.1, np.hstack([j, 0 * j, j]) * 0.3
+    w = np.array([1.0, 3.0])
+    both, keep = meshes.fuse_shapes(np.stack([good, bad]), w, None)
+    assert keep.all() and np.allclose(both, (good + 3 * bad) / 4)
+    one, keep = meshes.fuse_shapes(np.stack([good, bad]), w, good)
+    assert keep.tolist() == [True, False] and np.allclose(one, good)
+    assert meshes.fuse_shapes(np.stack([good, bad]), w, good + 9)[1].all()  # none is near: all count
+
+
+def test_meshes_over_time(spark):
+    """Places 1 to 5 of a session, two cameras; the second sees another shape from 2 on, and there is no camera at 4."""
+    rows = [(1, f, "left", c, v, v * 0.1 + (v * 1.0 if c == "b" and f > 10 else 0.0), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0) for f in (10, 20, 30, 50) for c in "ab" for v in range(4)]
+    mesh = spark.createDataFrame(rows, "session long, frame long, side string, cam_id string, vert_id int, x double, y double, z double, wx double, wy double, wz double, weight double")
+    frames = spark.createDataFrame([(1, f) for f in (10, 20, 30, 40, 50)], "session long, frame long")
+    for batch in ("3", "10000"):  # frames that go on in the next batch, and not
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {(r.frame, r.vert_id): round(r.x, 6) for r in meshes.fuse_over_time(mesh, frames).collect()}
+        assert got == {(f, v): round(v * 0.1 + (v * 0.5 if f == 50 else 0.0), 6) for f in (10, 20, 30, 50) for v in range(4)}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert meshes.fuse_over_time(mesh.limit(0), frames).count() == 0
+
+
+def test_too_few_views_are_an_error(spark):
+    seen = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "cam_id string, view int")
+    assert lens.require_views(seen, ["cam_id"], 1).count() == 2
+    with pytest.raises(Exception, match="too few valid views: b"):
+        lens.require_views(seen, ["cam_id"], 2).collect()
+
+
+def test_streams_keep_anchors_poses_and_calibrations(spark, sf_dir, tmp_path):
+    def drain(df, make, name, mode="append"):
+        df.repartition(1).write.parquet(str(tmp_path / f"{name}-in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / f"{name}-in"))
+        q = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name)
+
+    at = [(0.0, 0.0), (50.0, 0.0), (500.0, 0.0), (500.0, 0.0), (60.0, 0.0), (None, 0.0), (None, 0.0), (350.0, 0.0)]
+    wrists = spark.createDataFrame([("c", p, i, u, v) for p in ("left", "right") for i, (u, v) in enumerate(at)], "cam_id string, part string, place long, u double, v double")
+    got = drain(wrists, lambda s: live.anchors(s, 100.0), "anchored").collect()
+    assert {(r.part, r.place): r.accepted for r in got} == {(p, i): a for p in ("left", "right") for i, a in enumerate([True, True, False, False, True, False, False, True])}
+
+    pairs = calibration.edge_observations(calibration.simultaneous_pairs(calibration.board_poses(spark, sf_dir), 0.5))
+    want = {(r.cam_a, r.cam_b): r for r in calibration.edges(pairs).collect()}
+    got = drain(pairs, live.running_poses, "poses", "update").collect()
+    assert len(got) == len(want) and all(r.n == want[r.cam_a, r.cam_b].n and np.allclose(r.r, want[r.cam_a, r.cam_b].r, atol=1e-9) for r in got)
+
+    made = spark.createDataFrame([("rig", "cam0", 5.0, 1), ("rig", "cam0", 8.0, 2), ("rig", "cam0", 20.0, 3)], "rig_id string, cam_id string, made_s double, version int")
+    frames = spark.createDataFrame([("rig", "cam0", 1), ("rig", "cam0", 2), ("rig", "cam9", 3)], "rig_id string, cam_id string, seq long")
+    assert {(r.seq, r.version) for r in drain(frames, lambda s: live.posed(s, made, 10.0), "posed").collect()} == {(1, 2), (2, 2)}
+    open_poses = calibration.board_poses(spark, sf_dir).select("cam_id", "ts_s", "seq", "r", "t")
+    took = drain(open_poses, live.gates, "gated").groupBy("cam_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = open_poses.toPandas().sort_values(["ts_s", "seq"])
+    assert {r.cam_id: r.n for r in took} == {c: sum(calibration.gate_scan(g)) for c, g in rows.groupby("cam_id")}
