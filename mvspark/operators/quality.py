@@ -232,6 +232,9 @@ ORACLE_SQL = {
     "combine_max": _TWO + "select cam_id, frame, part, lm_id, source_ord, round(conf, 4) as conf from (select *, max(conf) over (partition by cam_id, frame, part) as best, rank() over (partition by cam_id, frame, part order by conf desc, source_ord) as r from two) where r = 1",
     "combine_weighted": _TWO + """select cam_id, frame, part, lm_id, round(list_reduce(list(greatest(conf, 1e-6) * x order by source_ord), lambda a, b: a + b) / list_reduce(list(greatest(conf, 1e-6) order by source_ord), lambda a, b: a + b), 6) as x,
  round(list_reduce(list(greatest(conf, 1e-6) * y order by source_ord), lambda a, b: a + b) / list_reduce(list(greatest(conf, 1e-6) order by source_ord), lambda a, b: a + b), 6) as y, round(max(conf), 6) as conf from two group by cam_id, frame, part, lm_id""",
+    "source_disagreement": _TWO + f""", q as (select cam_id, frame, lm_id, {", ".join(f"max(case when source_ord = {n} and part = '{p}' then {c} * {size} end) as {p[0]}{n}{c}" for n in (0, 1) for p in ("left", "right") for c, size in (("x", WIDTH), ("y", HEIGHT)))} from two group by cam_id, frame, lm_id),
+ d as (select cam_id, frame, {", ".join(f"avg(sqrt(pow({a}x - {b}x, 2) + pow({a}y - {b}y, 2))) as {a}{b}" for a, b in (("l0", "l1"), ("r0", "r1"), ("l0", "r1"), ("r0", "l1")))} from q where l0x is not null and l1x is not null and r0x is not null and r1x is not null group by cam_id, frame)
+ select cam_id, frame, round((l0l1 + r0r1) / 2, 3) as same_px, round((l0r1 + r0l1) / 2, 3) as cross_px, (l0r1 + r0l1) / 2 < 0.5::double * (l0l1 + r0r1) / 2 as likely_swap from d""",
     "bodywrist_swap": _BW + " select cam_id, frame, round(labelled_px - swapped_px, 3) as margin, swapped_px < labelled_px - 20 as swap from t",
     "velocity": _STEP + " select cam_id, part, frame, round(step_px, 3) as step_px, coalesce(step_px > 200, false) as fast from s",
     "jitter_flags": _STEP + """, m as (select *, median(step_px) over (partition by cam_id, part) as mid from s where step_px is not null), d as (select *, median(abs(step_px - mid)) over (partition by cam_id, part) as mad from m)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mvspark.functions.geometry import box_iou
-from mvspark.plans.fixtures import POINTS_SQL, frame_log, true_points
+from mvspark.plans.fixtures import FRAME_LOG_SQL, POINTS_SQL, frame_log, true_points
 
 MAX_STEP_PX, MAX_GAP = 500.0, 20
 
@@ -77,10 +77,10 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _boxes(spark, sf_dir).filter("det_id = 0")
-    w = Window.partitionBy("cam_id").orderBy("frame")
-    prev = b.select("cam_id", "frame", "x0", "y0", "x1", "y1", *[F.lag(c).over(w).alias(f"p{c}") for c in ("x0", "y0", "x1", "y1")]).dropna()
-    return prev.select("cam_id", "frame", F.round(box_iou(["x0", "y0", "x1", "y1"], ["px0", "py0", "px1", "py1"]), 6).alias("iou"))
+    """Each box with its detection's box before."""
+    w = Window.partitionBy("cam_id", "det_id").orderBy("frame")
+    prev = _boxes(spark, sf_dir).select("cam_id", "frame", "det_id", "x0", "y0", "x1", "y1", *[F.lag(c).over(w).alias(f"p{c}") for c in ("x0", "y0", "x1", "y1")]).dropna()
+    return prev.select("cam_id", "frame", "det_id", F.round(box_iou(["x0", "y0", "x1", "y1"], ["px0", "py0", "px1", "py1"]), 6).alias("iou"))
 
 
 def _mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,10 @@ QUERIES = {
     "mesh_fuse": lambda spark, sf: fuse_mesh(_mesh(spark, sf)).select("frame", "side", "vert_id", "cams", *[F.round(c, 5).alias(c) for c in "xyz"]),
 }
 ORACLE_SQL = {
+    # All boxes are 200 by 200 and only move along x.
+    "box_iou": f"""with {FRAME_LOG_SQL}, b as (select cam_id, idx as frame, d as det_id, d * 1500 + idx % 50 * 4 as x from frame_log, (values (0), (1)) as v(d) where idx % 11 <> 0 or d = 0),
+ p as (select *, greatest(0, 200 - abs(x - lag(x) over (partition by cam_id, det_id order by frame))) as o, lag(x) over (partition by cam_id, det_id order by frame) as before from b)
+ select cam_id, frame, det_id, round(o / (400.0::double - o), 6) as iou from p where before is not null""",
     "mesh_fuse": f"""with {POINTS_SQL}, v as (select frame, part as side, k as cam, lm_id as vert_id, x + case when k = 3 and frame % 7 = 0 then 0.2 else 0.001 * k end as x, y, z, 1.0 + k as weight from points, (values (0), (1), (2), (3)) as c(k) where lm_id < 10),
  m as (select frame, side, vert_id, quantile_cont(x, 0.5) as mx, quantile_cont(y, 0.5) as my, quantile_cont(z, 0.5) as mz from v group by frame, side, vert_id),
  d as (select frame, side, cam, avg(sqrt(pow(x - mx, 2) + pow(y - my, 2) + pow(z - mz, 2))) as dev from v join m using (frame, side, vert_id) group by frame, side, cam),
