@@ -96,6 +96,8 @@ QUERIES = {
     "mesh_fuse": lambda spark, sf: fuse_mesh(_mesh(spark, sf)).select("frame", "side", "vert_id", "cams", *[F.round(c, 5).alias(c) for c in "xyz"]),
 }
 ORACLE_SQL = {
+    # The two boxes of a frame are 1500 apart and move 200 at most: each is one track.
+    "tracks": f"""with {FRAME_LOG_SQL} select cam_id, d as track, count(*) as frames from frame_log, (values (0), (1)) as v(d) where idx % 11 <> 0 or d = 0 group by cam_id, d""",
     # All boxes are 200 by 200 and only move along x.
     "box_iou": f"""with {FRAME_LOG_SQL}, b as (select cam_id, idx as frame, d as det_id, d * 1500 + idx % 50 * 4 as x from frame_log, (values (0), (1)) as v(d) where idx % 11 <> 0 or d = 0),
  p as (select *, greatest(0, 200 - abs(x - lag(x) over (partition by cam_id, det_id order by frame))) as o, lag(x) over (partition by cam_id, det_id order by frame) as before from b)
