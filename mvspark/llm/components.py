@@ -6,11 +6,25 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+#: A node of over so many neighbours, or over one in so many of all ends, is busy: there are fewer than 2 * BUSY_NODES of those.
+BUSY, BUSY_NODES = 1000, 10_000
+
+
+def _told(ends: DataFrame, least: DataFrame, busy: int) -> DataFrame:
+    """``ends`` (a, b) with the least neighbour m of a. All neighbours of a busy node would meet in one task, so these nodes' rows of ``least``
+    (a, n, m), of which few can be, are broadcast and the rest is joined."""
+    few = F.broadcast(least.filter(F.col("n") > busy).select("a", "m"))
+    rest = ends.join(few.select("a"), "a", "left_anti").join(least.filter(F.col("n") <= busy).select("a", "m"), "a")
+    return rest.unionByName(ends.join(few, "a"))
+
+
+def _stars(edges: DataFrame, large: bool, busy: int) -> DataFrame:
     """One contraction: the larger neighbours of a node (large), or its smaller ones and itself, move to its least neighbour."""
     ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = ends.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    moved = ends.join(least, "a").filter(F.col("b") > F.col("a")) if large else ends.join(least, "a")
+    least = ends.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    moved = _told(ends, least, busy)
+    if large:
+        moved = moved.filter(F.col("b") > F.col("a"))
     out = moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.select("a", F.col("m").alias("b")))
@@ -27,5 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or seen[0] == 0:
             break
         mark = seen
-        now = checkpointed(_stars(_stars(now, True), False))
+        busy = max(BUSY, seen[0] // BUSY_NODES)
+        now = checkpointed(_stars(checkpointed(_stars(now, True, busy)), False, busy))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
