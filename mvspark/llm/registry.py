@@ -13,6 +13,9 @@ MODULES = (
     "extendible_sharding",
     "context_tree",
     "decontamination",
+    "phrase_streams",
+    "licence_automaton",
+    "token_alignment",
 )
 
 
