@@ -5,8 +5,8 @@ Phrases of up to LONGEST words and their counts are kept as one sorted stream: b
 their counts and the greatest count of a one-word extension are read off in lockstep, by order alone. The suffix walk's rows are sorted again and walked
 in prefix order. Streams are cut into parts anywhere, since all phrases differ; what is open at a part's first row (five phrases at most) is looked up beforehand.
 
-Only phrases whose count reaches the least one can be candidates, and so can their parts: words are counted first, then pairs of frequent words, then longer phrases all
-of whose pairs are frequent. Tasks know frequent phrases from a bit map of fixed size, whose false positives only cost rows.
+Only phrases whose count reaches the least one can be candidates, and their parts reach it too: words are counted first, then hashes of pairs of frequent words, then phrases none
+of whose pairs has too small a sum. Tasks know words and pairs from bit maps of fixed size, whose false positives only cost rows; phrases themselves are counted by their words.
 
 A null or empty text has no words. A null language is `und`. Repeated rows count each. Phrases of equal score and count rank by their bytes. An empty table, or a
 least count that nothing reaches, gives no rows. Columns other than text and language are not looked at.
@@ -22,12 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from .byte_grams import Tally, runs
 from .common import checkpointed, out_batch, pieces, table
 from .decontamination import FILTER_BITS, word_filter
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Different phrases that a task holds before it hands on their counts; words whose hash it remembers.
 MAX_HELD, CACHE_WORDS = 400_000, 400_000
+#: Hashes whose counts travel together.
+BLOCK_BITS = 14
 #: What ends a piece; no byte of UTF-8 is 0xFF, which then stands between pieces.
 _CUT = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 _END = b"\xff"
@@ -62,18 +65,89 @@ def has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def phrase_hashes(phrases: DataFrame) -> DataFrame:
-    """(h) of phrases (lang, words) of one or two words."""
+def word_hashes(words: DataFrame) -> DataFrame:
+    """(h) of words (lang, words) of one word each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, words = batch.column("lang").to_pylist(), batch.column("words").to_pylist()
-            rows = [[xxhash.xxh64_intdigest(lang.encode() + b"\0" + w.encode(), 42) or 1 for w in ws] for lang, ws in zip(langs, words, strict=True)]
-            pairs = np.array([r for r in rows if len(r) == 2], np.uint64).reshape(-1, 2)
-            h = np.concatenate([np.array([r[0] for r in rows if len(r) == 1], np.uint64), pair_hash(pairs[:, 0], pairs[:, 1])])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+            pairs = zip(batch.column("lang").to_pylist(), batch.column("words").to_pylist(), strict=True)
+            h = [xxhash.xxh64_intdigest(lang.encode() + b"\0" + w.encode(), 42) or 1 for lang, (w,) in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64))], names=["h"])
 
-    return phrases.select("lang", "words").mapInArrow(run, "h bigint")
+    return words.select("lang", "words").mapInArrow(run, "h bigint")
+
+
+def pair_filter(texts: DataFrame, words_bits, least: int) -> np.ndarray:
+    """The bit map of pairs of frequent words: a bit is set if the pairs of its hash, together, occur ``least`` times or more. Counts travel in blocks of
+    2^BLOCK_BITS hashes, each task's added up first, and are added block by block as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, tally = Known(words_bits.value), Tally()
+        for batch in batches:
+            for part, some in pieces(batch):
+                for lang, own in by_language(part, some).items():
+                    _, h = known(lang, own)
+                    found = pair_hash(h[:-1], h[1:])[(h[:-1] != 0) & (h[1:] != 0)] & np.uint64((1 << FILTER_BITS) - 1)
+                    for code, n in tally.add(*np.unique(found.astype(np.int64), return_counts=True)):
+                        yield _blocks(code, n)
+        for code, n in tally.rest():
+            yield _blocks(code, n)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = -1, np.zeros(1 << BLOCK_BITS, np.int64)
+
+        def bits() -> pa.RecordBatch:
+            words = np.packbits(sums >= least, bitorder="little").view(np.int64)
+            at = np.flatnonzero(words)
+            return pa.RecordBatch.from_arrays([pa.array(at + now * len(words)), pa.array(words[at])], names=["at", "bits"])
+
+        for batch in batches:
+            for block, codes, n in zip(batch.column("block").to_pylist(), batch.column("codes"), batch.column("n"), strict=True):
+                if block != now:
+                    if now >= 0:
+                        yield bits()
+                    now, sums[:] = block, 0
+                sums[np.frombuffer(codes.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<u4")
+        if now >= 0:
+            yield bits()
+
+    rows = texts.mapInArrow(run, "block int, codes binary, n binary").repartition("block").sortWithinPartitions("block")
+    rows = rows.mapInArrow(added, "at bigint, bits bigint").toArrow()  # a row for each 64 hashes at most
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _blocks(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """(block, codes, n) of sorted hashes and their counts."""
+    block, first = runs(code >> BLOCK_BITS)
+    codes, counts = (code & ((1 << BLOCK_BITS) - 1)).astype("<u2").tobytes(), np.minimum(n, (1 << 32) - 1).astype("<u4").tobytes()
+    ends = np.r_[first, len(code)]
+    offsets = lambda size: pa.py_buffer((ends * size).astype(np.int32).tobytes())
+    binary = [pa.Array.from_buffers(pa.binary(), len(block), [None, offsets(size), pa.py_buffer(x)]) for size, x in ((2, codes), (4, counts))]
+    return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), *binary], names=["block", "codes", "n"])
+
+
+def by_language(part: pa.RecordBatch, texts: list[bytes]) -> dict[str, list[bytes]]:
+    out: dict[str, list[bytes]] = {}
+    for lang, text in zip(part.column("lang").to_pylist(), texts, strict=True):
+        out.setdefault(lang, []).append(text)
+    return out
+
+
+class Known:
+    """Words of texts with their hashes, 0 for those that are not frequent."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.of = bits, {}
+
+    def __call__(self, lang: str, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        if sum(map(len, self.of.values())) > CACHE_WORDS:
+            self.of.clear()
+        if lang not in self.of:
+            self.of[lang] = Hashes(lang, self.bits)
+        words = tokens(texts)
+        return words, np.fromiter(map(self.of[lang].__getitem__, words), np.uint64, len(words))
 
 
 def _counted(texts: DataFrame, make: Callable[[], Callable[[str, list[bytes]], list[bytes]]]) -> DataFrame:
@@ -92,10 +166,7 @@ def _counted(texts: DataFrame, make: Callable[[], Callable[[str, list[bytes]], l
         phrases, held = make(), {}
         for batch in batches:
             for part, some in pieces(batch):
-                by_lang: dict[str, list[bytes]] = {}
-                for lang, text in zip(part.column("lang").to_pylist(), some, strict=True):
-                    by_lang.setdefault(lang, []).append(text)
-                for lang, own in by_lang.items():
+                for lang, own in by_language(part, some).items():
                     held.setdefault(lang, Counter()).update(phrases(lang, own))
                     if sum(map(len, held.values())) > MAX_HELD:
                         yield from flushed(held)
@@ -110,29 +181,20 @@ def _words_of(lang: str, texts: list[bytes]) -> list[bytes]:
     return found + [b""] * len(found)
 
 
-def _longer(words_bits, pairs_bits, sizes: range) -> Callable[[], Callable]:
-    """Phrases of so many words: all words frequent, and all pairs too where their bit map is given."""
+def _longer(words_bits, pairs_bits, longest: int) -> Callable[[], Callable]:
+    """Phrases of two words or more, of frequent words and with no pair that is surely rare."""
 
     def make() -> Callable[[str, list[bytes]], list[bytes]]:
-        known: dict[str, Hashes] = {}
-        bits = words_bits.value
+        known, bits = Known(words_bits.value), pairs_bits.value
 
         def f(lang: str, texts: list[bytes]) -> list[bytes]:
-            if sum(map(len, known.values())) > CACHE_WORDS:
-                known.clear()
-            if lang not in known:
-                known[lang] = Hashes(lang, bits)
-            words = tokens(texts)
-            h = np.fromiter(map(known[lang].__getitem__, words), np.uint64, len(words))
-            joins = (h[:-1] != 0) & (h[1:] != 0)
-            if pairs_bits is not None:
-                joins &= has_bit(pairs_bits.value, pair_hash(h[:-1], h[1:]))
-            out, at = [], joins
-            for m in range(2, sizes.stop):
+            words, h = known(lang, texts)
+            at = joins = (h[:-1] != 0) & (h[1:] != 0) & has_bit(bits, pair_hash(h[:-1], h[1:]))
+            out = []
+            for m in range(2, longest + 1):
                 if m > 2:
                     at = at[:-1] & joins[m - 2 :]
-                if m in sizes:
-                    out += [b" ".join(words[i : i + m]) for i in np.flatnonzero(at).tolist()]
+                out += [b" ".join(words[i : i + m]) for i in np.flatnonzero(at).tolist()]
             return out
 
         return f
@@ -151,17 +213,12 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         words = F.when(root, F.array().cast("array<string>")).otherwise(F.split("phrase", " "))
         return checkpointed(counts.filter(root | (F.col("n") >= least)).select("lang", words.alias("words"), "n"))
 
-    def bits(phrases: DataFrame):
-        return spark.sparkContext.broadcast(word_filter(phrase_hashes(phrases)))
-
     words = kept(_counted(texts, lambda: _words_of))
     if longest < 2:
         return words
-    words_bits = bits(words.filter(F.size("words") == 1))
-    pairs = kept(_counted(texts, _longer(words_bits, None, range(2, 3))))
-    if longest < 3:
-        return words.unionByName(pairs)
-    return words.unionByName(pairs).unionByName(kept(_counted(texts, _longer(words_bits, bits(pairs), range(3, longest + 1)))))
+    words_bits = spark.sparkContext.broadcast(word_filter(word_hashes(words.filter(F.size("words") == 1))))
+    pairs_bits = spark.sparkContext.broadcast(pair_filter(texts, words_bits, least))
+    return words.unionByName(kept(_counted(texts, _longer(words_bits, pairs_bits, longest))))
 
 
 def _boundaries(stream: DataFrame) -> DataFrame:
