@@ -208,7 +208,8 @@ QUERIES = {
     "detection_rate": lambda spark, sf: detection_rates(k := keypoints(spark, sf), k, 0.6),
     "cooccurrence": lambda spark, sf: co_occurrence(_bad(spark, sf)),
     "combine_max": lambda spark, sf: combine_max(_two_sources(spark, sf)).select("cam_id", "frame", "part", "lm_id", "source_ord", F.round("conf", 4).alias("conf")),
-    "combine_weighted": lambda spark, sf: combine_weighted(_two_sources(spark, sf)).select("cam_id", "frame", "part", "lm_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "conf")]),
+    # A little is added before rounding, off the ties that the two engines round apart.
+    "combine_weighted": lambda spark, sf: combine_weighted(_two_sources(spark, sf)).select("cam_id", "frame", "part", "lm_id", *[F.round(F.col(c) + 3.3e-8, 6).alias(c) for c in ("x", "y", "conf")]),
     "source_disagreement": lambda spark, sf: source_disagreement(_two_sources(spark, sf)).select("cam_id", "frame", F.round("same_px", 3).alias("same_px"), F.round("cross_px", 3).alias("cross_px"), "likely_swap"),
     "bodywrist_swap": lambda spark, sf: body_wrist_swap(_swapped(k := keypoints(spark, sf)), k).select("cam_id", "frame", F.round("margin", 3).alias("margin"), "swap"),
     "loo_swap": lambda spark, sf: _loo(spark, sf).select("cam_id", "frame", "swap"),
@@ -230,8 +231,8 @@ ORACLE_SQL = {
     "cooccurrence": _K + """, b as (select cam_id, frame, max(case when part = 'left' and conf < 0.5 then 1 else 0 end) as l, max(case when part = 'right' and conf < 0.7 then 1 else 0 end) as r from keypoint where lm_id = 0 group by cam_id, frame)
  select cam_id, case when max(l) > min(l) and max(r) > min(r) then round(corr(l, r), 6) end as corr from b group by cam_id""",
     "combine_max": _TWO + "select cam_id, frame, part, lm_id, source_ord, round(conf, 4) as conf from (select *, max(conf) over (partition by cam_id, frame, part) as best, rank() over (partition by cam_id, frame, part order by conf desc, source_ord) as r from two) where r = 1",
-    "combine_weighted": _TWO + """select cam_id, frame, part, lm_id, round(list_reduce(list(greatest(conf, 1e-6) * x order by source_ord), lambda a, b: a + b) / list_reduce(list(greatest(conf, 1e-6) order by source_ord), lambda a, b: a + b), 6) as x,
- round(list_reduce(list(greatest(conf, 1e-6) * y order by source_ord), lambda a, b: a + b) / list_reduce(list(greatest(conf, 1e-6) order by source_ord), lambda a, b: a + b), 6) as y, round(max(conf), 6) as conf from two group by cam_id, frame, part, lm_id""",
+    "combine_weighted": _TWO + """select cam_id, frame, part, lm_id, round(list_reduce(list(greatest(conf, 1e-6) * x order by source_ord), lambda a, b: a + b) / list_reduce(list(greatest(conf, 1e-6) order by source_ord), lambda a, b: a + b) + 3.3e-8, 6) as x,
+ round(list_reduce(list(greatest(conf, 1e-6) * y order by source_ord), lambda a, b: a + b) / list_reduce(list(greatest(conf, 1e-6) order by source_ord), lambda a, b: a + b) + 3.3e-8, 6) as y, round(max(conf) + 3.3e-8, 6) as conf from two group by cam_id, frame, part, lm_id""",
     "source_disagreement": _TWO + f""", q as (select cam_id, frame, lm_id, {", ".join(f"max(case when source_ord = {n} and part = '{p}' then {c} * {size} end) as {p[0]}{n}{c}" for n in (0, 1) for p in ("left", "right") for c, size in (("x", WIDTH), ("y", HEIGHT)))} from two group by cam_id, frame, lm_id),
  d as (select cam_id, frame, {", ".join(f"avg(sqrt(pow({a}x - {b}x, 2) + pow({a}y - {b}y, 2))) as {a}{b}" for a, b in (("l0", "l1"), ("r0", "r1"), ("l0", "r1"), ("r0", "l1")))} from q where l0x is not null and l1x is not null and r0x is not null and r1x is not null group by cam_id, frame)
  select cam_id, frame, round((l0l1 + r0r1) / 2, 3) as same_px, round((l0r1 + r0l1) / 2, 3) as cross_px, (l0r1 + r0l1) / 2 < 0.5::double * (l0l1 + r0r1) / 2 as likely_swap from d""",

@@ -170,14 +170,14 @@ def wrist_gap(hand: DataFrame, body: DataFrame, keys: list[str], factor: float =
 
 
 def best_person(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, person, score): of several people (person, joint, conf) in a frame the one with the highest mean confidence; of equal ones the first."""
-    mean = scores.groupBy(*keys, "person").agg(F.avg(F.coalesce("conf", F.lit(0.0))).alias("score"))
+    """(keys, person, score): of several people (person, joint, conf) in a frame the one with the highest mean confidence (to nine places); of equal ones the first."""
+    mean = scores.groupBy(*keys, "person").agg(F.round(F.avg(F.coalesce("conf", F.lit(0.0))), 9).alias("score"))
     return mean.groupBy(*keys).agg(F.max_by("person", F.struct("score", -F.col("person"))).alias("person"), F.max("score").alias("score"))
 
 
 def better_hand(points: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, part): the side with the higher mean confidence; the left one of equals."""
-    mean = lambda p: F.coalesce(F.avg(F.when(F.col("part") == p, F.coalesce("conf", F.lit(0.0)))), F.lit(0.0))
+    """(keys, part): the side with the higher mean confidence (to nine places: means of the same values are equal in whatever order they are added); the left one of equals."""
+    mean = lambda p: F.coalesce(F.round(F.avg(F.when(F.col("part") == p, F.coalesce("conf", F.lit(0.0)))), 9), F.lit(0.0))
     return points.groupBy(*keys).agg(F.when(mean("right") > mean("left"), "right").otherwise("left").alias("part"))
 
 
@@ -358,8 +358,8 @@ ORACLE_SQL = {
  select session, part, frame, round(gap, 6) as gap, round(middle, 6) as middle, gap > middle + 4 * (mad + 1e-9) as flag from d""",
     "selection_summary": _K + """, c as (select session, frame, part, count(*) as n, avg(conf) / 2 as e from keypoint where lm_id = 0 and conf >= 0.5 group by session, frame, part)
  select session, part, count(*) as frames, min(n) as min_inliers, round(avg(n), 4) as mean_inliers, max(n) as max_inliers, round(avg(e), 4) as mean_err, count(case when e > 0.35 then 1 end) as flagged from c group by session, part""",
-    "best_person": _K + """, s as (select frame, ord as person, avg(round(conf + lm_id % 3 / 10.0::double, 2)) as score from keypoint group by frame, ord)
+    "best_person": _K + """, s as (select frame, ord as person, round(avg(round(conf + lm_id % 3 / 10.0::double, 2)), 9) as score from keypoint group by frame, ord)
  select frame, arg_max(person, (score, -person)) as person, round(max(score), 6) as score from s group by frame""",
-    "better_hand": _K + """select cam_id, frame, case when coalesce(avg(case when part = 'right' then conf + case when frame % 3 = 0 then 0.01 else 0 end end), 0) > coalesce(avg(case when part = 'left' then conf end), 0) then 'right' else 'left' end as part from keypoint group by cam_id, frame""",
+    "better_hand": _K + """select cam_id, frame, case when coalesce(avg(case when part = 'right' then conf + case when frame % 3 = 0 then 0.01 else 0 end end).round(9), 0) > coalesce(avg(case when part = 'left' then conf end).round(9), 0) then 'right' else 'left' end as part from keypoint group by cam_id, frame""",
     "frame_variants": f"with {POINTS_SQL} select frame, part, (case when frame % 2 = 0 then 1 else 0 end) + (case when frame % 3 = 0 then 1 else 0 end) as variants from points where frame % 2 = 0 or frame % 3 = 0 group by frame, part",
 }

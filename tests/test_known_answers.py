@@ -48,6 +48,29 @@ def test_kalman_fills_gaps_of_a_straight_line():
     assert np.abs(out[5:] - xyz[5:]).max() < 0.02
 
 
+@pytest.mark.parametrize("block", [4, 16, 512])
+def test_smooth_in_blocks(spark, block):
+    """Series that span blocks, begin late, have gaps over whole blocks, and frames that are not evenly numbered, against the plain recursion over all listed frames."""
+    rng = np.random.default_rng(block)
+    rows, frames, want = [], [], {}
+    for session in range(3):
+        listed = np.cumsum(rng.integers(1, 4, 120 + session))
+        frames += [(session, int(f)) for f in listed]
+        for lm in range(3):
+            xyz, valid, views = np.cumsum(rng.normal(size=(len(listed), 3)) * 0.02, axis=0), rng.random(len(listed)) < 0.6, rng.integers(2, 4, len(listed))
+            valid[: 17 * lm], valid[50 : 50 + 30 * lm] = False, False
+            out = smooth.kalman_rts(np.where(valid[:, None], xyz, 0), valid, np.where(views == 2, 0.015, 0.01))
+            rows += [(session, lm, int(listed[t]), *map(float, xyz[t]), int(views[t])) for t in np.flatnonzero(valid)]
+            lo, hi = np.flatnonzero(valid)[[0, -1]]
+            want |= {(session, lm, int(listed[t])): (*out[t], bool(valid[t])) for t in range(lo, hi + 1)}
+    points = spark.createDataFrame(rows, "session long, lm long, frame long, x double, y double, z double, n_views long")
+    got = {(r.session, r.lm, r.frame): (r.x, r.y, r.z, r.observed) for r in smooth.smooth(points, spark.createDataFrame(frames, "session long, frame long"), ["session", "lm"], block=block).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[k][i] - want[k][i]) for k in want for i in range(3)) < 1e-9
+    assert all(got[k][3] == want[k][3] for k in want)
+    assert smooth.smooth(points.limit(0), points.select("session", "frame"), ["session", "lm"], block=block).count() == 0
+
+
 def test_logs(spark):
     text = "# camera=cam0\n# iso=800 shutter_us=4000 3840x2160@30fps mjpeg_q=70\n# sync_calibration host_ts_s=1.0 device_ts_s=0.75 host_offset_s=0.25\n# unified_time = device_timestamp_s + host_offset_s\n\n1.5 7 1.25 900\nshort line\n1970-01-01T00:00:02 8 NaN 901\n# 1x1@1fps\n"
     df = spark.createDataFrame([("a", text)], "path string, value string")
