@@ -4,12 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mvspark.functions.series import percentile, row_index
+from mvspark.functions.series import percentile, ranked_in_blocks
 from mvspark.plans.fixtures import FRAME_LOG_SQL, frame_log
 
 #: Seconds; the queries' logs have frames minutes apart.
 THRESHOLD_S = 300.0
 FPS = 1 / 1000.0
+#: Seconds of a block: 18,000 frames of a camera at 30 a second. The queries' logs have a frame in so many minutes.
+BLOCK_S, QUERY_BLOCK_S = 600.0, 200_000.0
 
 
 def default_threshold_ms(fps: float) -> float:
@@ -30,25 +32,32 @@ def overlap(log: DataFrame, time: str = "unified_ts_s") -> DataFrame:
     return ends.groupBy("session_id").agg(F.max("first").alias("start_s"), F.min("last").alias("end_s")).filter("end_s > start_s")
 
 
-def slots(log: DataFrame, reference: str, time: str = "unified_ts_s") -> DataFrame:
-    """The reference camera's times inside the overlap, numbered."""
+def slots(log: DataFrame, reference: str, time: str = "unified_ts_s", block_s: float = BLOCK_S) -> DataFrame:
+    """The reference camera's times inside the overlap, numbered block by block."""
     times = log.filter(F.col("cam_id") == reference).select("session_id", F.col(time).alias("slot_ts_s"), F.col("idx").alias("ref_idx"))
     inside = times.join(overlap(log, time), "session_id").filter("slot_ts_s >= start_s and slot_ts_s <= end_s + 1e-9")
-    return row_index(inside, ["session_id"], ["slot_ts_s", "ref_idx"], "slot").select("session_id", "slot", "slot_ts_s")
+    numbered = ranked_in_blocks(inside, ["session_id"], "slot_ts_s", block_s, "slot", ["ref_idx"])
+    return numbered.select("session_id", F.col("slot").cast("int").alias("slot"), "slot_ts_s")
 
 
-def nearest(asked: DataFrame, log: DataFrame, time: str = "unified_ts_s") -> DataFrame:
+def nearest(asked: DataFrame, log: DataFrame, time: str = "unified_ts_s", block_s: float = BLOCK_S) -> DataFrame:
     """Each (session_id, slot, slot_ts_s) with each camera's nearest entry; of two as near the earlier (null if
-    it has no valid entry at all). One sort of slots and entries together for each camera and direction, no range join."""
+    it has no valid entry at all). Time is cut into blocks: each block of a camera hands on its first and last entry, which one short scan over blocks carries to blocks on either side, and is then
+    sorted and matched alone, slots and entries together, once for each direction. No task holds more of a camera than a block."""
     cams = log.select("session_id", "cam_id").distinct()
     grid = asked.join(cams, "session_id").select("session_id", "cam_id", F.col("slot_ts_s").alias("t"), "slot", F.lit(None).cast("int").alias("idx"), F.lit(0).alias("kind"))
     entries = log.filter(F.col(time).isNotNull() & ~F.isnan(time)).select("session_id", "cam_id", F.col(time).alias("t"), F.lit(None).cast("int").alias("slot"), "idx", F.lit(1).alias("kind"))
-    both = grid.unionByName(entries)
+    both = grid.unionByName(entries).withColumn("block", F.floor(F.col("t") / block_s))
     own = F.when(F.col("kind") == 1, F.struct("t", "idx"))
-    camera, order = Window.partitionBy("session_id", "cam_id"), ("t", "kind", "idx", "slot")
+    keys = ["session_id", "cam_id", "block"]
+    ends = both.groupBy(*keys).agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+    blocks = Window.partitionBy("session_id", "cam_id")
+    until = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(*keys, until("hi", blocks.orderBy("block")).alias("earlier"), until("lo", blocks.orderBy(F.desc("block"))).alias("later"))
+    inside, order = Window.partitionBy(*keys), ("t", "kind", "idx", "slot")
     # Both frames reach back from the row, one in descending order: a frame that grows at its end is worked out in one pass.
-    last = lambda w: F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    both = both.withColumn("before", last(camera.orderBy(*order))).withColumn("after", last(camera.orderBy(*map(F.desc, order)))).filter("kind = 0")
+    both = both.withColumn("before", until(own, inside.orderBy(*order))).withColumn("after", until(own, inside.orderBy(*map(F.desc, order)))).filter("kind = 0")
+    both = both.join(carried, keys).withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
     back, ahead = F.col("t") - F.col("before.t"), F.col("after.t") - F.col("t")
     pick = F.when(ahead.isNull() | (back <= ahead), F.col("before")).otherwise(F.col("after"))
     found = both.withColumn("hit", pick)
@@ -72,7 +81,7 @@ def quorum(matches: DataFrame, threshold_ms: float, decoded: DataFrame | None =
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = frame_log(spark, sf_dir)
-    return quorum(nearest(slots(log, "cam0"), log), THRESHOLD_S * 1000)
+    return quorum(nearest(slots(log, "cam0", block_s=QUERY_BLOCK_S), log, block_s=QUERY_BLOCK_S), THRESHOLD_S * 1000)
 
 
 def camera_stats(rows: DataFrame) -> DataFrame:

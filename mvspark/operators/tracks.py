@@ -4,21 +4,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from mvspark.functions.geometry import box_iou
+from mvspark.functions.series import checkpointed
 from mvspark.plans.fixtures import FRAME_LOG_SQL, POINTS_SQL, frame_log, true_points
 
 MAX_STEP_PX, MAX_GAP = 500.0, 20
+#: Frames of a range in which gaps are looked for.
+RANGE = 20_000
 
 
-def track_scan(rows: pd.DataFrame) -> list[int]:
+def track_scan(rows: pd.DataFrame, max_gap: int = MAX_GAP) -> list[int]:
     """Track of each box (frame, det_id, cx, cy; in order): the nearest pairs of box and live track first, one each; other boxes begin tracks."""
     last: dict[int, tuple[int, np.ndarray]] = {}
     out, begun = [], 0
     for frame, boxes in rows.groupby("frame", sort=False):
         at = boxes[["cx", "cy"]].to_numpy(float)
-        live = {k: p for k, (f, p) in last.items() if frame - f <= MAX_GAP}
+        live = {k: p for k, (f, p) in last.items() if frame - f <= max_gap}
         near = sorted((d, i, k) for i, c in enumerate(at) for k, p in live.items() if (d := float(np.linalg.norm(c - p))) < MAX_STEP_PX)
         mine: dict[int, int] = {}
         for _, i, k in near:
@@ -32,22 +36,40 @@ def track_scan(rows: pd.DataFrame) -> list[int]:
     return out
 
 
-def tracks(boxes: DataFrame) -> DataFrame:
-    """Boxes (cam_id, frame, det_id, x0, y0, x1, y1) with ``track``. A camera's boxes are one ordered scan: what a box is matched with depends on all before."""
-    rows = boxes.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2}).select("cam_id", "frame", "det_id", "cx", "cy")
+def tracks(boxes: DataFrame, keys: tuple[str, ...] = ("cam_id",), max_gap: int = MAX_GAP) -> DataFrame:
+    """Boxes (keys, frame, det_id, x0, y0, x1, y1) with ``track``, numbered from 0 in each camera (keys). What a box is matched with depends on all before, but no further back than a gap:
+    where a camera shows no box for more than ``max_gap`` frames every track has ended. There its history is cut into parts, each a group of its own; a part's tracks are
+    numbered after those of the parts before. Rows are those of one scan of the whole history. Columns of the names ``part`` and ``track`` are replaced; equal (keys, frame, det_id)
+    would be told apart by nothing, so they must not repeat. An empty table has no tracks."""
+    rows = boxes.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2}).select(*keys, "frame", "det_id", "cx", "cy")
+    # Frames with boxes, numbered in ranges, and the last one before each range: no task sorts a camera's whole history.
+    frames = rows.select(*keys, "frame").distinct().withColumn("range", F.floor(F.col("frame") / RANGE))
+    camera, inside = Window.partitionBy(*keys).orderBy("range"), Window.partitionBy(*keys, "range").orderBy("frame")
+    ends = frames.groupBy(*keys, "range").agg(F.max("frame").alias("end"))
+    ends = ends.select(*keys, "range", F.lag("end").over(camera).alias("end"))
+    seen = frames.join(ends, [*keys, "range"]).withColumn("before", F.coalesce(F.lag("frame").over(inside), "end"))
+    cut = F.coalesce((F.col("frame") - F.col("before") > max_gap), F.lit(True)).cast("long")
+    counts = seen.groupBy(*keys, "range").agg(F.sum(cut).alias("cuts"))
+    offsets = counts.select(*keys, "range", F.coalesce(F.sum("cuts").over(camera.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    parts = seen.join(offsets, [*keys, "range"]).select(*keys, "frame", (F.col("offset") + F.sum(cut).over(inside)).alias("part"))
+    out = StructType([*[boxes.schema[k] for k in [*keys, "frame", "det_id"]], StructField("part", LongType()), StructField("own", LongType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["frame", "det_id"])
-        return rows[["cam_id", "frame", "det_id"]].assign(track=track_scan(rows))
+        return rows[[*keys, "frame", "det_id", "part"]].assign(own=track_scan(rows, max_gap))
 
-    found = rows.groupBy("cam_id").applyInPandas(run, "cam_id string, frame int, det_id int, track int")
-    return boxes.join(found, ["cam_id", "frame", "det_id"])
+    found = checkpointed(rows.join(parts, [*keys, "frame"]).groupBy(*keys, "part").applyInPandas(run, out))
+    begun = found.groupBy(*keys, "part").agg((F.max("own") + 1).alias("n"))
+    order = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = begun.select(*keys, "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"))
+    track = (F.col("offset") + F.col("own")).cast("int").alias("track")
+    return boxes.drop("track").join(found.join(offset, [*keys, "part"]).select(*keys, "frame", "det_id", track), [*keys, "frame", "det_id"])
 
 
-def longest(tracked: DataFrame, keep: int = 2) -> DataFrame:
+def longest(tracked: DataFrame, keep: int = 2, keys: tuple[str, ...] = ("cam_id",)) -> DataFrame:
     """Each camera's longest tracks."""
-    n = tracked.groupBy("cam_id", "track").agg(F.count(F.lit(1)).alias("frames"))
-    return n.withColumn("place", F.row_number().over(Window.partitionBy("cam_id").orderBy(F.desc("frames"), "track"))).filter(F.col("place") <= keep)
+    n = tracked.groupBy(*keys, "track").agg(F.count(F.lit(1)).alias("frames"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("frames"), "track"))).filter(F.col("place") <= keep)
 
 
 def handedness(votes: DataFrame) -> DataFrame:
@@ -76,6 +98,13 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.filter((F.col("frame") % 11 != 0) | (F.col("det_id") == 0)).select("cam_id", "frame", "det_id", x.cast("double").alias("x0"), F.lit(100.0).alias("y0"), (x + 200).cast("double").alias("x1"), F.lit(300.0).alias("y1"))
 
 
+def _broken_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every 400 frames the last 30 show nothing, which ends tracks; 19 others in their midst do not."""
+    at = F.col("frame") % 400
+    found = tracks(_boxes(spark, sf_dir).filter((at < 370) & ~at.between(100, 118)))
+    return found.groupBy("cam_id", "track").agg(F.count(F.lit(1)).alias("frames"), F.min("frame").alias("first"), F.max("frame").alias("last"))
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each box with its detection's box before."""
     w = Window.partitionBy("cam_id", "det_id").orderBy("frame")
@@ -91,13 +120,14 @@ def _mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "tracks": lambda spark, sf: longest(tracks(_boxes(spark, sf))).select("cam_id", "track", "frames"),
+    "tracks": _broken_tracks,
     "box_iou": _overlaps,
     "mesh_fuse": lambda spark, sf: fuse_mesh(_mesh(spark, sf)).select("frame", "side", "vert_id", "cams", *[F.round(c, 5).alias(c) for c in "xyz"]),
 }
 ORACLE_SQL = {
-    # The two boxes of a frame are 1500 apart and move 200 at most: each is one track.
-    "tracks": f"""with {FRAME_LOG_SQL} select cam_id, d as track, count(*) as frames from frame_log, (values (0), (1)) as v(d) where idx % 11 <> 0 or d = 0 group by cam_id, d""",
+    # The two boxes of a frame are 1500 apart and move 200 at most: each is one track until a gap ends it.
+    "tracks": f"""with {FRAME_LOG_SQL} select cam_id, cast(2 * (idx // 400) + d as integer) as track, count(*) as frames, min(idx) as first, max(idx) as last from frame_log, (values (0), (1)) as v(d)
+ where (idx % 11 <> 0 or d = 0) and idx % 400 < 370 and idx % 400 not between 100 and 118 group by cam_id, 2 * (idx // 400) + d""",
     # All boxes are 200 by 200 and only move along x.
     "box_iou": f"""with {FRAME_LOG_SQL}, b as (select cam_id, idx as frame, d as det_id, d * 1500 + idx % 50 * 4 as x from frame_log, (values (0), (1)) as v(d) where idx % 11 <> 0 or d = 0),
  p as (select *, greatest(0, 200 - abs(x - lag(x) over (partition by cam_id, det_id order by frame))) as o, lag(x) over (partition by cam_id, det_id order by frame) as before from b)

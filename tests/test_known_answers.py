@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mvspark.functions.geometry import angle_degrees, box_iou, quaternion, undistort
 from mvspark.functions.series import spaced
-from mvspark.operators import calibration, lens, meshes, occlusion, quality, sequences, smooth
+from mvspark.operators import align, calibration, lens, meshes, occlusion, quality, sequences, smooth, tracks
 from mvspark.operators.triangulate import older_weight, rank_pairs, triangulate, undistort_points, views
 from mvspark.plans.fixtures import calibration as cameras
 from mvspark.plans.fixtures import keypoints
@@ -71,6 +71,54 @@ def test_smooth_in_blocks(spark, block):
     assert smooth.smooth(points.limit(0), points.select("session", "frame"), ["session", "lm"], block=block).count() == 0
 
 
+def test_tracks_by_parts(spark):
+    """Parts between gaps give the tracks of one scan of each session's camera, whatever the gaps and ranges."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for session in ("s0", "s1"):
+        for cam in ("cam0", "cam1"):
+            frame = 0
+            for _ in range(150):
+                frame += int(rng.choice([1, 1, 1, 2, 20, 21, 22, 70]))
+                rows += [(session, cam, frame, d, *map(float, (x, 0, x + 100, 100))) for d, x in enumerate(rng.integers(0, 1500, rng.integers(1, 4)))]
+    boxes = spark.createDataFrame(rows, "session string, cam_id string, frame int, det_id int, x0 double, y0 double, x1 double, y1 double")
+    want = {}
+    for (session, cam), own in pd.DataFrame(rows, columns=boxes.columns).assign(cx=lambda d: (d.x0 + d.x1) / 2, cy=50.0).groupby(["session", "cam_id"]):
+        own = own.sort_values(["frame", "det_id"])
+        want |= dict(zip(zip(own.session, own.cam_id, own.frame, own.det_id, strict=True), tracks.track_scan(own), strict=True))
+    old = tracks.RANGE
+    try:
+        for tracks.RANGE in (50, old):
+            got = tracks.tracks(boxes.withColumn("Track", F.lit("x")), ("session", "cam_id"))
+            assert {(r.session, r.cam_id, r.frame, r.det_id): r.track for r in got.collect()} == want
+    finally:
+        tracks.RANGE = old
+    assert tracks.tracks(boxes.limit(0), ("session", "cam_id")).count() == 0
+
+
+@pytest.mark.parametrize("block_s", [1.0, 2.5, 1000.0])
+def test_alignment_in_time_blocks(spark, block_s):
+    """Blocks that cut between ties, blocks without entries, entries at a block's edge, a camera without valid entries: all as by looking at every entry."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for session in ("a", "b"):
+        for cam, n in (("cam0", 60), ("cam1", 40), ("cam2", 9), ("cam3", 3)):
+            times = np.sort(rng.choice(np.arange(0, 80), n) / 4) if cam != "cam3" else [float("nan")] * 3
+            rows += [(session, cam, i, float(t)) for i, t in enumerate(times)]
+    log = spark.createDataFrame(rows, "session_id string, cam_id string, idx int, unified_ts_s double")
+    asked = align.slots(log.filter("cam_id <> 'cam3'"), "cam0", block_s=block_s)
+    for r in align.nearest(asked, log, block_s=block_s).collect():
+        own = [(t, i) for s, c, i, t in rows if (s, c) == (r.session_id, r.cam_id) and t == t]
+        before, after = max(((t, i) for t, i in own if t < r.slot_ts_s), default=None), min(((t, i) for t, i in own if t >= r.slot_ts_s), default=None)
+        want = before if after is None or before and r.slot_ts_s - before[0] <= after[0] - r.slot_ts_s else after
+        assert (r.nearest_ts_s, r.nearest_idx) == (want or (None, None))
+    for session in ("a", "b"):
+        found = sorted((r.slot, r.slot_ts_s) for r in asked.filter(F.col("session_id") == session).collect())
+        starts = [max(f(t for s, c, i, t in rows if (s, c) == (session, cam)) for cam in ("cam0", "cam1", "cam2")) if f is min else min(f(t for s, c, i, t in rows if (s, c) == (session, cam)) for cam in ("cam0", "cam1", "cam2")) for f in (min, max)]
+        inside = [t for s, c, i, t in rows if (s, c) == (session, "cam0") and starts[0] <= t <= starts[1]]
+        assert found == [*enumerate(inside)]
+
+
 def test_logs(spark):
     text = "# camera=cam0\n# iso=800 shutter_us=4000 3840x2160@30fps mjpeg_q=70\n# sync_calibration host_ts_s=1.0 device_ts_s=0.75 host_offset_s=0.25\n# unified_time = device_timestamp_s + host_offset_s\n\n1.5 7 1.25 900\nshort line\n1970-01-01T00:00:02 8 NaN 901\n# 1x1@1fps\n"
     df = spark.createDataFrame([("a", text)], "path string, value string")
