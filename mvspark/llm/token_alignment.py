@@ -17,6 +17,7 @@ Columns other than the id and the text are not looked at.
 import base64
 import hashlib
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from .common import out_batch, pieces, shared_folder, table
 
-#: Parts of texts, and windows, that a task remembers; all are dropped when there are more.
-CACHE_PARTS, CACHE_WINDOWS = 250_000, 250_000
+#: Parts of texts, and windows, that a task remembers: the first ones, others while a batch needs them.
+CACHE_PARTS, CACHE_WINDOWS = 300_000, 300_000
 #: Fewer than 2^HEAD_BITS pairs of ids are broadcast.
 HEAD_BITS = 18
 #: Bits of the second tokenizer's ids in a pair.
@@ -54,21 +55,38 @@ class Tokenizers:
         if any("▁" in self.second.id_to_piece(i).lstrip("▁") for i in range(self.second.get_piece_size())):
             raise ValueError("a piece of the second vocabulary goes on after a space: parts can't be encoded apart")
         self.a_size, self.b_size = (np.array([len(t) for t in tokens], np.int64) for tokens in (self.a_bytes, self.b_bytes))
+        #: An id as text with what follows it in a group, or after its side of the group.
+        self.a_text, self.b_text = ([np.array([b"%d%s" % (i, x) for i in range(len(tokens))], object) for x in after] for tokens, after in ((self.a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";"))))
         self.a_space, self.b_space = (np.array([t[:1] == b" " for t in tokens]) for tokens in (self.a_bytes, self.b_bytes))
 
     def _piece(self, i: int) -> bytes:
         piece = self.second.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.second.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encoded(self, texts: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """Ids of both as little-endian 32-bit integers, and whether their bytes are the text with a space before it."""
-        out = []
-        for text, b in zip(texts, self.second.encode(texts, num_threads=1), strict=True):
-            a = self.first.encode_ordinary(" " + text)
-            whole = b" " + text.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
-            out.append((np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes(), same))
-        return out
+    def encoded(self, text: str) -> tuple[bytes, bytes, bool]:
+        """Ids of both as 32-bit integers, and whether their bytes are the text with a space before it."""
+        a, b = self.first.encode_ordinary(" " + text), self.second.encode(text)
+        whole = b" " + text.encode()
+        same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
+        return array("i", a).tobytes(), array("i", b).tobytes(), same
+
+    def encoded_parts(self, parts: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """The same of parts without spaces, together: with one space between they have the tokens that they have alone. Parts among which one has other bytes are halved."""
+        if len(parts) < 2:
+            return [self.encoded(x) for x in parts]
+        a, b, same = self.encoded(" ".join(parts))
+        if not same:
+            half = len(parts) // 2
+            return self.encoded_parts(parts[:half]) + self.encoded_parts(parts[half:])
+        stops = np.cumsum([len(x.encode()) + 1 for x in parts])
+        sides = []
+        for ids, size in ((a, self.a_size), (b, self.b_size)):
+            ends = np.cumsum(size[np.frombuffer(ids, np.int32)])
+            at = np.searchsorted(ends, stops)
+            if (ends[at] != stops).any():
+                raise ValueError("a token goes on after a part")
+            sides.append(_cut(np.r_[0, at + 1], ids))
+        return [(x, y, True) for x, y in zip(*sides, strict=True)]
 
 
 _LOADED: dict[tuple[str, str], Tokenizers] = {}
@@ -93,18 +111,17 @@ class Parts(dict):
         whole = ["" in p for p in parts]  # several spaces together, or one at an end
         wanted = set().union(*[p for p, w in zip(parts, whole, strict=True) if not w])
         fresh = [p for p in wanted if p not in self]
-        if len(self) + len(fresh) > CACHE_PARTS:
-            self.clear()
-            fresh = [*wanted]
-        self.update(zip(fresh, self.both.encoded(fresh), strict=True))
+        self.update(zip(fresh, self.both.encoded_parts(fresh), strict=True))
         out: list[tuple[bytes, bytes] | None] = []
         for text, part, one in zip(texts, parts, whole, strict=True):
             found = None if one else [self[p] for p in part]
             if found is None or not all(x[2] for x in found):
-                a, b, same = self.both.encoded([text])[0] if text else (b"", b"", False)
+                a, b, same = self.both.encoded(text) if text else (b"", b"", False)
                 out.append((a, b) if same else None)
             else:
                 out.append((b"".join([x[0] for x in found]), b"".join([x[1] for x in found])))
+        while len(self) > CACHE_PARTS:
+            self.popitem()
         return out
 
 
@@ -113,32 +130,48 @@ class Windows(dict):
 
     def __init__(self, both: Tokenizers):
         self.both = both
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
         self.text: list[bytes] = []
         self.groups: list[int] = []
-        self.pairs: list[np.ndarray] = []
-
-    def __missing__(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(x, "<i4").astype(np.int64) for x in key)
-        ends_a, ends_b = np.cumsum(self.both.a_size[a]), np.cumsum(self.both.b_size[b])
-        # Tokens overlap from the first of b that ends after a begins to the first that ends with a or later.
-        first = np.searchsorted(ends_b, ends_a - self.both.a_size[a], "right")
-        last = np.searchsorted(ends_b, ends_a, "left")
+        self.pairs: list[bytes] = []  # 64-bit integers
+
+    def trim(self) -> None:
+        while len(self) > CACHE_WINDOWS:
+            self.popitem()
+        for values in (self.text, self.groups, self.pairs):
+            del values[CACHE_WINDOWS:]
+
+    def numbers(self, keys: list[tuple[bytes, bytes]]) -> np.ndarray:
+        """The windows' numbers; those not met before are worked out together."""
+        fresh = [k for k in dict.fromkeys(keys) if k not in self]
+        if fresh:
+            self.update(zip(fresh, range(len(self.text), len(self.text) + len(fresh)), strict=True))
+            self._work_out(fresh)
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+    def _work_out(self, keys: list[tuple[bytes, bytes]]) -> None:
+        both = self.both
+        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), np.int32).astype(np.int64) for side in (0, 1))
+        n_a, n_b = (np.array([len(k[side]) // 4 for k in keys]) for side in (0, 1))
+        # One after another, windows have the same bytes on both sides.
+        ends_a, ends_b = np.cumsum(both.a_size[a]), np.cumsum(both.b_size[b])
+        # A token overlaps those from the first that ends after it begins to the first that ends with it or later.
+        first, last = np.searchsorted(ends_b, ends_a - both.a_size[a], "right"), np.searchsorted(ends_b, ends_a, "left")
         times = last - first + 1
         links = np.repeat(a, times) << B_BITS | b[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first, times)]
-        text, i, j = [], 0, 0
-        for cut in np.intersect1d(ends_a, ends_b, assume_unique=True):
-            k, m = np.searchsorted(ends_a, cut, "right"), np.searchsorted(ends_b, cut, "right")
-            text.append(b",".join([b"%d" % x for x in a[i:k]]) + b"|" + b",".join([b"%d" % x for x in b[j:m]]))
-            i, j = k, m
-        self[key] = number = len(self.text)
-        self.text.append(b";".join(text))
-        self.groups.append(len(text))
-        self.pairs.append(links)
-        return number
+        marks = np.zeros(int(ends_a[-1]) + 1, np.uint8)
+        marks[ends_a] |= 1
+        marks[ends_b] |= 2
+        close_a, close_b = marks[ends_a] == 3, marks[ends_b] == 3
+        group_a, group_b = np.cumsum(close_a) - close_a, np.cumsum(close_b) - close_b
+        stop_a, stop_b = np.flatnonzero(close_a) + 1, np.flatnonzero(close_b) + 1
+        text = np.empty(len(a) + len(b), object)
+        text[np.arange(len(a)) + np.r_[0, stop_b][group_a]] = np.where(close_a, both.a_text[1][a], both.a_text[0][a])
+        text[np.arange(len(b)) + stop_a[group_b]] = np.where(close_b, both.b_text[1][b], both.b_text[0][b])
+        flat, begin_a = text.tolist(), np.cumsum(n_a) - n_a
+        at = np.r_[0, np.cumsum(n_a + n_b)].tolist()
+        self.text += [b"".join(flat[i:j])[:-1] for i, j in zip(at, at[1:])]  # noqa: B905
+        self.groups += np.add.reduceat(close_a.astype(np.int64), begin_a).tolist()
+        self.pairs += _cut(2 * np.r_[0, np.cumsum(np.add.reduceat(times, begin_a))], links.tobytes())
 
 
 def _cut(bounds: np.ndarray, buffer: bytes) -> list[bytes]:
@@ -155,8 +188,6 @@ class Aligner:
     def __call__(self, texts: list[str | None]) -> dict[str, object]:
         rows = self.parts.of([t or "" for t in texts])
         some = [r for r in rows if r]
-        if len(self.windows) > CACHE_WINDOWS:
-            self.windows.forget()
         n = len(texts)
         has = np.array([r is not None for r in rows], bool)
         counts = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
@@ -164,7 +195,7 @@ class Aligner:
         pairs, times, per_row = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(n, np.int64)
         if some:
             raw_a, raw_b = (b"".join([r[k] for r in some]) for k in (0, 1))
-            a, b = np.frombuffer(raw_a, "<i4"), np.frombuffer(raw_b, "<i4")
+            a, b = np.frombuffer(raw_a, np.int32), np.frombuffer(raw_b, np.int32)
             size_a, size_b = (np.array([len(r[k]) // 4 for r in some]) for k in (0, 1))
             counts["n_a"][has], counts["n_b"][has] = size_a, size_b
             start_a, start_b = (np.cumsum(s) - s for s in (self.both.a_size[a], self.both.b_size[b]))
@@ -175,8 +206,7 @@ class Aligner:
             marks[start_b[self.both.b_space[b]]] |= 2
             marks[start_a[first_a]] = 3
             cut_a, cut_b = np.flatnonzero(marks[start_a] == 3), np.flatnonzero(marks[start_b] == 3)
-            keys = zip(_cut(np.r_[cut_a, len(a)], raw_a), _cut(np.r_[cut_b, len(b)], raw_b), strict=True)
-            number = np.fromiter(map(self.windows.__getitem__, keys), np.int64, len(cut_a))
+            number = self.windows.numbers([*zip(_cut(np.r_[cut_a, len(a)], raw_a), _cut(np.r_[cut_b, len(b)], raw_b), strict=True)])
             window_row = np.searchsorted(first_a, cut_a, "right") - 1
             stops = np.searchsorted(window_row, np.arange(len(some)), "right")
             text = [self.windows.text[k] for k in number.tolist()]
@@ -190,17 +220,18 @@ class Aligner:
             used, inverse = np.unique(number, return_inverse=True)
             groups = np.array([self.windows.groups[k] for k in used])[inverse]
             own = [self.windows.pairs[k] for k in used]
-            sizes = np.array([len(x) for x in own])
+            sizes = np.array([len(x) // 8 for x in own])
             begin = (np.cumsum(sizes) - sizes)[inverse]
             links = sizes[inverse]
             counts["n_groups"][has] = np.bincount(window_row, groups, len(some)).astype(np.int64)
             counts["n_links"][has] = np.bincount(window_row, links, len(some)).astype(np.int64)
-            flat = np.concatenate(own)[np.arange(links.sum()) - np.repeat(np.cumsum(links) - links - begin, links)]
+            flat = np.frombuffer(b"".join(own), np.int64)[np.arange(links.sum()) - np.repeat(np.cumsum(links) - links - begin, links)]
             row = np.repeat(places[window_row], links)
             key = np.sort(row << 40 | flat)
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
             times = np.diff(np.r_[first, len(key)]).astype(np.int32)
             pairs, per_row = key[first] & ((1 << 40) - 1), np.bincount(key[first] >> 40, minlength=n)
+        self.windows.trim()
         offsets = pa.array(np.r_[0, np.cumsum(per_row)].astype(np.int32))
         return {**counts, "groups_sha256": digest, "pairs": pa.ListArray.from_arrays(offsets, pa.array(pairs)), "times": pa.ListArray.from_arrays(offsets, pa.array(times))}
 
