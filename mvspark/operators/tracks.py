@@ -99,9 +99,9 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _broken_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every 400 frames the last 30 show nothing, which ends tracks; 19 others in their midst do not."""
+    """Of every 400 frames the last 30 show nothing, which ends tracks; 17 others in their midst do not."""
     at = F.col("frame") % 400
-    found = tracks(_boxes(spark, sf_dir).filter((at < 370) & ~at.between(100, 118)))
+    found = tracks(_boxes(spark, sf_dir).filter((at < 370) & ~at.between(102, 118)))
     return found.groupBy("cam_id", "track").agg(F.count(F.lit(1)).alias("frames"), F.min("frame").alias("first"), F.max("frame").alias("last"))
 
 
@@ -127,7 +127,7 @@ QUERIES = {
 ORACLE_SQL = {
     # The two boxes of a frame are 1500 apart and move 200 at most: each is one track until a gap ends it.
     "tracks": f"""with {FRAME_LOG_SQL} select cam_id, cast(2 * (idx // 400) + d as integer) as track, count(*) as frames, min(idx) as first, max(idx) as last from frame_log, (values (0), (1)) as v(d)
- where (idx % 11 <> 0 or d = 0) and idx % 400 < 370 and idx % 400 not between 100 and 118 group by cam_id, 2 * (idx // 400) + d""",
+ where (idx % 11 <> 0 or d = 0) and idx % 400 < 370 and idx % 400 not between 102 and 118 group by cam_id, 2 * (idx // 400) + d""",
     # All boxes are 200 by 200 and only move along x.
     "box_iou": f"""with {FRAME_LOG_SQL}, b as (select cam_id, idx as frame, d as det_id, d * 1500 + idx % 50 * 4 as x from frame_log, (values (0), (1)) as v(d) where idx % 11 <> 0 or d = 0),
  p as (select *, greatest(0, 200 - abs(x - lag(x) over (partition by cam_id, det_id order by frame))) as o, lag(x) over (partition by cam_id, det_id order by frame) as before from b)
