@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, lower_words, out_batch, pieces, table
+from .common import checkpointed, fresh, lower_words, out_batch, pieces, table, with_fields
 from .components import components
 
 SHINGLE = 3
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 schema = pa.schema([part.schema.field("doc_id"), pa.field("key", pa.int64()), pa.field("fp", pa.int64())])
                 yield out_batch(schema, {"doc_id": part.column("doc_id"), "key": part.column("key"), "fp": [fingerprint(t, shingle) for t in texts]})
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, key bigint, fp bigint")
+    return df.mapInArrow(run, with_fields([df.schema["doc_id"]], {"key": "bigint", "fp": "bigint"}))
 
 
 def close(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -254,7 +254,7 @@ def marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, band: int)
                 given = {c: part.column(c) for c in ("doc_id", "key")}
                 yield out_batch(pa.schema([*[part.schema.field(c) for c in given], *fields]), given | out)
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, key bigint, node bigint, s0 bigint, s1 bigint, keys array<bigint>")
+    return df.mapInArrow(run, with_fields([df.schema["doc_id"]], {"key": "bigint", "node": "bigint", "s0": "bigint", "s1": "bigint", "keys": "array<bigint>"}))
 
 
 def within(sketch: np.ndarray, group: np.ndarray, root: np.ndarray, radius: int) -> np.ndarray:

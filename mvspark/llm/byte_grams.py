@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, out_batch, pieces, with_text_columns
+from .common import checkpointed, fresh, out_batch, pieces, with_text_columns
 
 #: Codes whose values are broadcast at most (about 26 bytes each): all, or the commonest; the others are joined.
 MAX_BROADCAST = 6_000_000
@@ -190,7 +190,8 @@ def with_sums(docs: DataFrame, values: DataFrame, text_col: str, order: int, pre
         return with_text_columns(docs, text_col, added, make)
 
     row = fresh(docs, "row")
-    rows = docs.drop(*added).withColumn(row, F.monotonically_increasing_id())
+    # Numbered once and written: the rows are read twice, and must keep their numbers whatever order their table comes in.
+    rows = checkpointed(docs.drop(*added).withColumn(row, F.monotonically_increasing_id()))
     schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("s", pa.float64()), ("code", pa.int64()), ("m", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Words are runs of what is not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +39,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def named(name: str) -> Column:
+    """A column by its own name, whatever letters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_fields(given: list[StructField], added: dict[str, str]) -> StructType:
+    """A table's fields with their types as they are, nested names too, and others by the text of their types; any may be null."""
+    return StructType([*[StructField(f.name, f.dataType) for f in given], *[StructField(name, DataType.fromDDL(ddl)) for name, ddl in added.items()]])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder of spark.checkpoint.dir."""
     shared_folder(df.sparkSession)
@@ -76,28 +87,30 @@ def with_text_columns(docs: DataFrame, text_col: str, added: dict[str, tuple[str
     """``docs`` with columns that ``make()`` gives for each list of whole texts: make() is called once a task and returns a function from
     texts to a dict of lists. Rows stay where they are, with all their columns; a column of an added name is replaced."""
     kept = docs.drop(*added)
-    whole = fresh(kept, "text_")
-    ddl = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema), *(f"`{k}` {t[0]}" for k, t in added.items())])
+    # Columns are passed by place: Spark looks a table's names up again when it maps it, and reads dots and backticks in them.
+    plain = [f"c{i}" for i in range(len(kept.columns))]
+    rows = kept.select("*", F.col(text_col).cast("string")).toDF(*plain, "text")
+    out = with_fields(rows.schema.fields[:-1], {k: t[0] for k, t in added.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part, texts in pieces(batch, whole, chars):
-                old = [x for x in part.schema if x.name != whole]
-                schema = pa.schema([*old, *[pa.field(k, t[1]) for k, t in added.items()]])
-                yield out_batch(schema, {x.name: part.column(x.name) for x in old} | f(texts))
+            for part, texts in pieces(batch, "text", chars):
+                schema = pa.schema([*[x for x in part.schema if x.name != "text"], *[pa.field(k, t[1]) for k, t in added.items()]])
+                yield out_batch(schema, {c: part.column(c) for c in plain} | f(texts))
 
-    return kept.select("*", F.col(text_col).cast("string").alias(whole)).mapInArrow(run, ddl)
+    return rows.mapInArrow(run, out).toDF(*kept.columns, *added)
 
 
 def judged(docs: DataFrame, names: tuple[str, ...], found, keep: Column) -> DataFrame:
     """The rows of ``docs``, with its own columns and no others, for which ``keep`` holds of the columns (names) that ``found`` adds. Columns of docs
-    that have such a name stand aside meanwhile."""
+    that have such a name, in any case of letters, stand aside meanwhile."""
     aside = {}
     taken = docs
-    for name in names:
-        if name in docs.columns:
-            aside[name] = fresh(taken, name)
-            taken = taken.withColumnRenamed(name, aside[name])
+    added = {name.lower() for name in names}
+    for c in docs.columns:
+        if c.lower() in added:
+            aside[c] = fresh(taken, c)
+            taken = taken.withColumnRenamed(c, aside[c])
     out = found(taken).filter(keep)
-    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+    return out.select(*[named(aside.get(c, c)).alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_grams
-from .common import checkpointed, id_crc, lower_words, out_batch, pieces, table
+from .common import checkpointed, id_crc, lower_words, out_batch, pieces, table, with_fields
 
 DEPTH = 5
 #: Bytes by which trees are dealt out, and n-grams of a part.
@@ -244,7 +244,8 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     got = words.filter(common).select("key", "n").toArrow()
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((lookup, Base(got.column("key").to_numpy(), got.column("n").to_numpy())))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    names = {"n_tokens": "bigint", "known": "bigint", "logs": "double", "n_bytes": "bigint", "score": "double", "kind": "tinyint", "key": "bigint", "m": "bigint"}
+    out = with_fields([rows.schema[c] for c in ("row", "doc_id", "learn")], names)
     own = [pa.field("n_tokens", pa.int64()), pa.field("known", pa.int64()), pa.field("logs", pa.float64()), pa.field("n_bytes", pa.int64()), pa.field("score", pa.float64())]
     asked = [pa.field("kind", pa.int8()), pa.field("key", pa.int64()), pa.field("m", pa.int64())]
 
@@ -272,7 +273,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
                 yield from rare(row[text], WORD, h, m)
                 yield from rare(grams[0], GRAM, grams[1], grams[2])
 
-    found = rows.mapInArrow(run, f"row bigint, doc_id {id_type}, learn boolean, n_tokens bigint, known bigint, logs double, n_bytes bigint, score double, kind tinyint, key bigint, m bigint")
+    found = rows.mapInArrow(run, out)
     # Rows of whole texts would all meet in one task: they get a key of a kind that nothing has.
     found = found.withColumns({"kind": F.coalesce("kind", F.lit(-1).cast("tinyint")), "key": F.coalesce("key", "row")})
     answers = words.filter(~common).select("kind", "key", F.log10(F.col("n") + 1).alias("value"))

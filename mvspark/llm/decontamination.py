@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, out_batch, pieces, table
+from .common import checkpointed, fresh, named, out_batch, pieces, table
 
 WINDOW = 10
 #: Bits of the map of words (8 MB).
@@ -196,7 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     n_words = F.coalesce(F.regexp_count(text, F.lit(WORD_CHARS)), F.lit(0)).cast("long")
     rows = kept.withColumns({own[c]: k for c, k in keys.items()} | {"n_words": n_words}).join(marked, [*own.values()], "left")
     empty = {"spans": F.array().cast("array<array<int>>"), "items": F.array().cast("array<string>")}
-    return rows.select(*[F.col(f"`{c}`") for c in kept.columns], "n_words", *[F.coalesce(c, e).alias(c) for c, e in empty.items()])
+    return rows.select(*[named(c) for c in kept.columns], "n_words", *[F.coalesce(c, e).alias(c) for c, e in empty.items()])
 
 
 def n_hit() -> Column:

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import out_batch, pieces, table
+from .common import out_batch, pieces, table, with_fields
 
 NO_RANK = np.int64(1) << 62
 #: Words kept with their tokens in a Python worker; all are dropped when there are more.
@@ -208,7 +208,7 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, extra: dict[
                 yield out_batch(schema, {"doc_id": part.column("doc_id"), **dict(zip(types, columns, strict=True))})
 
     ddl = {pa.int64(): "bigint", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"`{k}` {ddl[t]}" for k, t in types.items()))
+    return df.mapInArrow(run, with_fields([df.schema["doc_id"]], {k: ddl[t] for k, t in types.items()}))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,7 +231,7 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
             text = [" ".join(tokens[i] for i in ids or () if i in tokens) for ids in batch.column("ids").to_pylist()]
             yield out_batch(pa.schema([batch.schema.field("doc_id"), pa.field("decoded", pa.string())]), {"doc_id": batch.column("doc_id"), "decoded": text})
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, decoded string")
+    return df.mapInArrow(run, with_fields([df.schema["doc_id"]], {"decoded": "string"}))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

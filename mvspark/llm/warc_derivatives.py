@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import out_batch, pieces, table
+from .common import out_batch, pieces, table, with_fields
 
 #: The date of responses whose source has none.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -201,7 +201,7 @@ def derivatives(
                             column.append(row[name])
                 yield out_batch(schema, out)
 
-    return df.mapInArrow(run, f"page_id {df.schema['page_id'].dataType.simpleString()}, " + ", ".join(f"{k} {t[0]}" for k, t in fields.items()))
+    return df.mapInArrow(run, with_fields([df.schema["page_id"]], {k: t[0] for k, t in fields.items()}))
 
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -498,6 +498,38 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd):
     assert corpus_pipeline.tokens(spark, many, sf_dir).count() == len(ODD)
 
 
+def awkward():
+    """Names that differ from added ones by case, a nested name with a dash, a name with a backtick."""
+    return {"Score": F.lit("mine"), "Kept": F.lit("no"), "Spans": F.lit("x"), "N_Words": F.lit("w"), "nest": F.struct(F.lit(1).alias("a-b"), F.struct(F.lit(2).alias("c d")).alias("e`f")), "tick`s": F.lit("t"), "dot.ted": F.lit("d")}
+
+
+def test_awkward_names(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns(awkward())
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert rows and all((r.Score, r.Kept, r.Spans, r.N_Words, r.nest["a-b"], r["tick`s"], r["dot.ted"]) == ("mine", "no", "x", "w", 1, "t", "d") for r in rows)
+    labels, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark"))
+    nested = docs.withColumn("doc", F.struct(F.col("doc_id").alias("a-b")))
+    for out in (ordinal_toxicity.severity(docs, ordinal_toxicity.grades(labels))[0], kneser_ney.classify(docs, labels), decontamination.contamination(docs, bench), language_mixture.predict(docs, language_mixture.learn(docs))):
+        assert all((r["tick`s"], r.nest["a-b"]) == ("t", 1) for r in out.collect())
+    for out in (segment_bpe.digests(nested, segment_bpe.vocabulary_path(), "doc"), bitslice_simhash.fingerprints(nested, "doc")):
+        assert {r.doc_id["a-b"] for r in out.collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_classes_by_joined_counts(spark, sf_dir):
+    """n-grams that are joined instead of broadcast, over a table dealt at random."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    plain = {r.doc_id: r for r in kneser_ney.classify(docs, labels).collect()}
+    joined = kneser_ney.classify(docs.orderBy(F.rand()).repartition(7), labels, max_broadcast=50).collect()
+    assert len(joined) == len(plain)
+    for r in joined:
+        assert r.kept == plain[r.doc_id].kept and r.perplexity == pytest.approx(plain[r.doc_id].perplexity) and r.threshold == pytest.approx(plain[r.doc_id].threshold)
+
+
 def test_warc_query_gives_the_records(spark, sf_dir):
     rows = warc_derivatives.op2_warc_derivatives(spark, sf_dir).collect()
     assert len(rows) == 2 * spark.read.parquet(f"{sf_dir}/pages.parquet").count()
