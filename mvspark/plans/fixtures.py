@@ -97,7 +97,7 @@ def true_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 POINTS_SQL = """
 li as (select l_orderkey as frame, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as integer) as lm_id,
   (cast(l_quantity as double) - 25) / 100 as x, (cast(l_discount as double) - 0.05) * 2 as y, cast(l_tax as double) - 0.04 as z from lineitem),
-points as (select cast(floor(frame / 4000) as bigint) as session, cast(frame as bigint) as frame, lm_id, part, x + dx as x, y, z from li, (values ('left', cast(0.0 as double)), ('right', cast(0.4 as double))) as s(part, dx))
+points as materialized (select cast(floor(frame / 4000) as bigint) as session, cast(frame as bigint) as frame, lm_id, part, x + dx as x, y, z from li, (values ('left', cast(0.0 as double)), ('right', cast(0.4 as double))) as s(part, dx))
 """
 
 
@@ -122,7 +122,7 @@ def keypoints(spark: SparkSession, sf_dir: str, noise: float = 0.0) -> DataFrame
 
 def keypoints_sql(noise: float = 0.0) -> str:
     return f"""{POINTS_SQL}, {CALIBRATION_SQL},
-keypoint as (select session, frame, part, lm_id, cam_id, ord,
+keypoint as materialized (select session, frame, part, lm_id, cam_id, ord,
   (fx * (rc * x + rs * z) / (2 + rc * z - rs * x) + cx + {noise!r} * ((frame * 31 + ord * 17) % 7 - 3) / 10) / width as x,
   (fy * y / (2 + rc * z - rs * x) + cy + {noise!r} * ((frame * 31 + ord * 17) % 7 - 3) / 10) / height as y,
   ((frame * 31 + ord * 17) % 70) / 100.0 + 0.3 as conf from points, calibration)
