@@ -13,7 +13,8 @@ id and the text are not looked at.
 representatives() also takes a similarity, for texts that are near copies by their word shingles. Then a text's 128 minima give keys (a bucket
 for each few of them) and a 128-bit sketch; members of a bucket whose sketches are near, by the same bit-sliced counting, are candidates, and
 a candidate is a link only if the two shingle sets have the similarity. One candidate of each member is checked first; candidates within what that connects are
-not checked again; for the others a bucket's members (two chunks of CHUNK at most) bring their sets, which are compared in the bucket.
+not checked again; for the others a bucket's members (two chunks of CHUNK and of CHUNK_BYTES on average at most) bring their sets, which are compared
+in the bucket, a range of shingle hashes at a time.
 The keys and the sketch miss less than one pair in 5,000 that just has the similarity, fewer above it.
 """
 
@@ -34,6 +35,8 @@ SEED = 42
 RADIUS = 3
 BLOCKS = 5
 CHUNK = 1024
+#: Shingle sets of a chunk take so many bytes (8 a shingle) on average at most, but for a single set that is larger.
+CHUNK_BYTES = 1 << 25
 #: Minima of a text's shingles, and the share of pairs of just the similarity that the keys may miss.
 MINIMA = 128
 MISSED = 1e-4
@@ -234,10 +237,10 @@ def sketch_radius(similarity: float) -> int:
 
 
 def marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, band: int) -> DataFrame:
-    """(doc_id, key, node, s0, s1, keys) of each row; a text without words has no keys."""
+    """(doc_id, key, node, s0, s1, keys, size) of each row, size the number of different shingles; a text without words has no keys."""
     df = _keyed(docs, id_col, text_col)
     bands = MINIMA // band
-    fields = [pa.field("node", pa.int64()), pa.field("s0", pa.int64()), pa.field("s1", pa.int64()), pa.field("keys", pa.list_(pa.int64()))]
+    fields = [pa.field("node", pa.int64()), pa.field("s0", pa.int64()), pa.field("s1", pa.int64()), pa.field("keys", pa.list_(pa.int64())), pa.field("size", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,12 +252,12 @@ def marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, band: int)
                     mixed = least * _MIX
                     s0, s1 = np.packbits(mixed >> np.uint64(63) == 1, bitorder="little").view(np.int64).tolist()
                     keys = (mixed[: bands * band] ^ (mixed[: bands * band] >> np.uint64(31))).reshape(bands, band).sum(axis=1, dtype=np.uint64) + _ADD[:bands]
-                    for name, value in zip(out, (set_node(h), s0, s1, keys.view(np.int64) if len(h) else []), strict=True):
+                    for name, value in zip(out, (set_node(h), s0, s1, keys.view(np.int64) if len(h) else [], len(h)), strict=True):
                         out[name].append(value)
                 given = {c: part.column(c) for c in ("doc_id", "key")}
                 yield out_batch(pa.schema([*[part.schema.field(c) for c in given], *fields]), given | out)
 
-    return df.mapInArrow(run, with_fields([df.schema["doc_id"]], {"key": "bigint", "node": "bigint", "s0": "bigint", "s1": "bigint", "keys": "array<bigint>"}))
+    return df.mapInArrow(run, with_fields([df.schema["doc_id"]], {"key": "bigint", "node": "bigint", "s0": "bigint", "s1": "bigint", "keys": "array<bigint>", "size": "bigint"}))
 
 
 def within(sketch: np.ndarray, group: np.ndarray, root: np.ndarray, radius: int) -> np.ndarray:
@@ -334,21 +337,36 @@ def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
         yield from packed(held[0])
 
 
-def common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def common(sets: list[np.ndarray], columns: int = 4096, part: int = 1 << 20) -> np.ndarray:
     """How many shingles each two sets have in common: products of blocks of the table of members and shingles, those of one member alone left out."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for some in _ranges(sets, part):
+        _add_common(out, some, columns)
+    return out
+
+
+def _ranges(sets: list[np.ndarray], part: int) -> Iterator[list[np.ndarray]]:
+    """The sets (sorted as unsigned numbers) cut at the same values into ranges of about ``part`` shingles in all, as hashes lie evenly."""
+    sets = [x.view(np.uint64) for x in sets]
+    n = -(-sum(map(len, sets)) // part)
+    cuts = np.array([k * 2**64 // n for k in range(1, n)], np.uint64)
+    places = [[0, *np.searchsorted(x, cuts).tolist(), len(x)] for x in sets]
+    for k in range(n):
+        yield [x[at[k] : at[k + 1]] for x, at in zip(sets, places, strict=True)]
+
+
+def _add_common(out: np.ndarray, sets: list[np.ndarray], columns: int) -> None:
     member = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     shingle, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times > 1
     at, member = (np.cumsum(shared) - 1)[at[shared[at]]], member[shared[at]]
     order = np.argsort(at, kind="stable")
     at, member = at[order], member[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
     for c in range(0, int(shared.sum()), columns):
         some = slice(*np.searchsorted(at, [c, c + columns]))
         block = np.zeros((len(sets), columns), np.float32)
         block[member[some], at[some] - c] = 1
         out += block @ block.T
-    return out
 
 
 def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -365,11 +383,12 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
             yield out_batch(schema, {"a": a, "b": b})
 
 
-def buckets(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(bucket, node, s0, s1) of the members of all keys that several nodes share. A key over the limit is dealt to chunks, and each pair of
-    chunks is a bucket, as in links()."""
-    rows = distinct.select("node", "s0", "s1", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / chunk).cast("int").alias("k"))
+def buckets(distinct: DataFrame, chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(bucket, node, s0, s1) of the members of all keys that several nodes share. A key over the limit, of members or of the bytes of their sets, is
+    dealt to chunks, and each pair of chunks is a bucket, as in links()."""
+    rows = distinct.select("node", "s0", "s1", "size", F.explode("keys").alias("key"))
+    chunks = F.least(F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("size") * 8 / chunk_bytes)), F.col("n")).cast("int")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).filter("n > 1").select("key", chunks.alias("k"))
     rows = rows.join(shared, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     return rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "node", "s0", "s1")
 
@@ -399,15 +418,15 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def nodes(marked: DataFrame) -> DataFrame:
-    """One row (node, key, s0, s1, keys) for each node of ``marked`` (see marks())."""
-    return marked.groupBy("node").agg(F.min(F.struct("key", "s0", "s1", "keys")).alias("m")).select("node", "m.*")
+    """One row (node, key, s0, s1, keys, size) for each node of ``marked`` (see marks())."""
+    return marked.groupBy("node").agg(F.min(F.struct("key", "s0", "s1", "keys", "size")).alias("m")).select("node", "m.*")
 
 
-def similar_links(docs: DataFrame, text_col: str, shingle: int, similarity: float, marked: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def similar_links(docs: DataFrame, text_col: str, shingle: int, similarity: float, marked: DataFrame, chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(a, b) links between the nodes of ``marked`` (see marks()) that connect all candidates of the similarity."""
     radius = sketch_radius(similarity)
     distinct = checkpointed(nodes(marked))
-    members = checkpointed(buckets(distinct, chunk))
+    members = checkpointed(buckets(distinct, chunk, chunk_bytes))
 
     def candidates(rows: DataFrame, pairs: bool) -> DataFrame:
         ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "node")

@@ -108,9 +108,11 @@ def test_similar_texts(spark, odd):
     # Keys over the limit are dealt to chunks without loss.
     marked = bitslice_simhash.marks(df, "doc_id", "text", 5, bitslice_simhash.band_size(0.8)).persist()
     node = {r.doc_id: r.node for r in marked.select("doc_id", "node").collect()}
-    found = {r.node: r.root for r in bitslice_simhash.components(bitslice_simhash.similar_links(df, "text", 5, 0.8, marked, chunk=2)).collect()}
     classes = lambda of: {frozenset(k for k in node if of(k) == r) for r in map(of, node)}
-    assert classes(lambda k: found.get(node[k], node[k])) == classes(root.__getitem__)
+    for limits in ({"chunk": 2}, {"chunk_bytes": 3000}):
+        linked = bitslice_simhash.similar_links(df, "text", 5, 0.8, marked, **limits)
+        found = {r.node: r.root for r in bitslice_simhash.components(linked).collect()}
+        assert classes(lambda k: found.get(node[k], node[k])) == classes(root.__getitem__)
     assert sorted(r.doc_id for r in bitslice_simhash.representatives(odd, shingle=5, similarity=0.8).collect()) == [1, 4, 5, 8]
 
 
@@ -132,9 +134,9 @@ def test_similar_texts_about_one_that_are_not_alike(spark):
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     kept = bitslice_simhash.representatives(df, shingle=5, similarity=0.8).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(root)) and 1 < len(set(root)) < 160
-    own = [np.unique(np.array([hash(x) for x in s])) for s in sets[:40]]
-    both = bitslice_simhash.common(own, 64)
-    assert all(both[i, j] == len(np.intersect1d(own[i], own[j])) for i in range(40) for j in range(i))
+    own = [np.unique(np.array([hash(x) for x in s]).view(np.uint64)).view(np.int64) for s in sets[:40]]
+    for both in (bitslice_simhash.common(own, 64), bitslice_simhash.common(own, 64, part=300)):
+        assert all(both[i, j] == len(np.intersect1d(own[i], own[j])) for i in range(40) for j in range(i))
 
 
 def test_bpe(spark, docs, odd):
