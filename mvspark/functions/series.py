@@ -46,13 +46,17 @@ def percentile(col: str, q: float) -> Column:
     return F.coalesce(F.percentile(col, F.lit(q)), F.lit(0.0))
 
 
+def is_spaced(i: Column, n: Column, most: int) -> Column:
+    """Whether row i (from 0) of n is one of at most ``most`` evenly spaced ones from the first to the last; places are rounded half to even."""
+    step = (n - 1) / F.lit(float(max(most - 1, 1)))
+    # It is one of the places rint(k * step): try the k on either side of it.
+    near = F.floor(i / step)
+    at = lambda k: (k >= 0) & (k <= most - 1) & (F.rint(k * step) == i)
+    return (n <= most) | at(near) | at(near + 1)
+
+
 def spaced(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
-    """At most ``most`` rows of each group, evenly spaced from the first to the last; places are rounded half to even."""
+    """At most ``most`` rows of each group, evenly spaced from the first to the last (see is_spaced())."""
     w = Window.partitionBy(*keys)
     ranked = df.withColumns({"__i": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count(F.lit(1)).over(w)})
-    m = F.least(F.col("__n"), F.lit(most))
-    # Row i is one of the places bround(k * (n - 1) / (m - 1)): try the k on either side of it.
-    k = F.floor(F.col("__i") * (m - 1) / F.greatest(F.col("__n") - 1, F.lit(1)))
-    at = lambda j: F.bround((k + j) * (F.col("__n") - 1) / F.greatest(m - 1, F.lit(1))) == F.col("__i")
-    inside = lambda j: k + j <= m - 1
-    return ranked.filter((F.col("__n") <= most) | (at(0) & inside(0)) | (at(1) & inside(1))).drop("__i", "__n")
+    return ranked.filter(is_spaced(F.col("__i"), F.col("__n"), most)).drop("__i", "__n")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mvspark.functions.geometry import PROJECTION, gram_terms, project, smallest_eigvec4, to_pixels, undistort_step
+from mvspark.functions.quantiles import quantiles
+from mvspark.functions.series import checkpointed, is_spaced, ranked_in_blocks
 from mvspark.plans.fixtures import calibration, keypoints, keypoints_sql
 
 POINT = ["session", "frame", "part", "lm_id"]
@@ -100,14 +102,50 @@ def triangulate_robust(seen: DataFrame, chosen: DataFrame, weight: str = "conf")
     return triangulate(seen.join(kept, [*SIDE, "cam_id"], "left_semi"), weight=weight)
 
 
-def plausible(errors: DataFrame, max_px: float = 30.0, spread: float = 3.0) -> DataFrame:
-    """Points whose views all reproject within max_px and that lie within ``spread`` x p90 of the median centre of such points."""
-    keys = POINT
-    good = errors.groupBy(*keys).agg(F.max("err_px").alias("worst"), *[F.first(c).alias(c) for c in ("px", "py", "pz")]).filter(F.col("worst") < max_px)
-    centre = good.agg(*[F.percentile(c, F.lit(0.5)).alias(f"m{c}") for c in ("px", "py", "pz")])
-    far = good.join(F.broadcast(centre), F.lit(True)).withColumn("dist", F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) ** 2 for c in ("py", "pz")), (F.col("px") - F.col("mpx")) ** 2)))
-    limit = far.agg(F.greatest(F.percentile("dist", F.lit(0.9)) * spread, F.lit(1e-6)).alias("limit"))
-    return far.join(F.broadcast(limit), F.lit(True)).filter("dist <= limit").select(*keys, "dist", "worst")
+def plausible(errors: DataFrame, max_px: float = 30.0, spread: float = 3.0, landmark: int = 0, keys: tuple[str, ...] = ("session",)) -> DataFrame:
+    """Points whose views all reproject under max_px and that lie nearer than ``spread`` x p90 to the median centre of the trusted cloud: such points of the wrist (or
+    another landmark) of the same keys. Where there is no trusted point, all points under max_px stay."""
+    keys = list(keys)
+    axes = ("px", "py", "pz")
+    good = checkpointed(errors.groupBy(*POINT).agg(F.max("err_px").alias("worst"), *[F.first(c).alias(c) for c in axes]).filter(F.col("worst") < max_px))
+    by_axis = good.filter(F.col("lm_id") == landmark).select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("at")) for c in axes])).alias("a"))
+    medians = quantiles(by_axis.select(*keys, "a.axis", "a.at"), [*keys, "axis"], "at", [0.5])
+    centre = checkpointed(medians.groupBy(*keys).agg(*[F.max(F.when(F.col("axis") == c, F.col("value"))).alias(f"m{c}") for c in axes]))
+    far = good.join(centre, keys, "left").withColumn("dist", F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) ** 2 for c in ("py", "pz")), (F.col("px") - F.col("mpx")) ** 2)))
+    p90 = quantiles(far.filter(F.col("lm_id") == landmark), keys, "dist", [0.9])
+    limit = p90.select(*keys, (F.greatest("value", F.lit(1e-6)) * spread).alias("limit"))
+    return far.join(limit, keys, "left").filter("limit is null or dist < limit").select(*POINT, "dist", "worst")
+
+
+def correspondences(seen: DataFrame, max_frames: int = 200, landmarks: tuple[int, ...] | None = (0,)) -> DataFrame:
+    """(session, cam_a, cam_b, part, frame, lm_id, u_a, v_a, u_b, v_b, frames): what two cameras (in their order) see of the same landmarks in at most max_frames frames,
+    evenly spaced among the ``frames`` in which both see the part. landmarks: those to pool (None: all); the frames don't depend on it."""
+    pair = ["session", "cam_a", "cam_b", "part"]
+    at = seen.select(*SIDE, "cam_id", "ord").distinct()
+    a, b = (at.select(*SIDE, F.col("cam_id").alias(f"cam_{x}"), F.col("ord").alias(f"ord_{x}")) for x in "ab")
+    common = a.join(b, SIDE).filter("ord_a < ord_b").select(*pair, "frame")
+    ranked = ranked_in_blocks(common, pair, "frame", 1 << 12, "i").join(common.groupBy(*pair).agg(F.count(F.lit(1)).alias("frames")), pair)
+    pooled = ranked.filter(is_spaced(F.col("i"), F.col("frames"), max_frames)).drop("i")
+    some = seen if landmarks is None else seen.filter(F.col("lm_id").isin(*landmarks))
+    a, b = (some.select(*POINT, F.col("cam_id").alias(f"cam_{x}"), F.col("u").alias(f"u_{x}"), F.col("v").alias(f"v_{x}")) for x in "ab")
+    both = pooled.join(a, [*SIDE, "cam_a"]).join(b, [*POINT, "cam_b"])
+    return both.select(*pair, "frame", "lm_id", "u_a", "v_a", "u_b", "v_b", "frames")
+
+
+def rank_pooled(pooled: DataFrame, cameras: DataFrame, least: int = 8, max_px: float = 3.0) -> DataFrame:
+    """(session, part, cam_a, cam_b, frames, pooled, score, place): pairs, best first, by how many of their pooled correspondences (see correspondences()) have a point that reprojects
+    under max_px in both views. Under ``least`` frames or correspondences the score is 0. Ties go by the cameras' names. Pairs without any correspondence aren't listed."""
+    pair = ["session", "part", "cam_a", "cam_b"]
+    keys = [*pair, "frame", "lm_id"]
+    ends = F.explode(F.array(*[F.struct(F.col(f"cam_{x}").alias("cam_id"), F.col(f"u_{x}").alias("u"), F.col(f"v_{x}").alias("v")) for x in "ab"]))
+    members = pooled.select(*keys, ends.alias("e")).select(*keys, "e.*").join(cameras, "cam_id")
+    worst = reprojection(triangulate(members, keys), members, keys).groupBy(*keys).agg(F.max("err_px").alias("worst"))
+    good = worst.filter(F.col("worst") < max_px).groupBy(*pair).agg(F.count(F.lit(1)).alias("good"))
+    counts = pooled.groupBy(*pair).agg(F.max("frames").alias("frames"), F.count(F.lit(1)).alias("pooled"))
+    enough = (F.col("frames") >= least) & (F.col("pooled") >= least)
+    scored = counts.join(good, pair, "left").withColumn("score", F.when(enough, F.coalesce("good", F.lit(0))).otherwise(0))
+    best = Window.partitionBy("session", "part").orderBy(F.desc("score"), "cam_a", "cam_b")
+    return scored.select(*pair, "frames", "pooled", "score", F.row_number().over(best).alias("place"))
 
 
 def rank_pairs(seen: DataFrame, min_points: int = 8, max_px: float = 3.0) -> DataFrame:
@@ -161,6 +199,16 @@ def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(full.withColumn("bad", F.lit(1)), SIDE, "left").withColumns({"u": F.col("u") + off, "v": F.col("v") + off}).drop("bad")
 
 
+def _stray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors against the true points, of which some lie 30 units away along x though their views agree with them."""
+    return _pixel_error(spark, sf_dir).withColumn("px", F.col("px") + F.when((F.col("frame") + F.col("lm_id")) % 17 == 0, 30.0).otherwise(0.0))
+
+
+def _crooked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views, those of the second camera 300 pixels off in every fifth frame."""
+    return _seen(spark, sf_dir).withColumn("v", F.col("v") + F.when((F.col("ord") == 1) & (F.col("frame") % 5 == 0), 300.0).otherwise(0.0))
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The left hands stand for bodies."""
     seen = _seen(spark, sf_dir).withColumn("part", F.when(F.col("part") == "left", "body").otherwise(F.col("part")))
@@ -177,6 +225,15 @@ _KNOWN = _GATED + "select p.frame, p.part, p.lm_id, n_views, round(x, 4) + 0.0 a
 _PLANTED = f"""{_K}, w as (select *, count(*) over (partition by frame, part, lm_id) as k from keypoint where conf >= 0.5),
  good as (select w.* from w left join (select distinct frame, part from w where lm_id = 0 and k = 4 and frame % 3 = 0) b using (frame, part) where b.frame is null or ord <> w.frame % 4) """
 
+def _pooled_sql(most: int) -> str:
+    """Common table expressions: s, the views; common, frames of pairs with place i and number n; pooled, the evenly spaced ones."""
+    return f"""{_K}, s as (select session, frame, part, lm_id, cam_id, ord, x * width as u, y * height as v from keypoint, (select any_value(width) as width, any_value(height) as height from calibration) where conf >= 0.5),
+ visible as (select distinct session, frame, part, cam_id, ord from s),
+ common as (select a.session, a.part, a.frame, a.cam_id as cam_a, b.cam_id as cam_b, row_number() over w - 1 as i, count(*) over (partition by a.session, a.part, a.cam_id, b.cam_id) as n
+  from visible a join visible b on a.session = b.session and a.frame = b.frame and a.part = b.part and a.ord < b.ord window w as (partition by a.session, a.part, a.cam_id, b.cam_id order by a.frame)),
+ pooled as (select * from common where n <= {most} or i in (select round_even(k * ((n - 1) / {most - 1}.0::double), 0) from range({most}) r(k))) """
+
+
 QUERIES = {
     "project_points": lambda spark, sf: keypoints(spark, sf).select(*SHOWN, "cam_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")),
     "triangulate": lambda spark, sf: _rounded(triangulate(_seen(spark, sf))),
@@ -190,9 +247,24 @@ QUERIES = {
     "camera_error": lambda spark, sf: camera_errors(_pixel_error(spark, sf)),
     "triangulated_error": lambda spark, sf: camera_errors(_errors(spark, sf)),
     "pair_rank": lambda spark, sf: rank_pairs(_seen(spark, sf)),
+    "plausible_planted": lambda spark, sf: plausible(_stray(spark, sf), max_px=0.7).select(*SHOWN, F.round("dist", 6).alias("dist")),
+    "pooled_correspondences": lambda spark, sf: correspondences(_seen(spark, sf), 20, None).select("session", "cam_a", "cam_b", *SHOWN, *[F.round(c, 4).alias(c) for c in ("u_a", "v_a", "u_b", "v_b")], "frames"),
+    "pair_rank_pooled": lambda spark, sf: rank_pooled(correspondences(_crooked(spark, sf)), calibration(spark)),
     "plausible_points": lambda spark, sf: plausible(_errors(spark, sf)).select(*SHOWN),
 }
 ORACLE_SQL = {
+    "plausible_planted": "with " + keypoints_sql(2.0) + """, e as (select session, frame, part, lm_id, max(sqrt(2) * abs(2.0 * ((frame * 31 + ord * 17) % 7 - 3) / 10)) as worst from keypoint where conf >= 0.5 group by session, frame, part, lm_id having worst < 0.7),
+ g as (select e.*, x + case when (e.frame + e.lm_id) % 17 = 0 then 30.0 else 0.0 end as x, y, z from e join points using (session, frame, part, lm_id)),
+ c as (select session, quantile_cont(x, 0.5) as mx, quantile_cont(y, 0.5) as my, quantile_cont(z, 0.5) as mz from g where lm_id = 0 group by session),
+ d as (select frame, part, lm_id, session, sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) as dist from g left join c using (session)),
+ l as (select session, 3 * greatest(quantile_cont(dist, 0.9), 1e-6) as far from d where lm_id = 0 group by session)
+ select frame, part, lm_id, round(dist, 6) as dist from d left join l using (session) where far is null or dist < far""",
+    "pooled_correspondences": _pooled_sql(20) + """select p.session, cam_a, cam_b, p.frame, p.part, a.lm_id, round(a.u, 4) as u_a, round(a.v, 4) as v_a, round(b.u, 4) as u_b, round(b.v, 4) as v_b, n as frames
+ from pooled p join s a on a.frame = p.frame and a.part = p.part and a.cam_id = cam_a join s b on b.frame = p.frame and b.part = p.part and b.cam_id = cam_b and b.lm_id = a.lm_id""",
+    "pair_rank_pooled": _pooled_sql(200) + """, r as (select p.session, p.part, cam_a, cam_b, max(n) as frames, count(*) as pooled,
+  case when max(n) >= 8 and count(*) >= 8 then count(*) filter (not ((a.ord = 1 or b.ord = 1) and p.frame % 5 = 0)) else 0 end as score
+  from pooled p join s a on a.frame = p.frame and a.part = p.part and a.cam_id = cam_a join s b on b.frame = p.frame and b.part = p.part and b.cam_id = cam_b and b.lm_id = a.lm_id where a.lm_id = 0 group by all)
+ select *, cast(row_number() over (partition by session, part order by score desc, cam_a, cam_b) as integer) as place from r""",
     "project_points": _K + "select frame, part, lm_id, cam_id, round(x, 6) as x, round(y, 6) as y from keypoint",
     # The views are of known points, so these must come back.
     "triangulate": _KNOWN,

@@ -386,3 +386,31 @@ def test_streams_keep_anchors_poses_and_calibrations(spark, sf_dir, tmp_path):
     took = drain(open_poses, live.gates, "gated").groupBy("cam_id").agg(F.count(F.lit(1)).alias("n")).collect()
     rows = open_poses.toPandas().sort_values(["ts_s", "seq"])
     assert {r.cam_id: r.n for r in took} == {c: sum(calibration.gate_scan(g)) for c, g in rows.groupby("cam_id")}
+
+
+def test_quantiles(spark):
+    from mvspark.functions.quantiles import quantiles
+
+    rng = np.random.default_rng(5)
+    values = [*rng.normal(size=3000), *[7.0] * 2000, *rng.normal(size=50) * 1e12, 1.7e308, -1.7e308, 5e-324]
+    rows = [("a", float(x)) for x in values] + [(None, float(k)) for k in range(10)] + [("b", 3.0), ("c", None), ("d", float("nan")), ("d", float("inf"))]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    at = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
+    want = {"a": values, None: list(range(10)), "b": [3.0]}
+    for bins in (4, 64, 4096):
+        found = {(r.g, r.q): r.value for r in quantiles(df, ["g"], "x", at, bins).collect()}
+        assert set(found) == {(g, q) for g in want for q in at}
+        for (g, q), x in found.items():
+            place = q * (len(want[g]) - 1)
+            own, k = sorted(want[g]), int(place)
+            exact = own[k] if place == k else own[k] * (1 - (place - k)) + own[k + 1] * (place - k)
+            assert x == exact or abs(x - exact) <= 1e-12 * abs(exact)
+    assert quantiles(df.limit(0), ["g"], "x", at).count() == 0
+
+
+def test_is_spaced(spark):
+    from mvspark.functions.series import is_spaced
+
+    for n, most in [(1, 200), (200, 200), (201, 200), (399, 200), (1000, 200), (12345, 200), (9, 2), (6, 3), (50, 1)]:
+        found = [r.id for r in spark.range(n).filter(is_spaced(F.col("id"), F.lit(n), most)).collect()]
+        assert sorted(found) == (list(range(n)) if n <= most else sorted({round(float(i)) for i in np.linspace(0, n - 1, most)}))
