@@ -414,3 +414,37 @@ def test_is_spaced(spark):
     for n, most in [(1, 200), (200, 200), (201, 200), (399, 200), (1000, 200), (12345, 200), (9, 2), (6, 3), (50, 1)]:
         found = [r.id for r in spark.range(n).filter(is_spaced(F.col("id"), F.lit(n), most)).collect()]
         assert sorted(found) == (list(range(n)) if n <= most else sorted({round(float(i)) for i in np.linspace(0, n - 1, most)}))
+
+
+def test_extraction_is_kept(spark, tmp_path):
+    from mvspark.sources.stored import extract_missing, stored
+
+    path, asked = str(tmp_path / "store"), []
+
+    def extraction(parts):
+        def run(missing):
+            asked.append(sorted((r.session, r.cam_id, r.frame) for r in missing.collect()))
+            return missing.filter("frame <> 3").select("*", *[(F.col("frame") * 10 + k + len(asked) * 1000).alias(p) for k, p in enumerate(parts)])
+
+        return run
+
+    keys = spark.createDataFrame([(s, c, f) for s in ("007", "x/y") for c in ("a", "b") for f in range(4)], "session string, cam_id string, frame long")
+    own = lambda df: {(r.session, r.cam_id, r.frame): tuple(r)[3:] for r in df.collect()}
+    files = lambda: sorted(str(p) for p in (tmp_path / "store").rglob("*.parquet"))
+    half = keys.filter("session = '007' and frame < 2")
+    assert len(own(extract_missing(half, extraction(["left"]), path, ["left"]))) == 4
+    # The half is completed: what is stored stays as it is, and a frame with nothing in it isn't tried again.
+    rows = own(extract_missing(keys.unionByName(keys), extraction(["left"]), path, ["left"]))
+    assert len(rows) == 16 and rows["007", "a", 1] == (1010,) and rows["x/y", "a", 1] == (2010,) and rows["007", "b", 3] == (None,)
+    assert list(map(len, asked)) == [4, 12]
+    before = files()
+    assert own(extract_missing(keys, extraction(["left"]), path, ["left"])) == rows and len(asked) == 2 and files() == before
+    # An older schema is upgraded for the keys wanted; others in the same folder keep their rows, other folders their files.
+    up = own(extract_missing(keys.filter("session = '007' and cam_id = 'a'"), extraction(["left", "body"]), path, ["left", "body"]))
+    assert up == {("007", "a", f): (3000 + f * 10, 3001 + f * 10) for f in range(3)} | {("007", "a", 3): (None, None)}
+    assert {p for p in files() if "007" not in p} == {p for p in before if "007" not in p}
+    left = own(stored(spark, path).select("session", "cam_id", "frame", "left"))
+    assert len(left) == stored(spark, path).count() == 16 and left["007", "b", 1] == (1010,) and left["x/y", "b", 2] == (2020,)
+    forced = own(extract_missing(keys.filter("frame = 0"), extraction(["left", "body"]), path, ["left", "body"], force=True))
+    assert len(forced) == 4 and set(forced.values()) == {(4000, 4001)} and stored(spark, path).count() == 16
+    assert extract_missing(keys.limit(0), extraction(["left"]), str(tmp_path / "none"), ["left"]).count() == 0
