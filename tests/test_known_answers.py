@@ -448,3 +448,31 @@ def test_extraction_is_kept(spark, tmp_path):
     forced = own(extract_missing(keys.filter("frame = 0"), extraction(["left", "body"]), path, ["left", "body"], force=True))
     assert len(forced) == 4 and set(forced.values()) == {(4000, 4001)} and stored(spark, path).count() == 16
     assert extract_missing(keys.limit(0), extraction(["left"]), str(tmp_path / "none"), ["left"]).count() == 0
+
+
+def test_frames_by_byte_range(spark, tmp_path):
+    from mvspark.sources.frames import read_frames
+    from mvspark.sources.logs import byte_offsets
+
+    rng = np.random.default_rng(3)
+    log, frames, paths = [], {}, {}
+    for cam in ("cam0", "cam1"):
+        paths[cam] = str(tmp_path / f"video_{cam}.mjpeg")
+        with open(paths[cam], "wb") as out:
+            for idx in range(50):
+                frames[cam, idx] = b"\xff\xd8" + rng.bytes(int(rng.integers(0, 300))) + b"\xff\xd9"
+                out.write(frames[cam, idx])
+                log.append(("s", cam, idx, len(frames[cam, idx])))
+    offsets = byte_offsets(spark.createDataFrame(log, "session_id string, cam_id string, idx int, n_bytes long"))
+    files = spark.createDataFrame([*paths.items(), ("cam2", "/none.mjpeg"), ("cam3", None)], "cam_id string, path string")
+    at = offsets.join(files, "cam_id")
+    for wanted in ("true", "idx % 7 = 3", "idx = 49", "false"):
+        for batch_bytes in (1, 1 << 24):
+            found = read_frames(at.filter(wanted), batch_bytes).collect()
+            assert len(found) == at.filter(wanted).count() and all(r.jpeg == frames[r.cam_id, r.idx] and r.state == "whole" for r in found)
+    # A logged frame that was never written shifts those after it; the last ones run beyond the end.
+    shifted = at.filter("cam_id = 'cam0'").withColumn("offset", F.col("offset") + F.when(F.col("idx") >= 20, 5).otherwise(0)).withColumn("state", F.lit(1))
+    state = {r.idx: r.state for r in read_frames(shifted).collect()}
+    assert {i for i, s in state.items() if s == "whole"} == set(range(20)) and state[49] == "short"
+    none = files.filter("cam_id >= 'cam2'").select("*", F.lit(0).cast("long").alias("offset"), F.lit(9).cast("long").alias("length"))
+    assert {(r.cam_id, r.jpeg, r.state) for r in read_frames(none).collect()} == {("cam2", None, "missing"), ("cam3", None, "missing")}
