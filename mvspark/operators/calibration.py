@@ -1,6 +1,4 @@
-"""Calibration data: sample gates, coverage, averages of relative poses, and the rig's pose graph."""
-
-from collections.abc import Callable
+"""Calibration data: sample gates, coverage, averages of relative poses."""
 
 import numpy as np
 import pandas as pd
@@ -8,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mvspark.functions.geometry import angle_degrees, quaternion
+from mvspark.functions.geometry import quaternion
 from mvspark.plans.fixtures import FRAME_LOG_SQL, frame_log, table
 
 GRID_ROWS, GRID_COLS = 4, 6
@@ -154,116 +152,6 @@ def edges(observations: DataFrame, least: int = MIN_OBSERVATIONS, weight: str |
     return sums.select("rig_id", "cam_a", "cam_b", mean_rotation(F.array(*[f"q{k}" for k in range(10)])).alias("r"), F.array(*[F.col(f"t{k}") / F.col("w") for k in range(3)]).alias("t"), "err", "n")
 
 
-def _transform(r, t) -> np.ndarray:
-    out = np.eye(4)
-    out[:3, :3], out[:3, 3] = np.asarray(r, float).reshape(3, 3), t
-    return out
-
-
-def _inverse(m: np.ndarray) -> np.ndarray:
-    return _transform(m[:3, :3].T, -m[:3, :3].T @ m[:3, 3])
-
-
-def rotation_vector(r: np.ndarray) -> np.ndarray:
-    angle = np.arccos(np.clip((np.trace(r) - 1) / 2, -1, 1))
-    axis = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
-    if angle < 1e-9:
-        return axis / 2
-    if np.pi - angle < 1e-6:
-        values, vectors = np.linalg.eigh((r + r.T) / 2)
-        return vectors[:, -1] * angle
-    return axis * angle / (2 * np.sin(angle))
-
-
-def rotation_matrix(v: np.ndarray) -> np.ndarray:
-    angle = np.linalg.norm(v)
-    k = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
-    a, b = (1.0, 0.5) if angle < 1e-9 else (np.sin(angle) / angle, (1 - np.cos(angle)) / angle**2)
-    return np.eye(3) + a * k + b * k @ k
-
-
-def _least_squares(residuals: Callable, x: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Levenberg-Marquardt with a numeric Jacobian; a rig has a few cameras."""
-    damp, r = 1e-3, residuals(x)
-    for _ in range(steps):
-        jac = np.stack([(residuals(x + h) - residuals(x - h)) / 2e-6 for h in np.eye(len(x)) * 1e-6], axis=1)
-        step = np.linalg.solve(jac.T @ jac + damp * np.eye(len(x)), -jac.T @ r)
-        new = residuals(x + step)
-        if new @ new < r @ r:
-            x, r, damp = x + step, new, damp / 5
-            if np.linalg.norm(step) < 1e-10:
-                break
-        else:
-            damp *= 10
-    return x
-
-
-def solve_rig(rows: pd.DataFrame, refine_deg: float = REFINE_DEG) -> list[dict]:
-    """Poses of one rig's cameras from its edges (rows without cam_b name a camera alone)."""
-    cams = sorted({*rows["cam_a"], *rows["cam_b"].dropna()})
-    step: dict[tuple[str, str], np.ndarray] = {}
-    around: dict[str, dict[str, float]] = {c: {} for c in cams}
-    count: dict[tuple[str, str], int] = {}
-    for e in rows[rows["cam_b"].notna()].itertuples():
-        m = _transform(e.r, e.t)
-        step[e.cam_a, e.cam_b], step[e.cam_b, e.cam_a] = m, _inverse(m)
-        around[e.cam_a][e.cam_b] = around[e.cam_b][e.cam_a] = e.err
-        count[e.cam_a, e.cam_b] = count[e.cam_b, e.cam_a] = int(e.n)
-    out, left = [], set(cams)
-    while left:
-        group, open_ = set(), [min(left)]
-        while open_:
-            c = open_.pop()
-            if c not in group:
-                group.add(c)
-                open_ += around[c]
-        left -= group
-        names = sorted(group)
-        if len(names) == 1:
-            out.append({"cam_id": names[0], "reference": None, "method": "excluded", "consistency_deg": None, "r": None, "t": None})
-            continue
-        ref = max(names, key=lambda c: (len(around[c]), sum(count[c, n] for n in around[c])))
-        poses, queue = {}, [(0.0, ref, np.eye(4))]
-        while queue:  # the path of least summed error
-            far, c, m = queue.pop(min(range(len(queue)), key=lambda i: queue[i][:2]))
-            if c in poses:
-                continue
-            poses[c] = m
-            queue += [(far + err, n, step[c, n] @ m) for n, err in around[c].items() if n not in poses]
-        pairs = [(a, b) for a in names for b in around[a] if a < b]
-        off = lambda p: [np.degrees(np.linalg.norm(rotation_vector((_inverse(step[a, b]) @ p[b] @ _inverse(p[a]))[:3, :3]))) for a, b in pairs]
-        error = float(np.mean(off(poses))) if len(pairs) > len(names) - 1 else 0.0
-        method = "chain"
-        if error > refine_deg:
-            others = [c for c in names if c != ref]
-
-            def unpack(x: np.ndarray, ref=ref, others=others) -> dict[str, np.ndarray]:
-                return {ref: np.eye(4)} | {c: _transform(rotation_matrix(x[6 * i : 6 * i + 3]), x[6 * i + 3 : 6 * i + 6]) for i, c in enumerate(others)}
-
-            def residuals(x: np.ndarray, pairs=pairs, unpack=unpack) -> np.ndarray:
-                p, all_ = unpack(x), []
-                for a, b in pairs:
-                    m = _inverse(step[a, b]) @ p[b] @ _inverse(p[a])
-                    all_.append(np.sqrt(count[a, b]) * np.concatenate([rotation_vector(m[:3, :3]), m[:3, 3]]))
-                return np.concatenate(all_)
-
-            poses, method = unpack(_least_squares(residuals, np.concatenate([np.concatenate([rotation_vector(poses[c][:3, :3]), poses[c][:3, 3]]) for c in others]))), "graph"
-        out += [{"cam_id": c, "reference": ref, "method": method, "consistency_deg": error, "r": poses[c][:3, :3].ravel().tolist(), "t": poses[c][:3, 3].tolist()} for c in names]
-    return out
-
-
-def pose_graph(edge_rows: DataFrame, cameras: DataFrame) -> DataFrame:
-    """(rig_id, cam_id, reference, method, consistency_deg, r, t) of every camera of every rig; a rig's edges (cameras squared at most) are one group."""
-    alone = cameras.select("rig_id", F.col("cam_id").alias("cam_a"))
-    rows = edge_rows.unionByName(alone, allowMissingColumns=True)
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(solve_rig(rows)).assign(rig_id=rows["rig_id"].iloc[0])
-
-    schema = "rig_id string, cam_id string, reference string, method string, consistency_deg double, r array<double>, t array<double>"
-    return rows.groupBy("rig_id").applyInPandas(lambda rows: solve(rows)[["rig_id", "cam_id", "reference", "method", "consistency_deg", "r", "t"]], schema)
-
-
 #: Turns about z by four cameras as (cos, sin), and their places.
 TURNS = ((1.0, 0.0), (0.8, 0.6), (0.6, 0.8), (12 / 13, 5 / 13))
 
@@ -279,17 +167,10 @@ def board_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(F.lit("rig").alias("rig_id"), "cam_id", "k", F.col("seq").cast("double").alias("ts_s"), "seq", "r", F.array(*[F.get("m", F.lit(i)) + F.get("tc", F.lit(i)) for i in range(3)]).alias("t"), (0.1 + F.col("seq") % 7 / 100).alias("err"))
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def board_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(edge_observations(simultaneous_pairs(board_poses(spark, sf_dir), 0.5)))
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cams = board_poses(spark, sf_dir).select("rig_id", "cam_id").distinct()
-    g = pose_graph(_edges(spark, sf_dir), cams)
-    ref = g.filter("cam_id = reference").select("rig_id", F.col("r").alias("r0"))
-    return g.join(ref, "rig_id").select("cam_id", "method", F.round("consistency_deg", 4).alias("consistency_deg"), F.round(angle_degrees("r", "r0"), 4).alias("turn_deg"))
-
-
 def _corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_log(spark, sf_dir).select("cam_id", (F.col("seq") * 37 % 1920).cast("double").alias("x"), (F.col("seq") * 53 % 1080).cast("double").alias("y"))
 
@@ -326,12 +207,12 @@ def _frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frozen(o, 60.0)
 
 
-_OBS = "with o as (select o_orderkey as seq, k from orders, (values (0), (1), (2), (3)) as c(k) where o_orderkey % 5 <> k) "
+#: The boards that each camera sees, as SQL.
+BOARDS_SQL = "with o as (select o_orderkey as seq, k from orders, (values (0), (1), (2), (3)) as c(k) where o_orderkey % 5 <> k) "
 QUERIES = {
     "coverage": lambda spark, sf: coverage(_corners(spark, sf), 1920.0, 1080.0),
     "simultaneous_pairs": lambda spark, sf: simultaneous_pairs(board_poses(spark, sf), 0.5).groupBy("cam_id_a", "cam_id_b").agg(F.count(F.lit(1)).alias("pairs")),
-    "edge_mean": lambda spark, sf: _edges(spark, sf).select("cam_a", "cam_b", "n", F.round("err", 6).alias("err"), *[(F.round(F.get("r", F.lit(k)), 4) + 0.0).alias(f"r{k}") for k in (0, 1, 3, 4, 8)]),
-    "pose_graph": _graph,
+    "edge_mean": lambda spark, sf: board_edges(spark, sf).select("cam_a", "cam_b", "n", F.round("err", 6).alias("err"), *[(F.round(F.get("r", F.lit(k)), 4) + 0.0).alias(f"r{k}") for k in (0, 1, 3, 4, 8)]),
     "sample_gates": _gated,
     "world_alignment": _aligned,
     "recalibration_due": _due,
@@ -340,9 +221,9 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "coverage": f"with {FRAME_LOG_SQL}, c as (select cam_id, floor((seq * 37 % 1920) / 1920.0 * 6) as c, floor((seq * 53 % 1080) / 1080.0 * 4) as r from frame_log) select cam_id, count(*) as cells, round(count(*) / 24.0::double, 6) as coverage from (select distinct cam_id, c, r from c) group by cam_id",
-    "simultaneous_pairs": _OBS + "select 'cam' || a.k as cam_id_a, 'cam' || b.k as cam_id_b, count(*) as pairs from o a join o b on a.seq = b.seq and a.k < b.k group by a.k, b.k",
+    "simultaneous_pairs": BOARDS_SQL + "select 'cam' || a.k as cam_id_a, 'cam' || b.k as cam_id_b, count(*) as pairs from o a join o b on a.seq = b.seq and a.k < b.k group by a.k, b.k",
     # The relative turn of two cameras about z is known from theirs.
-    "edge_mean": _OBS + ", t as (select * from (values " + ", ".join(f"({k}, cast({a!r} as double), cast({b!r} as double))" for k, (a, b) in enumerate(TURNS)) + """) as v(k, c, s))
+    "edge_mean": BOARDS_SQL + ", t as (select * from (values " + ", ".join(f"({k}, cast({a!r} as double), cast({b!r} as double))" for k, (a, b) in enumerate(TURNS)) + """) as v(k, c, s))
  select 'cam' || a.k as cam_a, 'cam' || b.k as cam_b, count(*) as n, round(avg(0.1 + a.seq % 7 / 100.0), 6) as err, round(max(ta.c * tb.c + ta.s * tb.s), 4) as r0, round(max(-(tb.s * ta.c - tb.c * ta.s)), 4) as r1, round(max(tb.s * ta.c - tb.c * ta.s), 4) as r3, round(max(ta.c * tb.c + ta.s * tb.s), 4) as r4, cast(1 as double) as r8
  from o a join o b on a.seq = b.seq and a.k < b.k join t ta on ta.k = a.k join t tb on tb.k = b.k group by a.k, b.k having count(*) >= 5""",
     # The pose is a quarter turn q: its inverse cancels it, and what stays is the board's turn with the second and third axes turned over.

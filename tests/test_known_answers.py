@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from mvspark.functions.geometry import angle_degrees, box_iou, quaternion, undistort
+from mvspark.functions.rotations import rotation_matrix, rotation_vector, turn_slope
 from mvspark.functions.series import spaced
-from mvspark.operators import align, calibration, lens, meshes, occlusion, quality, sequences, smooth, tracks
+from mvspark.operators import align, calibration, lens, meshes, occlusion, quality, rig_graph, sequences, smooth, tracks
+from mvspark.operators.rig_graph import solve_rigs
 from mvspark.operators.triangulate import older_weight, rank_pairs, triangulate, undistort_points, views
 from mvspark.plans.fixtures import calibration as cameras
 from mvspark.plans.fixtures import keypoints
@@ -22,22 +24,80 @@ def test_swaps_are_found(spark, sf_dir):
     assert not {(c, f) for c, f in found if f % 5}  # no clean frame is flagged
 
 
-def test_pose_graph_returns_the_rig(spark, sf_dir):
-    rows = calibration.pose_graph(calibration._edges(spark, sf_dir), calibration.board_poses(spark, sf_dir).select("rig_id", "cam_id").distinct()).collect()
-    ref = next(r for r in rows if r.cam_id == r.reference)
-    k0 = int(ref.cam_id[-1])
-    for r in rows:
-        a, b = (np.arctan2(*calibration.TURNS[k][::-1]) for k in (int(r.cam_id[-1]), k0))
-        assert abs(r.r[0] - np.cos(a - b)) < 1e-6 and r.consistency_deg < 1e-4
+def test_rotations():
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 3))
+    v *= (np.concatenate([[0.0, 1e-12, 1e-6, 1e-3, np.pi - 1e-9, np.pi - 1e-5, np.pi - 1e-2, np.pi], rng.uniform(0, np.pi, 392)]) / np.linalg.norm(v, axis=1))[:, None]
+    r = rotation_matrix(v)
+    assert np.allclose(r @ np.swapaxes(r, -1, -2), np.eye(3)) and np.allclose(np.linalg.det(r), 1)
+    back = rotation_vector(r)
+    assert np.allclose(back[:-397], v[:-397], atol=1e-12) and np.allclose(rotation_matrix(back), r, atol=1e-7)
+    assert np.allclose(np.linalg.norm(back - v, axis=1)[np.linalg.norm(v, axis=1) < 3.1], 0, atol=1e-9)
+    small = rng.normal(size=(400, 3)) * 1e-6
+    some = np.linalg.norm(v, axis=1) < 3
+    moved = rotation_vector(rotation_matrix(small) @ r) - v
+    assert np.allclose(moved[some], (turn_slope(v) @ small[..., None])[some, :, 0], atol=1e-9)
 
 
-def test_pose_graph_refines_and_excludes():
-    eye, turned = np.eye(3).ravel().tolist(), calibration.rotation_matrix(np.array([0, 0, np.radians(6)])).ravel().tolist()
-    rows = pd.DataFrame([("a", "b", eye, [0, 0, 0], 0.1, 9), ("b", "c", eye, [0, 0, 0], 0.1, 9), ("a", "c", turned, [0, 0, 0], 0.3, 9), ("d", None, None, None, None, None)], columns=["cam_a", "cam_b", "r", "t", "err", "n"])
-    out = {r["cam_id"]: r for r in calibration.solve_rig(rows)}
-    assert out["d"]["method"] == "excluded" and out["a"]["method"] == "graph"
-    turn = np.degrees(np.linalg.norm(calibration.rotation_vector(np.reshape(out["c"]["r"], (3, 3)) @ np.reshape(out["a"]["r"], (3, 3)).T)))
-    assert abs(turn - 4) < 0.05  # a third of the six degrees goes to each edge
+def test_rigs_are_refined_to_the_least_misfit():
+    """Noisy edges of several rigs at once: no small change of any pose lowers the weighted misfit, told without the library's slopes."""
+    rng = np.random.default_rng(8)
+    rigs, cams = 6, 5
+    turn, place = rotation_matrix(rng.normal(size=(rigs, cams, 3))), rng.normal(size=(rigs, cams, 3))
+    err, count = np.full((rigs, cams, cams), np.inf), np.zeros((rigs, cams, cams), int)
+    r, t = np.zeros((rigs, cams, cams, 3, 3)), np.zeros((rigs, cams, cams, 3))
+    for g in range(rigs):
+        for a in range(cams):
+            for b in range(a + 1, cams):
+                if g == 5 and b == 4 or g == 4 and (a, b) == (1, 3):  # the last rig has a camera alone, the one before lacks a pair
+                    continue
+                m = rotation_matrix(rng.normal(size=3) * 0.08) @ turn[g, b] @ turn[g, a].T
+                s = place[g, b] - m @ place[g, a] + rng.normal(size=3) * 0.05
+                r[g, a, b], t[g, a, b], r[g, b, a], t[g, b, a] = m, s, m.T, -m.T @ s
+                err[g, a, b] = err[g, b, a] = rng.uniform(0.1, 0.5)
+                count[g, a, b] = count[g, b, a] = rng.integers(5, 50)
+    found, at, ref, alone, error, again = solve_rigs(err, count, r, t)
+    assert (error[~alone] > 1).all() and (again == ~alone).all() and alone.sum() == 1 and alone[5, 4]
+
+    def cost(turn, place, g):
+        out = 0.0
+        for a in range(cams):
+            for b in range(a + 1, cams):
+                if count[g, a, b]:
+                    step = turn[b] @ turn[a].T
+                    back = r[g, a, b].T
+                    out += count[g, a, b] * (np.sum(rotation_vector(back @ step) ** 2) + np.sum((back @ (place[b] - step @ place[a] - t[g, a, b])) ** 2))
+        return out
+
+    for g in range(rigs):
+        for c in range(cams):
+            if alone[g, c] or c == ref[g, c]:
+                assert np.array_equal(found[g, c], np.eye(3)) and not at[g, c].any()
+                continue
+            for k in range(6):
+                ends = []
+                for h in (1e-5, -1e-5):
+                    some, there = found[g].copy(), at[g].copy()
+                    e = np.eye(3)[k % 3] * h
+                    some[c], there[c] = (rotation_matrix(e) @ some[c], there[c]) if k < 3 else (some[c], there[c] + e)
+                    ends.append(cost(some, there, g))
+                assert abs(ends[0] - ends[1]) / 2e-5 < 1e-5 and min(ends) > cost(found[g], at[g], g)
+
+
+def test_pose_graph_of_any_names_and_order(spark):
+    """Edges told from either end; rigs without edges, without a name and of several sizes; no rows at all."""
+    eye, turned = np.eye(3).ravel().tolist(), rotation_matrix(np.array([0, 0, np.radians(6)])).ravel().tolist()
+    back = np.reshape(turned, (3, 3)).T.ravel().tolist()
+    edges = [(rig, "a", "b", eye, [0.0] * 3, 0.1, 9) for rig in ("r", None)] + [(rig, "c", "b", eye, [0.0] * 3, 0.1, 9) for rig in ("r", None)] + [("r", "a", "c", turned, [0.0] * 3, 0.3, 9), (None, "c", "a", back, [0.0] * 3, 0.3, 9)]
+    edges = spark.createDataFrame(edges, "rig_id string, cam_a string, cam_b string, r array<double>, t array<double>, err double, n long")
+    cams = spark.createDataFrame([("r", "d"), ("r", "a"), ("q", "a")], "rig_id string, cam_id string")
+    out = {(r.rig_id, r.cam_id): r for r in rig_graph.pose_graph(edges, cams).collect()}
+    assert {k for k, r in out.items() if r.method == "excluded"} == {("r", "d"), ("q", "a")} and len(out) == 8
+    for rig in ("r", None):
+        assert out[rig, "a"].method == "graph" and abs(out[rig, "a"].consistency_deg - 2) < 1e-9
+        turn = rotation_vector(np.reshape(out[rig, "c"].r, (3, 3)) @ np.reshape(out[rig, "a"].r, (3, 3)).T)
+        assert abs(np.degrees(np.linalg.norm(turn)) - 4) < 1e-9  # a third of the six degrees goes to each edge
+    assert rig_graph.pose_graph(edges.limit(0), cams.limit(0)).count() == 0
 
 
 def test_kalman_fills_gaps_of_a_straight_line():
@@ -290,7 +350,7 @@ def test_points_from_saved_calibrations(spark):
     from mvspark.sources.records import calibration_texts, read_calibrations
 
     def turned(axis, angle):
-        return calibration.rotation_matrix(np.array(axis, float) / np.linalg.norm(axis) * angle).ravel().tolist()
+        return rotation_matrix(np.array(axis, float) / np.linalg.norm(axis) * angle).ravel().tolist()
 
     cams = [(f"cam{k}", f"d{k}", 900.0 + 50 * k, 950.0, 640.0, 350.0 + k, [0.0] * 8, 1280, 720 + 10 * k, turned(a, w), t) for k, (a, w, t) in enumerate([((1, 2, 0.5), 0.3, [0.1, 0.2, 3.0]), ((0, 1, 1), -0.5, [-0.4, 0.1, 2.5]), ((1, 0, 0), 0.9, [0.3, -0.6, 4.0])])]
     kinds = "cam_id string, device_id string, fx double, fy double, cx double, cy double, dist array<double>, width int, height int, r array<double>, t array<double>"
