@@ -1,4 +1,4 @@
-"""Calibration data: sample gates, coverage, averages of relative poses."""
+"""Calibration data: coverage, averages of relative poses."""
 
 import numpy as np
 import pandas as pd
@@ -74,7 +74,7 @@ def novel(accepted: list[tuple[np.ndarray, np.ndarray]], r: np.ndarray, t: np.nd
 
 
 def gate_scan(rows: pd.DataFrame, accepted: list | None = None) -> list[bool]:
-    """Which of a camera's candidates, in time order, are accepted: what is accepted feeds back, so this is a scan. Used by batch and stream."""
+    """Which of a camera's candidates, in time order, are accepted: what is accepted feeds back, so this is a scan. For one camera's rows in memory."""
     accepted = [] if accepted is None else accepted
     out = []
     for r, t in zip(rows["r"], rows["t"], strict=True):
@@ -86,19 +86,6 @@ def gate_scan(rows: pd.DataFrame, accepted: list | None = None) -> list[bool]:
     return out
 
 
-def sample_gates(poses: DataFrame) -> DataFrame:
-    """Candidates (cam_id, ts, seq, r, t, n_corners, sharpness, cells) with ``accepted``. The plain gates are columns; only candidates that pass them enter the scan of
-    their camera."""
-    good = poses.filter((F.col("n_corners") >= MIN_CORNERS) & (F.col("sharpness") >= MIN_SHARPNESS) & (F.col("cells") >= MIN_CELLS))
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"])
-        return rows[["cam_id", "seq"]].assign(accepted=gate_scan(rows))
-
-    kept = good.select("cam_id", "ts", "seq", "r", "t").groupBy("cam_id").applyInPandas(scan, "cam_id string, seq bigint, accepted boolean")
-    return poses.join(kept, ["cam_id", "seq"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
-
-
 def multiply(a: str, b: str, b_transposed: bool = False):
     """Product of two row-major 3 x 3 arrays."""
     at = lambda m, i, j: F.get(F.col(m), F.lit(3 * i + j))
@@ -175,11 +162,6 @@ def _corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_log(spark, sf_dir).select("cam_id", (F.col("seq") * 37 % 1920).cast("double").alias("x"), (F.col("seq") * 53 % 1080).cast("double").alias("y"))
 
 
-def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = board_poses(spark, sf_dir).withColumns({"ts": F.col("ts_s"), "n_corners": (F.col("seq") % 15).cast("int"), "sharpness": (F.col("seq") % 100).cast("double"), "cells": (F.col("seq") % 9).cast("int")})
-    return sample_gates(p).groupBy("cam_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("accepted"), 1)).alias("accepted"))
-
-
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rig for each customer: a board seen by two cameras, turned about z in the first and about x in the second; of every third rig the first's view is stale."""
     key = F.col("c_custkey")
@@ -213,7 +195,6 @@ QUERIES = {
     "coverage": lambda spark, sf: coverage(_corners(spark, sf), 1920.0, 1080.0),
     "simultaneous_pairs": lambda spark, sf: simultaneous_pairs(board_poses(spark, sf), 0.5).groupBy("cam_id_a", "cam_id_b").agg(F.count(F.lit(1)).alias("pairs")),
     "edge_mean": lambda spark, sf: board_edges(spark, sf).select("cam_a", "cam_b", "n", F.round("err", 6).alias("err"), *[(F.round(F.get("r", F.lit(k)), 4) + 0.0).alias(f"r{k}") for k in (0, 1, 3, 4, 8)]),
-    "sample_gates": _gated,
     "world_alignment": _aligned,
     "recalibration_due": _due,
     "stop_signal": _done,
