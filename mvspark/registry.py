@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("operators.align", "sources.logs", "sources.records", "sources.stored", "operators.triangulate", "operators.quality", "operators.calibration", "operators.rig_graph", "operators.samples", "operators.smooth", "operators.tracks", "operators.occlusion", "operators.hands", "operators.sequences", "operators.rigs", "operators.lens", "operators.meshes")
+MODULES = ("operators.align", "sources.logs", "sources.records", "sources.stored", "operators.triangulate", "operators.quality", "operators.calibration", "operators.rig_graph", "operators.samples", "operators.smooth", "operators.tracks", "operators.occlusion", "operators.hands", "operators.sequences", "operators.rigs", "operators.lens", "operators.meshes", "streaming.states")
 
 
 def queries() -> dict:

@@ -5,14 +5,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from mvspark.functions.geometry import PROJECTION
 from mvspark.operators.samples import CAMERA, Held, in_order, sample_schema, scan
-from mvspark.operators.triangulate import triangulate
+from mvspark.operators.triangulate import triangulate, views
+from mvspark.plans.fixtures import calibration, keypoints, keypoints_sql
 
 POSES = [c for row in PROJECTION for c in row]
 
@@ -191,3 +192,19 @@ def statuses(frames: DataFrame, cameras: DataFrame, after_s: float = 20.0, never
     seeds = cameras.select(*CAMERA, F.col("start_s").cast("double").alias("start_s")).groupBy(*CAMERA)
     marked = frames.withWatermark("ts", late).groupBy(*CAMERA)
     return marked.transformWithStateInPandas(_Status(after_s, never_s), f"rig_id {kind['rig_id']}, cam_id {kind['cam_id']}, status string, from_s double", "append", "eventTime", initialState=seeds)
+
+
+def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session's last points; the right hand's landmarks are numbered from 100."""
+    seen = views(keypoints(spark, sf_dir), calibration(spark), 0.5)
+    flat = seen.select(F.col("session").alias("rig_id"), "cam_id", F.col("frame").cast("double").alias("ts_s"), (F.col("lm_id") + F.when(F.col("part") == "right", 100).otherwise(0)).alias("lm_id"), "u", "v", *POSES)
+    found = newest_points_of(framed(flat, [*CAMERA, "ts_s"]), 0.5)
+    return found.select("rig_id", "ts_s", "lm_id", "n_views", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
+
+
+QUERIES = {"newest_points": _newest}
+ORACLE_SQL = {
+    "newest_points": "with " + keypoints_sql() + """, s as (select * from keypoint where conf >= 0.5), last_ as (select session, max(frame) as frame from s group by session),
+ n as (select s.session, s.frame, part, lm_id, count(*) as n_views from s join last_ using (session, frame) group by all having count(*) >= 2)
+ select n.session as rig_id, cast(n.frame as double) as ts_s, n.lm_id + case when n.part = 'right' then 100 else 0 end as lm_id, n_views, round(x, 4) + 0.0 as x, round(y, 4) + 0.0 as y, round(z, 4) + 0.0 as z from n join points using (session, frame, part, lm_id)""",
+}
