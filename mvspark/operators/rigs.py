@@ -153,9 +153,10 @@ def one_track_a_hand(tracks: DataFrame, camera: list[str]) -> DataFrame:
 
 
 def selection_summary(chosen: DataFrame, high_px: float) -> DataFrame:
-    """(session, part, frames, min, mean and max inliers, mean_err, flagged) of robust camera sets; flagged: frames with an error over high_px."""
+    """(session, part, frames, min, mean and max inliers, mean_err, flagged) of robust camera sets; flagged: frames with an error over high_px.
+    Steady sets (with ``held``) have ``overrides`` too: frames whose set is not the best one's."""
     n = F.col("n_inliers")
-    out = chosen.groupBy("session", "part").agg(F.count(F.lit(1)).alias("frames"), F.min(n).alias("min_inliers"), F.avg(n).alias("mean_inliers"), F.max(n).alias("max_inliers"), F.avg("mean_err").alias("mean_err"), F.count(F.when(F.col("mean_err") > high_px, 1)).alias("flagged"))
+    out = chosen.groupBy("session", "part").agg(F.count(F.lit(1)).alias("frames"), F.min(n).alias("min_inliers"), F.avg(n).alias("mean_inliers"), F.max(n).alias("max_inliers"), F.avg("mean_err").alias("mean_err"), F.count(F.when(F.col("mean_err") > high_px, 1)).alias("flagged"), *[F.count(F.when(F.col(c), 1)).alias("overrides") for c in chosen.columns if c == "held"])
     return out
 
 

@@ -263,6 +263,61 @@ def test_steady_set_is_the_best_or_held(spark, sf_dir):
     assert all(r.n_inliers >= len(best[r.part, r.frame]) for r in rows)
 
 
+def test_steady_sets_equal_a_plain_scan(spark, sf_dir):
+    """Every frame's set, inliers, error and flag, and the overrides of each wrist, against a loop over dictionaries with a singular value decomposition for each point."""
+    from mvspark.operators.rigs import selection_summary
+
+    off_px = lambda a, b: ((F.col("frame") * a + F.col("ord") * b + F.col("frame") * F.col("ord") * 13) % 17 - 8) * 0.8
+    k = keypoints(spark, sf_dir).withColumns({"x": F.col("x") + off_px(31, 57) / 3360, "y": F.col("y") + off_px(7, 11) / 1890})
+    k = k.filter("(frame * 5 + ord) % 9 > 0")
+    seen = views(k, cameras(spark), 0.4)
+    best = sequences.robust_cameras(seen, 4.0)
+    steady = sequences.steady_cameras(seen, best, k, 4.0)
+    rows = {(r.session, r.part, r.frame): r for r in steady.collect()}
+    at = {}
+    for r in seen.filter("lm_id = 0").collect():
+        p = np.array([[r[f"p{i}{j}"] for j in range(4)] for i in range(3)])
+        at.setdefault((r.session, r.part, r.frame), {})[r.cam_id] = (p, np.array([r.u, r.v]))
+    top = {(r.session, r.part, r.frame): (sorted(r.cameras), r.mean_err) for r in best.collect()}
+    listed = {}
+    for r in k.select("session", "frame").distinct().collect():
+        listed.setdefault(r.session, []).append(r.frame)
+
+    def errors(views_, used):
+        a = np.concatenate([np.stack([u * p[2] - p[0], v * p[2] - p[1]]) for p, (u, v) in (views_[c] for c in used)])
+        h = np.linalg.svd(a)[2][-1]
+        return {c: float(np.linalg.norm((p @ h)[:2] / (p @ h)[2] - uv)) for c, (p, uv) in views_.items()}
+
+    want = {}
+    for session, frames in listed.items():
+        for part in ("left", "right"):
+            before = None
+            for frame in sorted(frames):
+                key = (session, part, frame)
+                if key not in top:
+                    before = None
+                    continue
+                chosen, error = top[key]
+                held = False
+                own = [c for c in before or [] if c in at[key]]
+                if len(own) >= 2:
+                    off = errors(at[key], own)
+                    near = sorted(c for c in off if off[c] < 4.0)
+                    mean = sum(off[c] for c in near) / len(near) if near else np.inf
+                    if len(near) >= max(2, len(chosen)) and mean <= 1.5 * error:
+                        held, chosen, error = near != chosen, near, mean
+                before = chosen
+                want[key] = (chosen, error, held)
+    assert set(rows) == set(want)
+    for key, (chosen, error, held) in want.items():
+        r = rows[key]
+        assert (list(r.cameras), r.n_inliers, r.held) == (chosen, len(chosen), held) and abs(r.mean_err - error) < 1e-6
+    held = sum(h for *_, h in want.values())
+    assert held > 0
+    summary = selection_summary(steady, 3.0).collect()
+    assert sum(r.overrides for r in summary) == held and sum(r.frames for r in summary) == len(want)
+
+
 def test_pairs_are_ranked_by_what_reprojects(spark, sf_dir):
     clean = keypoints(spark, sf_dir)
     wrong = clean.withColumn("y", F.when((F.col("cam_id") == "cam01") & (F.col("frame") % 4 > 0), F.col("y") + 0.2).otherwise(F.col("y")))
