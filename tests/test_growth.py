@@ -16,3 +16,10 @@ def exchanges(df) -> list[str]:
 @pytest.mark.parametrize("name", ["triangulate", "triangulate_weighted", "triangulate_older", "hand_boxes", "part_confidence"])
 def test_views_stay_with_their_frame(spark, sf_dir, name):
     assert len(exchanges(__spark_entry__.queries()[name](spark, sf_dir))) == 1  # of lineitem, by order
+
+
+@pytest.mark.parametrize("name", ["pair_rank", "triangulate_robust", "triangulate_planted", "robust_set", "robust_planted"])
+def test_views_are_not_joined_with_themselves(spark, sf_dir, name):
+    """Of lineitem and of what is chosen or counted; never by a view's camera."""
+    plan = exchanges(__spark_entry__.queries()[name](spark, sf_dir))
+    assert len(plan) <= 6 and not any("cam_id" in x for x in plan)
