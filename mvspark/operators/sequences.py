@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mvspark.functions.geometry import PROJECTION, gram_terms
+from mvspark.functions.geometry import PROJECTION
 from mvspark.operators.triangulate import robust_cameras, views
 from mvspark.plans.fixtures import POINTS_SQL, calibration, keypoints, true_points
 
@@ -56,16 +56,27 @@ def steady_scan(rows: pd.DataFrame, max_px: float, margin: int, factor: float) -
 
 
 def steady_cameras(seen: DataFrame, best: DataFrame, frames: DataFrame, max_px: float = 15.0, margin: int = 0, factor: float = 1.5) -> DataFrame:
-    """(session, part, frame, cameras, n_inliers, mean_err, held): robust camera sets that don't flicker. One wrist's views in one session are a group."""
-    wrist = seen.filter("lm_id = 0").select("session", "frame", "part", "cam_id", F.col("ord").cast("int").alias("ord"), "u", "v", *[c for row in PROJECTION for c in row], *[t.alias(g) for g, t in zip(GRAM, gram_terms("u", "v"), strict=True)])
-    rows = wrist.join(_places(frames), ["session", "frame"]).join(best.select("session", "frame", "part", "cameras", "mean_err"), ["session", "frame", "part"], "left")
+    """(session, part, frame, cameras, n_inliers, mean_err, held): robust camera sets that don't flicker. One wrist's views in one session are a group, to which they are shuffled
+    once; their Gram entries are worked out there."""
+    wrist = seen.filter("lm_id = 0").select("session", "frame", "part", "cam_id", F.col("ord").cast("int").alias("ord"), "u", "v", *[c for row in PROJECTION for c in row])
+    places = wrist.select("session", "frame", "part").distinct().join(_places(frames), ["session", "frame"])
+    sets = places.join(best.select("session", "frame", "part", "cameras", "mean_err"), ["session", "frame", "part"], "left")
     columns = ["session", "part", "frame", "cameras", "n_inliers", "mean_err", "held"]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(views: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        rows = views.merge(sets, on=["session", "part", "frame"])
+        if rows.empty:
+            return pd.DataFrame(columns=columns)
+        p = [[rows[c].to_numpy(float) for c in row] for row in PROJECTION]
+        a, b = ([rows[at].to_numpy(float) * p[2][k] - p[i][k] for k in range(4)] for i, at in enumerate("uv"))
+        pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+        rows = rows.assign(**{g: a[i] * a[j] + b[i] * b[j] for g, (i, j) in zip(GRAM, pairs, strict=True)})
         found = pd.DataFrame(steady_scan(rows, max_px, margin, factor), columns=columns[2:])
         return found.assign(session=rows["session"].iloc[0], part=rows["part"].iloc[0])[columns]
 
-    return rows.groupBy("session", "part").applyInPandas(run, "session bigint, part string, frame bigint, cameras array<string>, n_inliers int, mean_err double, held boolean")
+    series = ["session", "part"]
+    sets = sets.toDF(*sets.columns)  # columns of its own: both sides come from seen
+    return wrist.groupBy(*series).cogroup(sets.groupBy(*series)).applyInPandas(run, "session bigint, part string, frame bigint, cameras array<string>, n_inliers int, mean_err double, held boolean")
 
 
 def anchor_scan(at: np.ndarray, step_px: float) -> list[bool]:

@@ -23,3 +23,9 @@ def test_views_are_not_joined_with_themselves(spark, sf_dir, name):
     """Of lineitem and of what is chosen or counted; never by a view's camera."""
     plan = exchanges(__spark_entry__.queries()[name](spark, sf_dir))
     assert len(plan) <= 6 and not any("cam_id" in x for x in plan)
+
+
+def test_steady_cameras_deal_views_out_once(spark, sf_dir):
+    plan = exchanges(__spark_entry__.queries()["steady_cameras"](spark, sf_dir))
+    assert not any("cam_id" in x for x in plan)
+    assert __spark_entry__.queries()["steady_cameras"](spark, sf_dir).count() == 2946
