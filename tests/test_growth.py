@@ -29,3 +29,19 @@ def test_steady_cameras_deal_views_out_once(spark, sf_dir):
     plan = exchanges(__spark_entry__.queries()["steady_cameras"](spark, sf_dir))
     assert not any("cam_id" in x for x in plan)
     assert __spark_entry__.queries()["steady_cameras"](spark, sf_dir).count() == 2946
+
+
+@pytest.mark.parametrize("name", ["combine_max", "combine_weighted", "source_disagreement"])
+def test_sources_stand_beside_each_other(spark, sf_dir, name):
+    assert len(exchanges(__spark_entry__.queries()[name](spark, sf_dir))) <= 2
+
+
+def test_medians_hold_no_series(spark):
+    from mvspark.operators.quality import mad_outliers
+
+    rows = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4, 100)] + [("b", None)], "k string, x double")
+    found = mad_outliers(rows, ["k"], "x")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "median" not in plan and "percentile" not in plan
+    assert sorted((r.k, r.x, r.flag) for r in found.collect() if r.x) == [("a", 1.0, False), ("a", 2.0, False), ("a", 3.0, False), ("a", 4.0, False), ("a", 100.0, True)]
+    assert [r.flag for r in found.collect() if r.k == "b"] == [None]
