@@ -1,6 +1,6 @@
 """Frame logs and keypoint JSON as text: parsing, byte offsets, warm-up, frame rates."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -98,11 +98,16 @@ def keypoint_texts(points: DataFrame, keys: list[str]) -> DataFrame:
     return whole.select(*keys, F.to_json(F.map_from_entries(nested)).alias("value"))
 
 
+def text_of(cam_id: Column, idx: Column) -> Column:
+    """Name of the text that holds a camera's frame: one for each hundred frames keeps texts small. Keys of frames have six digits; of a longer number they are the first six, so the
+    others are in the text's name and no text has a key twice."""
+    digits = F.lpad(idx.cast("string"), F.greatest(F.length(idx.cast("string")), F.lit(6)), F.lit("0"))
+    return F.concat_ws("-", cam_id, F.substring(digits, 1, 4), F.nullif(F.substring(digits, 7, 20), F.lit("")))
+
+
 def _json_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = frame_log(spark, sf_dir)
-    pts = log.select("session_id", "cam_id", F.lpad(F.col("idx").cast("string"), 6, "0").alias("frame_key"), F.lit(0).alias("lm_id"), F.col("value").cast("double").alias("x"), F.col("n_bytes").cast("double").alias("y"), F.lit(0.5).alias("z"))
-    # One text for each hundred frames of a camera keeps texts small.
-    pts = pts.withColumn("part", F.concat_ws("-", "cam_id", F.substring("frame_key", 1, 4)))
+    pts = log.select("session_id", "cam_id", text_of(F.col("cam_id"), F.col("idx")).alias("part"), F.lpad(F.col("idx").cast("string"), 6, "0").alias("frame_key"), F.lit(0).alias("lm_id"), F.col("value").cast("double").alias("x"), F.col("n_bytes").cast("double").alias("y"), F.lit(0.5).alias("z"))
     return parse_keypoints(keypoint_texts(pts, ["session_id", "part"]), ["session_id", "part"]).drop("part")
 
 

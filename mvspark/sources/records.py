@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mvspark.functions.geometry import with_projection
 from mvspark.plans.fixtures import FRAME_LOG_SQL, frame_log, table
+from mvspark.sources.logs import text_of
 
 LANDMARKS = "array<struct<id:int,x:double,y:double,confidence:double>>"
 #: The parts' names in older keypoint files.
@@ -134,7 +135,7 @@ def _older_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array(mark(3, F.col("value"), F.col("n_bytes"), 0.5), mark(None, F.col("seq"), F.lit(0.0), 0.25))
     entry = F.when(F.col("idx") % 2 == 0, F.to_json(body)).otherwise(F.to_json(F.struct(body.alias("body"), F.array(mark(0, F.col("seq"), F.col("idx"), 0.75)).alias("left_hand"))))
     rows = frame_log(spark, sf_dir).withColumn("frame_key", F.lpad(F.col("idx").cast("string"), 6, "0"))
-    rows = rows.select("session_id", F.concat_ws("-", "cam_id", F.substring("frame_key", 1, 4)).alias("file"), F.format_string('"%s":{"%s":%s}', "frame_key", "cam_id", entry).alias("one"))
+    rows = rows.select("session_id", text_of(F.col("cam_id"), F.col("idx")).alias("file"), F.format_string('"%s":{"%s":%s}', "frame_key", "cam_id", entry).alias("one"))
     return rows.groupBy("session_id", "file").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("one"), ","), F.lit("}")).alias("value"))
 
 

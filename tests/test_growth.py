@@ -45,3 +45,16 @@ def test_medians_hold_no_series(spark):
     assert "median" not in plan and "percentile" not in plan
     assert sorted((r.k, r.x, r.flag) for r in found.collect() if r.x) == [("a", 1.0, False), ("a", 2.0, False), ("a", 3.0, False), ("a", 4.0, False), ("a", 100.0, True)]
     assert [r.flag for r in found.collect() if r.k == "b"] == [None]
+
+
+def test_frames_past_six_digits(spark):
+    """Their keys are cut to six digits, as in the SQL; no text may hold one twice, and no frame may get lost."""
+    from pyspark.sql import functions as F
+
+    from mvspark.sources.logs import keypoint_texts, parse_keypoints, text_of
+
+    idx = F.col("id")
+    log = spark.range(100_000, 100_003).union(spark.range(1_000_000, 1_000_025)).union(spark.range(10_000_000, 10_000_013))
+    log = log.select(text_of(F.lit("cam1"), idx).alias("part"), F.lit("cam1").alias("cam_id"), F.lpad(idx.cast("string"), 6, "0").alias("frame_key"), F.lit(0).alias("lm_id"), idx.cast("double").alias("x"), F.lit(0.5).alias("y"), F.lit(0.5).alias("z"))
+    found = sorted(r.x for r in parse_keypoints(keypoint_texts(log, ["part"]), ["part"]).collect())
+    assert found == [*map(float, [*range(100_000, 100_003), *range(1_000_000, 1_000_025), *range(10_000_000, 10_000_013)])]
