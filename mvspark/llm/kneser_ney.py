@@ -2,8 +2,8 @@
 perplexity, held against a quantile of its language.
 
 Counts, continuation counts and context sums are tables sharded by n-gram or context; joins of each order's tables with the
-probabilities of the order below give the probability of every n-gram that occurs in the corpus. The trusted documents are those labelled
-good, MAX_TRUSTED of them at most (those of least hash; the bound keeps their ids fit for broadcast). Four fifths train the
+probabilities of the order below give the probability of every n-gram that occurs in the corpus. The trusted documents are all those labelled
+good; up to MAX_IDS of their ids are broadcast, more are joined. Four fifths train the
 model; of the others' perplexities in each language the QUANTILE is taken. A text may pass it by the factor exp(SLACK + SHORT / sqrt(bytes)): a
 hundredth of the trusted texts themselves lies above the quantile, and the mean over few bytes varies (the same length allowance is taken off the
 perplexities of which the quantile is made).
@@ -22,7 +22,8 @@ from . import byte_grams
 from .common import checkpointed, fresh, id_crc, table
 
 ORDER = 4
-MAX_TRUSTED = 50_000
+#: So many ids are broadcast at most.
+MAX_IDS = 1_000_000
 QUANTILE, SLACK, SHORT = 0.99, 0.15, 2.0
 #: The columns that classify() adds.
 ADDED = ("n_bytes", "perplexity", "threshold", "kept")
@@ -71,10 +72,10 @@ def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return below.select("code", "n", F.log("p").alias("value"))
 
 
-def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
-    """(id, held) of at most limit documents labelled good."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(id, held) of all documents labelled good."""
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("id"), (id_crc() % 5 == 0).alias("held"))
+    return good.select(F.col("doc_id").alias("id"), (id_crc() % 5 == 0).alias("held"))
 
 
 def allowance(n_bytes: Column, slack: float = SLACK, short: float = SHORT) -> Column:
@@ -93,11 +94,11 @@ def quantiles(held: DataFrame, quantile: float = QUANTILE, short: float = SHORT)
     return both.groupBy("lang").agg(F.percentile_approx("x", F.lit(quantile), F.lit(100_000)).alias("limit"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, short: float = SHORT, max_broadcast: int = byte_grams.MAX_BROADCAST) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, short: float = SHORT, max_broadcast: int = byte_grams.MAX_BROADCAST, max_ids: int = MAX_IDS) -> DataFrame:
     """``docs`` with n_bytes, perplexity (per byte), threshold and kept; columns of these names are replaced."""
     ids = checkpointed(trusted_ids(labels))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    marked = narrow.join(F.broadcast(ids), "id", "left")  # at most MAX_TRUSTED ids
+    marked = narrow.join(F.broadcast(ids) if ids.count() <= max_ids else ids, "id", "left")
     grams = checkpointed(byte_grams.counts(marked.withColumn("learn", ~F.col("held")), "text", "learn", ORDER, prepare))
     values = checkpointed(probabilities(grams))
     held = byte_grams.with_sums(marked.filter("held").select("lang", "text"), values, "text", ORDER, prepare, "log_p", max_broadcast=max_broadcast)

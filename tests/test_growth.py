@@ -71,3 +71,15 @@ def test_a_row_over_the_limit_ends_at_the_query_depth(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(oracle(FINE_BYTES)).fetchall()
     assert sorted(map(tuple, shards_of_64k(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_all_trusted_texts_count(spark):
+    from pyspark.sql import functions as F
+
+    from mvspark.llm.kneser_ney import classify, trusted_ids
+
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert trusted_ids(labels).count() == 60_000
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("some plain words, number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    ways = [sorted((r.doc_id, round(r.perplexity, 9), round(r.threshold, 9), r.kept) for r in classify(docs, labels, max_ids=n).collect()) for n in (0, 60_000)]
+    assert ways[0] == ways[1]  # joined and broadcast
