@@ -143,15 +143,16 @@ def edges(observations: DataFrame, least: int = MIN_OBSERVATIONS, weight: str |
 TURNS = ((1.0, 0.0), (0.8, 0.6), (0.6, 0.8), (12 / 13, 5 / 13))
 
 
-def board_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Poses of one board as four cameras see it, from orders: a turn about x by the order's key, moved into each camera. A quarter of the cameras miss each board."""
+def board_poses(spark: SparkSession, sf_dir: str, moved: bool = True) -> DataFrame:
+    """Poses of one board as four cameras see it, from orders: a turn about x by the order's key, moved into each camera (or left in the rig's coordinates). A quarter of the cameras miss each board."""
     c, s = (F.element_at(F.array(*[F.lit(t[k]) for t in TURNS]), (F.col("o_orderkey") % 4 + 1).cast("int")) for k in (0, 1))
     z, o = F.lit(0.0), F.lit(1.0)
     board = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("seq"), F.array(o, z, z, z, c, -s, z, s, c).alias("rb"), F.array(F.col("o_totalprice").cast("double") / 1e5, z, o).alias("tb"))
     cams = spark.createDataFrame([(f"cam{k}", k, [a, -b, 0.0, b, a, 0.0, 0.0, 0.0, 1.0], [0.5 * k, 0.25 * k, 0.0]) for k, (a, b) in enumerate(TURNS)], "cam_id string, k int, rc array<double>, tc array<double>")
     seen = board.join(F.broadcast(cams), F.lit(True)).filter(F.col("seq") % 5 != F.col("k"))  # four cameras
-    seen = seen.withColumns({"r": multiply("rc", "rb"), "m": apply_rotation("rc", "tb")})
-    return seen.select(F.lit("rig").alias("rig_id"), "cam_id", "k", F.col("seq").cast("double").alias("ts_s"), "seq", "r", F.array(*[F.get("m", F.lit(i)) + F.get("tc", F.lit(i)) for i in range(3)]).alias("t"), (0.1 + F.col("seq") % 7 / 100).alias("err"))
+    seen = seen.withColumns({"r": multiply("rc", "rb"), "m": apply_rotation("rc", "tb")} if moved else {"r": F.col("rb")})
+    place = F.array(*[F.get("m", F.lit(i)) + F.get("tc", F.lit(i)) for i in range(3)]) if moved else F.col("tb")
+    return seen.select(F.lit("rig").alias("rig_id"), "cam_id", "k", F.col("seq").cast("double").alias("ts_s"), "seq", "r", place.alias("t"), (0.1 + F.col("seq") % 7 / 100).alias("err"))
 
 
 def board_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

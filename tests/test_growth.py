@@ -83,3 +83,17 @@ def test_all_trusted_texts_count(spark):
     docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("some plain words, number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
     ways = [sorted((r.doc_id, round(r.perplexity, 9), round(r.threshold, 9), r.kept) for r in classify(docs, labels, max_ids=n).collect()) for n in (0, 60_000)]
     assert ways[0] == ways[1]  # joined and broadcast
+
+
+def test_samples_just_as_far_apart_as_the_limit(spark, tmp_path):
+    """Prices 5,000.00 apart are poses 0.05 m apart: they count as near or not as in the SQL, in each camera."""
+    import duckdb
+
+    from mvspark.operators.samples import ORACLE_SQL, QUERIES
+    from tests.oracle import same
+
+    rows = [(359 + 1200 * i + 300 * k, (500_000 * (4 * i + k) + 37_137 * i) / 100) for i in range(70) for k in (0, 1)]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    same(QUERIES["calibration_samples"](spark, str(tmp_path)), con, ORACLE_SQL["calibration_samples"])
