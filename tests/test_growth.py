@@ -97,3 +97,14 @@ def test_samples_just_as_far_apart_as_the_limit(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
     same(QUERIES["calibration_samples"](spark, str(tmp_path)), con, ORACLE_SQL["calibration_samples"])
+
+
+@pytest.mark.parametrize("landmarks", [None, (0,)])
+def test_only_chosen_frames_are_pooled(spark, sf_dir, landmarks):
+    """Views are neither dealt out by landmark nor by camera, and ranges of frames don't change what is chosen."""
+    from mvspark.operators.triangulate import _seen, correspondences
+
+    seen = _seen(spark, sf_dir)
+    found = [correspondences(seen, 20, landmarks, ("frame",), width) for width in (1 << 12, 100)]
+    assert not any("lm_id" in x or x.endswith("frame") for x in exchanges(found[0]))
+    assert sorted(found[0].collect()) == sorted(found[1].collect())
