@@ -108,3 +108,7 @@ def test_only_chosen_frames_are_pooled(spark, sf_dir, landmarks):
     found = [correspondences(seen, 20, landmarks, ("frame",), width) for width in (1 << 12, 100)]
     assert not any("lm_id" in x or x.endswith("frame") for x in exchanges(found[0]))
     assert sorted(found[0].collect()) == sorted(found[1].collect())
+
+
+def test_cameras_vertices_stay_with_their_frame(spark, sf_dir):
+    assert len(exchanges(__spark_entry__.queries()["mesh_fuse"](spark, sf_dir))) == 1  # of lineitem, by order
