@@ -11,6 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.window import Window
 
 from mvspark.functions.geometry import PROJECTION
+from mvspark.functions.series import checkpointed
 from mvspark.operators.samples import CAMERA, Held, in_order, sample_schema, scan
 from mvspark.operators.triangulate import triangulate, views
 from mvspark.plans.fixtures import calibration, keypoints, keypoints_sql
@@ -110,9 +111,15 @@ def newest_points(frames: DataFrame, within_s: float = 0.15, forget_s: float = 5
     return frames.groupBy("rig_id").transformWithStateInPandas(_Points(within_s, max(forget_s, within_s)), f"rig_id {kind}, ts_s double, lm_id int, n_views long, x double, y double, z double", "append", "none")
 
 
+def newest_rows(rows: DataFrame, camera: list[str] = CAMERA) -> DataFrame:
+    """Of each camera the rows of its newest ts_s. Times are found first, so that no other rows are gathered or sorted."""
+    last = rows.groupBy(*camera).agg(F.max("ts_s").alias("ts_s"))
+    return rows.join(F.broadcast(last), [*camera, "ts_s"], "left_semi")  # a row a camera
+
+
 def newest_points_of(frames: DataFrame, within_s: float = 0.15) -> DataFrame:
     """What newest_points() gives after the last of these rows, in batch."""
-    last = frames.groupBy(*CAMERA).agg(F.max_by(F.struct("ts_s", "lm", "u", "v", "p"), "ts_s").alias("s")).select(*CAMERA, "s.*")
+    last = newest_rows(frames).groupBy(*CAMERA).agg(F.any_value(F.struct("ts_s", "lm", "u", "v", "p")).alias("s")).select(*CAMERA, "s.*")
     live = last.withColumn("newest", F.max("ts_s").over(Window.partitionBy("rig_id"))).filter(F.col("newest") - F.col("ts_s") <= within_s)
     flat = live.select("rig_id", "newest", F.inline(F.arrays_zip("lm", "u", "v")), *[F.get("p", F.lit(k)).alias(c) for k, c in enumerate(POSES)])
     return triangulate(flat.withColumnsRenamed({"newest": "ts_s", "lm": "lm_id"}), ["rig_id", "ts_s", "lm_id"])
@@ -198,7 +205,8 @@ def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each session's last points; the right hand's landmarks are numbered from 100."""
     seen = views(keypoints(spark, sf_dir), calibration(spark), 0.5)
     flat = seen.select(F.col("session").alias("rig_id"), "cam_id", F.col("frame").cast("double").alias("ts_s"), (F.col("lm_id") + F.when(F.col("part") == "right", 100).otherwise(0)).alias("lm_id"), "u", "v", *POSES)
-    found = newest_points_of(framed(flat, [*CAMERA, "ts_s"]), 0.5)
+    newest = checkpointed(framed(newest_rows(flat), [*CAMERA, "ts_s"]))  # a row a camera
+    found = newest_points_of(newest, 0.5)
     return found.select("rig_id", "ts_s", "lm_id", "n_views", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
 
 

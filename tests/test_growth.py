@@ -112,3 +112,14 @@ def test_only_chosen_frames_are_pooled(spark, sf_dir, landmarks):
 
 def test_cameras_vertices_stay_with_their_frame(spark, sf_dir):
     assert len(exchanges(__spark_entry__.queries()["mesh_fuse"](spark, sf_dir))) == 1  # of lineitem, by order
+
+
+def test_only_the_newest_views_are_gathered(spark):
+    from pyspark.sql import functions as F
+
+    from mvspark.streaming.states import POSES, newest_points_of
+
+    rows = spark.range(40).select(F.lit("rig").alias("rig_id"), (F.col("id") % 2).cast("string").alias("cam_id"), (F.col("id") / 100).alias("ts_s"), F.array(F.lit(0)).alias("lm"), *[F.array(F.lit(1.0)).alias(c) for c in "uv"], F.array(*[(F.col("id") % 2 + k * k).cast("double") for k in range(12)]).alias("p"))
+    found = newest_points_of(rows)
+    assert len(POSES) == 12 and "max_by" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.ts_s, r.lm_id, r.n_views) for r in found.collect()] == [(0.39, 0, 2)]
