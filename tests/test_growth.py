@@ -123,3 +123,9 @@ def test_only_the_newest_views_are_gathered(spark):
     found = newest_points_of(rows)
     assert len(POSES) == 12 and "max_by" not in found._jdf.queryExecution().executedPlan().toString()
     assert [(r.ts_s, r.lm_id, r.n_views) for r in found.collect()] == [(0.39, 0, 2)]
+
+
+def test_meshes_are_not_dealt_out_by_frame(spark, sf_dir):
+    """Wrists by session, before they have vertices, and lineitem by order: twice, as the listed frames are read too."""
+    plan = [re.sub(r"#\d+L?", "", x) for x in exchanges(__spark_entry__.queries()["mesh_over_time"](spark, sf_dir))]
+    assert sorted(plan) == ["l_orderkey", "l_orderkey", "session", "session"]
