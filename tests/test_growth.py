@@ -129,3 +129,29 @@ def test_meshes_are_not_dealt_out_by_frame(spark, sf_dir):
     """Wrists by session, before they have vertices, and lineitem by order: twice, as the listed frames are read too."""
     plan = [re.sub(r"#\d+L?", "", x) for x in exchanges(__spark_entry__.queries()["mesh_over_time"](spark, sf_dir))]
     assert sorted(plan) == ["l_orderkey", "l_orderkey", "session", "session"]
+
+
+def test_only_ends_look_up_their_weights(spark):
+    """A series of seven or more is one sum of seven; ends, short series and nulls come out as the polynomials have them."""
+    import numpy as np
+
+    from mvspark.operators.smooth import SAVGOL, savgol, savgol_weights
+
+    rng = np.random.default_rng(5)
+    series = {n: rng.random(n).tolist() for n in (4, 5, 6, 7, 12)}
+    rows = spark.createDataFrame([(n, k, x) for n, xs in series.items() for k, x in enumerate(xs)] + [(99, k, None if k == 5 else float(k)) for k in range(12)], "s int, frame int, x double")
+    part, whole = savgol(rows, ["s"], "x", whole=False), savgol(rows, ["s"], "x")
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "count(1)" not in plan and "row_number" not in plan and max(plan.count(f"lag(x#{x}, {k}, null)") for x in re.findall(r"lag\(x#(\d+L?)", plan) for k in (-6, 6)) == 0
+    assert "zip_with" in whole._jdf.queryExecution().executedPlan().toString()
+    got = {(r.s, r.frame): r.smooth for r in whole.collect()}
+    for n, xs in series.items():
+        size = 7 if n >= 7 else 5
+        for k, x in enumerate(xs):
+            first = max(0, min(k - size // 2, n - size))
+            want = savgol_weights(size)[k - first] @ np.array(xs[first : first + size]) if n >= 5 else x
+            assert abs(got[n, k] - want) < 1e-9
+    assert [got[99, k] for k in range(12) if k < 9] == [0.0, 1.0, 2.0, 3.0, 4.0, None, 6.0, 7.0, 8.0] and abs(got[99, 11] - 11) < 1e-9
+    flat = {(r.s, r.frame): r.smooth for r in part.collect()}
+    assert [flat[12, k] for k in (0, 1, 2, 9, 10, 11)] == [series[12][k] for k in (0, 1, 2, 9, 10, 11)]
+    assert abs(flat[12, 4] - np.array(SAVGOL) @ np.array(series[12][1:8]) / 21) < 1e-9
