@@ -155,3 +155,22 @@ def test_only_ends_look_up_their_weights(spark):
     flat = {(r.s, r.frame): r.smooth for r in part.collect()}
     assert [flat[12, k] for k in (0, 1, 2, 9, 10, 11)] == [series[12][k] for k in (0, 1, 2, 9, 10, 11)]
     assert abs(flat[12, 4] - np.array(SAVGOL) @ np.array(series[12][1:8]) / 21) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["hand_boxes", "part_confidence"])
+def test_frames_are_dealt_out_before_they_have_cameras(spark, sf_dir, name):
+    plan = exchanges(__spark_entry__.queries()[name](spark, sf_dir))
+    assert [re.sub(r"#\d+L?", "", x) for x in plan] == ["frame"]
+
+
+def test_lists_of_landmarks_are_groups(spark):
+    from pyspark.sql import functions as F
+
+    from mvspark.operators.hands import part_confidence
+    from mvspark.operators.occlusion import landmark_boxes
+
+    rows = spark.createDataFrame([("a", 1.0, 2.0, 0.5), ("a", 3.0, None, None), ("a", None, 7.0, 0.75), ("b", None, None, None)], "k string, x double, y double, conf double")
+    # collect_list leaves nulls out, an array of structs does not
+    lists = rows.groupBy("k").agg(F.collect_list(F.struct("x", "y", "conf")).alias("p")).select("k", *[F.col(f"p.{c}").alias(c) for c in ("x", "y", "conf")])
+    for f in (landmark_boxes, part_confidence):
+        assert sorted(map(str, f(rows, ["k"]).collect())) == sorted(map(str, f(lists, ["k"], lists=True).collect()))
