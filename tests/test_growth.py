@@ -174,3 +174,14 @@ def test_lists_of_landmarks_are_groups(spark):
     lists = rows.groupBy("k").agg(F.collect_list(F.struct("x", "y", "conf")).alias("p")).select("k", *[F.col(f"p.{c}").alias(c) for c in ("x", "y", "conf")])
     for f in (landmark_boxes, part_confidence):
         assert sorted(map(str, f(rows, ["k"]).collect())) == sorted(map(str, f(lists, ["k"], lists=True).collect()))
+
+
+def test_boxes_reach_over_ranges_of_frames(spark, sf_dir):
+    """Ranges without a hand, or without any box, hand on what came before and after; no task holds a camera's whole log."""
+    from mvspark.operators.occlusion import _hands, occlusions
+
+    keys = ["session_id", "cam_id"]
+    boxes = _hands(spark, sf_dir).filter("not (place = 2 and frame % 100 between 20 and 60) and frame % 200 not between 100 and 130")
+    one, many = (sorted(occlusions(boxes, keys, width=width).collect()) for width in (1 << 20, 7))
+    assert one == many and any(r.iou > 0 for r in many)
+    assert "frame" not in " ".join(exchanges(occlusions(boxes, keys)))  # by range
