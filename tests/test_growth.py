@@ -185,3 +185,14 @@ def test_boxes_reach_over_ranges_of_frames(spark, sf_dir):
     one, many = (sorted(occlusions(boxes, keys, width=width).collect()) for width in (1 << 20, 7))
     assert one == many and any(r.iou > 0 for r in many)
     assert "frame" not in " ".join(exchanges(occlusions(boxes, keys)))  # by range
+
+
+def test_null_keys_stay_in_ranges(spark):
+    from mvspark.functions.series import ranked_in_blocks
+    from mvspark.operators.occlusion import occlusions
+
+    rows = spark.createDataFrame([(None, 1.0), (None, 9.0), ("a", None), ("a", 5.0)], "k string, t double")
+    assert sorted(((r.k, r.t, r.n) for r in ranked_in_blocks(rows, ["k"], "t", 2.0, "n").collect()), key=str) == [("a", 5.0, 1), ("a", None, 0), (None, 1.0, 0), (None, 9.0, 1)]
+    box = [0.0, 0.0, 10.0, 10.0, False]
+    boxes = spark.createDataFrame([(None, 0, 1, *box), (None, 0, 2, *box), (None, 9, 1, *box)], "cam string, frame long, place int, x0 double, y0 double, x1 double, y1 double, disagree boolean")
+    assert [(r.cam, r.frame, r.iou, r.occluded) for r in occlusions(boxes, ["cam"], width=2).collect()] == [(None, 9, 1.0, True)]
