@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mvspark.functions.series import checkpointed
-from mvspark.plans.fixtures import keypoints, keypoints_sql
+from mvspark.plans.fixtures import keypoint_lists, keypoints_sql
 
 KEYS = ["session", "cam_id", "frame"]
 #: The store's own columns: its partitions (the first key as text) and what was extracted for a row.
@@ -61,22 +61,23 @@ def extract_missing(wanted: DataFrame, extraction: Callable[[DataFrame], DataFra
 
 
 def _write(rows: DataFrame, key: str, path: str, mode: str) -> None:
-    rows.withColumn(FOLDER, F.col(key).cast("string")).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(FOLDER).parquet(path)
+    # A folder's rows come together first (a large one's in several parts): else each task would write a file into each folder.
+    rows.withColumn(FOLDER, F.col(key).cast("string")).hint("rebalance", FOLDER).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(FOLDER).parquet(path)
 
 
 def _landmarks(seen: DataFrame, parts: dict[str, tuple[str, ...]]) -> Callable[[DataFrame], DataFrame]:
-    """An extraction: of each image the landmarks of each part."""
-    counts = [F.count(F.when(F.col("part").isin(*of), 1)).alias(name) for name, of in parts.items()]
+    """An extraction: of each image the landmarks of each part, of rows (KEYS, part, n) with the number of a side's landmarks."""
+    counts = [F.coalesce(F.sum(F.when(F.col("part").isin(*of), F.col("n"))), F.lit(0)).alias(name) for name, of in parts.items()]
     return lambda missing: seen.join(missing, KEYS, "left_semi").groupBy(*KEYS).agg(*counts)
 
 
 def _upgraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even frames are stored without a body first; the second run upgrades them and adds the others."""
-    rows = keypoints(spark, sf_dir)
+    rows = keypoint_lists(spark, sf_dir)
     wanted = checkpointed(rows.select(*KEYS).distinct())
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     hands = {"left": ("left",), "right": ("right",)}
-    seen = rows.filter("conf >= 0.5")
+    seen = rows.select(*KEYS, "part", F.size(F.filter("conf", lambda c: c >= 0.5)).alias("n")).filter("n > 0")
     extract_missing(wanted.filter("frame % 2 = 0"), _landmarks(seen, hands), path, list(hands))
     whole = hands | {"body": ("left", "right")}
     return extract_missing(wanted, _landmarks(seen, whole), path, list(whole))

@@ -196,3 +196,16 @@ def test_null_keys_stay_in_ranges(spark):
     box = [0.0, 0.0, 10.0, 10.0, False]
     boxes = spark.createDataFrame([(None, 0, 1, *box), (None, 0, 2, *box), (None, 9, 1, *box)], "cam string, frame long, place int, x0 double, y0 double, x1 double, y1 double, disagree boolean")
     assert [(r.cam, r.frame, r.iou, r.occluded) for r in occlusions(boxes, ["cam"], width=2).collect()] == [(None, 9, 1.0, True)]
+
+
+def test_a_folder_is_written_by_few_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from mvspark.sources.stored import extract_missing
+
+    rows = spark.range(2000).select((F.col("id") % 20).alias("session"), F.lit("a").alias("cam_id"), F.col("id").alias("frame")).repartition(8, "frame")
+    path = str(tmp_path / "store")
+    found = extract_missing(rows, lambda missing: missing.withColumn("n", F.lit(1)), path, ["n"])
+    assert found.count() == 2000 and len([*Path(path).rglob("*.parquet")]) == 20  # a file a folder, not one of each task
