@@ -209,3 +209,22 @@ def test_a_folder_is_written_by_few_tasks(spark, tmp_path):
     path = str(tmp_path / "store")
     found = extract_missing(rows, lambda missing: missing.withColumn("n", F.lit(1)), path, ["n"])
     assert found.count() == 2000 and len([*Path(path).rglob("*.parquet")]) == 20  # a file a folder, not one of each task
+
+
+def test_checkpoints_leave_no_shuffle_files(spark):
+    import pathlib
+
+    from mvspark.llm.common import RELEASE
+    from mvspark.llm.components import components
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def files() -> set[str]:
+        return {p.name for folder in folders for p in pathlib.Path(str(folder)).rglob("shuffle_*")}
+
+    before, given = files(), spark.conf.get(RELEASE)
+    chain = spark.range(200).selectExpr("id + 1 as a", "id as b")
+    found = components(chain)
+    assert not files() - before and spark.conf.get(RELEASE) == given
+    for _ in range(2):  # what was found can be asked again
+        assert {(r.node, r.root) for r in found.collect()} == {(k, 0) for k in range(201)}
