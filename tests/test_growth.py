@@ -228,3 +228,27 @@ def test_checkpoints_leave_no_shuffle_files(spark):
     assert not files() - before and spark.conf.get(RELEASE) == given
     for _ in range(2):  # what was found can be asked again
         assert {(r.node, r.root) for r in found.collect()} == {(k, 0) for k in range(201)}
+
+
+@pytest.mark.parametrize("name", ["corrections", "corrections_distorted"])
+def test_corrections_stay_with_their_frame(spark, sf_dir, name):
+    """Of lineitem by order (hands and body), of wrists by view after the solve, of frames, and by session."""
+    assert len(exchanges(__spark_entry__.queries()[name](spark, sf_dir))) <= 5
+
+
+def test_corrections_are_their_steps(spark, sf_dir):
+    """Wrists that are missing, of cameras that are not listed or without confidence keep their rows as in the steps one by one."""
+    from pyspark.sql import functions as F
+
+    from mvspark.operators.quality import _swapped, correct, penalise, velocity
+    from mvspark.plans.fixtures import calibration, keypoints
+
+    body = keypoints(spark, sf_dir).filter("lm_id < 2")
+    odd = F.pmod(F.hash("frame", "part", "cam_id"), F.lit(23))
+    hands = _swapped(body).filter(~((odd == 3) & (F.col("lm_id") == 0))).filter(odd != 4)
+    hands = hands.withColumns({"conf": F.when(odd != 5, F.col("conf")), "cam_id": F.when(odd == 6, "cam9").otherwise(F.col("cam_id"))})
+    twice, found = correct(hands, body.filter(odd != 8), calibration(spark))
+    wrists = twice.filter("lm_id = 0")
+    wanted = penalise(wrists.select("cam_id", "frame", "part", "conf"), velocity(wrists, hands).filter("fast"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(found) == rows(wanted) and {r.penalised for r in found.collect()} == {True, False}
