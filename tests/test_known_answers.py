@@ -8,7 +8,7 @@ from mvspark.functions.rotations import rotation_matrix, rotation_vector, turn_s
 from mvspark.functions.series import spaced
 from mvspark.operators import align, calibration, lens, meshes, occlusion, quality, rig_graph, sequences, smooth, tracks
 from mvspark.operators.rig_graph import solve_rigs
-from mvspark.operators.triangulate import older_weight, rank_pairs, triangulate, undistort_points, views
+from mvspark.operators.triangulate import older_weight, plausible, rank_pairs, triangulate, undistort_points, views
 from mvspark.plans.fixtures import calibration as cameras
 from mvspark.plans.fixtures import keypoints
 from mvspark.sources import records
@@ -523,6 +523,15 @@ def test_quantiles(spark):
     assert quantiles(df.limit(0), ["g"], "x", at).count() == 0
 
 
+def test_points_far_from_their_session_are_left_out(spark):
+    """Session 1: wrists 0 to 1 along x, so the limit is 1.5 from their middle. Session 2 has no trusted wrist, so its far point stays, without a distance."""
+    rows = [(1, k, "left", 0, 1.0, k / 10, 0.0, 0.0) for k in range(11)] + [(1, 20, "left", 5, 1.0, 1.9, 0.0, 0.0), (1, 21, "left", 5, 1.0, 0.5, 0.0, 1.6), (1, 22, "left", 5, 40.0, 0.5, 0.0, 0.0), (1, 22, "left", 5, 1.0, 0.5, 0.0, 0.0)]
+    rows += [(2, 30, "left", 0, 40.0, 0.0, 0.0, 0.0), (2, 31, "left", 5, 2.0, 99.0, 0.0, 0.0)]
+    found = plausible(spark.createDataFrame(rows, "session long, frame long, part string, lm_id int, err_px double, px double, py double, pz double")).collect()
+    got = {r.frame: (r.dist if r.dist is None else round(r.dist, 9), r.worst) for r in found}
+    assert got == {k: (abs(round(k / 10 - 0.5, 9)), 1.0) for k in range(11)} | {20: (1.4, 1.0), 31: (None, 2.0)}
+
+
 def test_is_spaced(spark):
     from mvspark.functions.series import is_spaced
 
