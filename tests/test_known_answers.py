@@ -532,6 +532,21 @@ def test_points_far_from_their_session_are_left_out(spark):
     assert got == {k: (abs(round(k / 10 - 0.5, 9)), 1.0) for k in range(11)} | {20: (1.4, 1.0), 31: (None, 2.0)}
 
 
+def test_plausible_points_equal_a_plain_count(spark, sf_dir):
+    """The query's points against NumPy's median and percentile of each session's wrists."""
+    from mvspark.operators.triangulate import POINT, QUERIES, _errors
+
+    rows = _errors(spark, sf_dir).toPandas()
+    points = rows.groupby(POINT).agg(worst=("err_px", "max"), px=("px", "first"), py=("py", "first"), pz=("pz", "first")).reset_index()
+    want = set()
+    for _, own in points[points["worst"] < 30].groupby("session"):
+        at, wrist = own[["px", "py", "pz"]].to_numpy(), (own["lm_id"] == 0).to_numpy()
+        dist = np.linalg.norm(at - np.median(at[wrist], axis=0), axis=1)
+        want |= set(own[dist < 3 * np.percentile(dist[wrist], 90)][POINT[1:]].itertuples(index=False, name=None))
+    found = [tuple(r) for r in QUERIES["plausible_points"](spark, sf_dir).collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
 def test_is_spaced(spark):
     from mvspark.functions.series import is_spaced
 
