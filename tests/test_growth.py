@@ -31,6 +31,32 @@ def test_steady_cameras_deal_views_out_once(spark, sf_dir):
     assert __spark_entry__.queries()["steady_cameras"](spark, sf_dir).count() == 2946
 
 
+def test_steady_sets_go_on_over_batches(spark, sf_dir):
+    """The best sets worked out where the views lie are robust_cameras(); what a batch ends with is handed on; frames that are not listed, and gaps, forget it."""
+    from pyspark.sql import functions as F
+
+    from mvspark.operators.sequences import steady_cameras
+    from mvspark.operators.triangulate import robust_cameras, views
+    from mvspark.plans.fixtures import calibration, keypoints
+
+    off_px = lambda a, b: ((F.col("frame") * a + F.col("ord") * b + F.col("frame") * F.col("ord") * 13) % 17 - 8) * 0.8
+    k = keypoints(spark, sf_dir).filter("lm_id = 0").withColumns({"x": F.col("x") + off_px(31, 57) / 3360, "y": F.col("y") + off_px(7, 11) / 1890, "session": F.floor(F.col("frame") / 700).cast("long")})
+    k = k.filter("frame % 700 > 4")
+    seen = views(k, calibration(spark), 0.4)
+    frames = k.filter("frame % 11 > 0")
+    rows = lambda df: sorted((r.session, r.part, r.frame, r.cameras, r.n_inliers, round(r.mean_err, 9), r.held) for r in df.collect())
+    one, few = (rows(steady_cameras(seen, None, frames, 4.0, rows=n)) for n in (1 << 20, 7))
+    assert one == few == rows(steady_cameras(seen, robust_cameras(seen, 4.0), frames, 4.0))
+    assert any(r[-1] for r in one) and not any(r[2] % 11 == 0 for r in one)
+    assert steady_cameras(seen.limit(0), None, frames).count() == 0 == steady_cameras(seen, None, frames.limit(0)).count()
+
+
+def test_steady_wrists_are_rows(spark, sf_dir):
+    """No group of a session is held: its views were handed to one call whole, and each frame was a table of its own."""
+    plan = __spark_entry__.queries()["steady_cameras"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "MapInArrow" in plan
+
+
 @pytest.mark.parametrize("name", ["combine_max", "combine_weighted", "source_disagreement"])
 def test_sources_stand_beside_each_other(spark, sf_dir, name):
     assert len(exchanges(__spark_entry__.queries()[name](spark, sf_dir))) <= 2
