@@ -157,6 +157,63 @@ def test_meshes_are_not_dealt_out_by_frame(spark, sf_dir):
     assert sorted(plan) == ["l_orderkey", "l_orderkey", "session", "session"]
 
 
+def test_series_of_shapes_are_tried_at_once():
+    """Every row's shape and cameras are those of one row after another, whatever a row before turned out to be."""
+    import numpy as np
+
+    from mvspark.operators.meshes import fuse_series, fuse_shapes
+
+    rng = np.random.default_rng(4)
+    shapes, weights = rng.normal(size=(200, 1, 5, 3)) * 0.02 + rng.normal(size=(200, 4, 5, 3)) * rng.choice([0.01, 0.1], (200, 4, 1, 1)), rng.random((200, 4)) + 0.5
+    there = rng.random((200, 4)) < 0.8
+    there[:, 0], shapes[~there] = True, 0.0
+    follows = np.where(rng.random(200) < 0.9, np.arange(200) - 1, -1)
+    follows[0], first = -1, {0: shapes[5, 0]}
+    fused, keep = fuse_series(shapes, weights, there, np.full(200, 5), follows, first)
+    last, differs = None, 0
+    for k in range(200):
+        before = first.get(k) if follows[k] < 0 else last
+        own = np.flatnonzero(there[k])
+        last, kept = fuse_shapes(shapes[k][own], weights[k][own], before)
+        assert np.allclose(last, fused[k]) and [*own[kept]] == [*np.flatnonzero(keep[k])]
+        differs += not np.array_equal(kept, fuse_shapes(shapes[k][own], weights[k][own], None)[1])
+    assert differs > 20
+
+
+def test_meshes_are_turned_where_they_are_fused(spark):
+    """As vertices one by one: cameras that are not listed, hands of unlike sizes, sessions with equal frames, batches that end anywhere."""
+    import numpy as np
+
+    from mvspark.operators import meshes
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for session, side, size in ((1, "left", 4), (1, "right", 3), (2, "left", 4)):
+        for frame in range(10, 22):
+            for cam in "abcd":
+                if rng.random() < 0.85:
+                    wrist = [*map(float, rng.normal(size=3))]
+                    rows += [(session, frame, side, cam, v, *map(float, wrist + rng.normal(size=3) * 0.05), *wrist, float(1 + ord(cam) % 3)) for v in range(size)]
+    rng.shuffle(rows)
+    names = "session long, frame long, side string, cam_id string, vert_id int, x double, y double, z double, wx double, wy double, wz double, weight double"
+    mesh = spark.createDataFrame([(int(s), int(f), side, cam, int(v), *map(float, x)) for s, f, side, cam, v, *x in rows], names)
+    turns = [(c, [float(x) for x in np.linalg.qr(rng.normal(size=(3, 3)))[0].ravel()], [float(x) for x in rng.normal(size=3)]) for c in "abc"]
+    cameras = spark.createDataFrame(turns, "cam_id string, r array<double>, t array<double>")
+    frames = spark.createDataFrame([(s, f) for s in (1, 2) for f in range(10, 22) if (s, f) != (1, 15)], "session long, frame long")
+    rounded = lambda df: sorted((*r[:4], *[round(x, 9) for x in r[4:]]) for r in map(tuple, df.collect()))
+    want = rounded(meshes.fuse_over_time(meshes.to_world(mesh, cameras).select(mesh.columns), frames))
+    for n in (1, 5, 2048):
+        assert rounded(meshes.fuse_whole(meshes.whole(mesh), frames, cameras=cameras, rows=n)) == want
+    assert {r[:2] for r in want} == {(s, f) for s in (1, 2) for f in range(10, 22)} - {(1, 15)}
+
+
+def test_no_vertex_is_handed_to_the_tasks(spark, sf_dir):
+    """Wrists are put in order; neither array functions nor a sort see whole meshes, and no double becomes a decimal number."""
+    plan = __spark_entry__.queries()["mesh_over_time"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" not in plan and "round(" not in plan and plan.count("MapInArrow") == 1
+    assert "Sort [" not in plan[: plan.index("Window [count(mark")]
+
+
 def test_only_ends_look_up_their_weights(spark):
     """A series of seven or more is one sum of seven; ends, short series and nulls come out as the polynomials have them."""
     import numpy as np
