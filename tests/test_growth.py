@@ -9,7 +9,10 @@ import __spark_entry__
 
 def exchanges(df) -> list[str]:
     """What the plan shuffles by hash, in its own words."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    return exchanges_of(df._jdf.queryExecution().executedPlan().toString())
+
+
+def exchanges_of(plan: str) -> list[str]:
     return re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
 
 
@@ -214,6 +217,32 @@ def test_no_vertex_is_handed_to_the_tasks(spark, sf_dir):
     assert "Sort [" not in plan[: plan.index("Window [count(mark")]
 
 
+def test_blocks_are_dealt_out_once(spark, sf_dir):
+    """All readers of the blocks share what is dealt out (in the plan that was run), and no pandas group holds a series' states."""
+    df = __spark_entry__.queries()["kalman_rts"](spark, sf_dir)
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    own = exchanges_of("\n".join(line for line in plan.splitlines() if "ReusedExchange" not in line))
+    own = [re.sub(r"#\d+L?", "", x) for x in own]
+    assert "Final Plan" in plan and "FlatMapGroupsInPandas" not in plan
+    assert own.count("session, part, lm_id, block") <= 3  # blocks, and their states forwards and backwards
+
+
+@pytest.mark.parametrize("together", [None, ("frame",)])
+def test_smoothing_by_frame_alone(spark, together):
+    """Frames that several sessions list, null keys, and a last block without points."""
+    from mvspark.operators.smooth import smooth
+
+    frames = spark.range(60).selectExpr("id % 2 as session", "id div 2 as frame").unionByName(spark.range(5).selectExpr("7 as session", "id + 2 as frame"))
+    points = frames.filter("frame % 3 > 0").selectExpr("session", "case when frame = 4 then null else 'a' end as part", "frame", "session + frame * 0.5D as x", "1.0D as y", "cast(frame as double) as z", "4 as n_views").filter("part is null or frame < 20")
+    found = smooth(points, frames, ["session", "part"], block=4, together=together).collect()
+    got = {(r.session, r.frame): (round(r.x, 2), r.observed) for r in found}
+    assert {r.part for r in found} == {"a"} and len(got) == len(found) == 2 * 19 + 4
+    assert all(got[s, f][1] == (f % 3 > 0 and f != 4) for s, f in got)
+    plain = {(r.session, r.frame): (r.x, r.y, r.z) for r in smooth(points, frames, ["session", "part"], block=512).collect()}
+    assert all(max(abs(a - b) for a, b in zip((r.x, r.y, r.z), plain[r.session, r.frame], strict=True)) < 1e-9 for r in found)
+
+
 def test_only_ends_look_up_their_weights(spark):
     """A series of seven or more is one sum of seven; ends, short series and nulls come out as the polynomials have them."""
     import numpy as np
